@@ -2,8 +2,14 @@
 
 from __future__ import annotations
 
-from . import token_files
+from . import byte_model, language_id, license_scan, quality_rules, token_files
 
-QUERIES = {"op2_token_files": token_files.op2_token_files}
+QUERIES = {
+    "op2_token_files": token_files.op2_token_files,
+    "op5_license_scan": license_scan.op5_license_scan,
+    "op6_byte_model": byte_model.op6_byte_model,
+    "op9_quality_rules": quality_rules.op9_quality_rules,
+    "op10_language_id": language_id.op10_language_id,
+}
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {"op9_quality_rules": quality_rules.OP9_SQL}
