@@ -4,14 +4,15 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
 
 import numpy as np
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Entries that a worker's word cache holds before it starts afresh: bounds a task's memory, not a result.
-CACHE_WORDS = 400_000
+#: Entries of a worker process's word cache: bounds its memory, not a result.
+CACHE_WORDS = 1_000_000
 
 
 def work_path(spark: SparkSession, name: str) -> str:
@@ -42,16 +43,46 @@ def as_bytes(df: DataFrame) -> DataFrame:
     return df.withColumn("text", F.coalesce(F.col("text"), F.lit("")).cast("binary"))
 
 
-class WordHashes(dict):
-    """word -> 64-bit hash. A miss is computed and kept; a full cache starts afresh."""
+class Recent(dict):
+    """A bounded cache: what hasn't been used while half a cache of new keys came is forgotten."""
 
-    def __missing__(self, word: bytes) -> int:
-        if len(self) >= CACHE_WORDS:
+    def __init__(self) -> None:
+        self.old: dict = {}
+
+    def make(self, key: bytes):
+        raise NotImplementedError
+
+    def keep(self, key: bytes, value) -> None:
+        if len(self) >= CACHE_WORDS // 2:
+            self.old = dict(self)
             self.clear()
-        value = self[word] = xxhash.xxh3_64_intdigest(word)
+        self[key] = value
+
+    def __missing__(self, key: bytes):
+        value = self.old.get(key)
+        if value is None:
+            value = self.make(key)
+        self.keep(key, value)
         return value
 
 
+class WordHashes(Recent):
+    """word -> 64-bit hash."""
+
+    def make(self, key: bytes) -> int:
+        return xxhash.xxh3_64_intdigest(key)
+
+
+_caches: dict = {}
+
+
+def cached(kind: type, *args):
+    """One such cache a worker process: it outlives the task."""
+    if (key := (kind, *args)) not in _caches:
+        _caches[key] = kind(*args)
+    return _caches[key]
+
+
 def mixed(x: np.ndarray) -> np.ndarray:
     """A bijective scramble of 64-bit values, so that every bit depends on all bits."""
     x = x ^ (x >> np.uint64(33))
@@ -74,3 +105,15 @@ def windows(h: np.ndarray, k: int) -> np.ndarray:
 
 def word_hashes(words: list[bytes], cache: WordHashes) -> np.ndarray:
     return np.fromiter(map(cache.__getitem__, words), np.uint64, len(words))
+
+
+def chunks(texts: list[bytes], size: int) -> Iterator[tuple[int, int]]:
+    """Runs of texts, from and up to, of about so many bytes together; a longer text stands alone."""
+    lo, held = 0, 0
+    for hi, t in enumerate(texts):
+        held += len(t) + 1
+        if held >= size:
+            yield lo, hi + 1
+            lo, held = hi + 1, 0
+    if lo < len(texts):
+        yield lo, len(texts)

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import CACHE_WORDS, as_bytes, id_text, work_path
+from .common import CACHE_WORDS, Recent, as_bytes, cached, chunks, id_text, work_path
 
 END_ID = 2
 TOKENIZER = "word_bpe_49k.json"
@@ -38,33 +38,46 @@ def tokenizer_path(name: str = TOKENIZER) -> str:
     return public_tokenizers.path(name)
 
 
-class PieceCache(dict):
-    """White-space separated piece -> its ids as bytes.
+class PieceCache(Recent):
+    """White-space separated piece, A-Z lower-cased -> its ids as bytes.
 
-    The tokenizer drops white space and never joins across it, so a text's ids are those of its pieces in order.
+    The tokenizer lower-cases, drops white space and never joins across it: a text's ids are those of its pieces in
+    order. New pieces are encoded some at a time, as one text; each id's offset tells the piece that it is of.
     """
 
     def __init__(self, path: str, kind: str):
         from tokenizers import Tokenizer
 
+        super().__init__()
         self.tokenizer, self.kind = Tokenizer.from_file(path), kind
 
-    def __missing__(self, piece: bytes) -> bytes:
-        if len(self) >= CACHE_WORDS:
+    def make_all(self, keys: list[bytes], together: int = 256) -> dict[bytes, bytes]:
+        made = {}
+        for lo in range(0, len(keys), together):
+            part = keys[lo : lo + together]
+            texts = [x.decode() for x in part]
+            first = np.cumsum([0, *(len(x) + 1 for x in texts)])
+            e = self.tokenizer.encode(" ".join(texts), add_special_tokens=False)
+            ids, at = np.array(e.ids, self.kind), [x for x, _ in e.offsets]
+            cuts = np.searchsorted(at, first)
+            for i, key in enumerate(part):
+                made[key] = ids[cuts[i] : cuts[i + 1]].tobytes()
+        return made
+
+    def encode(self, texts: list[bytes]) -> list[bytes]:
+        """The ids of some texts. Only these texts' pieces must fit the cache, so give a few MB at a time."""
+        pieces = [t.lower().split() for t in texts]
+        new = set().union(*pieces) - self.keys()
+        if self.old:
+            for x in new & self.old.keys():
+                self[x] = self.old[x]
+            new -= self.keys()
+        made, known = self.make_all(list(new)), self
+        if len(self) + len(made) > CACHE_WORDS // 2:
+            self.old, known = dict(self), self | made
             self.clear()
-        value = self[piece] = np.array(self.tokenizer.encode(piece.decode(), add_special_tokens=False).ids, self.kind).tobytes()
-        return value
-
-    def encode(self, text: bytes) -> bytes:
-        pieces = text.split()
-        if missing := [x for x in dict.fromkeys(pieces) if x not in self]:
-            if len(self) + len(missing) > CACHE_WORDS:
-                self.clear()
-            for lo in range(0, len(missing), 4096):
-                part = missing[lo : lo + 4096]
-                for x, e in zip(part, self.tokenizer.encode_batch_fast([x.decode() for x in part], add_special_tokens=False)):
-                    self[x] = np.array(e.ids, self.kind).tobytes()
-        return b"".join(map(self.__getitem__, pieces))
+        self.update(made)
+        return [b"".join(map(known.__getitem__, p)) for p in pieces]
 
 
 def id_kind(path: str, end_id: int) -> str:
@@ -89,23 +102,17 @@ def write(docs: DataFrame, path: str, tokenizer: str, end_id: int = END_ID, part
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        cache, index, row = PieceCache(tokenizer, kind), [], 0
+        cache, index, row = cached(PieceCache, tokenizer, kind), [], 0
 
         def out(name: str, values: list[bytes], first: int) -> pa.RecordBatch:
             numbers = np.arange(first, first + len(values))
             return pa.RecordBatch.from_arrays([pa.array([name] * len(values)), pa.array(numbers), pa.array(values, pa.binary())], ["kind", "row", "value"])
 
         for batch in batches:
-            values, held = [], 0
-            for doc, text in zip(batch["doc_id"].to_pylist(), batch["text"].to_pylist()):
-                ids = cache.encode(text) + end
-                index.append((doc or 0, int(doc is not None), len(ids) // wide))
-                values.append(ids)
-                held += len(ids)
-                if held > 4 << 20:
-                    yield out("tokens", values, row)
-                    row, values, held = row + len(values), [], 0
-            if values:
+            docs, texts = batch["doc_id"].to_pylist(), batch["text"].to_pylist()
+            for lo, hi in chunks(texts, 2 << 20):
+                values = [ids + end for ids in cache.encode(texts[lo:hi])]
+                index += [(doc or 0, int(doc is not None), len(ids) // wide) for doc, ids in zip(docs[lo:hi], values)]
                 yield out("tokens", values, row)
                 row += len(values)
         for lo in range(0, len(index), 4096):
