@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
-from . import byte_model, language_id, license_scan, quality_rules, token_files
+from . import byte_model, decontamination, importance, language_id, license_scan, mixing, quality_rules, token_files
 
 QUERIES = {
     "op2_token_files": token_files.op2_token_files,
+    "op4_mixing": mixing.op4_mixing,
     "op5_license_scan": license_scan.op5_license_scan,
     "op6_byte_model": byte_model.op6_byte_model,
+    "op7_importance": importance.op7_importance,
+    "op8_decontamination": decontamination.op8_decontamination,
     "op9_quality_rules": quality_rules.op9_quality_rules,
     "op10_language_id": language_id.op10_language_id,
 }
