@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from . import byte_model, decontamination, importance, language_id, license_scan, mixing, quality_rules, token_files
+from . import byte_model, decontamination, html_text, importance, language_id, license_scan, mixing, quality_rules, token_files
 
 QUERIES = {
     "op2_token_files": token_files.op2_token_files,
+    "op3_html_text": html_text.op3_html_text,
     "op4_mixing": mixing.op4_mixing,
     "op5_license_scan": license_scan.op5_license_scan,
     "op6_byte_model": byte_model.op6_byte_model,
