@@ -8,6 +8,7 @@ punctuation, and whether the token stood just before), hashed to BUCKETS.
 
 from __future__ import annotations
 
+import math
 import re
 from collections.abc import Iterator
 
@@ -25,6 +26,8 @@ LABELLED = 20_000
 #: Losing a labelled good document weighs as much as keeping so many bad ones.
 LOSS = 20.0
 SEED = 7
+#: Stands for a null doc_id in comparisons.
+NO_ID = -(1 << 62)
 #: Features seen that each bucket starts with in either model.
 PRIOR = 2.0
 TOKEN = re.compile(rb"[A-Za-z\x80-\xff]+|[0-9]+|[^\sA-Za-z0-9\x80-\xff]+")
@@ -89,22 +92,20 @@ def fit(docs: DataFrame) -> np.ndarray:
     return np.log((target + PRIOR) / (raw / raw.sum() * target.sum() + PRIOR))
 
 
-def weigh(docs: DataFrame, ratios: np.ndarray) -> DataFrame:
-    """docs (text and columns to keep) with log_weight: the mean of the four kinds of feature, summed over the text."""
-    kept = [c for c in docs.columns if c != "text"]
-    sent = docs.sparkSession.sparkContext.broadcast(ratios)
+def weight(spark: SparkSession, ratios: np.ndarray):
+    """The log importance weight of column text: the mean of the four kinds of feature, summed over the text."""
+    sent = spark.sparkContext.broadcast(ratios)
 
-    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ratios, cache = sent.value, cached(TokenHashes)
-        for b in batches:
-            texts, out = b["text"].to_pylist(), np.zeros(len(b))
-            for lo, hi in chunks(texts, 1 << 20):
-                bucket, own = features(texts[lo:hi], cache)
-                out[lo:hi] = np.bincount(own, ratios[bucket.astype(np.int64)], hi - lo) / 4
-            yield pa.RecordBatch.from_arrays([*(b[c] for c in kept), pa.array(out)], [*kept, "log_weight"])
+    @F.arrow_udf("double")
+    def log_weight(texts: pa.Array) -> pa.Array:
+        ratios, cache, texts = sent.value, cached(TokenHashes), texts.to_pylist()
+        out = np.zeros(len(texts))
+        for lo, hi in chunks(texts, 1 << 20):
+            bucket, own = features(texts[lo:hi], cache)
+            out[lo:hi] = np.bincount(own, ratios[bucket.astype(np.int64)], hi - lo) / 4
+        return pa.array(out)
 
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema if f.name != "text")
-    return as_bytes(docs).select(*kept, "text").mapInArrow(each, f"{fields}, log_weight double")
+    return log_weight(F.coalesce(F.col("text"), F.lit("")).cast("binary"))
 
 
 def gumbel(seed: int = SEED):
@@ -113,24 +114,31 @@ def gumbel(seed: int = SEED):
     return -F.log(-F.log(u))
 
 
-def top_k(scored: DataFrame, k: int, col: str = "noisy") -> DataFrame:
-    """scored with chosen: whether the row is among the k of the largest values (ties: the smaller doc_id).
+def last_of_k(scored: DataFrame, k: int, col: str = "noisy") -> tuple[float, int] | None:
+    """The k-th largest value and its doc_id (ties: the smaller doc_id comes first); None if all rows are among the k.
 
     An approximate quantile brackets the k-th value; only the rows inside the bracket are ranked.
     """
     total = scored.count()
     if k >= total:
-        return scored.withColumn("chosen", F.lit(True))
+        return None
     if k <= 0:
-        return scored.withColumn("chosen", F.lit(False))
+        return math.inf, 0
     share, slack = 1 - k / total, 0.002
     low, high = scored.agg(F.percentile_approx(col, F.array(F.lit(max(0.0, share - slack)), F.lit(min(1.0, share + slack))), 10_000).alias("q")).first()["q"]
     above, between = scored.agg(F.count_if(F.col(col) > high), F.count_if(F.col(col).between(low, high))).first()
     if not above < k <= above + between:  # the bracket missed: rank everything
-        low, high, above = float("-inf"), float("inf"), 0
-    last = scored.filter(F.col(col).between(low, high)).orderBy(F.desc(col), F.asc_nulls_first("doc_id")).limit(k - above).agg(F.min(F.struct(F.col(col).alias("v"), (-F.coalesce("doc_id", F.lit(-(1 << 62)))).alias("d"))).alias("m")).first()["m"]
-    back = -F.coalesce("doc_id", F.lit(-(1 << 62)))
-    return scored.withColumn("chosen", (F.col(col) > last["v"]) | ((F.col(col) == last["v"]) & (back >= last["d"])))
+        low, high, above = -math.inf, math.inf, 0
+    ranked = scored.filter(F.col(col).between(low, high)).select(col, F.coalesce("doc_id", F.lit(NO_ID)).alias("d"))
+    last = ranked.orderBy(F.desc(col), "d").limit(k - above).agg(F.min(F.struct(F.col(col).alias("v"), (-F.col("d")).alias("d"))).alias("m")).first()["m"]
+    return last["v"], -last["d"]
+
+
+def among(last: tuple[float, int] | None, col: str = "noisy"):
+    """Whether a row comes no later than the given one."""
+    if last is None:
+        return F.lit(True)
+    return (F.col(col) > last[0]) | ((F.col(col) == last[0]) & (F.coalesce("doc_id", F.lit(NO_ID)) <= last[1]))
 
 
 def share_to_keep(scored: DataFrame) -> float | None:
@@ -146,21 +154,35 @@ def share_to_keep(scored: DataFrame) -> float | None:
     return -np.inf if at == 0 else float(x[at - 1] + x[min(at, len(x) - 1)]) / 2
 
 
-def select(docs: DataFrame, labels: DataFrame, most: int = LABELLED, seed: int = SEED) -> DataFrame:
-    """docs (doc_id, text) -> doc_id, log_weight, noisy, kept.
+def draw(docs: DataFrame, labels: DataFrame, most: int = LABELLED, seed: int = SEED):
+    """Fits and draws: the columns log_weight and noisy (of rows with doc_id, text), the last row drawn, and all rows scored.
 
     The target model is fitted on one half of the labelled documents, the number k to draw on the other half. Without
-    labels all are kept. Null or empty text: weight 0. Rows with the same doc_id and text are drawn or left together.
+    labels all are drawn. Null or empty text: weight 0. Rows with the same doc_id and text are drawn or left together.
     """
     told = F.broadcast(labelled(labels, most))  # at most `most` rows
     docs = docs.select("doc_id", "text").join(told, F.col("doc_id") == told["its_doc"], "left").drop("its_doc")
     half = F.pmod(F.xxhash64("doc_id", F.lit(1)), F.lit(2)) == 0
-    ratios = fit(docs.withColumn("good", F.when(half, F.col("good"))))
-    scored = weigh(docs.withColumn("good", F.when(~half, F.col("good"))), ratios)
-    scored = stored(scored.withColumn("noisy", F.col("log_weight") + gumbel(seed)), "weights")
+    log_weight = weight(docs.sparkSession, fit(docs.withColumn("good", F.when(half, F.col("good")))))
+    noisy = F.col("log_weight") + gumbel(seed)
+    scored = docs.select("doc_id", F.when(~half, F.col("good")).alias("good"), log_weight.alias("log_weight"))
+    scored = stored(scored.withColumn("noisy", noisy), "weights")
     least = share_to_keep(scored)
     k = scored.count() if least is None else scored.filter(F.col("noisy") >= least).count()
-    return top_k(scored, k).select("doc_id", "log_weight", "noisy", F.col("chosen").alias("kept"))
+    return log_weight, noisy, last_of_k(scored, k), scored
+
+
+def select(docs: DataFrame, labels: DataFrame, most: int = LABELLED, seed: int = SEED) -> DataFrame:
+    """docs (doc_id, text) -> doc_id, log_weight, noisy, kept: see draw()."""
+    _, _, last, scored = draw(docs, labels, most, seed)
+    return scored.select("doc_id", "log_weight", "noisy", among(last).alias("kept"))
+
+
+def drawn(docs: DataFrame, labels: DataFrame, most: int = LABELLED, seed: int = SEED) -> DataFrame:
+    """The rows of docs that are drawn, with all their columns, whatever their names."""
+    rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("whole"), F.col("doc_id").cast("long").alias("doc_id"), "text")
+    log_weight, noisy, last, _ = draw(rows, labels, most, seed)
+    return rows.withColumn("log_weight", log_weight).withColumn("noisy", noisy).filter(among(last)).select("whole.*")
 
 
 def op7_importance(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from . import byte_model, decontamination, html_text, importance, language_id, license_scan, mixing, quality_rules, token_files
+from . import byte_model, decontamination, html_text, importance, language_id, license_scan, mixing, ngram_join, quality_rules, token_files
 
 QUERIES = {
+    "op1_ngram_join": ngram_join.op1_ngram_join,
     "op2_token_files": token_files.op2_token_files,
     "op3_html_text": html_text.op3_html_text,
     "op4_mixing": mixing.op4_mixing,

@@ -34,10 +34,17 @@ def test_top_k_is_exact(spark):
     df = spark.range(1000).select(F.col("id").alias("doc_id"), (F.pmod(F.xxhash64("id"), F.lit(50))).cast("double").alias("noisy"))
     want = sorted(((-r["noisy"], r["doc_id"]) for r in df.collect()))
     for k in (0, 1, 17, 500, 999, 1000):
-        got = {r["doc_id"] for r in importance.top_k(df, k).filter("chosen").collect()}
+        got = {r["doc_id"] for r in df.filter(importance.among(importance.last_of_k(df, k))).collect()}
         assert got == {d for _, d in want[:k]}
 
 
+def test_drawn_rows_keep_their_columns(spark):
+    docs, labels = corpus(spark)
+    docs = docs.withColumn("noisy", F.lit("n")).withColumn("good", F.lit(1)).withColumn("a.b", F.lit(2))
+    got = importance.drawn(docs, labels)
+    assert got.columns == docs.columns and {r["doc_id"] for r in got.collect()} >= {i for i in range(200) if i % 4}
+
+
 def brute_tiles(a, b, least):
     """Greedy string tiling by trying every pair of places."""
     used_a, used_b, total = set(), set(), 0
