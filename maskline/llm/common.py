@@ -11,8 +11,10 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from maskline.plans.session import ship
+
 #: Entries of a worker process's word cache: bounds its memory, not a result.
-CACHE_WORDS = 1_000_000
+CACHE_WORDS = 800_000
 
 
 def work_path(spark: SparkSession, name: str) -> str:
@@ -40,6 +42,7 @@ def id_text(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
 
 def as_bytes(df: DataFrame) -> DataFrame:
     """text as its UTF-8 bytes (null: empty), for the tasks that work on bytes."""
+    ship(df.sparkSession)
     return df.withColumn("text", F.coalesce(F.col("text"), F.lit("")).cast("binary"))
 
 
@@ -108,11 +111,11 @@ def word_hashes(words: list[bytes], cache: WordHashes) -> np.ndarray:
 
 
 def chunks(texts: list[bytes], size: int) -> Iterator[tuple[int, int]]:
-    """Runs of texts, from and up to, of about so many bytes together; a longer text stands alone."""
+    """Runs of texts, from and up to, of about so many bytes together and at most 2^14; a longer text stands alone."""
     lo, held = 0, 0
     for hi, t in enumerate(texts):
         held += len(t) + 1
-        if held >= size:
+        if held >= size or hi - lo == (1 << 14) - 1:
             yield lo, hi + 1
             lo, held = hi + 1, 0
     if lo < len(texts):

@@ -16,6 +16,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from maskline.plans.session import ship
+
 from .common import WordHashes, cached, id_text, stored, windows, word_hashes
 
 LEAST = 5
@@ -98,6 +100,7 @@ def leaks(docs: DataFrame, items: DataFrame, least: int = LEAST, coverage: float
     or without an id, is in no pair. Null or empty documents are in no pair. Of equal documents each has its own rows.
     """
     spark = docs.sparkSession
+    ship(spark)
     items = items.select(F.col("item_id").cast("long").alias("item_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).filter("item_id is not null").dropDuplicates()
     seeds = stored(item_seeds(items, least), "seeds")
     lengths = sorted(r["length"] for r in seeds.select("length").distinct().collect())  # at most `least` numbers

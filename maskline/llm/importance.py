@@ -18,6 +18,8 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from maskline.plans.session import ship
+
 from .common import Recent, as_bytes, cached, chunks, id_text, mixed, stored
 
 BUCKETS = 1 << 16
@@ -160,6 +162,7 @@ def draw(docs: DataFrame, labels: DataFrame, most: int = LABELLED, seed: int = S
     The target model is fitted on one half of the labelled documents, the number k to draw on the other half. Without
     labels all are drawn. Null or empty text: weight 0. Rows with the same doc_id and text are drawn or left together.
     """
+    ship(docs.sparkSession)
     told = F.broadcast(labelled(labels, most))  # at most `most` rows
     docs = docs.select("doc_id", "text").join(told, F.col("doc_id") == told["its_doc"], "left").drop("its_doc")
     half = F.pmod(F.xxhash64("doc_id", F.lit(1)), F.lit(2)) == 0

@@ -22,7 +22,7 @@ GAMMA = 1.02
 ZERO = -1_000_000
 #: A text fails beyond the quartiles of its language and source by FENCE times their distance and the metric's slack.
 FENCE = 3.0
-SLACK = {"word_length": 3.0, "symbols_a_word": 0.1, "repeated_lines": 0.3, "repeated_words": 0.1}
+SLACK = {"word_length": 3.0, "symbols_a_word": 0.1, "repeated_lines": 0.3, "repeated_words": 0.2}
 #: Parts that the rows of one language and source are dealt out to for the join with its thresholds.
 SALTS = 32
 
@@ -103,8 +103,8 @@ def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 OP9_SQL = r"""
 WITH w AS (
   SELECT row_number() OVER () AS r, doc_id, lang, source, coalesce(text, '') AS t,
-         list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), x -> x <> '') AS words,
-         list_filter(string_split(coalesce(text, ''), chr(10)), x -> regexp_matches(x, '[^\x20\x09-\x0D]')) AS lines
+         list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS words,
+         list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS lines
   FROM documents),
 g AS (SELECT r, unnest(range(len(words) - 4)) AS i, words FROM w WHERE len(words) >= 5),
 k AS (SELECT r, i, count(*) OVER (PARTITION BY r, words[i + 1 : i + 5]) AS n FROM g),
@@ -130,7 +130,7 @@ q AS (SELECT lang, source, metric, min(v) FILTER (WHERE up_to >= ceil(total * 0.
              min(v) FILTER (WHERE up_to >= ceil(total * 0.75::DOUBLE)) AS q3 FROM o GROUP BY ALL),
 l AS (SELECT lang, source, max(q3 + 3 * (q3 - q1) + 3) FILTER (WHERE metric = 'a') AS ma, max(q1 - 3 * (q3 - q1) - 3) FILTER (WHERE metric = 'a') AS la,
              max(q3 + 3 * (q3 - q1) + 0.1) FILTER (WHERE metric = 'b') AS mb, max(q3 + 3 * (q3 - q1) + 0.3) FILTER (WHERE metric = 'c') AS mc,
-             max(q3 + 3 * (q3 - q1) + 0.1) FILTER (WHERE metric = 'd') AS md FROM q GROUP BY ALL)
+             max(q3 + 3 * (q3 - q1) + 0.2) FILTER (WHERE metric = 'd') AS md FROM q GROUP BY ALL)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
        (NOT base_failed AND a <= ma AND a >= la AND b <= mb AND c <= mc AND d <= md) AS kept
 FROM f JOIN l ON f.lang IS NOT DISTINCT FROM l.lang AND f.source IS NOT DISTINCT FROM l.source

@@ -79,9 +79,9 @@ def brute_ppm(training: list[bytes], text: bytes) -> float:
                 excluded |= set(counts.get(data[i - n : i], {}))
                 continue
             if data[i] in c:
-                total += math.log10(c[data[i]] / (sum(c.values()) + len(c)))
+                total += math.log10((2 * c[data[i]] - 1) / (2 * sum(c.values())))
                 break
-            total += math.log10(len(c) / (sum(c.values()) + len(c)))
+            total += math.log10(len(c) / (2 * sum(c.values())))
             excluded |= set(c)
         else:
             total += math.log10(1 / (255 - len(excluded)))
