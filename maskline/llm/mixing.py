@@ -19,8 +19,8 @@ from pyspark.sql import functions as F
 from .common import stored
 
 WORD = r"[^\x20\x09-\x0D]+"
-#: The letters whose counts the classifier sees; all others count as one.
-LETTERS = "etaoinshrdlucwbvyjqzéèçüößñóí"
+#: The letters whose counts the classifier sees; all other bytes count as one kind.
+LETTERS = "enrsthwäüßéèçñó"
 #: A text counts as so many letters at most in its posterior: neighbouring letters are not independent.
 EVIDENCE = 60.0
 SMOOTHING = 1.0
@@ -32,18 +32,18 @@ TOLERANCE = 1e-4
 TEMPER = 0.7
 
 
-def letter_counts() -> list[Column]:
-    """Counts of LETTERS, then of everything else but ASCII white space and punctuation."""
-    low = F.col("low")
-    return [(F.length(low) - F.length(F.replace(low, F.lit(c), F.lit("")))).cast("double") for c in LETTERS]
-
-
 def measured(docs: DataFrame) -> DataFrame:
-    """docs with n_tokens and counts (array). Null or empty text: all 0."""
+    """docs with n_tokens, text_hash and counts (array: LETTERS, then all other bytes). Null or empty text: all 0."""
     df = docs.withColumn("low", F.lower(F.coalesce(F.col("text"), F.lit(""))))
-    df = df.withColumn("n_tokens", F.regexp_count("low", F.lit(WORD)).cast("long")).withColumn("counts", F.array(*letter_counts()))
-    total = F.length("low") - F.regexp_count("low", F.lit(r"[\x00-\x60\x7B-\x7F]"))
-    return df.withColumn("counts", F.concat("counts", F.array(F.greatest(total.cast("double") - F.aggregate("counts", F.lit(0.0), lambda a, x: a + x), F.lit(0.0))))).drop("low")
+    size = F.octet_length("low")
+    bytes_of = [size - F.octet_length(F.replace("low", F.lit(c), F.lit(""))) for c in LETTERS]
+    df = df.withColumn("bytes", F.array(*bytes_of)).withColumn("size", size)
+    df = df.withColumn("n_tokens", F.regexp_count("low", F.lit(WORD)).cast("long")).withColumn("text_hash", F.xxhash64("text")).drop("low")
+    rest = F.col("size")
+    for i in range(len(LETTERS)):
+        rest = rest - F.get("bytes", F.lit(i))
+    counts = [(F.get("bytes", F.lit(i)) / len(c.encode())).cast("double") for i, c in enumerate(LETTERS)]
+    return df.withColumn("counts", F.array(*counts, rest.cast("double"))).drop("bytes", "size")
 
 
 def fit(labelled: DataFrame) -> tuple[list[str], list[float], list[list[float]]]:
@@ -55,19 +55,26 @@ def fit(labelled: DataFrame) -> tuple[list[str], list[float], list[list[float]]]
     return [r["domain"] for r in rows], [math.log(r["n"] / total) for r in rows], [[math.log(s[i] / sum(s)) for s in sums] for i in range(n)]
 
 
-def posterior(priors: list[float], logs: list[list[float]]) -> Column:
-    """The posterior (array by domain) of a document with column counts."""
-    size = F.aggregate("counts", F.lit(0.0), lambda a, x: a + x)
-    scale = F.least(F.lit(1.0), F.lit(EVIDENCE) / F.greatest(size, F.lit(1.0)))
+def with_posterior(df: DataFrame, priors: list[float], logs: list[list[float]]) -> DataFrame:
+    """df with p, the posterior (array by domain) of a row with column counts."""
+    size = F.get("counts", F.lit(0))
+    for i in range(1, len(logs)):
+        size = size + F.get("counts", F.lit(i))
+    df = df.withColumn("scale", F.least(F.lit(1.0), F.lit(EVIDENCE) / F.greatest(size, F.lit(1.0))))
     scores = []
     for d, prior in enumerate(priors):
-        dot = F.aggregate(F.zip_with("counts", F.array(*(F.lit(x[d]) for x in logs)), lambda a, b: a * b), F.lit(0.0), lambda a, x: a + x)
-        scores.append(F.lit(prior) + scale * dot)
-    most = F.greatest(*scores) if len(scores) > 1 else scores[0]
-    exps = F.transform(F.array(*scores), lambda s: F.exp(s - most))
-    total = F.aggregate(exps, F.lit(0.0), lambda a, x: a + x)
-    flat = F.array(*(F.lit(DOUBT * math.exp(p)) for p in priors))
-    return F.zip_with(F.transform(exps, lambda e: e / total * (1 - DOUBT)), flat, lambda a, b: a + b)
+        score = F.lit(0.0)
+        for i, x in enumerate(logs):
+            score = score + F.get("counts", F.lit(i)) * x[d]
+        scores.append((F.col("scale") * score + prior).alias(f"d{d}"))
+    df = df.withColumn("scores", F.array(*scores)).withColumn("most", F.array_max("scores"))
+    df = df.withColumn("exps", F.array(*(F.exp(F.get("scores", F.lit(d)) - F.col("most")) for d in range(len(priors)))))
+    total = F.get("exps", F.lit(0))
+    for d in range(1, len(priors)):
+        total = total + F.get("exps", F.lit(d))
+    df = df.withColumn("total", total)
+    p = F.array(*(F.get("exps", F.lit(d)) / F.col("total") * (1 - DOUBT) + DOUBT * math.exp(q) for d, q in enumerate(priors)))
+    return df.withColumn("p", p).drop("scale", "scores", "most", "exps", "total", "counts")
 
 
 def dot(p: Column, g: Column, n: int) -> Column:
@@ -117,6 +124,26 @@ def fit_rates(df: DataFrame, domains: list[str], weights: dict[str, float] | Non
     return history, wanted, now
 
 
+def learn(docs: DataFrame, labels: DataFrame, domain: str, weights: dict[str, float] | None, floor: float):
+    """The function that gives rows with counts, n_tokens, doc_id and text_hash their p, domains, rate and copies; and those rows of docs."""
+    spark = docs.sparkSession
+    told = labels.filter("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id")).distinct()
+    slim = stored(measured(docs.select("doc_id", F.col(domain).alias("domain"), "text")).drop("text"), "letters")
+    domains, priors, logs = fit(slim.join(told, "doc_id", "left_semi"))
+    if not domains:
+        return lambda df, seed: df.drop("counts", "text_hash").withColumns({"p": F.array().cast("array<double>"), "domains": F.array().cast("array<string>"), "rate": F.lit(1.0), "copies": F.lit(1)}), slim
+    members = stored(with_posterior(slim.filter("n_tokens > 0").select("n_tokens", "counts"), priors, logs), "members")
+    history, _, _ = fit_rates(members, domains, weights, floor)
+
+    def rated(df: DataFrame, seed: int) -> DataFrame:
+        df = with_posterior(df, priors, logs).withColumn("domains", F.array(*(F.lit(d) for d in domains)))
+        df = df.withColumn("rate", rate(history, len(domains), floor))
+        u = (F.pmod(F.xxhash64("doc_id", "text_hash", F.lit(seed)), F.lit(1 << 40)) + 0.5) / float(1 << 40)
+        return df.withColumn("copies", (F.floor("rate") + F.when(u < F.col("rate") - F.floor("rate"), 1).otherwise(0)).cast("int")).drop("text_hash")
+
+    return rated, slim
+
+
 def mix(docs: DataFrame, labels: DataFrame, domain: str = "lang", weights: dict[str, float] | None = None, floor: float = 0.0, seed: int = 11) -> DataFrame:
     """docs (doc_id, text, the domain column, and others) with n_tokens, p, domains, rate and copies.
 
@@ -125,25 +152,14 @@ def mix(docs: DataFrame, labels: DataFrame, domain: str = "lang", weights: dict[
     down at random, by doc_id and text: its expectation is the rate. Without labelled documents every rate is 1.
     Null text: no tokens, the prior as posterior. weights: by domain (default: shares to the power TEMPER).
     """
-    spark = docs.sparkSession
-    told = labels.filter("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id")).distinct()
-    slim = stored(measured(docs.select("doc_id", F.col(domain).alias("domain"), "text")).drop("text"), "letters")
-    domains, priors, logs = fit(slim.join(told, "doc_id", "left_semi"))
-    df = measured(docs)
-    if not domains:
-        return df.drop("counts").withColumns({"p": F.array().cast("array<double>"), "domains": F.array().cast("array<string>"), "rate": F.lit(1.0), "copies": F.lit(1)})
-    p = posterior(priors, logs)
-    members = stored(slim.filter("n_tokens > 0").select("n_tokens", p.alias("p")).repartition(max(1, spark.sparkContext.defaultParallelism)), "members")
-    history, _, _ = fit_rates(members, domains, weights, floor)
-    df = df.withColumn("p", p).drop("counts").withColumn("domains", F.array(*(F.lit(d) for d in domains)))
-    df = df.withColumn("rate", rate(history, len(domains), floor))
-    u = (F.pmod(F.xxhash64("doc_id", F.coalesce(F.col("text"), F.lit("")), F.lit(seed)), F.lit(1 << 40)) + 0.5) / float(1 << 40)
-    return df.withColumn("copies", (F.floor("rate") + F.when(u < F.col("rate") - F.floor("rate"), 1).otherwise(0)).cast("int"))
+    rated, _ = learn(docs, labels, domain, weights, floor)
+    return rated(measured(docs), seed)
 
 
 def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The rate of every document in a mix of the corpus's size with lifted small languages."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select(F.col("doc_id").cast("long").alias("doc_id"), "lang", "text")
-    df = mix(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    rated, rows = learn(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"), "lang", None, 0.0)
+    df = rated(rows, 11)
     best = F.array_position("p", F.array_max("p")).cast("int") - 1
     return df.select("doc_id", "n_tokens", F.get("domains", best).alias("domain"), F.array_max("p").alias("membership"), "rate", "copies")
