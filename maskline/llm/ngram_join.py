@@ -35,7 +35,7 @@ MAX_FREQUENT = 1 << 17
 BLOCK = 1024
 FAN = 16
 #: Bits of a signature for each shingle, at least.
-BITS = 8
+BITS = 4
 #: Ids of documents that may be sent to all tasks (8 bytes each); more are joined by a shuffle.
 BROADCAST_IDS = 2_000_000
 #: Stands for a null doc_id in joins.
@@ -301,7 +301,11 @@ def each_group(batches: Iterator[pa.RecordBatch], key: str) -> Iterator[pa.Table
 
 def tree_pairs(groups: DataFrame, sets: DataFrame, percent: int, roots: DataFrame | None = None) -> DataFrame:
     """gid, a, b (a < b). Without roots each group's forest; with them (sid, root) all pairs of different roots."""
-    bits = sets.filter("bits is not null").groupBy("sid").agg(F.first("bits").alias("bits"))
+    need = stored(groups.select("sid").distinct(), "grouped")
+    bits = sets.filter("bits is not null").select("sid", "bits")
+    if need.count() <= BROADCAST_IDS:  # else the join below leaves out the others
+        bits = bits.join(F.broadcast(need), "sid", "left_semi")
+    bits = bits.groupBy("sid").agg(F.first("bits").alias("bits"))
     rows = groups.join(bits, "sid")
     rows = rows.withColumn("root", F.lit(0).cast("long")) if roots is None else rows.join(roots, "sid", "left").withColumn("root", F.coalesce("root", "sid"))
     rows = rows.select("gid", "side", "sid", "n", "root", "bits").repartition("gid").sortWithinPartitions("gid", "n", "sid")
