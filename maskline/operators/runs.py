@@ -110,12 +110,12 @@ def outage(message: S.ColumnLike = "message") -> Column:
 def outage_intervals(errors: DataFrame) -> DataFrame:
     """provider, ts, until, kind."""
     df = errors.withColumn("_o", outage())
-    return df.select("provider", "ts", F.timestamp_micros(F.unix_micros("ts") + (F.col("_o.seconds") * 1_000_000).cast("long")).alias("until"), F.col("_o.kind").alias("kind"))
+    return df.select("provider", "ts", (F.col("ts") + F.make_dt_interval(secs=F.col("_o.seconds").cast("decimal(18,6)"))).alias("until"), F.col("_o.kind").alias("kind"))
 
 
 def unavailable_calls(calls: DataFrame, outages: DataFrame) -> DataFrame:
     """calls (provider, ts) with unavailable: whether the latest earlier error's rest was still on (as-of, by one window)."""
-    both = calls.select("provider", "ts", F.lit(None).cast("timestamp").alias("until"), F.lit(1).alias("_call"), "call_id").unionByName(outages.select("provider", "ts", "until", F.lit(0).alias("_call"), F.lit(None).cast("long").alias("call_id")))
+    both = calls.select("provider", "ts", F.lit(None).cast(outages.schema["until"].dataType).alias("until"), F.lit(1).alias("_call"), "call_id").unionByName(outages.select("provider", "ts", "until", F.lit(0).alias("_call"), F.lit(None).cast("long").alias("call_id")))
     w = Window.partitionBy("provider").orderBy("ts", "_call").rowsBetween(Window.unboundedPreceding, 0)
     return both.withColumn("last", F.last("until", True).over(w)).filter("_call = 1").select("call_id", "provider", "ts", F.coalesce(F.col("ts") < F.col("last"), F.lit(False)).alias("unavailable"))
 
