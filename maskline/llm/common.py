@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from maskline.plans.session import ship
 
 #: Entries of a worker process's word cache: bounds its memory, not a result.
-CACHE_WORDS = 800_000
+CACHE_WORDS = 500_000
 
 
 def work_path(spark: SparkSession, name: str) -> str:
@@ -80,8 +80,9 @@ _caches: dict = {}
 
 
 def cached(kind: type, *args):
-    """One such cache a worker process: it outlives the task."""
+    """A worker process's cache: it outlives the task, until a task needs one of another kind."""
     if (key := (kind, *args)) not in _caches:
+        _caches.clear()
         _caches[key] = kind(*args)
     return _caches[key]
 
