@@ -51,7 +51,7 @@ class PieceCache(Recent):
         super().__init__()
         self.tokenizer, self.kind = Tokenizer.from_file(path), kind
 
-    def make_all(self, keys: list[bytes], together: int = 256) -> dict[bytes, bytes]:
+    def encoded(self, keys: list[bytes], together: int = 256) -> dict[bytes, bytes]:
         made = {}
         for lo in range(0, len(keys), together):
             part = keys[lo : lo + together]
@@ -66,15 +66,16 @@ class PieceCache(Recent):
 
     def encode(self, texts: list[bytes]) -> list[bytes]:
         """The ids of some texts. Only these texts' pieces must fit the cache, so give a few MB at a time."""
-        pieces = [t.lower().split() for t in texts]
+        pieces = [t.split() if b"<|" in t else t.lower().split() for t in texts]  # special tokens are told by their case
         new = set().union(*pieces) - self.keys()
         if self.old:
             for x in new & self.old.keys():
                 self[x] = self.old[x]
             new -= self.keys()
-        made, known = self.make_all(list(new)), self
+        made = self.encoded(list(new))
+        known = self
         if len(self) + len(made) > CACHE_WORDS // 2:
-            self.old, known = dict(self), self | made
+            self.old, known = dict(self), dict(self) | made
             self.clear()
         self.update(made)
         return [b"".join(map(known.__getitem__, p)) for p in pieces]
