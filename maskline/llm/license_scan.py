@@ -114,3 +114,26 @@ def scan(docs: DataFrame, phrases: dict[str, str] = PHRASES, templates: dict[str
 
 def op5_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan(spark.read.parquet(f"{sf_dir}/documents.parquet").select(F.col("doc_id").cast("long").alias("doc_id"), "text"))
+
+
+def _sql() -> str:
+    phrases = ", ".join(f"({p.split()}, '{label}')" for p, label in PHRASES.items())
+    templates = ", ".join(f"('{label}', {sorted(set(t.split()))}, {needed(len(set(t.split())))})" for label, texts in TEMPLATES.items() for t in texts)
+    return rf"""
+WITH t AS (SELECT row_number() OVER () AS r, doc_id, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS low FROM documents),
+w AS (SELECT r, doc_id, low, list_filter(regexp_split_to_array(low, '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '') AS words FROM t),
+p(phrase, label) AS (VALUES {phrases}),
+h AS (SELECT * FROM (SELECT r, label, len(phrase) AS k, phrase, words, unnest(range(len(words) - len(phrase) + 1)) AS i FROM w, p WHERE low LIKE '%' || phrase[1] || '%' AND len(words) >= len(phrase)) WHERE words[i + 1 : i + k] = phrase),
+b AS (SELECT r, count(*) AS n, min(i) AS first_word, max(i) AS last_word, list_distinct(list(label)) AS labels FROM h GROUP BY r),
+k AS (SELECT r, list_distinct(regexp_split_to_array(unnest(regexp_split_to_array(regexp_replace(low, '([.!?;])[\x20\x09-\x0D]+', '\1' || chr(10), 'g'), chr(10))), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+')) AS words FROM w),
+m(label, template, least) AS (VALUES {templates}),
+c AS (SELECT r, label, len(list_intersect(words, template)) AS n, len(template) AS size, least FROM k, m WHERE len(words) >= least),
+f AS (SELECT r, list_distinct(list(label)) AS labels, max(n / size) AS share FROM c WHERE n >= least GROUP BY r)
+SELECT doc_id, len(words) AS n_words, coalesce(b.n, 0)::BIGINT AS n_base, b.first_word, b.last_word, coalesce(array_to_string(list_sort(b.labels), ','), '') AS base_labels,
+       coalesce(array_to_string(list_sort(list_distinct(list_concat(coalesce(b.labels, []), coalesce(f.labels, [])))), ','), '') AS labels,
+       CASE WHEN b.n > 0 THEN 1.0 ELSE coalesce(share, 0) END::DOUBLE AS score
+FROM w LEFT JOIN b USING (r) LEFT JOIN f USING (r)
+"""
+
+
+OP5_SQL = _sql()

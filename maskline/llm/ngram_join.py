@@ -429,3 +429,19 @@ def without(docs: DataFrame, keys: DataFrame) -> DataFrame:
 def op1_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's component of the 4-word shingle Jaccard join at 0.85."""
     return linked(id_text(spark.read.parquet(f"{sf_dir}/documents.parquet"))).select("doc_id", "n_shingles", "component_id")
+
+
+OP1_SQL = r"""
+WITH RECURSIVE w AS (
+  SELECT row_number() OVER () AS r, doc_id, list_filter(regexp_split_to_array(
+    translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS words
+  FROM documents),
+s AS (SELECT DISTINCT r, unnest(CASE WHEN len(words) >= 4 THEN list_transform(range(len(words) - 3), lambda i: array_to_string(words[i + 1 : i + 4], ' '))
+                                     WHEN len(words) > 0 THEN [array_to_string(words, ' ')] ELSE [] END) AS g FROM w),
+n AS (SELECT r, count(*) AS n FROM s GROUP BY r),
+p AS (SELECT a.r AS x, b.r AS y, count(*) AS c FROM s a JOIN s b USING (g) WHERE a.r <> b.r GROUP BY ALL),
+e AS (SELECT x, y FROM p JOIN n a ON a.r = x JOIN n b ON b.r = y WHERE 100 * c >= 85 * (a.n + b.n - c)),
+reach(r, root) AS (SELECT r, r FROM w UNION SELECT e.y, reach.root FROM reach JOIN e ON e.x = reach.r)
+SELECT w.doc_id, coalesce(any_value(n.n), 0)::BIGINT AS n_shingles, min(o.doc_id) AS component_id
+FROM reach JOIN w ON w.r = reach.r JOIN w o ON o.r = reach.root LEFT JOIN n ON n.r = w.r GROUP BY w.r, w.doc_id
+"""

@@ -17,4 +17,4 @@ QUERIES = {
     "op10_language_id": language_id.op10_language_id,
 }
 
-ORACLES: dict[str, str] = {"op9_quality_rules": quality_rules.OP9_SQL}
+ORACLES: dict[str, str] = {"op1_ngram_join": ngram_join.OP1_SQL, "op5_license_scan": license_scan.OP5_SQL, "op9_quality_rules": quality_rules.OP9_SQL}
