@@ -13,10 +13,6 @@ from pyspark.sql import functions as F
 
 from maskline.plans.session import ship
 
-#: Entries of a worker process's word cache: bounds its memory, not a result.
-CACHE_WORDS = 500_000
-
-
 def work_path(spark: SparkSession, name: str) -> str:
     """A new path for a work table in the folder that the cluster shares (spark.checkpoint.dir)."""
     base = spark.conf.get("spark.checkpoint.dir", None)
@@ -49,6 +45,9 @@ def as_bytes(df: DataFrame) -> DataFrame:
 class Recent(dict):
     """A bounded cache: what hasn't been used while half a cache of new keys came is forgotten."""
 
+    #: Entries of a worker process's cache: bounds its memory, not a result.
+    size = 200_000
+
     def __init__(self) -> None:
         self.old: dict = {}
 
@@ -56,7 +55,7 @@ class Recent(dict):
         raise NotImplementedError
 
     def keep(self, key: bytes, value) -> None:
-        if len(self) >= CACHE_WORDS // 2:
+        if len(self) >= self.size // 2:
             self.old = dict(self)
             self.clear()
         self[key] = value

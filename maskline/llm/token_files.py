@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import CACHE_WORDS, Recent, as_bytes, cached, chunks, id_text, work_path
+from .common import Recent, as_bytes, cached, chunks, id_text, work_path
 
 END_ID = 2
 TOKENIZER = "word_bpe_49k.json"
@@ -45,6 +45,8 @@ class PieceCache(Recent):
     order. New pieces are encoded some at a time, as one text; each id's offset tells the piece that it is of.
     """
 
+    size = 400_000
+
     def __init__(self, path: str, kind: str):
         from tokenizers import Tokenizer
 
@@ -74,7 +76,7 @@ class PieceCache(Recent):
             new -= self.keys()
         made = self.encoded(list(new))
         known = self
-        if len(self) + len(made) > CACHE_WORDS // 2:
+        if len(self) + len(made) > self.size // 2:
             self.old, known = dict(self), dict(self) | made
             self.clear()
         self.update(made)
