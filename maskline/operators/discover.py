@@ -35,7 +35,7 @@ def places(text: Column, p: P.Pattern, rank: int, least: int) -> Column:
         return F.struct(F.lit(rank).alias("rank"), F.lit(p.kind).alias("kind"), F.lit(p.token).alias("token"), F.lit(p.category).alias("category"), h["value"].alias("value"), (h["at"] + offset).cast("int").alias("start"), F.length(h["value"]).alias("length"))
 
     found = F.filter(F.transform(hits, finding), lambda f: F.length(f["value"]) >= least)
-    return F.when(text.rlike(p.java), found).otherwise(F.array().cast(f"array<{FINDING}>"))
+    return F.when(text.rlike(p.hint), found).otherwise(F.array().cast(f"array<{FINDING}>"))
 
 
 def first_claims(found: Column) -> Column:

@@ -22,4 +22,7 @@ def ship(spark: SparkSession) -> None:
         for f in sorted(top.rglob("*.py")):
             z.write(f, f"maskline/{f.relative_to(top)}")
     context.addPyFile(str(path))
+    batch = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if spark.conf.get(batch) == "10000":  # the default; documents are long rows, and a batch is held several times over
+        spark.conf.set(batch, "1000")
     _shipped.add(context.applicationId)
