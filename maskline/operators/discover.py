@@ -19,9 +19,11 @@ def places(text: Column, p: P.Pattern, rank: int, least: int) -> Column:
     """
     whole = F.regexp_extract_all(text, F.lit(p.java), F.lit(0))
     values = F.regexp_extract_all(text, F.lit(p.java), F.lit(p.group)) if p.group else whole
-    rows = F.arrays_zip(whole.alias("hit"), values.alias("value"), F.slice(F.split(text, p.java, -1), F.lit(1), F.size(whole)).alias("piece"))
+    pieces = F.split(text, p.java, -1).alias("piece")  # one more than hits: the last row has no hit
+    rows = F.arrays_zip(whole.alias("hit"), values.alias("value"), pieces) if p.group else F.arrays_zip(whole.alias("hit"), pieces)
     empty = F.array().cast("array<struct<at:int,hit:string,value:string>>")
-    rows = F.transform(rows, lambda r: F.struct(r["hit"].alias("hit"), r["value"].alias("value"), r["piece"].alias("piece")))
+    rows = F.transform(rows, lambda r: F.struct(r["hit"].alias("hit"), (r["value"] if p.group else r["hit"]).alias("value"), r["piece"].alias("piece")))
+    rows = F.filter(rows, lambda r: r["hit"].isNotNull())
 
     def step(acc: Column, r: Column) -> Column:
         at = acc["end"] + F.length(r["piece"])
@@ -58,7 +60,8 @@ def with_findings(df: DataFrame, text: str, patterns: list[P.Pattern], least: in
 
 
 def exploded(df: DataFrame, keys: list[str], col: str = "findings") -> DataFrame:
-    return df.select(*keys, F.inline(col))
+    # the outer form: for the inner one the optimizer adds a filter on the array's size, which computes the array again
+    return df.select(*keys, F.inline_outer(col)).filter("kind is not null")
 
 
 def screen_guard(f: Column) -> Column:
@@ -79,7 +82,7 @@ def scan_pii(df: DataFrame, keys: list[str], text: str = "text") -> DataFrame:
     """
     df = with_findings(df, text, P.SCREEN, 4, normalize=True)
     df = df.withColumn("findings", F.filter("findings", screen_guard)).withColumn("findings", first_claims(F.col("findings")))
-    return df.select(*keys, F.col(text).alias("_text"), F.inline("findings")).select(*keys, "rank", "kind", F.substr("_text", F.col("start") + 1, F.col("length")).alias("value"), "start", "length")
+    return df.select(*keys, F.col(text).alias("_text"), F.inline_outer("findings")).filter("kind is not null").select(*keys, "rank", "kind", F.substr("_text", F.col("start") + 1, F.col("length")).alias("value"), "start", "length")
 
 
 def scan_secrets(df: DataFrame, keys: list[str], text: str = "text") -> DataFrame:

@@ -69,7 +69,7 @@ def scrub_in_scope(df: DataFrame, scope: str, order: str, text: str = "text", kn
 
     A scope is as large as one conversation or file; its values are gathered for its rows, not its texts.
     """
-    found = detected(df.select(scope, order, text), text).select(scope, order, F.inline("findings"))
+    found = detected(df.select(scope, order, text), text).select(scope, order, F.inline_outer("findings")).filter("kind is not null")
     found = found.select(scope, "token", "value", F.struct(order, "rank", "start").alias("ord"))
     tokens = numbered(found, [scope], known)
     pairs = tokens.groupBy(scope).agg(F.array_sort(F.collect_list(F.struct((-F.length("value")).alias("n"), "token", "value"))).alias("_pairs"))
@@ -91,7 +91,7 @@ def unmask(df: DataFrame, key: str, text: str, tokens: DataFrame) -> DataFrame:
 def redact_documents(df: DataFrame, key: str = "doc_id", text: str = "text") -> tuple[DataFrame, DataFrame]:
     """(clean rows with counts, token table) of a corpus."""
     out = scrub(df, key, text)
-    return out.drop("tokens"), out.select(key, F.inline("tokens"))
+    return out.drop("tokens"), out.select(key, F.inline_outer("tokens")).filter("token is not null")
 
 
 def semantic_view(elements: DataFrame) -> DataFrame:

@@ -145,7 +145,7 @@ def token_table(spark, d):
 def scrub_round_trip(spark, d):
     """Scrubbed and restored: the text as it was."""
     out = redact.scrub(planted(spark, d), "doc_id")
-    return redact.unmask(out.select("doc_id", F.col("clean_text").alias("text")), "doc_id", "text", out.select("doc_id", F.inline("tokens")))
+    return redact.unmask(out.select("doc_id", F.col("clean_text").alias("text")), "doc_id", "text", out.select("doc_id", F.inline_outer("tokens")).filter("token is not null"))
 
 
 def planted_turns(spark: SparkSession, d: str) -> DataFrame:
