@@ -17,6 +17,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from maskline.plans.session import ship
 
@@ -94,20 +95,22 @@ def fit(docs: DataFrame) -> np.ndarray:
     return np.log((target + PRIOR) / (raw / raw.sum() * target.sum() + PRIOR))
 
 
-def weight(spark: SparkSession, ratios: np.ndarray):
-    """The log importance weight of column text: the mean of the four kinds of feature, summed over the text."""
-    sent = spark.sparkContext.broadcast(ratios)
+def weigh(docs: DataFrame, ratios: np.ndarray) -> DataFrame:
+    """docs (text and columns to keep) with log_weight in place of text: the mean of the four kinds of feature, summed over the text."""
+    sent = docs.sparkSession.sparkContext.broadcast(ratios)
+    kept = [c for c in docs.columns if c != "text"]
 
-    @F.arrow_udf("double")
-    def log_weight(texts: pa.Array) -> pa.Array:
-        ratios, cache, texts = sent.value, cached(TokenHashes), texts.to_pylist()
-        out = np.zeros(len(texts))
-        for lo, hi in chunks(texts, 1 << 20):
-            bucket, own = features(texts[lo:hi], cache)
-            out[lo:hi] = np.bincount(own, ratios[bucket.astype(np.int64)], hi - lo) / 4
-        return pa.array(out)
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ratios, cache = sent.value, cached(TokenHashes)
+        for b in batches:
+            texts, out = b["text"].to_pylist(), np.zeros(len(b))
+            for lo, hi in chunks(texts, 1 << 20):
+                bucket, own = features(texts[lo:hi], cache)
+                out[lo:hi] = np.bincount(own, ratios[bucket.astype(np.int64)], hi - lo) / 4
+            yield pa.RecordBatch.from_arrays([*(b[c] for c in kept), pa.array(out)], [*kept, "log_weight"])
 
-    return log_weight(F.coalesce(F.col("text"), F.lit("")).cast("binary"))
+    schema = T.StructType([*(f for f in docs.schema if f.name != "text"), T.StructField("log_weight", T.DoubleType())])
+    return as_bytes(docs).select(*kept, "text").mapInArrow(each, schema)
 
 
 def gumbel(seed: int = SEED):
@@ -157,7 +160,7 @@ def share_to_keep(scored: DataFrame) -> float | None:
 
 
 def draw(docs: DataFrame, labels: DataFrame, most: int = LABELLED, seed: int = SEED):
-    """Fits and draws: the columns log_weight and noisy (of rows with doc_id, text), the last row drawn, and all rows scored.
+    """Fits and draws: the ratios, the last row drawn, and all rows scored (doc_id, good, log_weight, noisy).
 
     The target model is fitted on one half of the labelled documents, the number k to draw on the other half. Without
     labels all are drawn. Null or empty text: weight 0. Rows with the same doc_id and text are drawn or left together.
@@ -166,26 +169,25 @@ def draw(docs: DataFrame, labels: DataFrame, most: int = LABELLED, seed: int = S
     told = F.broadcast(labelled(labels, most))  # at most `most` rows
     docs = docs.select("doc_id", "text").join(told, F.col("doc_id") == told["its_doc"], "left").drop("its_doc")
     half = F.pmod(F.xxhash64("doc_id", F.lit(1)), F.lit(2)) == 0
-    log_weight = weight(docs.sparkSession, fit(docs.withColumn("good", F.when(half, F.col("good")))))
-    noisy = F.col("log_weight") + gumbel(seed)
-    scored = docs.select("doc_id", F.when(~half, F.col("good")).alias("good"), log_weight.alias("log_weight"))
-    scored = stored(scored.withColumn("noisy", noisy), "weights")
+    ratios = fit(docs.withColumn("good", F.when(half, F.col("good"))))
+    scored = weigh(docs.select("doc_id", F.when(~half, F.col("good")).alias("good"), "text"), ratios)
+    scored = stored(scored.withColumn("noisy", F.col("log_weight") + gumbel(seed)), "weights")
     least = share_to_keep(scored)
     k = scored.count() if least is None else scored.filter(F.col("noisy") >= least).count()
-    return log_weight, noisy, last_of_k(scored, k), scored
+    return ratios, last_of_k(scored, k), scored
 
 
 def select(docs: DataFrame, labels: DataFrame, most: int = LABELLED, seed: int = SEED) -> DataFrame:
     """docs (doc_id, text) -> doc_id, log_weight, noisy, kept: see draw()."""
-    _, _, last, scored = draw(docs, labels, most, seed)
+    _, last, scored = draw(docs, labels, most, seed)
     return scored.select("doc_id", "log_weight", "noisy", among(last).alias("kept"))
 
 
 def drawn(docs: DataFrame, labels: DataFrame, most: int = LABELLED, seed: int = SEED) -> DataFrame:
     """The rows of docs that are drawn, with all their columns, whatever their names."""
     rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("whole"), F.col("doc_id").cast("long").alias("doc_id"), "text")
-    log_weight, noisy, last, _ = draw(rows, labels, most, seed)
-    return rows.withColumn("log_weight", log_weight).withColumn("noisy", noisy).filter(among(last)).select("whole.*")
+    ratios, last, _ = draw(rows, labels, most, seed)
+    return weigh(rows, ratios).withColumn("noisy", F.col("log_weight") + gumbel(seed)).filter(among(last)).select("whole.*")
 
 
 def op7_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
