@@ -11,6 +11,9 @@ from pyspark.sql import functions as F
 from maskline.llm import decontamination, importance, mixing, ngram_join, token_files
 from maskline.llm.common import id_text, stored
 
+#: Near duplicates of the corpus: similarity in percent, and words of a shingle (op1_ngram_join has its own).
+NEAR_PERCENT, NEAR_WORDS = 80, 5
+
 
 def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality classifier rejects go."""
@@ -19,7 +22,7 @@ def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def keep_one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near duplicates stays."""
-    return ngram_join.one_of_each(docs)
+    return ngram_join.one_of_each(docs, percent=NEAR_PERCENT, size=NEAR_WORDS)
 
 
 def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -46,6 +46,14 @@ def test_join_stage_against_brute_force(spark):
     assert sorted(r["doc_id"] for r in corpus_pipeline.keep_one_of_each(spark, docs, SF).collect()) == want
 
 
+def test_join_stage_takes_five_words_and_eighty_percent(spark):
+    """Two of 100 words changed: 86 / 106 of the 5-word shingles, only 89 / 105 of the 4-word ones. A third change leaves 81 / 111."""
+    words = [f"w{i}" for i in range(100)]
+    texts = [" ".join(f"x{i}" if i in odd else w for i, w in enumerate(words)) for odd in ((), (30, 60), (20, 50, 80))]
+    docs = spark.createDataFrame([(i, t, "en", "s", 1) for i, t in enumerate(texts)], "doc_id long, text string, lang string, source string, n_chars long")
+    assert sorted(r["doc_id"] for r in corpus_pipeline.keep_one_of_each(spark, docs, SF).collect()) == [0, 2]
+
+
 def test_stages_take_empty_documents(spark, tmp_path):
     docs = spark.read.parquet(f"{SF}/documents.parquet").filter("false")
     for _, stage in corpus_pipeline.STAGES:
