@@ -1,14 +1,21 @@
 """License scans: an exact set-similarity join between the blocks of a text and license templates.
 
-Only DataFrame functions. A block is a line or sentence. A block meets a template if it holds at least THRESHOLD of the
-template's different words. Words are ordered by how many blocks of the corpus hold them, rarest first; a block that
+Only DataFrame functions. A block is a line, a sentence, or, so that notices may wrap and hold several sentences, a window
+over the words of the whole text: twice as wide as the template, a new one every template's width, so that each stretch of
+a template's width lies in one. A block meets a template if it holds at least THRESHOLD of the template's different words,
+its version number (words of digits) among them. Windows are made for the templates that the text as a whole meets.
+
+Lines and sentences are joined by filters. Words are ordered by how many blocks of the corpus hold them, rarest first; a block that
 meets a template of n words holds one of the template's first n - ceil(THRESHOLD * n) + 1 words (prefix filter), has at
 least ceil(THRESHOLD * n) words of templates (length filter), and enough of them after the shared word (positional filter).
 """
 
 from __future__ import annotations
 
+import functools
 import math
+import operator
+import re
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -39,19 +46,47 @@ def needed(n: int, threshold: float = THRESHOLD) -> int:
     return math.ceil(threshold * n - 1e-9)
 
 
-def scan_blocks(docs: DataFrame, vocabulary: list[str]) -> DataFrame:
-    """docs with n_words, flat (two blanks between words; only where a phrase may stand) and blocks: each one's different template words."""
+def numbered(templates: dict[str, list[str]]) -> list[tuple[int, tuple[str, list[str]]]]:
+    """Each template's number, and its label and words."""
+    return list(enumerate((label, t.split()) for label, texts in templates.items() for t in texts))
+
+
+def versions(words: list[str]) -> list[str]:
+    return sorted({w for w in words if w.isdigit()})
+
+
+def may_hold(phrases: dict[str, str]) -> Column:
+    """Whether a phrase may stand in column lines: by its longest word, or all of it if its words are short."""
+    longest = [(max(p.split(), key=len), p) for p in phrases]
+    hints = [F.contains("lines", F.lit(w)) for w in sorted({w for w, _ in longest if len(w) > 4})]
+    hints += [F.col("lines").rlike(r"\s+".join(re.escape(w) for w in p.split())) for word, p in longest if len(word) <= 4]
+    return functools.reduce(operator.or_, hints)
+
+
+def scan_blocks(docs: DataFrame, templates: dict[str, list[str]], phrases: dict[str, str], threshold: float) -> DataFrame:
+    """docs with n_words, flat (two blanks between words; only where a phrase may stand), blocks (each line's and sentence's
+    different template words), met (numbers of the templates that the whole text meets) and, where there are some, places:
+    where the text's template words stand."""
+    vocabulary = sorted({w for texts in templates.values() for t in texts for w in t.split()})
     kept = [c for c in docs.columns if c != "text"]
     # U+212A is the one letter beyond ASCII whose lower case is an ASCII letter; here it stays beyond
     low = F.lower(F.replace(F.coalesce("text", F.lit("")), F.lit("\u212a"), F.lit("\ue000")))
     flat = F.regexp_replace(F.regexp_replace(low, r"(?<=[.!?;])[\x20\x09-\x0D]+", "\n"), r"[\x00-\x09\x0B-\x2F\x3A-\x60\x7B-\x7F]+", " ")
     df = docs.select(*kept, flat.alias("lines"))
     words = F.transform(F.split("lines", "\n"), lambda b: F.array_remove(F.split(b, " "), ""))
-    df = df.select(*kept, words.alias("words"), F.when(F.col("lines").rlike("license") | F.col("lines").rlike(r"cc\s+by\s+nc"), F.col("lines")).alias("lines"))
+    df = df.select(*kept, words.alias("words"), F.when(may_hold(phrases), F.col("lines")).alias("lines"))
     n_words = F.aggregate("words", F.lit(0).cast("long"), lambda a, b: a + F.size(b))
     blocks = F.filter(F.transform("words", lambda b: F.array_distinct(F.filter(b, lambda w: w.isin(vocabulary)))), lambda b: F.size(b) > 0)
     joined = F.concat(F.lit(" "), F.array_join(F.flatten("words"), "  "), F.lit(" "))
-    return df.select(*kept, n_words.alias("n_words"), F.when(F.col("lines").isNotNull(), joined).alias("flat"), blocks.alias("blocks"))
+    df = df.select(*kept, "words", n_words.alias("n_words"), F.when(F.col("lines").isNotNull(), joined).alias("flat"), blocks.alias("blocks"))
+    df = df.withColumn("all", F.array_distinct(F.flatten("blocks")))
+    met = []
+    for i, (_, words) in numbered(templates):
+        words = sorted(set(words))
+        met.append(F.when(F.size(F.array_intersect("all", F.array(*(F.lit(w) for w in words)))) >= needed(len(words), threshold), F.lit(i)))
+    df = df.withColumn("met", F.array_compact(F.array(*met)))
+    places = F.filter(F.transform(F.flatten("words"), lambda w, i: F.struct(i.alias("at"), w.alias("word"))), lambda p: p["word"].isin(vocabulary))
+    return df.select(*kept, "n_words", "flat", "blocks", "met", F.when(F.size("met") > 0, places).alias("places"))
 
 
 def phrase_columns(df: DataFrame, phrases: dict[str, str]) -> DataFrame:
@@ -72,7 +107,7 @@ def phrase_columns(df: DataFrame, phrases: dict[str, str]) -> DataFrame:
 
 
 def template_hits(df: DataFrame, key: str, templates: dict[str, list[str]], threshold: float) -> DataFrame:
-    """key, label, share: the best containment for each label that a block of the row meets."""
+    """key, label, share: the best containment for each label that a line or sentence of the row meets."""
     spark = df.sparkSession
     blocks = df.select(key, F.posexplode("blocks").alias("block", "words"))
     rank = blocks.select(F.explode("words").alias("word")).groupBy("word").count().collect()  # as many rows as the templates have words
@@ -82,8 +117,8 @@ def template_hits(df: DataFrame, key: str, templates: dict[str, list[str]], thre
         for text in texts:
             words = sorted(set(text.split()), key=lambda w: (seen.get(w, 0), w))
             least = needed(len(words), threshold)
-            rows += [(w, i, label, words, least) for i, w in enumerate(words[: len(words) - least + 1])]
-    prefixes = F.broadcast(spark.createDataFrame(rows, "word string, at int, label string, template array<string>, least int"))  # bounded by the templates
+            rows += [(w, i, label, words, least, versions(words)) for i, w in enumerate(words[: len(words) - least + 1])]
+    prefixes = F.broadcast(spark.createDataFrame(rows, "word string, at int, label string, template array<string>, least int, version array<string>"))  # bounded by the templates
     order = F.create_map(*(x for i, w in enumerate(sorted({w for r in rows for w in r[3]}, key=lambda w: (seen.get(w, 0), w))) for x in (F.lit(w), F.lit(i))))
     smallest = min(r[4] for r in rows)
     blocks = blocks.filter(F.size("words") >= smallest)
@@ -92,21 +127,33 @@ def template_hits(df: DataFrame, key: str, templates: dict[str, list[str]], thre
     rest = F.least(F.size("template") - F.col("at"), F.size("words") - F.col("own"))
     pairs = pairs.filter((F.size("words") >= F.col("least")) & (rest + F.least("at", "own") >= F.col("least")))
     shared = F.size(F.array_intersect("words", "template"))
-    pairs = pairs.filter(shared >= F.col("least")).select(key, "label", (shared / F.size("template")).alias("share"))
+    pairs = pairs.filter((shared >= F.col("least")) & (F.size(F.array_except("version", "words")) == 0)).select(key, "label", (shared / F.size("template")).alias("share"))
     return pairs.groupBy(key, "label").agg(F.max("share").alias("share"))
 
 
+def window_hits(df: DataFrame, key: str, templates: dict[str, list[str]], threshold: float) -> DataFrame:
+    """key, label, share: the best containment for each label that a window of the row meets."""
+    rows = [(w, i, label, len(words), len(set(words)), needed(len(set(words)), threshold), versions(words)) for i, (label, words) in numbered(templates) for w in sorted(set(words))]
+    told = F.broadcast(df.sparkSession.createDataFrame(rows, "word string, number int, label string, width int, size int, least int, version array<string>"))  # bounded by the templates
+    at = df.filter("places is not null").select(key, "met", F.inline("places")).join(told, "word").filter(F.array_contains("met", F.col("number")))
+    own = F.floor(F.col("at") / F.col("width"))
+    at = at.select(key, "word", "number", "label", "size", "least", "version", F.explode(F.array(own - 1, own)).alias("window"))
+    met = at.groupBy(key, "number", "window").agg(F.first("label").alias("label"), F.first("size").alias("size"), F.first("least").alias("least"), F.first("version").alias("version"), F.collect_set("word").alias("words"))
+    met = met.filter((F.size("words") >= F.col("least")) & (F.size(F.array_except("version", "words")) == 0))
+    return met.groupBy(key, "label").agg(F.max(F.size("words") / F.col("size")).alias("share"))
+
+
 def scan(docs: DataFrame, phrases: dict[str, str] = PHRASES, templates: dict[str, list[str]] = TEMPLATES, threshold: float = THRESHOLD) -> DataFrame:
     """docs (doc_id, text) -> doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score.
 
     Null, empty or wordless text: 0 words, labels '', score 0. score is the largest share of a template that a block
     holds, 1 where a phrase stands. Rows with the same doc_id are scanned one by one.
     """
-    vocabulary = sorted({w for texts in templates.values() for t in texts for w in t.split()})
-    df = phrase_columns(scan_blocks(docs.select("doc_id", "text"), vocabulary), phrases).drop("flat")
+    df = phrase_columns(scan_blocks(docs.select("doc_id", "text"), templates, phrases, threshold), phrases).drop("flat")
     df = stored(df.withColumn("row", F.monotonically_increasing_id()), "blocks")
-    hits = template_hits(df, "row", templates, threshold).groupBy("row").agg(F.collect_set("label").alias("more"), F.max("share").alias("share"))
-    df = df.drop("blocks").join(hits, "row", "left")
+    hits = template_hits(df, "row", templates, threshold).unionByName(window_hits(df, "row", templates, threshold))
+    hits = hits.groupBy("row").agg(F.collect_set("label").alias("more"), F.max("share").alias("share"))
+    df = df.drop("blocks", "met", "places").join(hits, "row", "left")
     labels = F.array_sort(F.array_union("base", F.coalesce("more", F.array().cast("array<string>"))))
     score = F.when(F.col("n_base") > 0, 1.0).otherwise(F.coalesce("share", F.lit(0.0)))
     return df.select("doc_id", "n_words", "n_base", "first_word", "last_word", F.array_join("base", ",").alias("base_labels"), F.array_join(labels, ",").alias("labels"), score.alias("score"))

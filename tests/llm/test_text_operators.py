@@ -41,6 +41,51 @@ def test_license_scan(spark):
     assert "gpl-3" in got[11]["labels"]
 
 
+NOTICES = {
+    "apache-2": """Licensed under the Apache License, Version 2.0 (the "License");
+you may not use this file except in compliance with the License.
+You may obtain a copy of the License at
+
+    http://www.apache.org/licenses/LICENSE-2.0
+
+Unless required by applicable law or agreed to in writing, software
+distributed under the License is distributed on an "AS IS" BASIS,""",
+    "mit": """Permission is hereby granted, free of charge, to any person obtaining a copy
+of this software and associated documentation files (the "Software"), to deal
+in the Software without restriction, including without limitation the rights""",
+    "gpl-3": """ * This program is free software: you can redistribute it and/or modify
+ * it under the terms of the GNU General Public License as published by
+ * the Free Software Foundation, either version 3 of the License, or
+ * (at your option) any later version.""",
+    "gpl-2": """This program is free software; you can redistribute it and/or
+modify it under the terms of the GNU General Public License
+as published by the Free Software Foundation; either version 2
+of the License, or (at your option) any later version.""",
+    "bsd": """Redistribution and use in source and binary forms, with or without
+modification, are permitted provided that the following conditions are met:
+
+1. Redistributions of source code must retain the above copyright notice""",
+}
+
+
+def test_published_notices_as_they_wrap(spark):
+    """Wherever they begin, with other words before; without phrases, so that templates alone give the label."""
+    rows = [(f"{label} {n}", "word " * n + text) for label, text in NOTICES.items() for n in (0, 7, 40, 1001)]
+    docs = spark.createDataFrame(rows, "doc_id string, text string")
+    got = {r["doc_id"]: (r["labels"], r["score"]) for r in license_scan.scan(docs, {"zzz": "none"}).collect()}
+    for name, (labels, score) in got.items():
+        assert labels == name.split()[0] and score >= 0.9, name
+    whole = "GNU General Public License as published by the Free Software Foundation, either version 3 of the License"
+    (r,) = license_scan.scan(spark.createDataFrame([("1", whole)], "doc_id string, text string")).collect()
+    assert r["labels"] == "gpl-3"
+
+
+def test_phrases_of_any_words(spark):
+    docs = spark.createDataFrame([(1, "Gives it to the Public Domain!"), (2, "a b c"), (3, "public")], "doc_id long, text string")
+    got = license_scan.scan(docs, {"public domain": "pd", "b c": "bc"}).collect()
+    assert {r["doc_id"]: r["base_labels"] for r in got} == {1: "pd", 2: "bc", 3: ""}
+
+
 def test_quality_measures(spark):
     got = {r["doc_id"]: r for r in quality_rules.judge(table(spark)).collect()}
     for i, t in enumerate(TEXTS):
