@@ -5,6 +5,11 @@ follow from them. Each text is scored by the code length that the trie gives its
 
 A context's symbols are also symbols of its suffix, so what is excluded after an escape depends on the context that
 was left alone; denominators after an escape are therefore stored with that context, and scoring is table look-up.
+
+Every task holds the trie while the corpus has at most MAX_RUNS different runs. Beyond that it holds the final logarithms
+of the frequent runs alone; the texts' other runs go to the part of the trie that they need, which is that of their last
+SHARD context bytes (contexts of lower orders are few and go to all parts), and their logarithms are joined to the texts.
+All counts are used either way: the bound decides where a run is looked up, not what it costs.
 """
 
 from __future__ import annotations
@@ -23,8 +28,10 @@ ORDER = 5
 #: UTF-8 has neither byte: START stands before a text, END is coded after it.
 START, END = 0xFF, 0xFE
 SYMBOLS = 255
-#: Bound on the trie: runs of ORDER + 1 bytes that it keeps (24 bytes each at the tasks).
+#: Runs of ORDER + 1 bytes that every task holds (24 bytes each); beyond, the rarer ones are looked up by a shuffle.
 MAX_RUNS = 4_000_000
+#: Context bytes that parts of the trie share: lower orders have at most 2^16 runs.
+SHARD = 2
 #: Words whose counts every task holds (16 bytes each); the others' counts are joined.
 FREQUENT = 1 << 18
 #: Bytes that are scored together.
@@ -68,16 +75,18 @@ def count_corpus(docs: DataFrame) -> DataFrame:
 
 class Trie:
     """Tables by order: sorted runs with the logarithm of their counts; sorted contexts with the logarithms of
-    denominator and escape, when entered first and when their suffix is entered from them."""
+    denominator and escape, when entered first and when their suffix is entered from them. With base (runs of SHARD bytes
+    of the whole corpus, and their counts) the codes are those of a part, and orders below SHARD come from base."""
 
-    def __init__(self, codes: np.ndarray, counts: np.ndarray):
+    def __init__(self, codes: np.ndarray, counts: np.ndarray, base: tuple[np.ndarray, np.ndarray] | None = None):
         order = np.argsort(codes)
         codes, counts = codes[order], counts[order]
         self.runs, self.run_log, self.contexts, self.enter, self.escape, self.next_enter, self.next_escape = ([None] * (ORDER + 1) for _ in range(7))
         lower = None
         for k in range(ORDER + 1):
-            runs, at = np.unique(codes & ((1 << 8 * (k + 1)) - 1), return_inverse=True)
-            n = np.bincount(at, counts, len(runs)) if len(runs) else np.empty(0)
+            told, seen = base if base is not None and k < SHARD else (codes, counts)
+            runs, at = np.unique(told & ((1 << 8 * (k + 1)) - 1), return_inverse=True)
+            n = np.bincount(at, seen, len(runs)) if len(runs) else np.empty(0)
             contexts, own = np.unique(runs >> 8, return_inverse=True)
             total, kinds = np.bincount(own, n, len(contexts)), np.bincount(own, minlength=len(contexts)).astype(float)
             # method D: a symbol seen c of T times has (2c - 1) / 2T, the escape from q symbols q / 2T
@@ -105,12 +114,9 @@ class Trie:
             else:
                 going = todo
             come = left[going]
-            first = come < 0
-            if k < ORDER:
-                enter = np.where(first, self.enter[k][at], self.next_enter[k + 1][come])
-                escape = np.where(first, self.escape[k][at], self.next_escape[k + 1][come])
-            else:
-                enter, escape = self.enter[k][at], self.escape[k][at]
+            enter, escape, after = self.enter[k][at], self.escape[k][at], come >= 0
+            if after.any():
+                enter[after], escape[after] = self.next_enter[k + 1][come[after]], self.next_escape[k + 1][come[after]]
             run, hit = find(self.runs[k], runs)
             out[going[hit]] += self.run_log[k][run[hit]] - enter[hit]
             miss = ~hit
@@ -146,9 +152,50 @@ def text_scores(trie: Trie, texts: list[bytes]) -> np.ndarray:
     return out
 
 
-def learn(counts: DataFrame, max_runs: int = MAX_RUNS) -> Trie:
-    runs = bounded(counts.filter("kind = 0").select("code", "n"), max_runs).toArrow()
-    return Trie(runs["code"].to_numpy(), runs["n"].to_numpy())
+def head_scores(head: tuple[np.ndarray, np.ndarray], texts: list[bytes]) -> tuple[np.ndarray, list, list]:
+    """log10 of what the head holds of each text; each text's other runs and how often they come (None: no others)."""
+    out, codes_of, counts_of = np.zeros(len(texts)), [None] * len(texts), [None] * len(texts)
+    for lo, hi in chunks(texts, CHUNK):
+        codes, text = run_codes(texts[lo:hi])
+        keys, n = np.unique(codes | text << 8 * (ORDER + 1), return_counts=True)
+        text, keys = keys >> 8 * (ORDER + 1), keys & ((1 << 8 * (ORDER + 1)) - 1)
+        at, hit = find(head[0], keys)
+        out[lo:hi] = np.bincount(text[hit], head[1][at[hit]] * n[hit], hi - lo)
+        text, keys, n = text[~hit], keys[~hit], n[~hit]
+        ends = np.searchsorted(text, np.arange(hi - lo + 1))
+        for i in np.unique(text):
+            codes_of[lo + i], counts_of[lo + i] = keys[ends[i] : ends[i + 1]], n[ends[i] : ends[i + 1]]
+    return out, codes_of, counts_of
+
+
+def learn(runs: DataFrame) -> Trie:
+    """The whole trie; runs: code, n."""
+    rows = runs.toArrow()
+    return Trie(rows["code"].to_numpy(), rows["n"].to_numpy())
+
+
+def frequent_runs(runs: DataFrame, max_runs: int) -> tuple[np.ndarray, np.ndarray]:
+    """The most frequent runs, sorted, and their log10 probabilities, which follow from all counts of their contexts."""
+    totals = runs.groupBy(F.shiftright("code", 8).alias("context")).agg(F.sum("n").alias("total"))
+    head = bounded(runs, max_runs).withColumn("context", F.shiftright("code", 8)).join(totals, "context")
+    rows = head.select("code", (F.log10(2 * F.col("n") - 1) - F.log10(2 * F.col("total"))).alias("log")).toArrow()
+    codes, logs = rows["code"].to_numpy(), rows["log"].to_numpy()
+    order = np.argsort(codes)
+    return codes[order], logs[order]
+
+
+def looked_up(runs: DataFrame, asked: DataFrame) -> DataFrame:
+    """code, log: the log10 probability of every asked code, from the part of the trie that holds its contexts."""
+    low = runs.groupBy(F.col("code").bitwiseAND(F.lit((1 << 8 * SHARD) - 1)).alias("code")).agg(F.sum("n").alias("n")).toArrow()  # 2^16 rows at most
+    base = runs.sparkSession.sparkContext.broadcast((low["code"].to_numpy(), low["n"].to_numpy()))
+    part = F.shiftright("code", 8).bitwiseAND(F.lit((1 << 8 * SHARD) - 1)).alias("part")
+
+    def each(known: pa.Table, asked: pa.Table) -> pa.Table:
+        codes = asked["code"].to_numpy()
+        logs = Trie(known["code"].to_numpy(), known["n"].to_numpy(), base.value).log10(codes) if len(codes) else np.empty(0)
+        return pa.table({"code": pa.array(codes, pa.int64()), "log": pa.array(logs, pa.float64())})
+
+    return runs.select(part, "code", "n").groupBy("part").cogroup(asked.select(part, "code").distinct().groupBy("part")).applyInArrow(each, "code long, log double")
 
 
 def score(docs: DataFrame, training: DataFrame, max_runs: int = MAX_RUNS, frequent: int = FREQUENT) -> DataFrame:
@@ -165,7 +212,9 @@ def score(docs: DataFrame, training: DataFrame, max_runs: int = MAX_RUNS, freque
     words = counts.filter("kind = 1").select("code", "n")
     top = bounded(words, frequent).toArrow()
     order = np.argsort(top["code"].to_numpy())
-    sent = spark.sparkContext.broadcast((learn(counts, max_runs), top["code"].to_numpy()[order], top["n"].to_numpy()[order]))
+    runs = counts.filter("kind = 0").select("code", "n")
+    fits = runs.count() <= max_runs
+    sent = spark.sparkContext.broadcast((learn(runs) if fits else frequent_runs(runs, max_runs), top["code"].to_numpy()[order], top["n"].to_numpy()[order]))
     whole = n_kinds <= len(order)
     kept = [c for c in docs.columns if c != "text"]
 
@@ -174,7 +223,7 @@ def score(docs: DataFrame, training: DataFrame, max_runs: int = MAX_RUNS, freque
         logs, cache = np.log10(counts + 1), cached(WordHashes)
         for b in batches:
             texts = [t.lower() for t in b["text"].to_pylist()]
-            scores = text_scores(trie, texts)
+            scores, tail, tail_n = (text_scores(trie, texts), [None] * len(texts), [None] * len(texts)) if fits else head_scores(trie, texts)
             tokens, known, sums, rare = [], [], [], []
             for t in texts:
                 words = t.split()
@@ -184,14 +233,18 @@ def score(docs: DataFrame, training: DataFrame, max_runs: int = MAX_RUNS, freque
                 known.append(int(n[hit].sum()) + bool(ends))
                 sums.append(float((logs[at[hit]] * n[hit]).sum()) + float(np.log10(ends + 1)) - (len(words) + 1) * base)
                 rare.append(None if whole or hit.all() else np.repeat(hashes[~hit], n[~hit]))
-            yield pa.RecordBatch.from_arrays([*(b[c] for c in kept), pa.array(tokens, pa.int64()), pa.array(known, pa.int64()), pa.array(sums), pa.array(scores), pa.array(rare, pa.list_(pa.int64()))], [*kept, "n_tokens", "n_known", "base_score", "score", "rare"])
+            yield pa.RecordBatch.from_arrays([*(b[c] for c in kept), pa.array(tokens, pa.int64()), pa.array(known, pa.int64()), pa.array(sums), pa.array(scores), *(pa.array(x, pa.list_(pa.int64())) for x in (rare, tail, tail_n))], [*kept, "n_tokens", "n_known", "base_score", "score", "rare", "tail", "tail_n"])
 
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema if f.name != "text")
-    scored = as_bytes(docs).mapInArrow(each, f"{fields}, n_tokens long, n_known long, base_score double, score double, rare array<long>")
+    scored = as_bytes(docs).mapInArrow(each, f"{fields}, n_tokens long, n_known long, base_score double, score double, rare array<long>, tail array<long>, tail_n array<long>")
     scored = stored(scored.withColumn("row", F.monotonically_increasing_id()), "scored")
     more = scored.filter("rare is not null").select("row", F.explode("rare").alias("code")).join(words, "code")
     more = more.groupBy("row").agg(F.count("*").alias("more_known"), F.sum(F.log10(F.col("n") + 1)).alias("more"))
-    out = scored.drop("rare").join(more, "row", "left")
+    if not fits:
+        tail = scored.filter("tail is not null").select("row", F.inline(F.arrays_zip(F.col("tail").alias("code"), F.col("tail_n").alias("times"))))
+        tail = tail.join(looked_up(runs, tail), "code").groupBy("row").agg(F.sum(F.col("log") * F.col("times")).alias("rest"))
+        scored = scored.join(tail, "row", "left").withColumn("score", F.col("score") + F.coalesce("rest", F.lit(0.0))).drop("rest")
+    out = scored.drop("rare", "tail", "tail_n").join(more, "row", "left")
     return out.select(*kept, "n_tokens", (F.col("n_known") + F.coalesce("more_known", F.lit(0))).alias("n_known"), F.lit(total).cast("long").alias("train_tokens"), (F.col("base_score") + F.coalesce("more", F.lit(0.0))).alias("base_score"), "score")
 
 
