@@ -31,16 +31,22 @@ INLINE = set("a abbr acronym b bdi bdo big br cite code data del dfn em font i i
 CLOSES = {"p": {"p"}, "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 #: An open paragraph ends where one of these starts.
 ENDS_P = set("address article aside blockquote center details div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr main menu nav ol p pre section table ul".split())
-#: Elements, roles and words of class and id that mark boilerplate for certain, whatever the text.
+#: Elements and roles that mark boilerplate for certain, whatever the text; words of class and id that speak for it.
 BAD_ELEMENTS = {"nav", "footer", "aside", "form", "button", "select", "textarea", "menu", "dialog", "input", "label", "fieldset"}
 BAD_ROLES = {"navigation", "banner", "contentinfo", "complementary", "search", "dialog", "alert", "alertdialog", "menu", "menubar", "form", "note"}
 BAD_WORDS = set("ad ads advert advertisement adverts advertising adsense banner breadcrumb breadcrumbs comment comments commentlist consent cookie cookies copyright disqus footer gdpr login masthead menu menus modal nav navbar navigation newsletter notice notices notification overlay pager pagination popup promo promoted related reply respond share sharing sidebar signup skip social sponsor sponsored subscribe subscription tags toolbar topbar widget widgets discussion feedback responses legal disclaimer".split())
+#: What follows one of these in a class or id says what an element has or lacks, not what it is.
+ABOUT = {"has", "with", "without", "no", "not", "is"}
 GOOD_ELEMENTS = {"article", "main"}
 GOOD_WORDS = set("article body content entry main post story text".split())
 WORDS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|\d+")
 #: Elements that say nothing by themselves.
 PLAIN = {"p", "b", "i", "em", "strong", "span", "ul", "ol", "li", "div", "table", "tr", "td", "th"}
 CERTAIN = 1000.0
+#: What a bad word costs, by which its block's own odds and its neighbours' can outweigh it.
+BAD_COST = 5.0
+#: Articles of these alone are answers to the main text.
+ANSWERS = {"comment", "comments", "commentlist", "reply", "respond", "responses", "discussion", "feedback"}
 #: Smoothness: between neighbours in the page, less the farther apart in the tree; between a parent's blocks in a row.
 NEAR, SIBLING = 0.6, 0.8
 
@@ -54,14 +60,21 @@ class Node:
     good: bool = False
     link: bool = False
     heading: bool = False
+    #: By its own words of class and id; by those of inline elements around it; around an article or main.
+    suspect: bool = False
+    aside: bool = False
+    holds: bool = False
 
 
 @dataclass
 class Block:
     parent: Node
     parts: list[str] = field(default_factory=list)
+    asides: set[int] = field(default_factory=set)
     linked: int = 0
+    aside_linked: int = 0
     bad: bool = False
+    suspect: bool = False
     good: bool = False
     heading: bool = False
     text: str = ""
@@ -74,13 +87,54 @@ def hidden(attributes: dict[str, str]) -> bool:
 
 def node(name: str, attributes: dict[str, str], parent: Node) -> Node:
     if not attributes and name in PLAIN:
-        return Node(name, parent, parent.depth + 1, parent.bad, parent.good, parent.link, parent.heading)
-    words = {w.lower() for k in ("class", "id") for w in WORDS.findall(attributes.get(k, ""))}
+        return Node(name, parent, parent.depth + 1, parent.bad, parent.good, parent.link, parent.heading, aside=parent.aside and name in INLINE)
+    words = own_words(attributes)
     good = parent.good or name in GOOD_ELEMENTS or attributes.get("role", "").lower() == "main"
     body = name in ("html", "body", "main", "article")
     head = name == "header" and not parent.good  # an article's own header holds its title
-    bad = parent.bad or (not body and (name in BAD_ELEMENTS or head or bool(words & BAD_WORDS) or "header" in words and not (parent.good or words & GOOD_WORDS))) or attributes.get("role", "").lower() in BAD_ROLES or hidden(attributes)
-    return Node(name, parent, parent.depth + 1, bad, good or bool(words & GOOD_WORDS), parent.link or name == "a", parent.heading or bool(re.fullmatch("h[1-6]", name)))
+    bad = parent.bad or (not body and (name in BAD_ELEMENTS or head)) or attributes.get("role", "").lower() in BAD_ROLES or hidden(attributes)
+    suspect = not body and (bool(words & BAD_WORDS) or "header" in words and not (parent.good or words & GOOD_WORDS)) or answers(name, words)
+    out = Node(name, parent, parent.depth + 1, bad, good or bool(words & GOOD_WORDS), parent.link or name == "a", parent.heading or bool(re.fullmatch("h[1-6]", name)))
+    out.suspect, out.aside = suspect, name in INLINE and (suspect or parent.aside)
+    return out
+
+
+def own_words(attributes: dict[str, str]) -> set[str]:
+    """The words of class and id, less those that say what the element has or lacks."""
+    out = set()
+    for name in " ".join(attributes.get(k, "") for k in ("class", "id")).split():
+        for w in WORDS.findall(name):
+            if w.lower() in ABOUT:
+                break
+            out.add(w.lower())
+    return out
+
+
+def answers(name: str, words: set[str]) -> bool:
+    return name == "article" and bool(words & ANSWERS) and not words & GOOD_WORDS
+
+
+def judged(b: Block) -> None:
+    """Gives a block its text, and whether words of class or id speak against it.
+
+    Inline elements with such words lose their text if the block has as much besides. An element around an article or main
+    isn't judged by its words; good marks count only where no such words stand nearer to the text.
+    """
+    rest = b.parts
+    if b.asides:
+        rest = [x for i, x in enumerate(b.parts) if i not in b.asides]
+        if 2 * len("".join(rest).strip()) < len("".join(b.parts).strip()):
+            b.suspect, rest = True, b.parts
+        else:
+            b.linked -= b.aside_linked
+    b.text = " ".join("".join(rest).split())
+    n = b.parent
+    while n is not None:
+        if n.suspect and not n.holds:
+            b.suspect = True
+            b.good = b.good and not n.parent.good
+            break
+        n = n.parent
 
 
 def blocks_of(page: str) -> list[Block]:
@@ -99,13 +153,18 @@ def blocks_of(page: str) -> list[Block]:
             holder = next(n for n in reversed(stack) if n.name not in INLINE)
             block = Block(holder)
             out.append(block)
+        if top.bad and not block.parent.bad:
+            return  # an inline element that is boilerplate for certain
         text = html.unescape(raw)
+        if top.aside:
+            block.asides.add(len(block.parts))
         block.parts.append(text)
         block.bad |= top.bad and not text.isspace()
         block.good |= top.good
         block.heading |= top.heading
         if top.link:
             block.linked += len(text)
+            block.aside_linked += len(text) if top.aside else 0
 
     while at < len(page):
         m = TAG.search(page, at)
@@ -151,8 +210,11 @@ def blocks_of(page: str) -> list[Block]:
                     break
         attributes = {k.lower(): html.unescape(a or b or c or "") for k, a, b, c in ATTRIBUTE.findall(m[3])} if m[3].strip(" /\n\t") else {}
         stack.append(node(name, attributes, stack[-1]))
+        if name in GOOD_ELEMENTS and not stack[-1].suspect:
+            for n in stack[:-1]:
+                n.holds = True
     for b in out:
-        b.text = " ".join("".join(b.parts).split())
+        judged(b)
     return [b for b in out if b.text]
 
 
@@ -160,7 +222,7 @@ def content_odds(b: Block) -> float:
     """The classifier: log odds that a block is content, by where it stands, its length, links and punctuation."""
     if b.bad:
         return -CERTAIN
-    if b.good and b.parent.good and any_article(b.parent):
+    if b.good and b.parent.good and not b.suspect and any_article(b.parent):
         return CERTAIN
     text = b.text
     n, links = len(text), min(1.0, b.linked / max(1, len(text)))
@@ -171,6 +233,8 @@ def content_odds(b: Block) -> float:
         score += 2.0
     if b.parent.name in ("p", "blockquote", "pre"):
         score += 0.8
+    if b.suspect:
+        score -= BAD_COST
     if "©" in text:
         score -= 3.0
     return score

@@ -31,6 +31,30 @@ def test_odd_pages():
     assert main_text("<article><p>" + "word " * 200_000 + "</article>") == ("word " * 200_000).strip()
 
 
+LONG = "This paragraph of the article goes on for a while, with commas, so that it reads like prose and is long enough."
+
+
+def test_inline_boilerplate_goes_alone():
+    for x in ('<span class="share">Share</span>', '<a class=ad href=x>Share</a>', "<label>Share</label>", "<span hidden>Share</span>", '<span class="share"><b>Share</b></span>'):
+        assert main_text(f"<article><p>{LONG} {x} More of it.</p></article>") == f"{LONG} More of it."
+    assert main_text(f'<article><p>Well, <span class="notice">{LONG * 3}</span></p><p>{LONG}</p></article>').endswith(LONG)
+
+
+def test_words_about_an_element_and_around_an_article():
+    body = f"<p>{LONG}</p>" * 4
+    want = "\n\n".join([LONG] * 4)
+    for top in ('<div class="content has-sidebar">', '<div id="page" class="no-comments">', '<div class="without-ads content">'):
+        assert main_text(f"<body>{top}{body}</div></body>") == want, top
+    for top in ('<div class="content sidebar">', '<div class="layout-navbar comments">'):
+        assert main_text(f"<body>{top}<article>{body}</article></div></body>") == want, top
+    assert main_text(f"<body><div class='content sidebar-left'>{f'<p>{LONG * 4}</p>' * 4}</div></body>") == "\n\n".join([LONG * 4] * 4)
+
+
+def test_answers_and_adverts_still_go():
+    answer = '<section id="comments"><article class="comment"><p>Nice post, I liked it very much.</p></article></section>'
+    assert main_text(f'<body><article><p>{LONG}</p><div class="ad">Buy now!</div><p>{LONG}</p></article>{answer}</body>') == f"{LONG}\n\n{LONG}"
+
+
 def test_cut_is_minimal():
     rng = random.Random(1)
     for _ in range(80):
