@@ -1,10 +1,12 @@
 import random
+import re
 
 import pytest
 from pyspark.sql import functions as F
 
 from maskline.functions import scalars as S
 from maskline.operators import discover, egress, redact
+from maskline.plans import catalog
 
 
 def one(spark, text):
@@ -125,3 +127,16 @@ def test_gate(spark):
     got = {r["id"]: (r["block_reason"], r["bytes"]) for r in egress.egress_gate(df).collect()}
     assert got[1] == (None, 5) and got[2][0] == "image without verified redaction" and got[3] == (None, 4)
     assert got[4][0] == "card number" and got[5][0] == "empty payload" and got[6][0] == (None if not verhoeff("236345678901") else "identity number")
+
+
+def test_queries_return_openai_keys_too(spark, tmp_path):
+    """Against brute force: their SQL doesn't look for this kind."""
+    keys = {1: "sk-" + "a1B2" * 6, 2: "sk-proj-" + "Zz9_" * 6, 3: "sk-ant-" + "q7-X" * 6, 4: "sk-short"}
+    rows = [(i, f"key {k} end", "en", "s") for i, k in keys.items()] + [(5, None, "en", "s")]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string").write.parquet(f"{tmp_path}/documents.parquet")
+    want = {(i, k) for i, k in keys.items() if re.search(r"\bsk-(?!ant-)[\w-]{20,}", k)}
+    assert len(want) == 2
+    run = lambda name: catalog.QUERIES[name](spark, str(tmp_path)).filter("kind = 'openai_key'").collect()
+    assert {(r["doc_id"], r["value"]) for r in run("secrets_found")} == want
+    assert {(r["doc_id"], r["preview"], r["n"]) for r in run("masked_previews")} == {(i, f"{k[:4]}...{k[-3:]}", 1) for i, k in want}
+    assert [(r["n"], r["n_values"], r["n_secrets"]) for r in run("discovery_summary") if r["source"] == "s"] == [(2, 2, 2)]
