@@ -2,33 +2,19 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
+import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from maskline.plans.session import ship
+from maskline.sources.tables import discard, stored, work_path
 
-def work_path(spark: SparkSession, name: str) -> str:
-    """A new path for a work table in the folder that the cluster shares (spark.checkpoint.dir)."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        base = spark.sparkContext.getCheckpointDir()
-    if not base:
-        base = tempfile.mkdtemp(prefix="maskline-")
-        spark.sparkContext.setCheckpointDir(base)
-    return f"{base.rstrip('/')}/work-{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
-
-
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """The rows of df, written as Parquet to the shared folder and read again: cuts the lineage, and outlives executors."""
-    spark, path = df.sparkSession, work_path(df.sparkSession, name)
-    df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+__all__ = ["discard", "stored", "work_path"]
 
 
 def id_text(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -86,6 +72,15 @@ def cached(kind: type, *args):
     return _caches[key]
 
 
+def tidy() -> None:
+    """Gives back what a worker process has freed but still holds; for the end of a task, as workers outlive tasks."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library: it decides by itself
+        pass
+
+
 def mixed(x: np.ndarray) -> np.ndarray:
     """A bijective scramble of 64-bit values, so that every bit depends on all bits."""
     x = x ^ (x >> np.uint64(33))
