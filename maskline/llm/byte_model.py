@@ -8,20 +8,23 @@ was left alone; denominators after an escape are therefore stored with that cont
 
 Every task holds the trie while the corpus has at most MAX_RUNS different runs. Beyond that it holds the final logarithms
 of the frequent runs alone; the texts' other runs go to the part of the trie that they need, which is that of their last
-SHARD context bytes (contexts of lower orders are few and go to all parts), and their logarithms are joined to the texts.
-All counts are used either way: the bound decides where a run is looked up, not what it costs.
+few context bytes (as many as leave at most MAX_BASE runs of lower orders, which all parts get), and their logarithms are
+joined to the texts. All counts are used either way: the bounds decide where a run is looked up, not what it costs.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections import Counter as Tally
+from collections.abc import Iterable, Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import WordHashes, as_bytes, cached, chunks, id_text, stored, word_hashes
+from .common import as_bytes, chunks, each_group, id_text, stored, tidy
 from .counts import Counter, bounded
 
 ORDER = 5
@@ -29,13 +32,13 @@ ORDER = 5
 START, END = 0xFF, 0xFE
 SYMBOLS = 255
 #: Runs of ORDER + 1 bytes that every task holds (24 bytes each); beyond, the rarer ones are looked up by a shuffle.
-MAX_RUNS = 4_000_000
-#: Context bytes that parts of the trie share: lower orders have at most 2^16 runs.
-SHARD = 2
+MAX_RUNS = 3_000_000
+#: Runs of lower orders that all parts of the trie get, at most; runs of two bytes always fit.
+MAX_BASE = 1 << 20
 #: Words whose counts every task holds (16 bytes each); the others' counts are joined.
 FREQUENT = 1 << 18
 #: Bytes that are scored together.
-CHUNK = 1 << 18
+CHUNK = 1 << 20
 
 
 def run_codes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
@@ -52,39 +55,44 @@ def run_codes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     return codes[keep], np.repeat(np.arange(len(texts)), sizes)
 
 
+def word_codes(words: Iterable[bytes], n: int) -> np.ndarray:
+    return np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, n).view(np.int64)
+
+
 def count_corpus(docs: DataFrame) -> DataFrame:
     """kind, code, n: byte runs (kind 0) and words, by their hash (kind 1), of all given texts; summed by the tasks first."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        runs, words, cache = Counter(), Counter(), cached(WordHashes)
+        runs, words = Counter(), Counter()
         for b in batches:
             texts = [t.lower() for t in b["text"].to_pylist()]
             for lo, hi in chunks(texts, CHUNK):
                 codes, n = np.unique(run_codes(texts[lo:hi])[0], return_counts=True)
                 runs.add(codes, n)
-                hashes, n = np.unique(word_hashes(b" ".join(texts[lo:hi]).split(), cache), return_counts=True)
-                words.add(hashes, n)
+                tally = Tally(b" ".join(texts[lo:hi]).split())
+                words.add(word_codes(tally, len(tally)), np.fromiter(tally.values(), np.int64, len(tally)))
         for kind, counter in ((0, runs), (1, words)):
             codes, n = counter.result()
             for lo in range(0, len(codes), 1 << 16):
                 part = codes[lo : lo + (1 << 16)]
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(len(part), kind, np.int32)), pa.array(part), pa.array(n[lo : lo + (1 << 16)])], ["kind", "code", "n"])
+        tidy()
 
     return as_bytes(docs.select("text")).mapInArrow(count, "kind int, code long, n long").groupBy("kind", "code").agg(F.sum("n").alias("n"))
 
 
 class Trie:
     """Tables by order: sorted runs with the logarithm of their counts; sorted contexts with the logarithms of
-    denominator and escape, when entered first and when their suffix is entered from them. With base (runs of SHARD bytes
-    of the whole corpus, and their counts) the codes are those of a part, and orders below SHARD come from base."""
+    denominator and escape, when entered first and when their suffix is entered from them. With base (runs of `shared` bytes
+    of the whole corpus, and their counts) the codes are those of a part, and orders below `shared` come from base."""
 
-    def __init__(self, codes: np.ndarray, counts: np.ndarray, base: tuple[np.ndarray, np.ndarray] | None = None):
+    def __init__(self, codes: np.ndarray, counts: np.ndarray, base: tuple[np.ndarray, np.ndarray] | None = None, shared: int = 0):
         order = np.argsort(codes)
         codes, counts = codes[order], counts[order]
         self.runs, self.run_log, self.contexts, self.enter, self.escape, self.next_enter, self.next_escape = ([None] * (ORDER + 1) for _ in range(7))
         lower = None
         for k in range(ORDER + 1):
-            told, seen = base if base is not None and k < SHARD else (codes, counts)
+            told, seen = base if k < shared else (codes, counts)
             runs, at = np.unique(told & ((1 << 8 * (k + 1)) - 1), return_inverse=True)
             n = np.bincount(at, seen, len(runs)) if len(runs) else np.empty(0)
             contexts, own = np.unique(runs >> 8, return_inverse=True)
@@ -141,14 +149,25 @@ def find(table: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return at, table[at] == keys
 
 
+#: Bits for the number of a text in a chunk: see chunks().
+TEXT_BITS = 14
+
+
+def sorted_runs(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The different runs of some texts, in order; where each one's places begin; and the texts of all places, by run."""
+    codes, text = run_codes(texts)
+    keys = np.sort(codes << TEXT_BITS | text)
+    text, codes = keys & ((1 << TEXT_BITS) - 1), keys >> TEXT_BITS
+    first = np.flatnonzero(np.r_[True, codes[1:] != codes[:-1]]) if len(codes) else np.empty(0, np.int64)
+    return codes[first], first, text
+
+
 def text_scores(trie: Trie, texts: list[bytes]) -> np.ndarray:
-    """log10 probability of each text: each different run of a text is looked up once."""
+    """log10 probability of each text: each different run of a chunk of texts is looked up once."""
     out = np.zeros(len(texts))
     for lo, hi in chunks(texts, CHUNK):
-        codes, text = run_codes(texts[lo:hi])
-        keys, n = np.unique(codes | text << 8 * (ORDER + 1), return_counts=True)
-        text = keys >> 8 * (ORDER + 1)
-        out[lo:hi] = np.bincount(text, trie.log10(keys & ((1 << 8 * (ORDER + 1)) - 1)) * n, hi - lo)
+        runs, first, text = sorted_runs(texts[lo:hi])
+        out[lo:hi] = np.bincount(text, np.repeat(trie.log10(runs), np.diff(first, append=len(text))), hi - lo)
     return out
 
 
@@ -156,18 +175,44 @@ def head_scores(head: tuple[np.ndarray, np.ndarray], texts: list[bytes]) -> tupl
     """log10 of what the head holds of each text; each text's other runs and how often they come (None: no others)."""
     out, codes_of, counts_of = np.zeros(len(texts)), [None] * len(texts), [None] * len(texts)
     for lo, hi in chunks(texts, CHUNK):
-        codes, text = run_codes(texts[lo:hi])
-        keys, n = np.unique(codes | text << 8 * (ORDER + 1), return_counts=True)
+        runs, first, text = sorted_runs(texts[lo:hi])
+        at, hit = find(head[0], runs)
+        times = np.diff(first, append=len(text))
+        out[lo:hi] = np.bincount(text, np.repeat(np.where(hit, head[1][at], 0.0) if len(head[0]) else np.zeros(len(runs)), times), hi - lo)
+        if hit.all():
+            continue
+        other = np.repeat(~hit, times)
+        keys, n = np.unique(text[other] << 8 * (ORDER + 1) | np.repeat(runs[~hit], times[~hit]), return_counts=True)
         text, keys = keys >> 8 * (ORDER + 1), keys & ((1 << 8 * (ORDER + 1)) - 1)
-        at, hit = find(head[0], keys)
-        out[lo:hi] = np.bincount(text[hit], head[1][at[hit]] * n[hit], hi - lo)
-        text, keys, n = text[~hit], keys[~hit], n[~hit]
         ends = np.searchsorted(text, np.arange(hi - lo + 1))
         for i in np.unique(text):
             codes_of[lo + i], counts_of[lo + i] = keys[ends[i] : ends[i + 1]], n[ends[i] : ends[i + 1]]
     return out, codes_of, counts_of
 
 
+def word_scores(words: tuple[np.ndarray, np.ndarray, np.ndarray], texts: list[bytes], whole: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray, list]:
+    """Of each text: its words, those that the table (codes, counts, their logarithms) has, the sum of their logarithms, and
+    the codes of the others (None if there are none, or if the table is the whole vocabulary)."""
+    codes, _, logs = words
+    n_words, known, sums, rare = np.zeros(len(texts), np.int64), np.zeros(len(texts), np.int64), np.zeros(len(texts)), [None] * len(texts)
+    for lo, hi in chunks(texts, CHUNK):
+        split = [t.split() for t in texts[lo:hi]]
+        sizes = np.fromiter(map(len, split), np.int64, hi - lo)
+        number = {w: i for i, w in enumerate(dict.fromkeys(chain.from_iterable(split)))}
+        each = np.fromiter(map(number.__getitem__, chain.from_iterable(split)), np.int64, sizes.sum())
+        own, hashes = np.repeat(np.arange(hi - lo), sizes), word_codes(number, len(number))
+        at, hit = find(codes, hashes)
+        n_words[lo:hi] = sizes
+        known[lo:hi] = np.bincount(own, hit[each], hi - lo)
+        sums[lo:hi] = np.bincount(own, (np.where(hit, logs[at], 0.0) if len(codes) else np.zeros(len(hashes)))[each], hi - lo)
+        if not whole and not hit.all():
+            other = np.flatnonzero(~hit[each])
+            ends = np.searchsorted(own[other], np.arange(hi - lo + 1))
+            for i in np.unique(own[other]):
+                rare[lo + i] = hashes[each[other[ends[i] : ends[i + 1]]]]
+    return n_words, known, sums, rare
+
+
 def learn(runs: DataFrame) -> Trie:
     """The whole trie; runs: code, n."""
     rows = runs.toArrow()
@@ -184,22 +229,41 @@ def frequent_runs(runs: DataFrame, max_runs: int) -> tuple[np.ndarray, np.ndarra
     return codes[order], logs[order]
 
 
-def looked_up(runs: DataFrame, asked: DataFrame) -> DataFrame:
-    """code, log: the log10 probability of every asked code, from the part of the trie that holds its contexts."""
-    low = runs.groupBy(F.col("code").bitwiseAND(F.lit((1 << 8 * SHARD) - 1)).alias("code")).agg(F.sum("n").alias("n")).toArrow()  # 2^16 rows at most
-    base = runs.sparkSession.sparkContext.broadcast((low["code"].to_numpy(), low["n"].to_numpy()))
-    part = F.shiftright("code", 8).bitwiseAND(F.lit((1 << 8 * SHARD) - 1)).alias("part")
+def last_bytes(runs: DataFrame, n: int) -> DataFrame:
+    """code, n: the counts of runs of n bytes."""
+    return runs.groupBy(F.col("code").bitwiseAND(F.lit((1 << 8 * n) - 1)).alias("code")).agg(F.sum("n").alias("n"))
 
-    def each(known: pa.Table, asked: pa.Table) -> pa.Table:
-        codes = asked["code"].to_numpy()
-        logs = Trie(known["code"].to_numpy(), known["n"].to_numpy(), base.value).log10(codes) if len(codes) else np.empty(0)
-        return pa.table({"code": pa.array(codes, pa.int64()), "log": pa.array(logs, pa.float64())})
 
-    return runs.select(part, "code", "n").groupBy("part").cogroup(asked.select(part, "code").distinct().groupBy("part")).applyInArrow(each, "code long, log double")
+def looked_up(runs: DataFrame, asked: DataFrame, max_base: int = MAX_BASE) -> DataFrame:
+    """code, log: the log10 probability of every asked code, from the part of the trie that holds its contexts.
 
+    The longer the shared contexts, the smaller a part: the longest of which there are at most max_base is taken."""
+    shared = next((k for k in range(ORDER - 1, 2, -1) if last_bytes(runs, k).count() <= max_base), 2)
+    low = last_bytes(runs, shared).toArrow()  # max_base rows at most, or 2^16
+    base = runs.sparkSession.sparkContext.broadcast((low["code"].to_numpy(), low["n"].to_numpy()))
+    part = F.shiftright("code", 8).bitwiseAND(F.lit((1 << 8 * shared) - 1)).alias("part")
+    rows = runs.select(part, "code", "n").unionByName(asked.select("code").distinct().select(part, "code", F.lit(0).cast("long").alias("n")))
 
-def score(docs: DataFrame, training: DataFrame, max_runs: int = MAX_RUNS, frequent: int = FREQUENT) -> DataFrame:
-    """docs (doc_id, text and columns to keep) with n_tokens, n_known, train_tokens, base_score and score.
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        out, held = [], 0
+        for t in each_group(batches, "part"):
+            codes, n = t["code"].to_numpy(), t["n"].to_numpy()
+            if (n == 0).any():
+                out.append((codes[n == 0], Trie(codes[n > 0], n[n > 0], base.value, shared).log10(codes[n == 0])))
+                held += len(out[-1][0])
+            if held > 1 << 14:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*out)], ["code", "log"])
+                out, held = [], 0
+        if out:
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*out)], ["code", "log"])
+        tidy()
+
+    return rows.repartition("part").sortWithinPartitions("part").mapInArrow(each, "code long, log double")
+
+
+def score(docs: DataFrame, training: DataFrame, max_runs: int = MAX_RUNS, frequent: int = FREQUENT, max_base: int = MAX_BASE) -> DataFrame:
+    """docs (doc_id, text and columns to keep, whatever their names) with n_tokens, n_known, train_tokens, base_score and
+    score, which replace columns of these names.
 
     A-Z are lower-cased. Null or empty text: the end alone. Without training texts the trie is empty: each byte costs
     log10(255), no token is known. Rows with the same doc_id are scored one by one.
@@ -220,32 +284,28 @@ def score(docs: DataFrame, training: DataFrame, max_runs: int = MAX_RUNS, freque
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         trie, codes, counts = sent.value
-        logs, cache = np.log10(counts + 1), cached(WordHashes)
+        table = codes, counts, np.log10(counts + 1)
         for b in batches:
             texts = [t.lower() for t in b["text"].to_pylist()]
             scores, tail, tail_n = (text_scores(trie, texts), [None] * len(texts), [None] * len(texts)) if fits else head_scores(trie, texts)
-            tokens, known, sums, rare = [], [], [], []
-            for t in texts:
-                words = t.split()
-                hashes, n = np.unique(word_hashes(words, cache).view(np.int64), return_counts=True)
-                at, hit = find(codes, hashes)
-                tokens.append(len(words) + 1)
-                known.append(int(n[hit].sum()) + bool(ends))
-                sums.append(float((logs[at[hit]] * n[hit]).sum()) + float(np.log10(ends + 1)) - (len(words) + 1) * base)
-                rare.append(None if whole or hit.all() else np.repeat(hashes[~hit], n[~hit]))
-            yield pa.RecordBatch.from_arrays([*(b[c] for c in kept), pa.array(tokens, pa.int64()), pa.array(known, pa.int64()), pa.array(sums), pa.array(scores), *(pa.array(x, pa.list_(pa.int64())) for x in (rare, tail, tail_n))], [*kept, "n_tokens", "n_known", "base_score", "score", "rare", "tail", "tail_n"])
-
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema if f.name != "text")
-    scored = as_bytes(docs).mapInArrow(each, f"{fields}, n_tokens long, n_known long, base_score double, score double, rare array<long>, tail array<long>, tail_n array<long>")
+            words, known, sums, rare = word_scores(table, texts, whole)
+            sums += np.log10(ends + 1) - (words + 1) * base
+            yield pa.RecordBatch.from_arrays([b["own"], pa.array(words + 1), pa.array(known + bool(ends)), pa.array(sums), pa.array(scores), *(pa.array(x, pa.list_(pa.int64())) for x in (rare, tail, tail_n))], ["own", "n_tokens", "n_known", "base_score", "score", "rare", "tail", "tail_n"])
+        tidy()
+
+    own = F.struct(*(F.col(f"`{c}`") for c in kept)).alias("own")
+    kind = docs.select(own).schema["own"].dataType.simpleString()
+    scored = as_bytes(docs.select(own, "text")).mapInArrow(each, f"own {kind}, n_tokens long, n_known long, base_score double, score double, rare array<long>, tail array<long>, tail_n array<long>")
     scored = stored(scored.withColumn("row", F.monotonically_increasing_id()), "scored")
     more = scored.filter("rare is not null").select("row", F.explode("rare").alias("code")).join(words, "code")
     more = more.groupBy("row").agg(F.count("*").alias("more_known"), F.sum(F.log10(F.col("n") + 1)).alias("more"))
     if not fits:
         tail = scored.filter("tail is not null").select("row", F.inline(F.arrays_zip(F.col("tail").alias("code"), F.col("tail_n").alias("times"))))
-        tail = tail.join(looked_up(runs, tail), "code").groupBy("row").agg(F.sum(F.col("log") * F.col("times")).alias("rest"))
+        tail = tail.join(looked_up(runs, tail, max_base), "code").groupBy("row").agg(F.sum(F.col("log") * F.col("times")).alias("rest"))
         scored = scored.join(tail, "row", "left").withColumn("score", F.col("score") + F.coalesce("rest", F.lit(0.0))).drop("rest")
     out = scored.drop("rare", "tail", "tail_n").join(more, "row", "left")
-    return out.select(*kept, "n_tokens", (F.col("n_known") + F.coalesce("more_known", F.lit(0))).alias("n_known"), F.lit(total).cast("long").alias("train_tokens"), (F.col("base_score") + F.coalesce("more", F.lit(0.0))).alias("base_score"), "score")
+    found = {"n_tokens": F.col("n_tokens"), "n_known": F.col("n_known") + F.coalesce("more_known", F.lit(0)), "train_tokens": F.lit(total).cast("long"), "base_score": F.col("base_score") + F.coalesce("more", F.lit(0.0)), "score": F.col("score")}
+    return out.select(*(F.col("own")[c].alias(c) for c in kept if c not in found), *(v.alias(k) for k, v in found.items()))
 
 
 def op6_byte_model(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -115,3 +115,21 @@ def chunks(texts: list[bytes], size: int) -> Iterator[tuple[int, int]]:
             lo, held = hi + 1, 0
     if lo < len(texts):
         yield lo, len(texts)
+
+
+def each_group(batches: Iterator[pa.RecordBatch], key: str) -> Iterator[pa.Table]:
+    """The rows of each value of key, of batches that are sorted by it."""
+    rest = None
+    for b in batches:
+        t = pa.Table.from_batches([b])
+        if rest is not None:
+            t = pa.concat_tables([rest, t]).combine_chunks()
+        keys = t[key].to_numpy()
+        cuts = np.flatnonzero(keys[1:] != keys[:-1]) + 1
+        at = 0
+        for c in cuts.tolist():
+            yield t.slice(at, c - at)
+            at = c
+        rest = t.slice(at)
+    if rest is not None and len(rest):
+        yield rest

@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 #: Codes that a task holds before it sorts and sums them.
-HELD = 4 << 20
+HELD = 2 << 20
 
 
 class Counter:

@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from maskline.plans.session import ship
 
-from .common import WordHashes, cached, id_text, stored, windows, word_hashes
+from .common import WordHashes, cached, id_text, stored, tidy, windows, word_hashes
 
 LEAST = 5
 COVERAGE = 0.5
@@ -123,6 +123,7 @@ def leaks(docs: DataFrame, items: DataFrame, least: int = LEAST, coverage: float
                     found.append(s.view(np.int64))
             part = b.take(pa.array(rows, pa.int64()))
             yield pa.RecordBatch.from_arrays([part["doc_id"], part["text"], pa.array(found, pa.list_(pa.int64()))], ["doc_id", "text", "found"])
+        tidy()
 
     hits = docs.select("doc_id", "text").mapInArrow(scan, "doc_id long, text string, found array<long>")
     hits = stored(hits.withColumn("row", F.monotonically_increasing_id()), "hits")
@@ -140,6 +141,7 @@ def leaks(docs: DataFrame, items: DataFrame, least: int = LEAST, coverage: float
                 sizes.append(len(a))
                 counts.append(len(t))
             yield pa.RecordBatch.from_arrays([b["doc_id"], b["text_hash"], b["item_id"], pa.array(covered, pa.int64()), pa.array(sizes, pa.int64()), pa.array(counts, pa.int64())], ["doc_id", "text_hash", "item_id", "covered", "item_words", "n_tiles"])
+        tidy()
 
     pairs = pairs.select("doc_id", F.xxhash64("text").alias("text_hash"), "item_id", "item", "text")
     out = pairs.mapInArrow(tile, "doc_id long, text_hash long, item_id long, covered long, item_words long, n_tiles long")

@@ -22,14 +22,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import Recent, as_bytes, cached, id_text, stored, windows, word_hashes
-from .counts import HELD, Counter
+from .common import Recent, as_bytes, cached, each_group, id_text, stored, tidy, windows, word_hashes
+from .counts import Counter
 from .graph import components
 
 PERCENT = 85
 SHINGLE = 4
-#: A shingle is frequent if it comes this often among HELD shingles in a row; so many of them are held by every task.
+#: A shingle is frequent if it comes this often among TOGETHER shingles in a row; so many of them are held by every task.
 OFTEN = 8
+TOGETHER = 2 << 20
 MAX_FREQUENT = 1 << 17
 #: Sets of one block of a group; two blocks meet in one task.
 BLOCK = 1024
@@ -83,13 +84,14 @@ def frequent_shingles(docs: DataFrame, size: int) -> tuple[np.ndarray, np.ndarra
             for text in b["text"].to_pylist():
                 held.append(shingles(text, size, cache))
                 n += len(held[-1])
-                if n >= HELD:
+                if n >= TOGETHER:
                     fold()
                     held, n = [], 0
         if held:
             fold()
         codes, counts = out.result()
         yield pa.RecordBatch.from_arrays([pa.array(codes), pa.array(counts)], ["id", "n"])
+        tidy()
 
     top = as_bytes(docs.select("text")).mapInArrow(count, "id long, n long").groupBy("id").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "id").limit(MAX_FREQUENT).toArrow()
     ids = top["id"].to_numpy().view(np.uint64)
@@ -141,6 +143,7 @@ def set_rows(docs: DataFrame, size: int, percent: int) -> DataFrame:
                 keys.append(prefix.view(np.int64))
                 bits.append(signature(ids).tobytes())
             yield pa.RecordBatch.from_arrays([b["doc_id"], b["text_hash"], pa.array(sids, pa.int64()), pa.array(sizes, pa.int64()), pa.array(keys, pa.list_(pa.int64())), pa.array(bits, pa.binary())], ["doc_id", "text_hash", "sid", "n", "keys", "bits"])
+        tidy()
 
     docs = docs.select("doc_id", F.xxhash64("text").alias("text_hash"), "text")
     return stored(as_bytes(docs).mapInArrow(each, "doc_id long, text_hash long, sid long, n long, keys array<long>, bits binary"), "sets")
@@ -281,24 +284,6 @@ def forest(x: np.ndarray, y: np.ndarray, size: int) -> list[int]:
     return out
 
 
-def each_group(batches: Iterator[pa.RecordBatch], key: str) -> Iterator[pa.Table]:
-    """The rows of each value of key, of batches that are sorted by it."""
-    rest = None
-    for b in batches:
-        t = pa.Table.from_batches([b])
-        if rest is not None:
-            t = pa.concat_tables([rest, t]).combine_chunks()
-        keys = t[key].to_numpy()
-        cuts = np.flatnonzero(keys[1:] != keys[:-1]) + 1
-        at = 0
-        for c in cuts.tolist():
-            yield t.slice(at, c - at)
-            at = c
-        rest = t.slice(at)
-    if rest is not None and len(rest):
-        yield rest
-
-
 def tree_pairs(groups: DataFrame, sets: DataFrame, percent: int, roots: DataFrame | None = None) -> DataFrame:
     """gid, a, b (a < b). Without roots each group's forest; with them (sid, root) all pairs of different roots."""
     need = stored(groups.select("sid").distinct(), "grouped")
@@ -335,6 +320,7 @@ def tree_pairs(groups: DataFrame, sets: DataFrame, percent: int, roots: DataFram
                 out, held = [], 0
         if out:
             yield batch()
+        tidy()
 
     return stored(rows.mapInArrow(each, "gid long, a long, b long"), "pairs")
 
@@ -356,6 +342,7 @@ def verified(pairs: DataFrame, sets: DataFrame, docs: DataFrame, size: int, perc
                 if set_id(ids) == sid:  # an id may have other texts
                     kept.append((sid, ids.tobytes()))
             yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in kept], pa.int64()), pa.array([x for _, x in kept], pa.binary())], ["sid", "ids"])
+        tidy()
 
     found = as_bytes(docs).withColumn("rep", F.coalesce("doc_id", F.lit(NO_ID))).join(reps, "rep").select("sid", "text")
     exact = stored(found.mapInArrow(each, "sid long, ids binary").groupBy("sid").agg(F.first("ids").alias("ids")), "exact")
@@ -369,6 +356,7 @@ def verified(pairs: DataFrame, sets: DataFrame, docs: DataFrame, size: int, perc
                 both = len(np.intersect1d(x, y, assume_unique=True))
                 links.append(100 * both >= percent * (len(x) + len(y) - both))
             yield pa.RecordBatch.from_arrays([b["a"], b["b"], pa.array(links, pa.bool_())], ["a", "b", "link"])
+        tidy()
 
     return stored(rows.select("a", "b", "x", "y").mapInArrow(decide, "a long, b long, link boolean"), "verified")
 

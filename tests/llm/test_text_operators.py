@@ -151,12 +151,12 @@ def test_byte_model_is_ppm(spark):
             assert r["score"] == pytest.approx(brute_ppm(learnt, t)), i
 
 
-@pytest.mark.parametrize("max_runs", [0, 25])
-def test_byte_model_scores_alike_whatever_tasks_hold(spark, max_runs):
+@pytest.mark.parametrize("max_runs, max_base", [(0, 1 << 20), (25, 100), (1, 0)])
+def test_byte_model_scores_alike_whatever_tasks_hold(spark, max_runs, max_base):
     docs = table(spark).selectExpr("doc_id", "doc_id % 3 = 1 as held_out", "text")
     lower = [(t or "").encode().lower() for t in TEXTS]
     learnt = [t for i, t in enumerate(lower) if i % 3 != 1]
-    for r in byte_model.score(docs, docs.filter("not held_out"), max_runs=max_runs).collect():
+    for r in byte_model.score(docs, docs.filter("not held_out"), max_runs=max_runs, max_base=max_base).collect():
         assert r["score"] == pytest.approx(brute_ppm(learnt, lower[r["doc_id"]])), r["doc_id"]
 
 
