@@ -62,6 +62,10 @@ def word_codes(words: Iterable[bytes], n: int) -> np.ndarray:
 def count_corpus(docs: DataFrame) -> DataFrame:
     """kind, code, n: byte runs (kind 0) and words, by their hash (kind 1), of all given texts; summed by the tasks first."""
 
+    def rows(kind: int, counter: Counter) -> Iterator[pa.RecordBatch]:
+        for codes, n in counter.batches():
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(codes), kind, np.int32)), pa.array(codes), pa.array(n)], ["kind", "code", "n"])
+
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         runs, words = Counter(), Counter()
         for b in batches:
@@ -71,11 +75,11 @@ def count_corpus(docs: DataFrame) -> DataFrame:
                 runs.add(codes, n)
                 tally = Tally(b" ".join(texts[lo:hi]).split())
                 words.add(word_codes(tally, len(tally)), np.fromiter(tally.values(), np.int64, len(tally)))
+                for kind, counter in ((0, runs), (1, words)):
+                    if counter.full():
+                        yield from rows(kind, counter)
         for kind, counter in ((0, runs), (1, words)):
-            codes, n = counter.result()
-            for lo in range(0, len(codes), 1 << 16):
-                part = codes[lo : lo + (1 << 16)]
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(part), kind, np.int32)), pa.array(part), pa.array(n[lo : lo + (1 << 16)])], ["kind", "code", "n"])
+            yield from rows(kind, counter)
         tidy()
 
     return as_bytes(docs.select("text")).mapInArrow(count, "kind int, code long, n long").groupBy("kind", "code").agg(F.sum("n").alias("n"))

@@ -16,6 +16,11 @@ from maskline.sources.tables import discard, stored, work_path
 
 __all__ = ["discard", "stored", "work_path"]
 
+#: Ids of documents that may be sent to all tasks (16 bytes each); more are joined by a shuffle.
+BROADCAST_IDS = 2_000_000
+#: Stands for a null doc_id where rows are told by doc_id and text: they come last.
+LAST_ID = (1 << 63) - 1
+
 
 def id_text(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id and text alone, so that other columns, whatever their names, can't clash with an operator's own."""
@@ -133,3 +138,15 @@ def each_group(batches: Iterator[pa.RecordBatch], key: str) -> Iterator[pa.Table
         rest = t.slice(at)
     if rest is not None and len(rest):
         yield rest
+
+
+def keyed(docs: DataFrame) -> DataFrame:
+    """its_doc, text_hash and whole (the row)."""
+    return docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST_ID)).alias("its_doc"), F.xxhash64(F.col("text").cast("string")).alias("text_hash"), F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("whole"))
+
+
+def without(docs: DataFrame, keys: DataFrame) -> DataFrame:
+    """The rows of docs whose its_doc and text_hash aren't among the keys; the keys go to all tasks only if they are few."""
+    keys = stored(keys, "dropped")
+    few = keys.count() <= BROADCAST_IDS
+    return keyed(docs).join(F.broadcast(keys) if few else keys, ["its_doc", "text_hash"], "left_anti").select("whole.*")

@@ -2,26 +2,35 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Codes that a task holds before it sorts and sums them.
-HELD = 2 << 20
+#: Codes that a task holds before it sorts and sums them; and different ones before it hands them on.
+HELD, MOST = 2 << 20, 8 << 20
 
 
 class Counter:
-    """Sums how often each code comes; memory follows the distinct codes, not the input."""
+    """Sums how often each code comes, as (code, n); what one task hands on in parts is summed again by the shuffle."""
+
+    def __init__(self, held: int = HELD, most: int = MOST) -> None:
+        self.limit, self.most = held, most
+        self.clear()
 
-    def __init__(self) -> None:
+    def clear(self) -> None:
         self.held, self.n, self.codes, self.counts = [], 0, np.empty(0, np.int64), np.empty(0, np.int64)
 
     def add(self, codes: np.ndarray, counts: np.ndarray | None = None) -> None:
         self.held.append((codes.view(np.int64), np.ones(len(codes), np.int64) if counts is None else counts))
         self.n += len(codes)
-        if self.n >= HELD + len(self.codes):
+        if self.n >= self.limit + len(self.codes):
             self.fold()
 
+    def full(self) -> bool:
+        return len(self.codes) >= self.most
+
     def fold(self) -> None:
         parts = [(self.codes, self.counts), *self.held]
         codes, counts = (np.concatenate(x) for x in zip(*parts))
@@ -37,12 +46,17 @@ class Counter:
         self.fold()
         return self.codes, self.counts
 
+    def batches(self, size: int = 1 << 16) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """What was counted, in parts; then it counts anew."""
+        codes, counts = self.result()
+        self.clear()
+        for lo in range(0, len(codes), size):
+            yield codes[lo : lo + size], counts[lo : lo + size]
 
-def bounded(counts: DataFrame, max_rows: int, col: str = "n") -> DataFrame:
-    """The rows that a model of at most max_rows keeps: all, or else those of at least the count that lets it fit.
 
-    The bound is on the model (it is sent to every task); the counts themselves always cover the whole corpus.
-    """
+def bounded(counts: DataFrame, max_rows: int, col: str = "n") -> DataFrame:
+    """The rows of the highest counts, at most max_rows, for tasks to hold: all, or those of at least the count that lets them
+    fit. What is left out has to be looked up in another way, so that the bound never changes a result."""
     sizes = counts.groupBy(F.least(F.col(col), F.lit(1 << 20)).alias("c")).count().orderBy("c").collect()
     total, least = sum(r["count"] for r in sizes), 1
     for r in sizes:

@@ -4,6 +4,10 @@ Two hashed n-gram generative models, of target text (labelled good) and of all r
 logarithm of its importance weight; documents are drawn without replacement in proportion to their weights by adding
 Gumbel noise and taking the top k. Features: tokens and pairs of tokens, and likewise of their shapes (letter case,
 punctuation, and whether the token stood just before), hashed to BUCKETS.
+
+A text's weight is tempered: it counts as EVIDENCE tokens at most, as a text's tokens aren't independent of each other; so
+texts of like quality have like chances, whatever their lengths, and the noise decides between them. k doesn't follow
+from the weights: it is a given share of the documents, by default the share of good ones among the labelled.
 """
 
 from __future__ import annotations
@@ -21,13 +25,15 @@ from pyspark.sql import types as T
 
 from maskline.plans.session import ship
 
-from .common import Recent, as_bytes, cached, chunks, id_text, mixed, stored
+from .common import LAST_ID, Recent, as_bytes, cached, chunks, id_text, mixed, stored, tidy, without
 
 BUCKETS = 1 << 16
-#: Labelled rows (those of the smallest hashes) that the target model and the share to keep are fitted on.
+#: Labelled rows (those of the smallest hashes) that the target model and the default share are fitted on.
 LABELLED = 20_000
-#: Losing a labelled good document weighs as much as keeping so many bad ones.
-LOSS = 20.0
+#: Tokens that a text counts as, at most.
+EVIDENCE = 30.0
+#: Rows that are ranked one by one to find the k-th; an interval of values that holds more is narrowed first.
+RANKED = 100_000
 SEED = 7
 #: Stands for a null doc_id in comparisons.
 NO_ID = -(1 << 62)
@@ -86,6 +92,7 @@ def fit(docs: DataFrame) -> np.ndarray:
                 target += np.bincount(bucket[good[lo:hi][own]].astype(np.int64), minlength=BUCKETS)
         at = np.flatnonzero(raw)
         yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(raw[at]), pa.array(target[at])], ["bucket", "raw", "target"])
+        tidy()
 
     sums = as_bytes(docs).select("text", "good").mapInArrow(count, "bucket long, raw long, target long").groupBy("bucket").agg(F.sum("raw").alias("raw"), F.sum("target").alias("target")).toArrow()
     raw, target = np.ones(BUCKETS), np.zeros(BUCKETS)
@@ -96,7 +103,8 @@ def fit(docs: DataFrame) -> np.ndarray:
 
 
 def weigh(docs: DataFrame, ratios: np.ndarray) -> DataFrame:
-    """docs (text and columns to keep) with log_weight in place of text: the mean of the four kinds of feature, summed over the text."""
+    """docs (text and columns to keep) with log_weight in place of text: the mean of the four kinds of feature, summed over
+    the text's tokens and tempered to EVIDENCE of them."""
     sent = docs.sparkSession.sparkContext.broadcast(ratios)
     kept = [c for c in docs.columns if c != "text"]
 
@@ -106,8 +114,10 @@ def weigh(docs: DataFrame, ratios: np.ndarray) -> DataFrame:
             texts, out = b["text"].to_pylist(), np.zeros(len(b))
             for lo, hi in chunks(texts, 1 << 20):
                 bucket, own = features(texts[lo:hi], cache)
-                out[lo:hi] = np.bincount(own, ratios[bucket.astype(np.int64)], hi - lo) / 4
+                size = np.bincount(own, minlength=hi - lo) / 4  # about as many as tokens
+                out[lo:hi] = np.bincount(own, ratios[bucket.astype(np.int64)], hi - lo) / 4 * np.minimum(1, EVIDENCE / np.maximum(size, 1))
             yield pa.RecordBatch.from_arrays([*(b[c] for c in kept), pa.array(out)], [*kept, "log_weight"])
+        tidy()
 
     schema = T.StructType([*(f for f in docs.schema if f.name != "text"), T.StructField("log_weight", T.DoubleType())])
     return as_bytes(docs).select(*kept, "text").mapInArrow(each, schema)
@@ -119,23 +129,27 @@ def gumbel(seed: int = SEED):
     return -F.log(-F.log(u))
 
 
-def last_of_k(scored: DataFrame, k: int, col: str = "noisy") -> tuple[float, int] | None:
+def last_of_k(scored: DataFrame, k: int, col: str = "noisy", ranked: int = RANKED) -> tuple[float, int] | None:
     """The k-th largest value and its doc_id (ties: the smaller doc_id comes first); None if all rows are among the k.
 
-    An approximate quantile brackets the k-th value; only the rows inside the bracket are ranked.
+    Approximate quantiles narrow the interval that holds the k-th value until it has at most `ranked` rows, or one value.
     """
     total = scored.count()
     if k >= total:
         return None
     if k <= 0:
         return math.inf, 0
-    share, slack = 1 - k / total, 0.002
-    low, high = scored.agg(F.percentile_approx(col, F.array(F.lit(max(0.0, share - slack)), F.lit(min(1.0, share + slack))), 10_000).alias("q")).first()["q"]
-    above, between = scored.agg(F.count_if(F.col(col) > high), F.count_if(F.col(col).between(low, high))).first()
-    if not above < k <= above + between:  # the bracket missed: rank everything
-        low, high, above = -math.inf, math.inf, 0
-    ranked = scored.filter(F.col(col).between(low, high)).select(col, F.coalesce("doc_id", F.lit(NO_ID)).alias("d"))
-    last = ranked.orderBy(F.desc(col), "d").limit(k - above).agg(F.min(F.struct(F.col(col).alias("v"), (-F.col("d")).alias("d"))).alias("m")).first()["m"]
+    low, high, above, between = -math.inf, math.inf, 0, total
+    slack = 0.002  # twenty times what a quantile's rank may be off
+    while between > ranked and low < high:
+        share = 1 - (k - above) / between
+        q = scored.filter(F.col(col).between(low, high)).agg(F.percentile_approx(col, F.array(F.lit(max(0.0, share - slack)), F.lit(min(1.0, share + slack))), 10_000).alias("q")).first()["q"]
+        more, rest = scored.agg(F.count_if(F.col(col) > q[1]), F.count_if(F.col(col).between(*q))).first()
+        if not more < k <= more + rest or rest == between:
+            break
+        (low, high), above, between = q, more, rest
+    rows = scored.filter(F.col(col).between(low, high)).select(col, F.coalesce("doc_id", F.lit(NO_ID)).alias("d"))
+    last = rows.orderBy(F.desc(col), "d").limit(k - above).agg(F.min(F.struct(F.col(col).alias("v"), (-F.col("d")).alias("d"))).alias("m")).first()["m"]
     return last["v"], -last["d"]
 
 
@@ -146,50 +160,31 @@ def among(last: tuple[float, int] | None, col: str = "noisy"):
     return (F.col(col) > last[0]) | ((F.col(col) == last[0]) & (F.coalesce("doc_id", F.lit(NO_ID)) <= last[1]))
 
 
-def share_to_keep(scored: DataFrame) -> float | None:
-    """The noisy weight from which labelled documents are best kept: least (LOSS * good ones lost + bad ones kept)."""
-    rows = scored.filter("good is not null").select("good", "noisy").collect()  # at most LABELLED
-    if not rows:
-        return None
-    good, x = np.array([r["good"] for r in rows]), np.array([r["noisy"] for r in rows])
-    order = np.argsort(x)
-    good, x = good[order], x[order]
-    cost = np.r_[0, np.cumsum(np.where(good, LOSS, 0))] + np.r_[np.cumsum(~good[::-1])[::-1], 0]
-    at = int(cost.argmin())
-    return -np.inf if at == 0 else float(x[at - 1] + x[min(at, len(x) - 1)]) / 2
-
-
-def draw(docs: DataFrame, labels: DataFrame, most: int = LABELLED, seed: int = SEED):
-    """Fits and draws: the ratios, the last row drawn, and all rows scored (doc_id, good, log_weight, noisy).
+def draw(docs: DataFrame, labels: DataFrame, share: float | None = None, most: int = LABELLED, seed: int = SEED) -> DataFrame:
+    """docs (doc_id, text) -> doc_id, text_hash, log_weight, noisy, kept.
 
-    The target model is fitted on one half of the labelled documents, the number k to draw on the other half. Without
-    labels all are drawn. Null or empty text: weight 0. Rows with the same doc_id and text are drawn or left together.
+    The target model is fitted on the labelled good documents. The number to draw, k, is `share` of all rows, rounded;
+    without a share that of the good ones among the labelled. Without labels all are drawn. Null or empty text: weight 0.
+    Rows with the same doc_id and text are drawn or left together, so the last of the k may bring its equals.
     """
     ship(docs.sparkSession)
-    told = F.broadcast(labelled(labels, most))  # at most `most` rows
-    docs = docs.select("doc_id", "text").join(told, F.col("doc_id") == told["its_doc"], "left").drop("its_doc")
-    half = F.pmod(F.xxhash64("doc_id", F.lit(1)), F.lit(2)) == 0
-    ratios = fit(docs.withColumn("good", F.when(half, F.col("good"))))
-    scored = weigh(docs.select("doc_id", F.when(~half, F.col("good")).alias("good"), "text"), ratios)
+    told = labelled(labels, most)  # at most `most` rows
+    if share is None:
+        share = told.agg(F.avg(F.col("good").cast("double"))).first()[0]
+    docs = docs.select("doc_id", "text").join(F.broadcast(told), F.col("doc_id") == told["its_doc"], "left").drop("its_doc")
+    ratios = fit(docs)
+    scored = weigh(docs.select("doc_id", F.xxhash64("text").alias("text_hash"), "text"), ratios)
     scored = stored(scored.withColumn("noisy", F.col("log_weight") + gumbel(seed)), "weights")
-    least = share_to_keep(scored)
-    k = scored.count() if least is None else scored.filter(F.col("noisy") >= least).count()
-    return ratios, last_of_k(scored, k), scored
-
-
-def select(docs: DataFrame, labels: DataFrame, most: int = LABELLED, seed: int = SEED) -> DataFrame:
-    """docs (doc_id, text) -> doc_id, log_weight, noisy, kept: see draw()."""
-    _, last, scored = draw(docs, labels, most, seed)
-    return scored.select("doc_id", "log_weight", "noisy", among(last).alias("kept"))
+    k = scored.count() if share is None else round(share * scored.count())
+    return scored.withColumn("kept", among(last_of_k(scored, k)))
 
 
-def drawn(docs: DataFrame, labels: DataFrame, most: int = LABELLED, seed: int = SEED) -> DataFrame:
-    """The rows of docs that are drawn, with all their columns, whatever their names."""
-    rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("whole"), F.col("doc_id").cast("long").alias("doc_id"), "text")
-    ratios, last, _ = draw(rows, labels, most, seed)
-    return weigh(rows, ratios).withColumn("noisy", F.col("log_weight") + gumbel(seed)).filter(among(last)).select("whole.*")
+def drawn(docs: DataFrame, labels: DataFrame, share: float | None = None, most: int = LABELLED, seed: int = SEED) -> DataFrame:
+    """The rows of docs that are drawn, with all their columns, whatever their names: see draw()."""
+    left = draw(id_text(docs), labels, share, most, seed).filter("not kept")
+    return without(docs, left.select(F.coalesce("doc_id", F.lit(LAST_ID)).alias("its_doc"), "text_hash").distinct())
 
 
 def op7_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every document's importance weight, and whether it is drawn."""
-    return select(id_text(spark.read.parquet(f"{sf_dir}/documents.parquet")), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    """Every document's importance weight, and whether it is drawn: see draw()."""
+    return draw(id_text(spark.read.parquet(f"{sf_dir}/documents.parquet")), spark.read.parquet(f"{sf_dir}/labels.parquet")).drop("text_hash")

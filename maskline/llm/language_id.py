@@ -1,8 +1,14 @@
 """Language ID: an interpolated Kneser-Ney character model (trigrams) for each language, in sorted hash arrays.
 
 A text's letters are lower-cased, other runs become one blank. Each different trigram of a text is looked up once. The
-language of the lowest cross-entropy per letter wins. A text is rejected where even that is above what the
-learned texts of that language reach (their REJECT quantile); rejection halves the score, the prediction stays.
+language of the lowest cross-entropy per letter wins. A text is rejected where even that is above what other texts of that
+language reach (the REJECT quantile of labelled texts that the counts leave out for this); rejection halves the score, the
+prediction stays.
+
+Every task holds the models while they have at most MAX_GRAMS different trigrams. Beyond that it holds the final logarithms
+of the frequent trigrams alone; the texts' other trigrams go to the part of the models that they need, that of their
+middle letter (letters are few and go to all parts), and their logarithms are joined to the texts. All counts are used
+either way.
 """
 
 from __future__ import annotations
@@ -16,15 +22,15 @@ from pyspark.sql import functions as F
 
 from maskline.plans.session import ship
 
-from .common import stored
-from .counts import Counter, bounded
+from .common import each_group, stored, tidy
+from .counts import HELD, MOST, Counter, bounded
 
 #: Absolute discount.
 DISCOUNT = 0.75
-#: Bound on the models: (language, trigram) pairs that they keep together.
-MAX_GRAMS = 2_000_000
-#: Share of the learned texts of a language that its threshold lets pass.
-REJECT = 0.995
+#: Different trigrams that every task holds; beyond, the rarer ones are looked up by a shuffle.
+MAX_GRAMS = 1_000_000
+#: Share of the left-out texts of a language that its threshold lets pass; one labelled text in APART is left out.
+REJECT, APART = 0.995, 10
 UNKNOWN = "und"
 BITS = 21
 ONE = (1 << BITS) - 1
@@ -56,26 +62,35 @@ def trigrams(text: str) -> tuple[np.ndarray, int]:
 
 
 def count_languages(docs: DataFrame, languages: list[str]) -> DataFrame:
-    """lang, code, n of the trigrams of text; a task sums its own first."""
+    """lang (its place among the languages), code, n of the trigrams of text; a task sums its own first."""
+    place = {x: i for i, x in enumerate(languages)}
+
+    def rows(lang: int, c: Counter) -> Iterator[pa.RecordBatch]:
+        for codes, n in c.batches():
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(codes), lang, np.int32)), pa.array(codes), pa.array(n)], ["lang", "code", "n"])
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counters = {x: Counter() for x in languages}
+        counters = [Counter(HELD // len(languages), MOST // len(languages)) for _ in languages]  # together as large as one
         for b in batches:
             for lang, text in zip(b["lang"].to_pylist(), b["text"].to_pylist()):
                 codes, n = np.unique(trigrams(text)[0], return_counts=True)
-                counters[lang].add(codes, n)
-        for lang, c in counters.items():
-            codes, n = c.result()
-            for lo in range(0, len(codes), 1 << 16):
-                yield pa.RecordBatch.from_arrays([pa.array([lang] * len(codes[lo : lo + (1 << 16)]), pa.string()), pa.array(codes[lo : lo + (1 << 16)]), pa.array(n[lo : lo + (1 << 16)])], ["lang", "code", "n"])
+                (c := counters[place[lang]]).add(codes, n)
+                if c.full():
+                    yield from rows(place[lang], c)
+        for i, c in enumerate(counters):
+            yield from rows(i, c)
+        tidy()
 
-    return docs.select("lang", "text").mapInArrow(count, "lang string, code long, n long").groupBy("lang", "code").agg(F.sum("n").alias("n"))
+    return docs.select("lang", "text").mapInArrow(count, "lang int, code long, n long").groupBy("lang", "code").agg(F.sum("n").alias("n"))
 
 
 class Models:
-    """For all languages at once: sorted trigrams, bigrams and letters, and a column of values for each language."""
+    """For all languages at once: sorted trigrams, bigrams and letters, and a column of values for each language.
+
+    With letters (codes, and a column for each language of how many letters each one follows) the trigrams are those of
+    some middle letters; only what letters follow needs the others."""
 
-    def __init__(self, languages: list[str], lang: np.ndarray, codes: np.ndarray, counts: np.ndarray):
+    def __init__(self, languages: list[str], lang: np.ndarray, codes: np.ndarray, counts: np.ndarray, letters: tuple[np.ndarray, np.ndarray] | None = None):
         k = len(languages)
         self.languages = languages
         pair, single = (1 << 2 * BITS) - 1, ONE
@@ -85,6 +100,8 @@ class Models:
         self.pairs, suffix = np.unique(self.grams & pair, return_inverse=True)
         self.heads, head = np.unique(self.grams >> BITS, return_inverse=True)
         self.chars, last = np.unique(self.pairs & single, return_inverse=True)
+        if letters is not None:
+            self.chars, last = letters[0], np.searchsorted(letters[0], self.pairs & single)
         self.firsts, first = np.unique(self.pairs >> BITS, return_inverse=True)
 
         def summed(values: np.ndarray, at: np.ndarray, n: int) -> np.ndarray:
@@ -93,7 +110,7 @@ class Models:
         seen = (count > 0).astype(float)
         before = summed(seen, suffix, len(self.pairs))  # different letters before a pair
         follow = (before > 0).astype(float)
-        char = summed(follow, last, len(self.chars))
+        char = summed(follow, last, len(self.chars)) if letters is None else letters[1]
         size = len(self.chars) + 1
         every = np.maximum(char.sum(0), 1)
         kinds = (char > 0).sum(0)
@@ -124,67 +141,118 @@ class Models:
             p[miss] = self.look(self.heads, c >> BITS, self.w3, 1.0) * p2
         return np.log2(p)
 
-    def entropies(self, codes: np.ndarray) -> np.ndarray:
-        """Bits a letter of these trigrams in each language."""
-        codes, n = np.unique(codes, return_counts=True)
-        return -(n @ self.log2(codes)) / n.sum()
 
+def taught(docs: DataFrame, languages: list[str]) -> DataFrame:
+    """lang, code, n: the trigram counts of the rows that teach."""
+    return stored(count_languages(docs, languages), "trigrams")
 
-def learn(docs: DataFrame, max_grams: int = MAX_GRAMS) -> Models | None:
-    known = docs.filter("lang is not null and text is not null")
-    languages = sorted(r["lang"] for r in known.select("lang").distinct().collect())
-    if not languages:
-        return None
-    counts = bounded(stored(count_languages(known, languages), "trigrams"), max_grams).toArrow()
-    if not len(counts):
-        return None
-    index = {x: i for i, x in enumerate(languages)}
-    lang = counts["lang"].combine_chunks().dictionary_encode()
-    lang = np.array([index[x] for x in lang.dictionary.to_pylist()])[lang.indices.to_numpy()]
-    return Models(languages, lang, counts["code"].to_numpy(), counts["n"].to_numpy())
 
+def columns(rows: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    return rows["lang"].to_numpy(), rows["code"].to_numpy(), rows["n"].to_numpy()
 
-def predict(docs: DataFrame, models: Models | None) -> DataFrame:
-    """docs (text and columns to keep) with lang_pred, bits (per letter, in that language) and score.
 
-    Null text or none of letters: 'und', score 0, bits null. Without a model likewise. Ties: the first language by name.
-    """
-    kept = [c for c in docs.columns if c != "text"]
-    sent = docs.sparkSession.sparkContext.broadcast(models)
+def part_models(grams: DataFrame, languages: list[str], asked: DataFrame | None = None) -> DataFrame:
+    """code, logs (a language each): log2 probabilities of the asked trigrams, or of all known ones, by their middle letter."""
+    follow = grams.select("lang", F.col("code").bitwiseAND(F.lit((1 << 2 * BITS) - 1)).alias("pair")).distinct()
+    rows = follow.groupBy("lang", F.col("pair").bitwiseAND(F.lit(ONE)).alias("code")).agg(F.count("*").alias("n")).toArrow()  # as many as the languages have letters
+    lang, code, n = columns(rows)
+    chars, at = np.unique(code, return_inverse=True)
+    values = np.zeros((len(chars), len(languages)))
+    values[at, lang] = n
+    sent = grams.sparkSession.sparkContext.broadcast((chars, values))
+    part = F.shiftright("code", BITS).bitwiseAND(F.lit(ONE)).alias("part")
+    rows = grams.select(part, "lang", "code", "n")
+    if asked is not None:
+        rows = rows.unionByName(asked.select("code").distinct().select(part, F.lit(0).alias("lang"), "code", F.lit(0).cast("long").alias("n")))
+
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for t in each_group(batches, "part"):
+            lang, code, n = columns(t)
+            wanted = np.unique(code) if asked is None else code[n == 0]
+            models = Models(languages, lang[n > 0], code[n > 0], n[n > 0], sent.value)
+            for lo in range(0, len(wanted), 1 << 12):
+                some = wanted[lo : lo + (1 << 12)]
+                yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(list(models.log2(some)), pa.list_(pa.float64()))], ["code", "logs"])
+        tidy()
+
+    return rows.repartition("part").sortWithinPartitions("part").mapInArrow(each, "code long, logs array<double>")
+
+
+def frequent(grams: DataFrame, languages: list[str], max_grams: int) -> tuple[np.ndarray, np.ndarray]:
+    """The most frequent trigrams, sorted, and their log2 probabilities in each language."""
+    head = bounded(grams.groupBy("code").agg(F.sum("n").alias("n")), max_grams).select("code")
+    rows = part_models(grams, languages).join(head, "code").toArrow()
+    codes = rows["code"].to_numpy()
+    logs = np.array(rows["logs"].to_pylist()).reshape(len(codes), len(languages))
+    order = np.argsort(codes)
+    return codes[order], logs[order]
+
+
+def entropies(docs: DataFrame, grams: DataFrame, languages: list[str], max_grams: int) -> DataFrame:
+    """docs (text and a column `own`) -> own, n (trigrams), sums (a language each): log2 probabilities of the text's trigrams."""
+    k = len(languages)
+    fits = grams.select("code").distinct().count() <= max_grams
+    sent = grams.sparkSession.sparkContext.broadcast(Models(languages, *columns(grams.toArrow())) if fits else frequent(grams, languages, max_grams))
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        models = sent.value
+        head = sent.value
         for b in batches:
-            langs, bits, scores = [], [], []
+            sizes, sums, tail, tail_n = [], [], [], []
             for text in b["text"].to_pylist():
-                codes, n = trigrams(text or "")
-                if not n or models is None:
-                    langs.append(UNKNOWN), bits.append(None), scores.append(0.0)
+                codes, _ = trigrams(text or "")
+                sizes.append(len(codes))
+                codes, n = np.unique(codes, return_counts=True)
+                if fits:
+                    sums.append(n @ head.log2(codes) if len(codes) else np.zeros(k))
+                    tail.append(None), tail_n.append(None)
                     continue
-                h = models.entropies(codes)
-                best = int(h.argmin())
-                langs.append(models.languages[best]), bits.append(float(h[best]))
-                scores.append(float(1 / np.exp2((h[best] - h) * len(codes) ** 0.5).sum()))
-            yield pa.RecordBatch.from_arrays([*(b[c] for c in kept), pa.array(langs, pa.string()), pa.array(bits, pa.float64()), pa.array(scores)], [*kept, "lang_pred", "bits", "score"])
-
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema if f.name != "text")
-    return docs.select(*kept, "text").mapInArrow(each, f"{fields}, lang_pred string, bits double, score double")
-
-
-def identify(docs: DataFrame, reject: float = REJECT) -> DataFrame:
+                at = np.minimum(np.searchsorted(head[0], codes), max(0, len(head[0]) - 1))
+                hit = head[0][at] == codes if len(head[0]) else np.zeros(len(codes), bool)
+                sums.append(n[hit] @ head[1][at[hit]] if hit.any() else np.zeros(k))
+                tail.append(None if hit.all() else codes[~hit]), tail_n.append(None if hit.all() else n[~hit])
+            yield pa.RecordBatch.from_arrays([b["own"], pa.array(sizes, pa.int64()), pa.array(sums, pa.list_(pa.float64())), pa.array(tail, pa.list_(pa.int64())), pa.array(tail_n, pa.list_(pa.int64()))], ["own", "n", "sums", "tail", "tail_n"])
+        tidy()
+
+    kind = docs.schema["own"].dataType.simpleString()
+    found = docs.select("own", "text").mapInArrow(each, f"own {kind}, n long, sums array<double>, tail array<long>, tail_n array<long>")
+    found = stored(found.withColumn("row", F.monotonically_increasing_id()), "entropies")
+    if fits:
+        return found.select("own", "n", "sums")
+    tail = found.filter("tail is not null").select("row", F.inline(F.arrays_zip(F.col("tail").alias("code"), F.col("tail_n").alias("times"))))
+    tail = tail.join(part_models(grams, languages, tail), "code")
+    tail = tail.groupBy("row").agg(F.array(*(F.sum(F.get("logs", F.lit(i)) * F.col("times")) for i in range(k))).alias("more"))
+    sums = F.when(F.col("more").isNull(), F.col("sums")).otherwise(F.zip_with("sums", "more", lambda x, y: x + y))
+    return found.join(tail, "row", "left").select("own", "n", sums.alias("sums"))
+
+
+def identify(docs: DataFrame, reject: float = REJECT, max_grams: int = MAX_GRAMS) -> DataFrame:
     """docs (doc_id, text, lang, held_out): learns from the rows not held out, predicts all from their text alone.
 
-    Returns doc_id, held_out, lang_pred, score, rejected.
+    Returns doc_id, held_out, lang_pred, bits (a letter, in that language), score, rejected. Null text or none of letters:
+    'und', score 0, bits null, rejected; without a row that teaches, so are all. Ties: the first language by name. Rows with
+    the same doc_id are judged one by one.
     """
     ship(docs.sparkSession)
-    models = learn(docs.filter(~F.col("held_out")))
-    found = stored(predict(docs.select("doc_id", "held_out", F.col("lang").alias("told"), "text"), models), "languages")
-    limits = found.filter("not held_out and told = lang_pred").groupBy("lang_pred").agg(F.percentile_approx("bits", reject, 10_000).alias("most")).collect()
+    known = docs.filter("not held_out and lang is not null and text is not null")
+    languages = sorted(r["lang"] for r in known.select("lang").distinct().collect())
+    apart = F.pmod(F.xxhash64(F.col("doc_id"), F.lit("apart")), F.lit(APART)) == 0
+    own = F.struct("doc_id", "held_out", F.when(~F.col("held_out") & apart, F.col("lang")).alias("told"))
+    grams = taught(known.filter(~apart), languages) if languages else None
+    if grams is None or grams.isEmpty():
+        none = F.lit(None).cast("double")
+        return docs.select("doc_id", "held_out", F.lit(UNKNOWN).alias("lang_pred"), none.alias("bits"), F.lit(0.0).alias("score"), F.lit(True).alias("rejected"))
+    found = entropies(docs.select(own.alias("own"), "text"), grams, languages, max_grams)
+    best = F.array_max("sums")
+    names = F.array(*(F.lit(x) for x in languages))
+    odds = F.aggregate("sums", F.lit(0.0), lambda a, x: a + F.pow(F.lit(2.0), (x - best) / F.sqrt("n")))
+    some = F.col("n") > 0
+    found = found.select("own.*", F.when(some, F.get(names, (F.array_position("sums", best) - 1).cast("int"))).otherwise(UNKNOWN).alias("lang_pred"), F.when(some, -best / F.col("n")).alias("bits"), F.when(some, 1 / odds).otherwise(0.0).alias("score"))
+    limits = found.filter("told = lang_pred").groupBy("lang_pred").agg(F.percentile_approx("bits", reject, 10_000).alias("most")).collect()  # a row a language
     most = F.lit(None).cast("double")
     for r in limits:
         most = F.when(F.col("lang_pred") == r["lang_pred"], r["most"]).otherwise(most)
     rejected = F.coalesce(F.col("bits") > most, F.col("lang_pred") == UNKNOWN)
-    return found.select("doc_id", "held_out", "lang_pred", F.when(rejected, F.col("score") / 2).otherwise(F.col("score")).alias("score"), rejected.alias("rejected"))
+    return found.select("doc_id", "held_out", "lang_pred", "bits", F.when(rejected, F.col("score") / 2).otherwise(F.col("score")).alias("score"), rejected.alias("rejected"))
 
 
 def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import Recent, as_bytes, cached, each_group, id_text, stored, tidy, windows, word_hashes
+from .common import BROADCAST_IDS, LAST_ID, Recent, as_bytes, cached, each_group, id_text, keyed, stored, tidy, windows, without, word_hashes
 from .counts import Counter
 from .graph import components
 
@@ -37,11 +37,8 @@ BLOCK = 1024
 FAN = 16
 #: Bits of a signature for each shingle, at least.
 BITS = 4
-#: Ids of documents that may be sent to all tasks (8 bytes each); more are joined by a shuffle.
-BROADCAST_IDS = 2_000_000
 #: Stands for a null doc_id in joins.
 NO_ID = -(1 << 63)
-LAST_ID = (1 << 63) - 1
 
 
 class SizedHashes(Recent):
@@ -402,18 +399,6 @@ def one_of_each(docs: DataFrame, percent: int = PERCENT, size: int = SHINGLE) ->
     return without(out, twice).unionByName(rows.dropDuplicates(["its_doc", "text_hash"]).select("whole.*"))
 
 
-def keyed(docs: DataFrame) -> DataFrame:
-    """its_doc, text_hash and whole (the row)."""
-    return docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST_ID)).alias("its_doc"), F.xxhash64(F.col("text").cast("string")).alias("text_hash"), F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("whole"))
-
-
-def without(docs: DataFrame, keys: DataFrame) -> DataFrame:
-    """The rows of docs whose its_doc and text_hash aren't among the keys; the keys go to all tasks only if they are few."""
-    keys = stored(keys, "dropped")
-    few = keys.count() <= BROADCAST_IDS
-    return keyed(docs).join(F.broadcast(keys) if few else keys, ["its_doc", "text_hash"], "left_anti").select("whole.*")
-
-
 def op1_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's component of the 4-word shingle Jaccard join at 0.85."""
     return linked(id_text(spark.read.parquet(f"{sf_dir}/documents.parquet"))).select("doc_id", "n_shingles", "component_id")

@@ -20,14 +20,14 @@ def corpus(spark):
 
 def test_importance_keeps_what_looks_like_the_target(spark):
     docs, labels = corpus(spark)
-    got = {r["doc_id"]: r["kept"] for r in importance.select(docs, labels).collect()}
+    got = {r["doc_id"]: r["kept"] for r in importance.draw(docs, labels).collect()}
     assert len(got) == 203 and all(got[i] == bool(i % 4) for i in range(200)) and got[902]
 
 
 def test_importance_without_labels_keeps_all(spark):
     docs, labels = corpus(spark)
-    assert importance.select(docs, labels.filter("false")).filter("kept").count() == 203
-    assert importance.select(docs.filter("false"), labels).count() == 0
+    assert importance.draw(docs, labels.filter("false")).filter("kept").count() == 203
+    assert importance.draw(docs.filter("false"), labels).count() == 0
 
 
 def test_top_k_is_exact(spark):
@@ -38,6 +38,50 @@ def test_top_k_is_exact(spark):
         assert got == {d for _, d in want[:k]}
 
 
+def test_top_k_by_narrowing(spark):
+    df = spark.range(5000).select(F.col("id").alias("doc_id"), F.log(F.pmod(F.xxhash64("id"), F.lit(3000)) + 1).alias("noisy"))
+    want = sorted(((-r["noisy"], r["doc_id"]) for r in df.collect()))
+    for k in (3, 2500, 4990):
+        assert {r["doc_id"] for r in df.filter(importance.among(importance.last_of_k(df, k, ranked=10))).collect()} == {d for _, d in want[:k]}
+
+
+def test_inclusion_rates_follow_the_weights(spark):
+    """Half of the rows weigh three times as much: rates as in drawing one by one in proportion to the weights."""
+    n, k, seeds, rng = 200, 60, range(60), np.random.default_rng(0)
+    noise = spark.range(n).select(F.col("id").alias("doc_id")).select("doc_id", *(importance.gumbel(s).alias(f"s{s}") for s in seeds)).orderBy("doc_id").toPandas()
+    weights = np.where(np.arange(n) < n // 2, 3.0, 1.0)
+    drawn = [(np.argsort(-(np.log(weights) + noise[f"s{s}"].to_numpy()))[:k] < n // 2).sum() for s in seeds]
+    wanted = [(rng.choice(n, k, False, weights / weights.sum()) < n // 2).sum() for _ in range(2000)]
+    assert abs(np.mean(drawn) - np.mean(wanted)) < 4 * np.std(wanted) / len(seeds) ** 0.5
+
+
+def brute_features(text):
+    """Buckets of a text's features, one by one."""
+    tokens = re.findall(rb"[A-Za-z\x80-\xff]+|[0-9]+|[^\sA-Za-z0-9\x80-\xff]+", (text or "").encode())
+    h = [importance.TokenHashes().make(t) for t in tokens]
+    shape = [(x & 63) * 2 + (x in h[max(0, i - 4) : i]) for i, x in enumerate(h)]
+    values = h + [a * 0x9E3779B97F4A7C15 + b for a, b in zip(h, h[1:])]
+    values += [x + 0xD6E8FEB86659FD93 for x in shape] + [(a << 16) + b + 0xA5A5A5A5A5A5A5A5 for a, b in zip(shape, shape[1:])]
+    return [int(importance.mixed(np.array([v % 2**64], np.uint64))[0]) % importance.BUCKETS for v in values]
+
+
+def test_importance_weights_against_brute_force(spark):
+    docs, labels = corpus(spark)
+    texts = {r["doc_id"]: r["text"] for r in docs.collect()}
+    buckets = {d: brute_features(t) for d, t in texts.items()}
+    raw, target = np.ones(importance.BUCKETS), np.zeros(importance.BUCKETS)
+    for d, b in buckets.items():
+        np.add.at(raw, b, 1)
+        if d < 100 and d % 4:
+            np.add.at(target, b, 1)
+    ratios = np.log((target + importance.PRIOR) / (raw / raw.sum() * target.sum() + importance.PRIOR))
+    got = {r["doc_id"]: r for r in importance.draw(docs, labels).collect()}
+    for d, b in buckets.items():
+        assert got[d]["log_weight"] == pytest.approx(ratios[b].sum() / 4 * min(1, importance.EVIDENCE / max(1, len(b) / 4)))
+    assert sum(r["kept"] for r in got.values()) == round(0.75 * len(texts))
+    assert importance.draw(docs, labels, share=0.1).filter("kept").count() == 20
+
+
 def test_drawn_rows_keep_their_columns(spark):
     docs, labels = corpus(spark)
     docs = docs.withColumn("noisy", F.lit("n")).withColumn("good", F.lit(1)).withColumn("a.b", F.lit(2))
