@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from maskline.llm import decontamination, importance, mixing, ngram_join, token_files
-from maskline.llm.common import id_text, stored
+from maskline.llm.common import LAST_ID, discard, id_text, stored, without
 
 #: Near duplicates of the corpus: similarity in percent, and words of a shingle (op1_ngram_join has its own).
 NEAR_PERCENT, NEAR_WORDS = 80, 5
@@ -28,7 +28,7 @@ def keep_one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold a benchmark item go."""
     found = decontamination.leaks(id_text(docs), spark.read.parquet(f"{sf_dir}/benchmark.parquet")).filter("leak")
-    return ngram_join.without(docs, found.select(F.coalesce("doc_id", F.lit(ngram_join.LAST_ID)).alias("its_doc"), "text_hash").distinct())
+    return without(docs, found.select(F.coalesce("doc_id", F.lit(LAST_ID)).alias("its_doc"), "text_hash").distinct())
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -57,8 +57,8 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for i, (_, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
-        if i < len(STAGES) - 1:
-            docs = stored(docs, f"stage-{i}")
-    return docs
+    for i, (_, stage) in enumerate(STAGES[:-1]):
+        before, docs = docs, stored(stage(spark, docs, sf_dir), f"stage-{i}")
+        if i:
+            discard(before)
+    return STAGES[-1][1](spark, docs, sf_dir)
