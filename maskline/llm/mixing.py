@@ -4,6 +4,9 @@ Only DataFrame functions. A naive Bayes classifier, fitted on a labelled table,
 domains. Nonnegative rates (how often a document goes into the mix) are then fitted by projected-gradient least
 squares, so that the expected tokens of each domain, summed over the posteriors, match the targets.
 
+The classifier sees how often some letters and some words come. Which ones, it learns: those that tell most about the domain
+(mutual information) in labelled texts, whatever their script.
+
 A step moves rate i by the domains' relative residuals, weighted by its posterior: that is the gradient in the metric of
 the documents' tokens, in which the largest curvature is 1, so the step size is 1. A rate after k steps is a fold over the
 k residual vectors; no rates are kept between steps, and each step is one aggregate over (tokens, posterior).
@@ -16,13 +19,14 @@ import math
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import stored
+from .common import discard, stored
 
 WORD = r"[^\x20\x09-\x0D]+"
-#: The letters whose counts the classifier sees; all other bytes count as one kind.
-LETTERS = "enrsthwäüßéèçñó"
-#: A text counts as so many letters at most in its posterior: neighbouring letters are not independent.
-EVIDENCE = 60.0
+#: Labelled texts (those of the smallest hashes) that letters and words are chosen from, and how many of either.
+TAUGHT = 2_000
+LETTERS, WORDS = 16, 16
+#: A text counts as so many letters, and as so many words, at most: neighbours are not independent.
+EVIDENCE = {"letters": 60.0, "words": 20.0}
 SMOOTHING = 1.0
 #: A posterior is mixed with the prior by this much, so that no domain is ruled out.
 DOUBT = 0.001
@@ -32,41 +36,80 @@ TOLERANCE = 1e-4
 TEMPER = 0.7
 
 
-def measured(docs: DataFrame) -> DataFrame:
-    """docs with n_tokens, text_hash and counts (array: LETTERS, then all other bytes). Null or empty text: all 0."""
-    df = docs.withColumn("low", F.lower(F.coalesce(F.col("text"), F.lit(""))))
+def low(text: str = "text") -> Column:
+    return F.lower(F.coalesce(F.col(text), F.lit("")))
+
+
+def telling(labelled: DataFrame, most: int = TAUGHT, letters: int = LETTERS, words: int = WORDS) -> dict[str, list[str]]:
+    """The letters and words that tell most about the domain in at most `most` texts (domain, text), each text counting as one."""
+    sample = labelled.filter("domain is not null and text is not null").orderBy(F.xxhash64("text", "domain"), "domain", "text").limit(most)
+    sample = stored(sample.select("domain", low().alias("low")), "labelled-texts")
+    parts = F.array(F.struct(F.lit("letters").alias("kind"), F.array_remove(F.split("low", ""), " ").alias("x")), F.struct(F.lit("words").alias("kind"), F.array_remove(F.split("low", r"[\x20\x09-\x0D]+"), "").alias("x")))
+    rows = sample.select("domain", F.inline(parts)).select("domain", "kind", F.size("x").alias("size"), F.explode("x").alias("x"))
+    counts = stored(rows.groupBy("kind", "x", "domain").agg(F.sum(1 / F.col("size")).alias("n")), "features")
+    domains = counts.select(F.col("kind").alias("its_kind"), "domain", "n").groupBy("its_kind", "domain").agg(F.sum("n").alias("in_domain"))
+    everything = domains.groupBy(F.col("its_kind").alias("whole_kind")).agg(F.sum("in_domain").alias("in_all"))
+    both = counts.join(F.broadcast(domains.withColumnRenamed("domain", "its_domain")), (F.col("kind") == F.col("its_kind")) & (F.col("domain") == F.col("its_domain")))  # two rows a domain
+    both = both.join(F.broadcast(everything), F.col("kind") == F.col("whole_kind"))
+    of_x = counts.groupBy(F.col("kind").alias("x_kind"), F.col("x").alias("x_x")).agg(F.sum("n").alias("of_x"))
+    both = both.join(of_x, (F.col("kind") == F.col("x_kind")) & (F.col("x") == F.col("x_x")))
+    told = both.groupBy("kind", "x").agg(F.sum(F.col("n") * F.log(F.col("n") * F.col("in_all") / (F.col("of_x") * F.col("in_domain")))).alias("told"))
+    out = {k: [r["x"] for r in told.filter(F.col("kind") == k).orderBy(F.desc(F.round("told", 6)), "x").limit(n).collect()] for k, n in (("letters", letters), ("words", words))}
+    discard(sample, counts)
+    return out
+
+
+def measured(docs: DataFrame, features: dict[str, list[str]]) -> DataFrame:
+    """docs with n_tokens, text_hash, letters and words (arrays of counts: the features, then all else). Null or empty text: all 0.
+
+    A word counts where a blank stands before and after it; of two in a row the first."""
+    df = docs.withColumn("low", low())
     size = F.octet_length("low")
-    bytes_of = [size - F.octet_length(F.replace("low", F.lit(c), F.lit(""))) for c in LETTERS]
-    df = df.withColumn("bytes", F.array(*bytes_of)).withColumn("size", size)
-    df = df.withColumn("n_tokens", F.regexp_count("low", F.lit(WORD)).cast("long")).withColumn("text_hash", F.xxhash64("text")).drop("low")
-    rest = F.col("size")
-    for i in range(len(LETTERS)):
-        rest = rest - F.get("bytes", F.lit(i))
-    counts = [(F.get("bytes", F.lit(i)) / len(c.encode())).cast("double") for i, c in enumerate(LETTERS)]
-    return df.withColumn("counts", F.array(*counts, rest.cast("double"))).drop("bytes", "size")
-
-
-def fit(labelled: DataFrame) -> tuple[list[str], list[float], list[list[float]]]:
-    """Domains, log priors and, for each letter, the domains' log probabilities; labelled: domain, counts."""
-    n = len(LETTERS) + 1
-    rows = labelled.filter("domain is not null").groupBy("domain").agg(F.count("*").alias("n"), *(F.sum(F.get("counts", F.lit(i))).alias(f"c{i}") for i in range(n))).orderBy("domain").collect()
-    total = sum(r["n"] for r in rows)
-    sums = [[r[f"c{i}"] + SMOOTHING for i in range(n)] for r in rows]
-    return [r["domain"] for r in rows], [math.log(r["n"] / total) for r in rows], [[math.log(s[i] / sum(s)) for s in sums] for i in range(n)]
-
-
-def with_posterior(df: DataFrame, priors: list[float], logs: list[list[float]]) -> DataFrame:
-    """df with p, the posterior (array by domain) of a row with column counts."""
-    size = F.get("counts", F.lit(0))
-    for i in range(1, len(logs)):
-        size = size + F.get("counts", F.lit(i))
-    df = df.withColumn("scale", F.least(F.lit(1.0), F.lit(EVIDENCE) / F.greatest(size, F.lit(1.0))))
+
+    def times(x: str) -> Column:
+        return (size - F.octet_length(F.replace("low", F.lit(x), F.lit("")))) / len(x.encode())
+
+    df = df.withColumn("n_tokens", F.regexp_count("low", F.lit(WORD)).cast("long")).withColumn("text_hash", F.xxhash64("text")).withColumn("size", size.cast("double"))
+    df = df.withColumn("letters", F.array(*(times(x) for x in features["letters"])).cast("array<double>")).withColumn("words", F.array(*(times(f" {x} ") for x in features["words"])).cast("array<double>")).drop("low")
+
+    def total(name: str) -> Column:
+        out = F.lit(0.0)
+        for i, x in enumerate(features[name]):
+            out = out + F.get(name, F.lit(i)) * (len(x.encode()) if name == "letters" else 1)
+        return out
+
+    rest = {"letters": F.col("size") - total("letters"), "words": F.greatest(F.lit(0.0), F.col("n_tokens") - total("words"))}
+    return df.withColumns({k: F.concat(k, F.array(v)) for k, v in rest.items()}).drop("size")
+
+
+def fit(labelled: DataFrame, features: dict[str, list[str]]) -> tuple[list[str], list[float], dict[str, list[list[float]]]]:
+    """Domains, log priors and, for each feature, the domains' log probabilities; labelled: domain, letters, words."""
+    size = {k: len(v) + 1 for k, v in features.items()}
+    sums = [F.sum(F.get(k, F.lit(i))).alias(f"{k}{i}") for k, n in size.items() for i in range(n)]
+    rows = labelled.filter("domain is not null").groupBy("domain").agg(F.count("*").alias("n"), *sums).orderBy("domain").collect()
+    total, logs = sum(r["n"] for r in rows), {}
+    for k, n in size.items():
+        each = [[r[f"{k}{i}"] + SMOOTHING for i in range(n)] for r in rows]
+        logs[k] = [[math.log(s[i] / sum(s)) for s in each] for i in range(n)]
+    return [r["domain"] for r in rows], [math.log(r["n"] / total) for r in rows], logs
+
+
+def with_posterior(df: DataFrame, priors: list[float], logs: dict[str, list[list[float]]]) -> DataFrame:
+    """df with p, the posterior (array by domain) of a row, in place of letters and words."""
+    for k, x in logs.items():
+        size = F.get(k, F.lit(0))
+        for i in range(1, len(x)):
+            size = size + F.get(k, F.lit(i))
+        df = df.withColumn(f"scale_{k}", F.least(F.lit(1.0), F.lit(EVIDENCE[k]) / F.greatest(size, F.lit(1.0))))
     scores = []
     for d, prior in enumerate(priors):
-        score = F.lit(0.0)
-        for i, x in enumerate(logs):
-            score = score + F.get("counts", F.lit(i)) * x[d]
-        scores.append((F.col("scale") * score + prior).alias(f"d{d}"))
+        score = F.lit(prior)
+        for k, x in logs.items():
+            part = F.get(k, F.lit(0)) * x[0][d]
+            for i in range(1, len(x)):
+                part = part + F.get(k, F.lit(i)) * x[i][d]
+            score = score + F.col(f"scale_{k}") * part
+        scores.append(score.alias(f"d{d}"))
     df = df.withColumn("scores", F.array(*scores)).withColumn("most", F.array_max("scores"))
     df = df.withColumn("exps", F.array(*(F.exp(F.get("scores", F.lit(d)) - F.col("most")) for d in range(len(priors)))))
     total = F.get("exps", F.lit(0))
@@ -74,7 +117,7 @@ def with_posterior(df: DataFrame, priors: list[float], logs: list[list[float]])
         total = total + F.get("exps", F.lit(d))
     df = df.withColumn("total", total)
     p = F.array(*(F.get("exps", F.lit(d)) / F.col("total") * (1 - DOUBT) + DOUBT * math.exp(q) for d, q in enumerate(priors)))
-    return df.withColumn("p", p).drop("scale", "scores", "most", "exps", "total", "counts")
+    return df.withColumn("p", p).drop("scores", "most", "exps", "total", *logs, *(f"scale_{k}" for k in logs))
 
 
 def dot(p: Column, g: Column, n: int) -> Column:
@@ -124,42 +167,38 @@ def fit_rates(df: DataFrame, domains: list[str], weights: dict[str, float] | Non
     return history, wanted, now
 
 
-def learn(docs: DataFrame, labels: DataFrame, domain: str, weights: dict[str, float] | None, floor: float):
-    """The function that gives rows with counts, n_tokens, doc_id and text_hash their p, domains, rate and copies; and those rows of docs."""
-    spark = docs.sparkSession
-    told = labels.filter("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id")).distinct()
-    slim = stored(measured(docs.select("doc_id", F.col(domain).alias("domain"), "text")).drop("text"), "letters")
-    domains, priors, logs = fit(slim.join(told, "doc_id", "left_semi"))
-    if not domains:
-        return lambda df, seed: df.drop("counts", "text_hash").withColumns({"p": F.array().cast("array<double>"), "domains": F.array().cast("array<string>"), "rate": F.lit(1.0), "copies": F.lit(1)}), slim
-    members = stored(with_posterior(slim.filter("n_tokens > 0").select("n_tokens", "counts"), priors, logs), "members")
-    history, _, _ = fit_rates(members, domains, weights, floor)
-
-    def rated(df: DataFrame, seed: int) -> DataFrame:
-        df = with_posterior(df, priors, logs).withColumn("domains", F.array(*(F.lit(d) for d in domains)))
-        df = df.withColumn("rate", rate(history, len(domains), floor))
-        u = (F.pmod(F.xxhash64("doc_id", "text_hash", F.lit(seed)), F.lit(1 << 40)) + 0.5) / float(1 << 40)
-        return df.withColumn("copies", (F.floor("rate") + F.when(u < F.col("rate") - F.floor("rate"), 1).otherwise(0)).cast("int")).drop("text_hash")
-
-    return rated, slim
-
-
-def mix(docs: DataFrame, labels: DataFrame, domain: str = "lang", weights: dict[str, float] | None = None, floor: float = 0.0, seed: int = 11) -> DataFrame:
-    """docs (doc_id, text, the domain column, and others) with n_tokens, p, domains, rate and copies.
+def mix(docs: DataFrame, labels: DataFrame, domain: str = "lang", weights: dict[str, float] | None = None, floor: float = 0.0, seed: int = 11, keep: list[str] | None = None) -> DataFrame:
+    """docs (doc_id, text, the domain column, and others) with n_tokens, p, domains, rate and copies, which replace columns of these names.
 
     Documents whose doc_id is in labels teach the classifier what the values of the domain column look like; all
     documents, those included, then get their posterior from their text alone. copies is the rate rounded up or
-    down at random, by doc_id and text: its expectation is the rate. Without labelled documents every rate is 1.
-    Null text: no tokens, the prior as posterior. weights: by domain (default: shares to the power TEMPER).
+    down at random, by doc_id and text: its expectation is the rate, and equal rows have the same. Without labelled documents
+    every rate is 1, and p and domains are empty. Null text: no tokens, the prior as posterior. weights: by domain
+    (default: shares to the power TEMPER). keep: the columns of docs to return (default: all).
     """
-    rated, _ = learn(docs, labels, domain, weights, floor)
-    return rated(measured(docs), seed)
+    added = ["n_tokens", "p", "domains", "rate", "copies"]
+    own = [c for c in (docs.columns if keep is None else keep) if c not in added]
+    told = labels.filter("doc_id is not null").select(F.col("doc_id").cast("long").alias("told_id")).distinct()
+    rows = docs.select(F.struct(F.lit(0).alias("_"), *(F.col(f"`{c}`") for c in own)).alias("own"), F.col("doc_id").cast("long").alias("doc_id"), F.col(f"`{domain}`").cast("string").alias("domain"), F.col("text").cast("string").alias("text"))
+    features = telling(rows.join(told, rows["doc_id"] == told["told_id"], "left_semi").select("domain", "text"))
+    slim = stored(measured(rows, features).drop("text"), "letters")
+    domains, priors, logs = fit(slim.join(told, slim["doc_id"] == told["told_id"], "left_semi"), features)
+    if not domains:
+        df = slim.withColumns({"p": F.array().cast("array<double>"), "domains": F.array().cast("array<string>"), "rate": F.lit(1.0), "copies": F.lit(1)})
+    else:
+        members = stored(with_posterior(slim.filter("n_tokens > 0").select("n_tokens", "letters", "words"), priors, logs), "members")
+        history, _, _ = fit_rates(members, domains, weights, floor)
+        discard(members)
+        df = with_posterior(slim, priors, logs).withColumn("domains", F.array(*(F.lit(d) for d in domains)))
+        df = df.withColumn("rate", rate(history, len(domains), floor))
+        u = (F.pmod(F.xxhash64("doc_id", "text_hash", F.lit(seed)), F.lit(1 << 40)) + 0.5) / float(1 << 40)
+        df = df.withColumn("copies", (F.floor("rate") + F.when(u < F.col("rate") - F.floor("rate"), 1).otherwise(0)).cast("int"))
+    return df.select(*(F.col("own")[c].alias(c) for c in own), *added)
 
 
 def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The rate of every document in a mix of the corpus's size with lifted small languages."""
+    """The rate of every document in a mix of the corpus's size with lifted small languages: see mix()."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select(F.col("doc_id").cast("long").alias("doc_id"), "lang", "text")
-    rated, rows = learn(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"), "lang", None, 0.0)
-    df = rated(rows, 11)
+    df = mix(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"), keep=["doc_id"])
     best = F.array_position("p", F.array_max("p")).cast("int") - 1
     return df.select("doc_id", "n_tokens", F.get("domains", best).alias("domain"), F.array_max("p").alias("membership"), "rate", "copies")

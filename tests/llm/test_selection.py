@@ -144,9 +144,18 @@ def mixed_corpus(spark):
     return spark.createDataFrame(rows, "doc_id long, text string, lang string, rate string"), spark.createDataFrame([(i,) for i in range(50)], "doc_id long")
 
 
+def test_telling_features_are_learnt_in_any_script(spark):
+    rows = [("ru", "мама мыла раму и окно"), ("el", "η γάτα και ο σκύλος"), ("ja", "猫 は 犬 と 遊ぶ")] * 20 + [(None, "x"), ("ru", None)]
+    found = mixing.telling(spark.createDataFrame(rows, "domain string, text string"), letters=6, words=4)
+    assert len(found["letters"]) == 6 and len(found["words"]) == 4 and not set("".join(found["letters"])) & set("x ")
+    docs = spark.createDataFrame([(i, d, t) for i, (d, t) in enumerate(rows)], "doc_id long, lang string, text string")
+    got = mixing.mix(docs, docs.select("doc_id")).filter("n_tokens > 1").collect()
+    assert all(r["domains"][int(np.argmax(r["p"]))] == r["lang"] for r in got)
+
+
 def test_mixing_meets_its_targets(spark):
     docs, labels = mixed_corpus(spark)
-    df = mixing.mix(docs.drop("rate"), labels, weights={"en": 0.5, "de": 0.5})
+    df = mixing.mix(docs, labels, weights={"en": 0.5, "de": 0.5})
     rows = [r for r in df.collect()]
     totals = np.sum([np.array(r["p"]) * r["rate"] * r["n_tokens"] for r in rows], 0)
     assert totals == pytest.approx([450, 450], rel=0.01)
@@ -169,7 +178,7 @@ def test_rates_against_plain_projected_gradient(spark):
 
 def test_mixing_with_a_floor_keeps_every_document(spark):
     docs, labels = mixed_corpus(spark)
-    rows = mixing.mix(docs.drop("rate"), labels, floor=1.0).collect()
+    rows = mixing.mix(docs, labels, floor=1.0).collect()
     assert len(rows) == 102 and min(r["copies"] for r in rows) == 1
-    assert mixing.mix(docs.drop("rate"), labels.filter("false")).filter("rate = 1").count() == 102
-    assert mixing.mix(docs.drop("rate").filter("false"), labels).count() == 0
+    assert mixing.mix(docs, labels.filter("false")).filter("rate = 1").count() == 102
+    assert mixing.mix(docs.filter("false"), labels).count() == 0
