@@ -34,7 +34,7 @@ def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents of small languages come more than once; every document comes at least once."""
     rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("whole"), F.col("doc_id").cast("long").alias("doc_id"), "lang", "text")
-    mixed = mixing.mix(rows, spark.read.parquet(f"{sf_dir}/labels.parquet"), floor=1.0)
+    mixed = mixing.mix(rows, spark.read.parquet(f"{sf_dir}/labels.parquet"), floor=1.0, keep=["whole"])
     return mixed.withColumn("time", F.explode(F.sequence(F.lit(1), F.col("copies")))).select("whole.*")
 
 
