@@ -4,8 +4,8 @@ Only DataFrame functions. A naive Bayes classifier, fitted on a labelled table,
 domains. Nonnegative rates (how often a document goes into the mix) are then fitted by projected-gradient least
 squares, so that the expected tokens of each domain, summed over the posteriors, match the targets.
 
-The classifier sees how often some letters and some words come. Which ones, it learns: those that tell most about the domain
-(mutual information) in labelled texts, whatever their script.
+The classifier sees all words of a text, hashed to BUCKETS, and how often some letters come, for scripts without blanks:
+those letters that tell most about the domain (mutual information). It is fitted on at most TAUGHT labelled texts.
 
 A step moves rate i by the domains' relative residuals, weighted by its posterior: that is the gradient in the metric of
 the documents' tokens, in which the largest curvature is 1, so the step size is 1. A rate after k steps is a fold over the
@@ -15,18 +15,20 @@ k residual vectors; no rates are kept between steps, and each step is one aggreg
 from __future__ import annotations
 
 import math
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from .common import discard, stored
 
-WORD = r"[^\x20\x09-\x0D]+"
-#: Labelled texts (those of the smallest hashes) that letters and words are chosen from, and how many of either.
-TAUGHT = 2_000
-LETTERS, WORDS = 16, 16
+#: Labelled texts (those of the smallest hashes of doc_id) that the classifier is fitted on.
+TAUGHT = 4_000
+#: Buckets of words, a power of two; letters that are counted.
+BUCKETS, LETTERS = 4096, 8
 #: A text counts as so many letters, and as so many words, at most: neighbours are not independent.
-EVIDENCE = {"letters": 60.0, "words": 20.0}
+EVIDENCE = {"letters": 40.0, "words": 20.0}
 SMOOTHING = 1.0
 #: A posterior is mixed with the prior by this much, so that no domain is ruled out.
 DOUBT = 0.001
@@ -40,84 +42,99 @@ def low(text: str = "text") -> Column:
     return F.lower(F.coalesce(F.col(text), F.lit("")))
 
 
-def telling(labelled: DataFrame, most: int = TAUGHT, letters: int = LETTERS, words: int = WORDS) -> dict[str, list[str]]:
-    """The letters and words that tell most about the domain in at most `most` texts (domain, text), each text counting as one."""
-    sample = labelled.filter("domain is not null and text is not null").orderBy(F.xxhash64("text", "domain"), "domain", "text").limit(most)
-    sample = stored(sample.select("domain", low().alias("low")), "labelled-texts")
-    parts = F.array(F.struct(F.lit("letters").alias("kind"), F.array_remove(F.split("low", ""), " ").alias("x")), F.struct(F.lit("words").alias("kind"), F.array_remove(F.split("low", r"[\x20\x09-\x0D]+"), "").alias("x")))
-    rows = sample.select("domain", F.inline(parts)).select("domain", "kind", F.size("x").alias("size"), F.explode("x").alias("x"))
-    counts = stored(rows.groupBy("kind", "x", "domain").agg(F.sum(1 / F.col("size")).alias("n")), "features")
-    domains = counts.select(F.col("kind").alias("its_kind"), "domain", "n").groupBy("its_kind", "domain").agg(F.sum("n").alias("in_domain"))
-    everything = domains.groupBy(F.col("its_kind").alias("whole_kind")).agg(F.sum("in_domain").alias("in_all"))
-    both = counts.join(F.broadcast(domains.withColumnRenamed("domain", "its_domain")), (F.col("kind") == F.col("its_kind")) & (F.col("domain") == F.col("its_domain")))  # two rows a domain
-    both = both.join(F.broadcast(everything), F.col("kind") == F.col("whole_kind"))
-    of_x = counts.groupBy(F.col("kind").alias("x_kind"), F.col("x").alias("x_x")).agg(F.sum("n").alias("of_x"))
-    both = both.join(of_x, (F.col("kind") == F.col("x_kind")) & (F.col("x") == F.col("x_x")))
-    told = both.groupBy("kind", "x").agg(F.sum(F.col("n") * F.log(F.col("n") * F.col("in_all") / (F.col("of_x") * F.col("in_domain")))).alias("told"))
-    out = {k: [r["x"] for r in told.filter(F.col("kind") == k).orderBy(F.desc(F.round("told", 6)), "x").limit(n).collect()] for k, n in (("letters", letters), ("words", words))}
-    discard(sample, counts)
-    return out
+def words_of(text: Column) -> Column:
+    return F.array_remove(F.split(text, r"[\x20\x09-\x0D]+"), "")
+
+
+def bucket(word: Column) -> Column:
+    return F.xxhash64(word).bitwiseAND(F.lit(BUCKETS - 1)).cast("int")
+
 
+def telling(sample: DataFrame, letters: int = LETTERS) -> list[str]:
+    """The letters that tell most about the domain; sample: domain, low (lower-cased text), each text counting as one."""
+    rows = sample.select("domain", F.array_remove(F.split("low", ""), " ").alias("x")).select("domain", F.size("x").alias("size"), F.explode("x").alias("x"))
+    counts = rows.groupBy("x", "domain").agg(F.sum(1 / F.col("size")).alias("n"))
+    sizes = {r["domain"]: r["n"] for r in counts.groupBy("domain").agg(F.sum("n").alias("n")).collect()}  # a row a domain
+    if not sizes:
+        return []
+    size = F.create_map(*(F.lit(x) for pair in sizes.items() for x in pair))
+    n_all = F.sum("n").over(Window.partitionBy("x"))
+    told = counts.withColumn("of_x", n_all).groupBy("x").agg(F.sum(F.col("n") * F.log(F.col("n") * sum(sizes.values()) / (F.col("of_x") * size[F.col("domain")]))).alias("told"))
+    return [r["x"] for r in told.orderBy(F.desc(F.round("told", 6)), "x").limit(letters).collect()]
 
-def measured(docs: DataFrame, features: dict[str, list[str]]) -> DataFrame:
-    """docs with n_tokens, text_hash, letters and words (arrays of counts: the features, then all else). Null or empty text: all 0.
 
-    A word counts where a blank stands before and after it; of two in a row the first."""
-    df = docs.withColumn("low", low())
+def with_letters(df: DataFrame, letters: list[str]) -> DataFrame:
+    """df (low) with letters: an array of how often they come, and of how many bytes are left."""
     size = F.octet_length("low")
+    rest = size.cast("double")
+    df = df.withColumn("letters", F.array(*((size - F.octet_length(F.replace("low", F.lit(x), F.lit("")))) / len(x.encode()) for x in letters)).cast("array<double>"))
+    for i, x in enumerate(letters):
+        rest = rest - F.get("letters", F.lit(i)) * len(x.encode())
+    return df.withColumn("letters", F.concat("letters", F.array(rest)))
+
+
+def looked_up(places: Column, values: list[float]) -> Column:
+    """The sum of the values at some places."""
+    table = F.split(F.lit(",".join(f"{x:.6f}" for x in values)), ",").cast("array<double>")  # folded into a constant
+    return F.aggregate(places, F.lit(0.0), lambda a, i: a + F.get(table, i))
+
+
+@dataclass
+class Classifier:
+    domains: list[str]
+    priors: list[float]
+    letters: list[str]
+    #: By domain: log probabilities of each letter and of all other bytes, and of each bucket.
+    letter_logs: list[list[float]]
+    word_logs: list[list[float]]
+
+    def posterior(self, df: DataFrame) -> DataFrame:
+        """df (text) with n_tokens and p, the posterior (array by domain). Null, empty or wordless text: p is the prior."""
+        df = with_letters(df.withColumn("low", low()), self.letters).withColumn("buckets", F.transform(words_of(F.col("low")), bucket)).drop("low")
+        df = df.withColumn("n_tokens", F.size("buckets").cast("long"))
+        scores = []
+        for prior, letters, words in zip(self.priors, self.letter_logs, self.word_logs):
+            of_letters, n_letters = F.lit(0.0), F.lit(0.0)
+            for i, x in enumerate(letters):
+                of_letters, n_letters = of_letters + F.get("letters", F.lit(i)) * x, n_letters + F.get("letters", F.lit(i))
+            of_words = looked_up(F.col("buckets"), words)
+            each = ((of_letters, n_letters, EVIDENCE["letters"]), (of_words, F.col("n_tokens"), EVIDENCE["words"]))
+            score = F.lit(prior)
+            for total, n, most in each:
+                score = score + F.when(F.col("n_tokens") > 0, total * F.least(F.lit(1.0), F.lit(most) / F.greatest(n, F.lit(1.0)))).otherwise(0.0)
+            scores.append(score)
+        df = df.withColumn("scores", F.array(*scores)).drop("letters", "buckets")
+        return df.withColumn("p", probabilities(F.col("scores"), self.priors)).drop("scores")
+
+
+def probabilities(scores: Column, priors: list[float]) -> Column:
+    """Scores as probabilities, mixed with the prior."""
+    exps = F.transform(scores, lambda x: F.exp(x - F.array_max(scores)))
+    total = F.aggregate(exps, F.lit(0.0), lambda a, x: a + x)
+    doubt = F.array(*(F.lit(DOUBT * math.exp(q)) for q in priors))
+    return F.zip_with(exps, doubt, lambda x, d: x / total * (1 - DOUBT) + d)
+
+
+def fit(labelled: DataFrame) -> Classifier | None:
+    """The classifier of labelled texts (domain, text): a bounded number of rows. None if there are none with a domain."""
+    sample = stored(labelled.filter("domain is not null and text is not null").select("domain", low().alias("low")), "labelled-texts")
+    domains = {r["domain"]: r["count"] for r in sample.groupBy("domain").count().orderBy("domain").collect()}
+    if not domains:
+        return None
+    letters = telling(sample)
+    sums = with_letters(sample, letters).groupBy("domain").agg(*(F.sum(F.get("letters", F.lit(i))).alias(f"n{i}") for i in range(len(letters) + 1))).collect()
+    by_letter = {r["domain"]: [r[f"n{i}"] + SMOOTHING for i in range(len(letters) + 1)] for r in sums}
+    by_word = {d: [SMOOTHING] * BUCKETS for d in domains}
+    words = sample.select("domain", F.explode(words_of(F.col("low"))).alias("word")).groupBy("domain", bucket(F.col("word")).alias("b")).count()
+    for r in words.collect():  # BUCKETS rows a domain at most
+        by_word[r["domain"]][r["b"]] += r["count"]
+    discard(sample)
+
+    def logs(of: dict[str, list[float]]) -> list[list[float]]:
+        return [[math.log(x / sum(of[d])) for x in of[d]] for d in domains]
 
-    def times(x: str) -> Column:
-        return (size - F.octet_length(F.replace("low", F.lit(x), F.lit("")))) / len(x.encode())
-
-    df = df.withColumn("n_tokens", F.regexp_count("low", F.lit(WORD)).cast("long")).withColumn("text_hash", F.xxhash64("text")).withColumn("size", size.cast("double"))
-    df = df.withColumn("letters", F.array(*(times(x) for x in features["letters"])).cast("array<double>")).withColumn("words", F.array(*(times(f" {x} ") for x in features["words"])).cast("array<double>")).drop("low")
-
-    def total(name: str) -> Column:
-        out = F.lit(0.0)
-        for i, x in enumerate(features[name]):
-            out = out + F.get(name, F.lit(i)) * (len(x.encode()) if name == "letters" else 1)
-        return out
-
-    rest = {"letters": F.col("size") - total("letters"), "words": F.greatest(F.lit(0.0), F.col("n_tokens") - total("words"))}
-    return df.withColumns({k: F.concat(k, F.array(v)) for k, v in rest.items()}).drop("size")
-
-
-def fit(labelled: DataFrame, features: dict[str, list[str]]) -> tuple[list[str], list[float], dict[str, list[list[float]]]]:
-    """Domains, log priors and, for each feature, the domains' log probabilities; labelled: domain, letters, words."""
-    size = {k: len(v) + 1 for k, v in features.items()}
-    sums = [F.sum(F.get(k, F.lit(i))).alias(f"{k}{i}") for k, n in size.items() for i in range(n)]
-    rows = labelled.filter("domain is not null").groupBy("domain").agg(F.count("*").alias("n"), *sums).orderBy("domain").collect()
-    total, logs = sum(r["n"] for r in rows), {}
-    for k, n in size.items():
-        each = [[r[f"{k}{i}"] + SMOOTHING for i in range(n)] for r in rows]
-        logs[k] = [[math.log(s[i] / sum(s)) for s in each] for i in range(n)]
-    return [r["domain"] for r in rows], [math.log(r["n"] / total) for r in rows], logs
-
-
-def with_posterior(df: DataFrame, priors: list[float], logs: dict[str, list[list[float]]]) -> DataFrame:
-    """df with p, the posterior (array by domain) of a row, in place of letters and words."""
-    for k, x in logs.items():
-        size = F.get(k, F.lit(0))
-        for i in range(1, len(x)):
-            size = size + F.get(k, F.lit(i))
-        df = df.withColumn(f"scale_{k}", F.least(F.lit(1.0), F.lit(EVIDENCE[k]) / F.greatest(size, F.lit(1.0))))
-    scores = []
-    for d, prior in enumerate(priors):
-        score = F.lit(prior)
-        for k, x in logs.items():
-            part = F.get(k, F.lit(0)) * x[0][d]
-            for i in range(1, len(x)):
-                part = part + F.get(k, F.lit(i)) * x[i][d]
-            score = score + F.col(f"scale_{k}") * part
-        scores.append(score.alias(f"d{d}"))
-    df = df.withColumn("scores", F.array(*scores)).withColumn("most", F.array_max("scores"))
-    df = df.withColumn("exps", F.array(*(F.exp(F.get("scores", F.lit(d)) - F.col("most")) for d in range(len(priors)))))
-    total = F.get("exps", F.lit(0))
-    for d in range(1, len(priors)):
-        total = total + F.get("exps", F.lit(d))
-    df = df.withColumn("total", total)
-    p = F.array(*(F.get("exps", F.lit(d)) / F.col("total") * (1 - DOUBT) + DOUBT * math.exp(q) for d, q in enumerate(priors)))
-    return df.withColumn("p", p).drop("scores", "most", "exps", "total", *logs, *(f"scale_{k}" for k in logs))
+    total = sum(domains.values())
+    return Classifier(list(domains), [math.log(n / total) for n in domains.values()], letters, logs(by_letter), logs(by_word))
 
 
 def dot(p: Column, g: Column, n: int) -> Column:
@@ -170,7 +187,7 @@ def fit_rates(df: DataFrame, domains: list[str], weights: dict[str, float] | Non
 def mix(docs: DataFrame, labels: DataFrame, domain: str = "lang", weights: dict[str, float] | None = None, floor: float = 0.0, seed: int = 11, keep: list[str] | None = None) -> DataFrame:
     """docs (doc_id, text, the domain column, and others) with n_tokens, p, domains, rate and copies, which replace columns of these names.
 
-    Documents whose doc_id is in labels teach the classifier what the values of the domain column look like; all
+    Documents whose doc_id is in labels teach the classifier what the values of the domain column look like (TAUGHT of them); all
     documents, those included, then get their posterior from their text alone. copies is the rate rounded up or
     down at random, by doc_id and text: its expectation is the rate, and equal rows have the same. Without labelled documents
     every rate is 1, and p and domains are empty. Null text: no tokens, the prior as posterior. weights: by domain
@@ -178,19 +195,17 @@ def mix(docs: DataFrame, labels: DataFrame, domain: str = "lang", weights: dict[
     """
     added = ["n_tokens", "p", "domains", "rate", "copies"]
     own = [c for c in (docs.columns if keep is None else keep) if c not in added]
-    told = labels.filter("doc_id is not null").select(F.col("doc_id").cast("long").alias("told_id")).distinct()
+    told = labels.filter("doc_id is not null").select(F.col("doc_id").cast("long").alias("told_id")).distinct().orderBy(F.xxhash64("told_id"), "told_id").limit(TAUGHT)
     rows = docs.select(F.struct(F.lit(0).alias("_"), *(F.col(f"`{c}`") for c in own)).alias("own"), F.col("doc_id").cast("long").alias("doc_id"), F.col(f"`{domain}`").cast("string").alias("domain"), F.col("text").cast("string").alias("text"))
-    features = telling(rows.join(told, rows["doc_id"] == told["told_id"], "left_semi").select("domain", "text"))
-    slim = stored(measured(rows, features).drop("text"), "letters")
-    domains, priors, logs = fit(slim.join(told, slim["doc_id"] == told["told_id"], "left_semi"), features)
-    if not domains:
-        df = slim.withColumns({"p": F.array().cast("array<double>"), "domains": F.array().cast("array<string>"), "rate": F.lit(1.0), "copies": F.lit(1)})
+    model = fit(rows.join(F.broadcast(told), rows["doc_id"] == told["told_id"], "left_semi").select("domain", "text"))  # TAUGHT ids at most
+    rows = rows.withColumn("text_hash", F.xxhash64("text"))
+    if model is None:
+        df = rows.withColumns({"n_tokens": F.size(words_of(low())).cast("long"), "p": F.array().cast("array<double>"), "domains": F.array().cast("array<string>"), "rate": F.lit(1.0), "copies": F.lit(1)})
     else:
-        members = stored(with_posterior(slim.filter("n_tokens > 0").select("n_tokens", "letters", "words"), priors, logs), "members")
-        history, _, _ = fit_rates(members, domains, weights, floor)
-        discard(members)
-        df = with_posterior(slim, priors, logs).withColumn("domains", F.array(*(F.lit(d) for d in domains)))
-        df = df.withColumn("rate", rate(history, len(domains), floor))
+        domains = model.domains
+        slim = stored(model.posterior(rows).drop("text", "domain"), "members")
+        history, _, _ = fit_rates(slim.filter("n_tokens > 0").select("n_tokens", "p"), domains, weights, floor)
+        df = slim.withColumn("domains", F.array(*(F.lit(d) for d in domains))).withColumn("rate", rate(history, len(domains), floor))
         u = (F.pmod(F.xxhash64("doc_id", "text_hash", F.lit(seed)), F.lit(1 << 40)) + 0.5) / float(1 << 40)
         df = df.withColumn("copies", (F.floor("rate") + F.when(u < F.col("rate") - F.floor("rate"), 1).otherwise(0)).cast("int"))
     return df.select(*(F.col("own")[c].alias(c) for c in own), *added)
