@@ -1,6 +1,10 @@
 """Every registered query runs, and returns what its SQL returns."""
 
+import json
 import os
+import shutil
+import subprocess
+import sys
 
 import duckdb
 import pytest
@@ -42,3 +46,13 @@ def test_query(spark, name):
 def test_entry(spark):
     assert __spark_entry__.entry(spark).count() > 0
     assert set(__spark_entry__.oracle_sql()) <= set(__spark_entry__.queries())
+
+
+@pytest.mark.parametrize("pipeline_too", [True, False])
+def test_serves_without_the_training_data_folders(tmp_path, pipeline_too):
+    top = os.path.dirname(os.path.abspath(__spark_entry__.__file__))
+    gone = shutil.ignore_patterns("llm", ".git", "__pycache__", *(["corpus_pipeline.py"] if pipeline_too else []))
+    shutil.copytree(top, tmp_path / "copy", ignore=gone)
+    told = "import __spark_entry__ as e, json; print(json.dumps([sorted(e.queries()), sorted(e.oracle_sql())]))"
+    said = subprocess.run([sys.executable, "-B", "-c", told], cwd=tmp_path / "copy", env=os.environ | {"PYTHONPATH": str(tmp_path / "copy")}, capture_output=True, text=True, check=True)
+    assert said.stdout.strip() == json.dumps([sorted(catalog.QUERIES), sorted(catalog.ORACLES)])
