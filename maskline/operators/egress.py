@@ -9,10 +9,12 @@ from maskline.functions import patterns as P
 from maskline.functions import scalars as S
 
 
-def shingles(text: Column, k: int) -> Column:
-    """The different runs of k characters of a text."""
-    n = F.length(text) - k + 1
-    return F.when(n > 0, F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(n, F.lit(1))), lambda i: F.substr(text, i, F.lit(k))))).otherwise(F.array().cast("array<string>"))
+def runs(df: DataFrame, keys: list[str], text: str, k: int) -> DataFrame:
+    """keys, _run: the hashes of the different runs of k characters of a text, in time that grows with its length."""
+    chars = df.select(*keys, F.split(text, "").alias("_chars")).filter(F.size("_chars") >= k)
+    first = F.slice("_chars", F.lit(1), F.size("_chars") - k + 1)
+    run = F.transform(first, lambda c, i: F.xxhash64(c, *(F.get("_chars", i + j) for j in range(1, k))))
+    return chars.select(*keys, F.explode(F.array_distinct(run)).alias("_run"))
 
 
 def longest_run(value: Column, text: Column, least: int) -> Column:
@@ -31,8 +33,10 @@ def find_leaks(payloads: DataFrame, secrets: DataFrame, key: str, text: str = "t
     """key, secret_id, verbatim, digit_run: known values that reached a payload.
 
     secrets: secret_id, value. A value leaks if it is `least_text` long and stands in the text, case aside, or if
-    `least_digits` of its digits in a row stand in the text's digits. Both sides meet on shared runs (of the value's first
-    characters, and of digits), so only payloads that share one are compared.
+    `least_digits` of its digits in a row stand in the text's digits; digit_run is the longest such run (else 0). Each value
+    is sought by the one of its runs that the fewest values share, digits by all their runs; only keys and hashes of runs
+    are shuffled, and the texts of the pairs that meet are fetched by key. Nulls leak nothing; rows with the same key count
+    as one payload each.
     """
     t = F.lower(F.coalesce(F.col(text), F.lit("")))
     t = F.regexp_replace(t, r"\s+", " ") if squeeze else t
@@ -40,11 +44,15 @@ def find_leaks(payloads: DataFrame, secrets: DataFrame, key: str, text: str = "t
     v = F.lower(F.coalesce("value", F.lit("")))
     v = F.regexp_replace(v, r"\s+", " ") if squeeze else v
     known = secrets.select("secret_id", v.alias("_v")).distinct().withColumn("_vd", S.digits("_v"))
-    head = known.filter(F.length("_v") >= least_text).select("secret_id", "_v", F.left("_v", F.lit(least_text)).alias("_run"))
-    verbatim = pay.select(key, "_t", F.explode(shingles(F.col("_t"), least_text)).alias("_run")).join(head, "_run").filter(F.contains("_t", "_v")).select(key, "secret_id").distinct()
-    runs = known.select("secret_id", "_vd", F.explode(shingles(F.col("_vd"), least_digits)).alias("_run"))
-    digit = pay.select(key, "_d", F.explode(shingles(F.col("_d"), least_digits)).alias("_run")).join(runs, "_run").select(key, "secret_id", "_d", "_vd").distinct()
-    digit = digit.select(key, "secret_id", longest_run(F.col("_vd"), F.col("_d"), least_digits).alias("digit_run"))
+    own = runs(known, ["secret_id", "_v"], "_v", least_text)
+    shared = own.groupBy("_run").agg(F.count("*").alias("_n"))
+    seeds = own.join(shared, "_run").groupBy("secret_id", "_v").agg(F.min(F.struct("_n", "_run"))["_run"].alias("_run"))
+    meet = runs(pay, [key], "_t", least_text).join(seeds.select("secret_id", "_run"), "_run").select(key, "secret_id").distinct()
+    verbatim = meet.join(pay.select(key, "_t"), key).join(known.select("secret_id", "_v"), "secret_id")
+    verbatim = verbatim.filter((F.length("_v") >= least_text) & F.contains("_t", "_v")).select(key, "secret_id").distinct()
+    meet = runs(pay, [key], "_d", least_digits).join(runs(known, ["secret_id"], "_vd", least_digits), "_run").select(key, "secret_id").distinct()
+    digit = meet.join(pay.select(key, "_d"), key).join(known.select("secret_id", "_vd"), "secret_id")
+    digit = digit.select(key, "secret_id", longest_run(F.col("_vd"), F.col("_d"), least_digits).alias("digit_run")).groupBy(key, "secret_id").agg(F.max("digit_run").alias("digit_run")).filter("digit_run > 0")
     out = verbatim.withColumn("verbatim", F.lit(True)).join(digit, [key, "secret_id"], "full")
     return out.select(key, "secret_id", F.coalesce("verbatim", F.lit(False)).alias("verbatim"), F.coalesce("digit_run", F.lit(0)).alias("digit_run"))
 

@@ -210,17 +210,25 @@ def safe_urls(spark, d):
 
 
 def leak_rows(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
-    """Turns that hold an account number, and the accounts: every turn of a conversation quotes the customer of its number."""
+    """Turns that quote the account number of their conversation's number (of a customer, or of none), and all customers' accounts."""
     accounts = table(spark, d, "customer").select(F.col("c_custkey").alias("secret_id"), F.concat(F.lit("acct-"), F.lpad((F.col("c_custkey") * 7919 + 10000019).cast("string"), 12, "0")).alias("value"))
     turns = table(spark, d, "conversations").filter("text is not null")
     text = F.concat(F.col("text"), F.lit(" ACCT-"), F.lpad((F.col("conv_id") * 7919 + 10000019).cast("string"), 12, "0"))
     return turns.select(F.concat_ws(":", "conv_id", "turn").alias("turn_id"), text.alias("text")), accounts
 
 
-@query("SELECT concat_ws(':', conv_id, turn) AS turn_id, conv_id AS secret_id, true AS verbatim, 12 AS digit_run FROM conversations JOIN customer ON c_custkey = conv_id WHERE text IS NOT NULL")
+@query("""WITH v AS (SELECT c_custkey AS secret_id, lpad((c_custkey * 7919 + 10000019)::VARCHAR, 12, '0') AS vd FROM customer),
+p AS (SELECT concat_ws(':', conv_id, turn) AS turn_id, lower(text) || ' acct-' || lpad((conv_id * 7919 + 10000019)::VARCHAR, 12, '0') AS t FROM conversations WHERE text IS NOT NULL),
+q AS (SELECT turn_id, t, regexp_replace(t, '[^0-9]', '', 'g') AS d FROM p),
+b AS (SELECT DISTINCT turn_id, secret_id, 1 AS found FROM q JOIN v ON contains(t, 'acct-' || vd)),
+k AS (SELECT secret_id, vd, unnest(range(1, 6)) AS i FROM v),
+r AS (SELECT DISTINCT turn_id, d, substr(d, i::BIGINT, 8) AS run FROM (SELECT turn_id, d, unnest(range(1, length(d) - 6)) AS i FROM q)),
+m AS (SELECT DISTINCT turn_id, d, secret_id, vd FROM r JOIN k ON run = substr(vd, i::BIGINT, 8)),
+g AS (SELECT turn_id, secret_id, max(n) AS digit_run FROM (SELECT turn_id, secret_id, d, vd, a, unnest(range(8, 14 - a)) AS n FROM (SELECT *, unnest(range(1, 6)) AS a FROM m)) WHERE contains(d, substr(vd, a::BIGINT, n::BIGINT)) GROUP BY ALL)
+SELECT turn_id, secret_id, found IS NOT NULL AS verbatim, coalesce(digit_run, 0)::INT AS digit_run FROM b FULL JOIN g USING (turn_id, secret_id)""")
 def leaks_found(spark, d):
     pay, secrets = leak_rows(spark, d)
-    return egress.find_leaks(pay, secrets, "turn_id").filter("verbatim")
+    return egress.find_leaks(pay, secrets, "turn_id")
 
 
 # --- boxes: 32 a scan on average, at any size of the tables ---
