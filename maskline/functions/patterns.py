@@ -67,11 +67,13 @@ class Pattern:
     regex: str
     group: int = 0
     ignore_case: bool = False
+    #: The hint's name, where it isn't the kind.
+    like: str = ""
 
     @property
     def hint(self) -> str:
         """A quick pattern that every hit contains: most texts are passed over by it."""
-        return HINTS.get(self.kind, HINTS.get(self.kind.lower(), r"\d\d\d"))
+        return HINTS.get(self.like or self.kind, HINTS.get(self.kind.lower(), r"\d\d\d"))
 
     @property
     def java(self) -> str:
@@ -176,6 +178,27 @@ SCREEN = [
     Pattern("name", "NAME", "pii", ROLE_NAME, 1, True),
     Pattern("labelled_value", "LABELLED_VALUE", "pii", rf"\b({VALUE_LABELS})\s*[:\-]?\s*([^\r\n]{{2,80}})", 2, True),
 ]
+# --- fixed values: places in a page's text ---
+NAME_WITH_ID = r"\b([A-Z][a-z]+(?:\s+[A-Z][a-z]+)+)\s*[—–-]\s*(?:ISRO|EMP|ID)?[-\s]?\d+"
+KEY_VALUE = r"(?:^|[|\n\r;])\s*([a-zA-Z0-9\s._\-#]+?)\s*[:=–—]\s*([^|\n\r<]{2,120})"
+TEXT_RANGES = [
+    Pattern("email", "EMAIL", "pii", EMAIL),
+    Pattern("phone", "PHONE", "pii", PHONE),
+    Pattern("card", "CARD", "pii", CARD),
+    Pattern("ssn", "SSN", "pii", SSN),
+    Pattern("aadhaar", "AADHAAR", "pii", AADHAAR),
+    Pattern("pan", "PAN", "pii", PAN),
+    Pattern("passport", "PASSPORT", "pii", PASSPORT),
+    Pattern("driving_license", "DRIVING_LICENSE", "pii", LICENCE, like="driving_licence"),
+    Pattern("bank_account", "BANK_ACCOUNT", "pii", ACCOUNT, 0, True),
+    Pattern("ifsc", "IFSC", "pii", IFSC),
+    Pattern("upi", "UPI", "pii", UPI, 0, True),
+    Pattern("vid", "VID", "pii", VID),
+    Pattern("employee_id", "EMPLOYEE_ID", "pii", EMPLOYEE, 0, True),
+    Pattern("gstin", "GSTIN", "pii", GSTIN),
+    Pattern("name", "NAME", "pii", ROLE_NAME, 1),
+    Pattern("name", "NAME", "pii", NAME_WITH_ID, 1),
+]
 NOT_A_VALUE = r"\b(?:unread|messages?|not a contact|reserve bank|state bank|central bank|world bank)\b"
 
 # --- fixed values: patterns whose checksum is tested ---

@@ -104,8 +104,6 @@ def scan_checksummed(df: DataFrame, keys: list[str], text: str = "text") -> Data
 
 FLAGS = [P.EMAIL, P.PHONE, P.CARD, P.SSN, P.VID, P.AADHAAR, P.PAN, P.LICENCE, P.VEHICLE, P.PASSPORT, P.IFSC, P.GSTIN]
 NO_CASE_FLAGS = [P.ACCOUNT, P.UPI, P.EMPLOYEE]
-PAIR = r"\b([A-Za-z][A-Za-z0-9 /._-]{1,40}?)\s*[:=–—]\s*([^\r\n]{2,120})"
-NAME_WITH_ID = r"\b([A-Z][a-z]+(?:\s+[A-Z][a-z]+)+)\s*[—–-]\s*(?:ISRO|NASA|ESA|DRDO|BARC|EMP|STAFF|ID)[-\s]?\d{4,8}\b"
 
 
 def keyword_regex() -> str:
@@ -121,26 +119,39 @@ def has_pii(df: DataFrame, text: str = "text", out: str = "has_pii") -> DataFram
         hit |= probe.rlike(P.java(p))
     for p in NO_CASE_FLAGS:
         hit |= probe.rlike(P.java(p, True))
-    labels = F.regexp_extract_all(t, F.lit(P.java(PAIR)), F.lit(1))
+    labels = F.regexp_extract_all(t, F.lit(P.java(P.KEY_VALUE)), F.lit(1))
     hit |= F.exists(labels, lambda x: S.keyword_form(x).rlike(keyword_regex()))
-    hit |= t.rlike(P.java(P.ROLE_NAME, True)) | t.rlike(P.java(NAME_WITH_ID))
+    hit |= t.rlike(P.java(P.ROLE_NAME)) | t.rlike(P.java(P.NAME_WITH_ID))
     return df.withColumn(out, ~S.is_app_chrome(t) & hit)
 
 
 def scan_text_ranges(df: DataFrame, keys: list[str], text: str = "text") -> DataFrame:
-    """Every occurrence, overlapping or not: patterns of the screen profile, names after roles, names before ids; 3 characters at least."""
-    patterns = [p for p in P.SCREEN if p.kind not in ("gender", "dob", "chassis_number", "openai_key", "aws_key", "github_pat", "jwt_token")]
-    patterns = [*patterns, P.Pattern("name_with_id", "NAME", "pii", NAME_WITH_ID, 1)]
-    return exploded(with_findings(df, text, patterns, 3, normalize=True), keys).select(*keys, "kind", "value", "start", "length")
+    """keys, kind, value, start, length of every occurrence, overlapping or not: the patterns of a page's text, names after
+    roles and before numbers (3 characters at least), and values of sensitive labels (kind: the label, 30 characters at most)."""
+    df = df.select(*keys, F.col(text).alias("_text"))
+    hits = exploded(with_findings(df, "_text", P.TEXT_RANGES, 3).withColumn("findings", F.filter("findings", screen_guard)), keys).select(*keys, "kind", "value", "start", "length")
+    named = _key_values(df, keys, "_text").select(*keys, F.left(F.lower("label"), F.lit(30)).alias("kind"), "value", "start", F.length("value").alias("length"))
+    return hits.unionByName(named)
 
 
-def scan_key_values(df: DataFrame, keys: list[str], text: str = "text") -> DataFrame:
-    """keys, label, value of `label: value` pairs whose label is sensitive."""
+def _trim(c: Column) -> Column:
+    return F.regexp_replace(c, f"^[{P.WHITE}]+|[{P.WHITE}]+$", "")
+
+
+def _key_values(df: DataFrame, keys: list[str], text: str) -> DataFrame:
+    """keys, label, value, start of `label: value` pairs, at a line's or part's start, whose label is sensitive."""
+    pair = P.Pattern("labelled_value", "LABELLED_VALUE", "pii", P.KEY_VALUE, 2)
     t = F.coalesce(F.col(text), F.lit(""))
-    pairs = F.arrays_zip(F.regexp_extract_all(t, F.lit(P.java(PAIR)), F.lit(1)).alias("label"), F.regexp_extract_all(t, F.lit(P.java(PAIR)), F.lit(2)).alias("value"))
-    rows = df.filter(t.rlike("[:=–—]")).select(*keys, F.explode(pairs).alias("p"))
-    rows = rows.select(*keys, F.trim(F.col("p")["label"]).alias("label"), F.trim(F.col("p")["value"]).alias("value"))
-    return rows.filter(S.keyword_form("label").rlike(keyword_regex()))
+    rows = df.filter(t.rlike("[:=–—]")).withColumn("_t", t)
+    pairs = F.arrays_zip(F.regexp_extract_all("_t", F.lit(pair.java), F.lit(1)).alias("label"), places(F.col("_t"), pair, 0, 1).alias("found"))
+    rows = rows.select(*keys, F.explode(pairs).alias("p"))
+    rows = rows.select(*keys, _trim(F.col("p")["label"]).alias("label"), _trim(F.col("p")["found"]["value"]).alias("value"), F.col("p")["found"]["start"].alias("start"))
+    return rows.filter((F.length("label") > 0) & (F.length("value") >= 2) & S.keyword_form("label").rlike(keyword_regex()))
+
+
+def scan_key_values(df: DataFrame, keys: list[str], text: str = "text") -> DataFrame:
+    """keys, label, value of `label: value` pairs whose label is sensitive; parts end at line ends, `|` and `;`."""
+    return _key_values(df, keys, text).select(*keys, "label", "value")
 
 
 def sensitive_columns(df: DataFrame) -> DataFrame:

@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from maskline.functions.groups import kept_rows
+
 from .regions import overlap_pairs
 
 
@@ -12,14 +15,19 @@ def match_detections(truth: DataFrame, pred: DataFrame, scan: str = "scan_id", l
     """scan, a_id, b_id, covered, iou: greedy one-to-one matches of truth boxes (a) and predictions (b).
 
     Pairs that cover `least` of the truth box are taken by falling coverage, then IoU, then ids. A scan is one screen: its
-    candidate pairs are folded in one row.
+    candidate pairs are gone through by one task.
     """
     pairs = overlap_pairs(truth, pred, scan, "ord", "ord").filter(F.col("covered") >= least)
-    one = F.struct((-F.col("covered")).alias("_c"), (-F.col("iou")).alias("_i"), "a_id", "b_id", "covered", "iou")
-    rows = pairs.groupBy(scan).agg(F.array_sort(F.collect_list(one)).alias("_p"))
-    empty = F.array().cast(rows.schema["_p"].dataType)
-    step = lambda acc, p: F.when(F.exists(acc, lambda a: (a["a_id"] == p["a_id"]) | (a["b_id"] == p["b_id"])), acc).otherwise(F.array_append(acc, p))
-    return rows.select(scan, F.inline(F.aggregate("_p", empty, step))).drop("_c", "_i")
+
+    def choose(p: dict[str, np.ndarray]) -> list[int]:
+        mine, its, kept = set(), set(), []
+        for i, (a, b) in enumerate(zip(p["a_id"].tolist(), p["b_id"].tolist())):
+            if a not in mine and b not in its:
+                mine.add(a), its.add(b), kept.append(i)
+        return kept
+
+    rows = pairs.select(scan, "a_id", "b_id", "covered", "iou")
+    return kept_rows(rows, scan, [F.desc("covered"), F.desc("iou"), F.col("a_id"), F.col("b_id")], choose, ["a_id", "b_id"])
 
 
 def detection_quality(truth: DataFrame, pred: DataFrame, safe: DataFrame, scan: str = "scan_id") -> DataFrame:

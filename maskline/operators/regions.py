@@ -2,11 +2,17 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from maskline.functions import scalars as S
+from maskline.functions.groups import each_group, kept_rows
+from maskline.plans.session import ship
 
 #: Order in which the sources of a scan are merged, and the reason that a region has by default.
 SOURCE_ORDER = {"dom": 0, "vision_face": 1, "vision_ocr": 2}
@@ -85,25 +91,42 @@ def overlap_pairs(a: DataFrame, b: DataFrame, scan: str, a_id: str, b_id: str, c
     return rows.select(F.col("_scan").alias(scan), "a_id", "b_id", shared.cast("long").alias("shared"), S.iou(F.col("a"), F.col("b")).alias("iou"), S.coverage(F.col("a"), F.col("b")).alias("covered"))
 
 
-BOX = "x:int,y:int,w:int,h:int,confidence:double,sources:array<string>,circular:boolean,ord:int"
-
-
-def _near(a: Column, b: Column) -> Column:
-    return (F.abs(a["x"] - b["x"]) <= 6) & (F.abs(a["y"] - b["y"]) <= 6) & (F.abs(a["w"] - b["w"]) <= 8) & (F.abs(a["h"] - b["h"]) <= 8)
-
-
-def _avatar(a: Column, b: Column) -> Column:
-    cx, cy = b["x"] + b["w"] / 2, b["y"] + b["h"] / 2
-    inside = cx.between(a["x"] - 4, a["x"] + a["w"] + 4) & cy.between(a["y"] - 4, a["y"] + a["h"] + 4)
-    return a["circular"] & ((S.iou(a, b) > 0.10) | inside)
-
-
-def _joined(a: Column, b: Column) -> Column:
-    x, y = F.least(a["x"], b["x"]), F.least(a["y"], b["y"])
-    w, h = F.greatest(a["x"] + a["w"], b["x"] + b["w"]) - x, F.greatest(a["y"] + a["h"], b["y"] + b["h"]) - y
-    own = a["circular"]
-    pick = lambda mine, new: F.when(own, mine).otherwise(new).cast("int")
-    return F.struct(pick(a["x"], x).alias("x"), pick(a["y"], y).alias("y"), pick(a["w"], w).alias("w"), pick(a["h"], h).alias("h"), F.greatest(a["confidence"], b["confidence"]).alias("confidence"), F.array_union(a["sources"], b["sources"]).alias("sources"), (a["circular"] | b["circular"]).alias("circular"), a["ord"].alias("ord"))
+def _overlaps(a: dict[str, np.ndarray], n: int, b: dict[str, np.ndarray], i: int) -> tuple[np.ndarray, np.ndarray]:
+    """Shared area and IoU of the first n boxes of a with the i-th of b."""
+    w = np.minimum(a["x"][:n] + a["w"][:n], b["x"][i] + b["w"][i]) - np.maximum(a["x"][:n], b["x"][i])
+    h = np.minimum(a["y"][:n] + a["h"][:n], b["y"][i] + b["h"][i]) - np.maximum(a["y"][:n], b["y"][i])
+    shared = np.maximum(w, 0) * np.maximum(h, 0)
+    union = a["w"][:n] * a["h"][:n] + b["w"][i] * b["h"][i] - shared
+    return shared, np.where(union > 0, shared / np.where(union > 0, union, 1), 0.0)
+
+
+def _merged(b: dict[str, np.ndarray], least_iou: float, containment: bool) -> tuple[dict[str, np.ndarray], list[list]]:
+    """The regions of one scan, and the places of the boxes that each holds."""
+    a, members, n = {k: v.copy() for k, v in b.items()}, [], 0
+    for i in range(len(b["x"])):
+        shared, iou = _overlaps(a, n, b, i)
+        near = (np.abs(a["x"][:n] - b["x"][i]) <= 6) & (np.abs(a["y"][:n] - b["y"][i]) <= 6) & (np.abs(a["w"][:n] - b["w"][i]) <= 8) & (np.abs(a["h"][:n] - b["h"][i]) <= 8)
+        cx, cy = b["x"][i] + b["w"][i] / 2, b["y"][i] + b["h"][i] / 2
+        inside = (cx >= a["x"][:n] - 4) & (cx <= a["x"][:n] + a["w"][:n] + 4) & (cy >= a["y"][:n] - 4) & (cy <= a["y"][:n] + a["h"][:n] + 4)
+        match = near | (iou >= least_iou) | ((a["circular"][:n] > 0) & ((iou > 0.10) | inside))
+        if containment:
+            area, own = a["w"][:n] * a["h"][:n], b["w"][i] * b["h"][i]
+            match |= (area > 0) & (shared > 0.55 * area) | ((shared > 0.55 * own) if own > 0 else False)
+        if not match.any():
+            for k in a:
+                a[k][n] = b[k][i]
+            members.append([i])
+            n += 1
+            continue
+        k = int(match.argmax())
+        if not a["circular"][k] > 0:
+            x, y = min(a["x"][k], b["x"][i]), min(a["y"][k], b["y"][i])
+            w, h = max(a["x"][k] + a["w"][k], b["x"][i] + b["w"][i]) - x, max(a["y"][k] + a["h"][k], b["y"][i] + b["h"][i]) - y
+            a["x"][k], a["y"][k], a["w"][k], a["h"][k] = x, y, w, h
+        a["confidence"][k] = np.fmax(a["confidence"][k], b["confidence"][i])
+        a["circular"][k] = max(a["circular"][k], b["circular"][i])
+        members[k].append(i)
+    return {k: v[:n] for k, v in a.items()}, members
 
 
 def merge_regions(df: DataFrame, scan: str = "scan_id", least_iou: float = 0.5, containment: bool = True) -> DataFrame:
@@ -111,42 +134,66 @@ def merge_regions(df: DataFrame, scan: str = "scan_id", least_iou: float = 0.5,
 
     A match: nearly the same box, IoU from least_iou, over 0.55 of either box inside the other (option), or a circular
     region that overlaps. A circular region keeps its own box. df: scan, ord, x, y, w, h, source, confidence, circular.
-    A scan is one screen: its regions are folded in one row.
+    Returns scan, x, y, w, h, confidence (the highest), sources, circular, ord (the first). Boxes with a null side are left
+    out; null circular: false. A scan is one screen: its boxes are folded by one task, each against all regions at once.
     """
     rank = F.lit(9)
     for k, v in SOURCE_ORDER.items():
         rank = F.when(F.col("source") == k, v).otherwise(rank)
-    one = F.struct(*(F.col(c).cast("int").alias(c) for c in ("x", "y", "w", "h")), F.col("confidence").cast("double").alias("confidence"), F.array("source").alias("sources"), F.coalesce("circular", F.lit(False)).alias("circular"), F.col("ord").cast("int").alias("ord"))
-    rows = df.groupBy(scan).agg(F.array_sort(F.collect_list(F.struct(rank.alias("rank"), F.col("ord").alias("ord"), one.alias("b")))).alias("_boxes"))
-    empty = F.array().cast(f"array<struct<{BOX}>>")
-
-    def matches(a: Column, b: Column) -> Column:
-        m = _near(a, b) | (S.iou(a, b) >= least_iou) | _avatar(a, b)
-        return m | (S.coverage(a, b) > 0.55) | (S.coverage(b, a) > 0.55) if containment else m
+    sides = [F.col(c).cast("int").alias(c) for c in ("x", "y", "w", "h")]
+    rows = df.select(scan, *sides, F.col("confidence").cast("double").alias("confidence"), "source", F.coalesce("circular", F.lit(False)).alias("circular"), F.col("ord").cast("int").alias("ord"), rank.alias("_rank")).dropna(subset=["x", "y", "w", "h"])
+    kind = rows.schema[scan].dataType.simpleString()
+    names = [scan, "x", "y", "w", "h", "confidence", "sources", "circular", "ord"]
+    ship(df.sparkSession)
+
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        out, held = [], 0
+        for t in each_group(batches, scan):
+            boxes = {c: np.array(t[c].to_pylist(), float) for c in ("x", "y", "w", "h", "confidence", "circular")}
+            a, members = _merged(boxes, least_iou, containment)
+            first, sources = pa.array([m[0] for m in members], pa.int64()), t["source"].to_pylist()
+            values = [t[scan].combine_chunks().take(first), *(pa.array(a[c].astype(int), pa.int32()) for c in ("x", "y", "w", "h")), pa.array(a["confidence"], pa.float64(), mask=np.isnan(a["confidence"]))]
+            values += [pa.array([list(dict.fromkeys(sources[i] for i in m)) for m in members], pa.list_(pa.string())), pa.array(a["circular"] > 0), t["ord"].combine_chunks().take(first)]
+            out.append(pa.Table.from_arrays(values, names))
+            held += len(members)
+            if held >= 4096:
+                yield from pa.concat_tables(out).combine_chunks().to_batches()
+                out, held = [], 0
+        if out:
+            yield from pa.concat_tables(out).combine_chunks().to_batches()
+
+    dealt = rows.repartition(scan).sortWithinPartitions(scan, "_rank", "ord", "x", "y", "w", "h")
+    return dealt.mapInArrow(each, f"`{scan}` {kind}, x int, y int, w int, h int, confidence double, sources array<string>, circular boolean, ord int")
 
-    def step(acc: Column, r: Column) -> Column:
-        b = r["b"]
-        hits = F.transform(acc, lambda a: matches(a, b))
-        at = F.coalesce(F.array_position(hits, True), F.lit(0))
-        return F.when(at > 0, F.transform(acc, lambda a, i: F.when(i + 1 == at, _joined(a, b)).otherwise(a))).otherwise(F.array_append(acc, b))
 
-    return rows.select(scan, F.inline(F.aggregate("_boxes", empty, step)))
+def dedupe_near(df: DataFrame, px: int, scan: str = "scan_id") -> DataFrame:
+    """Regions less those whose corner lies within px of an earlier kept one (by ord). df: scan, ord, x, y, w, h. Null corners are near none."""
 
+    def choose(b: dict[str, np.ndarray]) -> list[int]:
+        kept: list[int] = []
+        for i in range(len(b["x"])):
+            if not ((np.abs(b["x"][kept] - b["x"][i]) <= px) & (np.abs(b["y"][kept] - b["y"][i]) <= px)).any():
+                kept.append(i)
+        return kept
 
-def dedupe_near(df: DataFrame, px: int, scan: str = "scan_id") -> DataFrame:
-    """Regions less those whose corner lies within px of an earlier kept one (by ord). df: scan, ord, x, y, w, h."""
-    rows = df.groupBy(scan).agg(F.array_sort(F.collect_list(F.struct("ord", "x", "y", "w", "h"))).alias("_b"))
-    empty = F.array().cast(rows.schema["_b"].dataType)
-    step = lambda acc, b: F.when(F.exists(acc, lambda a: (F.abs(a["x"] - b["x"]) <= px) & (F.abs(a["y"] - b["y"]) <= px)), acc).otherwise(F.array_append(acc, b))
-    return rows.select(scan, F.inline(F.aggregate("_b", empty, step)))
+    rows = df.select(scan, "ord", "x", "y", "w", "h")
+    return kept_rows(rows, scan, [F.col(c) for c in ("ord", "x", "y", "w", "h")], choose, ["x", "y"])
 
 
 def nms(df: DataFrame, most_iou: float = 0.3, scan: str = "scan_id") -> DataFrame:
-    """Non-maximum suppression: by falling score (ties: ord), a box goes if its IoU with a kept one is above most_iou."""
-    rows = df.groupBy(scan).agg(F.array_sort(F.collect_list(F.struct((-F.col("score")).alias("_s"), "ord", "x", "y", "w", "h", "score"))).alias("_b"))
-    empty = F.array().cast(rows.schema["_b"].dataType)
-    step = lambda acc, b: F.when(F.exists(acc, lambda a: S.iou(a, b) > most_iou), acc).otherwise(F.array_append(acc, b))
-    return rows.select(scan, F.inline(F.aggregate("_b", empty, step))).drop("_s")
+    """Non-maximum suppression: by falling score (nulls last; ties: ord), a box goes if its IoU with a kept one is above most_iou."""
+
+    def choose(b: dict[str, np.ndarray]) -> list[int]:
+        a, kept = {k: v.copy() for k, v in b.items()}, []
+        for i in range(len(b["x"])):
+            if not (_overlaps(a, len(kept), b, i)[1] > most_iou).any():
+                for k in a:
+                    a[k][len(kept)] = b[k][i]
+                kept.append(i)
+        return kept
+
+    rows = df.select(scan, "ord", "x", "y", "w", "h", "score")
+    return kept_rows(rows, scan, [F.col("score").desc_nulls_last(), *(F.col(c) for c in ("ord", "x", "y", "w", "h"))], choose, ["x", "y", "w", "h"])
 
 
 def filter_candidates(df: DataFrame, high_recall: bool = False) -> DataFrame:

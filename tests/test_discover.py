@@ -140,3 +140,23 @@ def test_queries_return_openai_keys_too(spark, tmp_path):
     assert {(r["doc_id"], r["value"]) for r in run("secrets_found")} == want
     assert {(r["doc_id"], r["preview"], r["n"]) for r in run("masked_previews")} == {(i, f"{k[:4]}...{k[-3:]}", 1) for i, k in want}
     assert [(r["n"], r["n_values"], r["n_secrets"]) for r in run("discovery_summary") if r["source"] == "s"] == [(2, 2, 2)]
+
+
+SCREENS = [
+    "Name: A Roy | Username: roy1", "Priya Menon - 4711", "the staff - was very kind", "Staff - Asha Rao is in", "12.34.56.78.90", "10.5.2024 10", "call +91 98765 43210 now", "a/c: 123456789012",
+    "Address: 12 Hill Road; note: none\nEmail = a.b@c.org", "KA-01-2019-1234567", "nothing", "", None,
+]
+
+
+def test_text_ranges_key_values_and_flags(spark):
+    df = spark.createDataFrame(list(enumerate(SCREENS)), "id int, text string")
+    pairs = sorted((r["id"], r["label"], r["value"]) for r in discover.scan_key_values(df, ["id"]).collect())
+    assert pairs == [(0, "Name", "A Roy"), (0, "Username", "roy1"), (8, "Address", "12 Hill Road; note: none"), (8, "Email", "a.b@c.org")]
+    ranges = discover.scan_text_ranges(df, ["id"]).collect()
+    for r in ranges:
+        assert SCREENS[r["id"]][r["start"] : r["start"] + r["length"]] == r["value"]
+    found = {(r["id"], r["kind"], r["value"]) for r in ranges}
+    assert {(0, "name", "A Roy"), (0, "username", "roy1"), (1, "name", "Priya Menon"), (3, "name", "Asha Rao"), (6, "phone", "+91 98765 43210"), (7, "bank_account", "a/c: 123456789012"), (8, "email", "a.b@c.org"), (9, "driving_license", "KA-01-2019-1234567")} <= found
+    assert not {r["id"] for r in ranges} & {2, 4, 5, 10, 11, 12}
+    flags = {r["id"]: r["has_pii"] for r in discover.has_pii(df).collect()}
+    assert flags[1] and flags[3] and flags[6] and flags[0] and not flags[2] and not flags[10] and not flags[11] and not flags[12]
