@@ -11,10 +11,11 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from maskline.functions.groups import each_group
 from maskline.plans.session import ship
 from maskline.sources.tables import discard, stored, work_path
 
-__all__ = ["discard", "stored", "work_path"]
+__all__ = ["discard", "each_group", "stored", "work_path"]
 
 #: Ids of documents that may be sent to all tasks (16 bytes each); more are joined by a shuffle.
 BROADCAST_IDS = 2_000_000
@@ -122,24 +123,6 @@ def chunks(texts: list[bytes], size: int) -> Iterator[tuple[int, int]]:
         yield lo, len(texts)
 
 
-def each_group(batches: Iterator[pa.RecordBatch], key: str) -> Iterator[pa.Table]:
-    """The rows of each value of key, of batches that are sorted by it."""
-    rest = None
-    for b in batches:
-        t = pa.Table.from_batches([b])
-        if rest is not None:
-            t = pa.concat_tables([rest, t]).combine_chunks()
-        keys = t[key].to_numpy()
-        cuts = np.flatnonzero(keys[1:] != keys[:-1]) + 1
-        at = 0
-        for c in cuts.tolist():
-            yield t.slice(at, c - at)
-            at = c
-        rest = t.slice(at)
-    if rest is not None and len(rest):
-        yield rest
-
-
 def keyed(docs: DataFrame) -> DataFrame:
     """its_doc, text_hash and whole (the row)."""
     return docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST_ID)).alias("its_doc"), F.xxhash64(F.col("text").cast("string")).alias("text_hash"), F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("whole"))
