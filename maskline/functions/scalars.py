@@ -90,13 +90,14 @@ def coverage(truth: Column, box: Column) -> Column:
     return F.when(area > 0, overlap_area(truth, box) / area).otherwise(F.lit(0.0))
 
 
-def text_similarity(a: ColumnLike, b: ColumnLike) -> Column:
-    """1 for equal texts, 0.8 where one holds the other, else the share of the longer one's words that both have."""
-    x, y = F.lower(F.trim(col(a))), F.lower(F.trim(col(b)))
-    xs, ys = F.array_remove(F.split(x, r"\s+"), ""), F.array_remove(F.split(y, r"\s+"), "")
-    shared = F.size(F.filter(xs, lambda w: F.array_contains(ys, w)))
-    share = shared / F.greatest(F.size(xs), F.size(ys))
-    return F.when((F.coalesce(x, F.lit("")) == "") | (F.coalesce(y, F.lit("")) == ""), 0.0).when(x == y, 1.0).when(F.contains(x, y) | F.contains(y, x), 0.8).otherwise(F.coalesce(share, F.lit(0.0)))
+def text_similarity(target: ColumnLike, element: ColumnLike) -> Column:
+    """1 where the element's text holds the target's, 0.8 where the target holds it (over 3 characters), else the share of
+    the target's words of over two letters that stand in it; 0 without words. Null or empty: 0."""
+    t, e = F.lower(F.trim(col(target))), F.lower(F.trim(col(element)))
+    words = F.filter(F.split(t, r"\s+"), lambda w: F.length(w) > 2)
+    share = F.coalesce(F.size(F.filter(words, lambda w: F.contains(e, w))) / F.nullif(F.size(words), F.lit(0)), F.lit(0.0))
+    empty = (F.coalesce(F.length(col(target)), F.lit(0)) == 0) | (F.coalesce(F.length(col(element)), F.lit(0)) == 0)
+    return F.when(empty, 0.0).when(F.contains(e, t), 1.0).when(F.contains(t, e) & (F.length(e) > 3), 0.8).otherwise(share)
 
 
 def parse_price(c: ColumnLike) -> Column:

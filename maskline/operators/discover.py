@@ -11,33 +11,27 @@ from maskline.functions import scalars as S
 
 FINDING = "struct<rank:int,kind:string,token:string,category:string,value:string,start:int,length:int>"
 
+#: What marks a hit's ends, and parts it from its value; in a text they count as another control character.
+HIT, VALUE = "\u0001", "\u0002"
+
 
 def places(text: Column, p: P.Pattern, rank: int, least: int) -> Column:
     """All hits of a pattern in a text, as FINDING structs: start counts code points from 0.
 
-    Hits and the pieces between them alternate; a hit starts after all that stands before it.
+    One pass of the pattern puts marks around each hit, and before its value; pieces between marks are text and hit in turn.
     """
-    whole = F.regexp_extract_all(text, F.lit(p.java), F.lit(0))
-    values = F.regexp_extract_all(text, F.lit(p.java), F.lit(p.group)) if p.group else whole
-    pieces = F.split(text, p.java, -1).alias("piece")  # one more than hits: the last row has no hit
-    rows = F.arrays_zip(whole.alias("hit"), values.alias("value"), pieces) if p.group else F.arrays_zip(whole.alias("hit"), pieces)
-    empty = F.array().cast("array<struct<at:int,hit:string,value:string>>")
-    rows = F.transform(rows, lambda r: F.struct(r["hit"].alias("hit"), (r["value"] if p.group else r["hit"]).alias("value"), r["piece"].alias("piece")))
-    rows = F.filter(rows, lambda r: r["hit"].isNotNull())
-
-    def step(acc: Column, r: Column) -> Column:
-        at = acc["end"] + F.length(r["piece"])
-        return F.struct((at + F.length(r["hit"])).alias("end"), F.array_append(acc["out"], F.struct(at.alias("at"), r["hit"].alias("hit"), r["value"].alias("value"))).alias("out"))
-
-    hits = F.aggregate(rows, F.struct(F.lit(0).alias("end"), empty.alias("out")), step, lambda acc: acc["out"])
-    inner = F.lit(0) if not p.group else None
-
-    def finding(h: Column) -> Column:
-        offset = inner if inner is not None else F.greatest(F.instr(h["hit"], h["value"]) - 1, F.lit(0))
-        return F.struct(F.lit(rank).alias("rank"), F.lit(p.kind).alias("kind"), F.lit(p.token).alias("token"), F.lit(p.category).alias("category"), h["value"].alias("value"), (h["at"] + offset).cast("int").alias("start"), F.length(h["value"]).alias("length"))
-
-    found = F.filter(F.transform(hits, finding), lambda f: F.length(f["value"]) >= least)
-    return F.when(text.rlike(p.hint), found).otherwise(F.array().cast(f"array<{FINDING}>"))
+    plain = F.translate(text, HIT + VALUE, "\u0003\u0003")
+    pieces = F.split(F.regexp_replace(plain, p.java, f"{HIT}$0{VALUE}${p.group}{HIT}"), HIT)
+    start = F.struct(F.lit(0).alias("end"), F.lit(False).alias("inside"), F.array().cast(f"array<{FINDING}>").alias("out"))
+
+    def step(acc: Column, piece: Column) -> Column:
+        hit, value = F.substring_index(piece, VALUE, 1), F.substring_index(piece, VALUE, -1)
+        inner = F.greatest(F.instr(hit, value) - 1, F.lit(0)) if p.group else F.lit(0)
+        found = F.struct(F.lit(rank).alias("rank"), F.lit(p.kind).alias("kind"), F.lit(p.token).alias("token"), F.lit(p.category).alias("category"), value.alias("value"), (acc["end"] + inner).cast("int").alias("start"), F.length(value).alias("length"))
+        out = F.when(acc["inside"] & (F.length(value) >= least), F.array_append(acc["out"], found)).otherwise(acc["out"])
+        return F.struct((acc["end"] + F.length(hit)).alias("end"), (~acc["inside"]).alias("inside"), out.alias("out"))
+
+    return F.when(text.rlike(p.hint), F.aggregate(pieces, start, step, lambda acc: acc["out"])).otherwise(F.array().cast(f"array<{FINDING}>"))
 
 
 def first_claims(found: Column) -> Column:
