@@ -10,6 +10,7 @@ from __future__ import annotations
 import html
 import math
 import re
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -42,9 +43,10 @@ GOOD_WORDS = set("article body content entry main post story text".split())
 WORDS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|\d+")
 #: Elements that say nothing by themselves.
 PLAIN = {"p", "b", "i", "em", "strong", "span", "ul", "ol", "li", "div", "table", "tr", "td", "th"}
-CERTAIN = 1000.0
-#: What a bad word costs, by which its block's own odds and its neighbours' can outweigh it.
-BAD_COST = 5.0
+#: The classifier's weights (log odds): what a block's length (per power of ten), links, punctuation and marks speak for. All
+#: are finite, so that the other features, and by the cut the neighbours, can outweigh any of them.
+BIAS, LENGTH, LINKS, STOPS, COPYRIGHT = -1.2, 1.1, -4.0, 0.8, -3.0
+HEADING, PARAGRAPH, GOOD, IN_ARTICLE, BAD_WORD, BAD_ELEMENT = 1.0, 0.8, 2.0, 6.0, -5.0, -8.0
 #: Articles of these alone are answers to the main text.
 ANSWERS = {"comment", "comments", "commentlist", "reply", "respond", "responses", "discussion", "feedback"}
 #: Smoothness: between neighbours in the page, less the farther apart in the tree; between a parent's blocks in a row.
@@ -140,7 +142,11 @@ def judged(b: Block) -> None:
 def blocks_of(page: str) -> list[Block]:
     """The text blocks of a page, in order. Tolerates open and misplaced tags, as browsers do."""
     root = Node("", None, 0)
-    stack, out, block, at = [root], [], None, 0
+    stack, out, block, at, opened = [root], [], None, 0, Counter()
+
+    def close(i: int) -> None:
+        opened.subtract(n.name for n in stack[i:])
+        del stack[i:]
 
     def add(raw: str) -> None:
         nonlocal block
@@ -188,28 +194,30 @@ def blocks_of(page: str) -> list[Block]:
         if name not in INLINE:
             block = None
         if closing:
-            if any(n.name == name for n in stack[1:]):
-                while stack.pop().name != name:
-                    pass
+            if opened[name]:
+                while (gone := stack.pop()).name != name:
+                    opened[gone.name] -= 1
+                opened[name] -= 1
             continue
         if name in VOID:
             continue
         if name in ENDS_P:
             for i in range(len(stack) - 1, 0, -1):
                 if stack[i].name == "p":
-                    del stack[i:]
+                    close(i)
                     break
                 if stack[i].name not in INLINE:
                     break
         if name in CLOSES:
             for i in range(len(stack) - 1, 0, -1):
                 if stack[i].name in CLOSES[name]:
-                    del stack[i:]
+                    close(i)
                     break
                 if stack[i].name not in INLINE and stack[i].name not in ("td", "th"):
                     break
         attributes = {k.lower(): html.unescape(a or b or c or "") for k, a, b, c in ATTRIBUTE.findall(m[3])} if m[3].strip(" /\n\t") else {}
         stack.append(node(name, attributes, stack[-1]))
+        opened[name] += 1
         if name in GOOD_ELEMENTS and not stack[-1].suspect:
             for n in stack[:-1]:
                 n.holds = True
@@ -220,23 +228,13 @@ def blocks_of(page: str) -> list[Block]:
 
 def content_odds(b: Block) -> float:
     """The classifier: log odds that a block is content, by where it stands, its length, links and punctuation."""
-    if b.bad:
-        return -CERTAIN
-    if b.good and b.parent.good and not b.suspect and any_article(b.parent):
-        return CERTAIN
     text = b.text
     n, links = len(text), min(1.0, b.linked / max(1, len(text)))
-    score = -1.2 + 1.1 * math.log10(max(n, 1)) - 4.0 * links + 0.8 * min(3, len(re.findall(r"[.!?,;:…]", text))) / 3
-    if b.heading:
-        score += 1.0
-    if b.good:
-        score += 2.0
-    if b.parent.name in ("p", "blockquote", "pre"):
-        score += 0.8
-    if b.suspect:
-        score -= BAD_COST
-    if "©" in text:
-        score -= 3.0
+    score = BIAS + LENGTH * math.log10(max(n, 1)) + LINKS * links + STOPS * min(3, len(re.findall(r"[.!?,;:…]", text))) / 3
+    score += HEADING * b.heading + GOOD * b.good + PARAGRAPH * (b.parent.name in ("p", "blockquote", "pre")) + COPYRIGHT * ("©" in text)
+    score += BAD_WORD * b.suspect + BAD_ELEMENT * b.bad
+    if b.good and b.parent.good and not (b.suspect or b.bad) and any_article(b.parent):
+        score += IN_ARTICLE
     return score
 
 
@@ -319,10 +317,8 @@ def cut(odds: list[float], edges: list[tuple[int, int, float]]) -> list[bool]:
                 at[here] += 1
 
 
-def main_text(page: str | None) -> str:
-    """The main text of a page: '' if there is none."""
-    found = blocks_of(page or "")
-    odds = [content_odds(b) for b in found]
+def smoothness(found: list[Block]) -> list[tuple[int, int, float]]:
+    """Edges between blocks that follow each other, weaker the farther apart in the tree, and between a parent's blocks in a row."""
     edges, last = [], {}
     for i, b in enumerate(found):
         if i:
@@ -331,11 +327,20 @@ def main_text(page: str | None) -> str:
         if id(above) in last:
             edges.append((last[id(above)], i, SIBLING))
         last[id(above)] = i
-    return "\n\n".join(b.text for b, yes in zip(found, cut(odds, edges)) if yes)
+    return edges
+
+
+def main_text(page: str | None) -> str:
+    """The main text of a page: '' if there is none."""
+    found = blocks_of(page or "")
+    labels = cut([content_odds(b) for b in found], smoothness(found))
+    return "\n\n".join(b.text for b, yes in zip(found, labels) if yes)
 
 
 def extract(pages: DataFrame) -> DataFrame:
-    """pages (page_id, url, html) -> page_id, url, text, n_chars. Null or empty html, or none of content: text ''."""
+    """pages (page_id, url, html) -> page_id, url, text, n_chars. Null or empty html, or none of content: text ''.
+
+    Rows are taken one by one, so repeated rows and page_ids each give a row; other columns are left aside."""
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:

@@ -125,15 +125,15 @@ class Models:
 
     @staticmethod
     def look(table: np.ndarray, keys: np.ndarray, values: np.ndarray, other: np.ndarray | float) -> np.ndarray:
+        if not len(table):
+            return np.broadcast_to(other, (len(keys), values.shape[1]))
         at = np.searchsorted(table, keys)
         at[at == len(table)] = 0
         return np.where((table[at] == keys)[:, None], values[at], other)
 
     def log2(self, codes: np.ndarray) -> np.ndarray:
-        at = np.searchsorted(self.grams, codes)
-        at[at == len(self.grams)] = 0
-        p = self.p3[at]
-        if len(miss := np.flatnonzero(self.grams[at] != codes)):
+        p = np.array(self.look(self.grams, codes, self.p3, 0.0))  # no probability is 0
+        if len(miss := np.flatnonzero(p[:, 0] == 0)):
             c = codes[miss]
             p1 = self.look(self.chars, c & ONE, self.p1, self.p0)
             p2 = self.look(self.firsts, c >> BITS & ONE, self.w2, 1.0) * p1
@@ -161,14 +161,14 @@ def part_models(grams: DataFrame, languages: list[str], asked: DataFrame | None
     values[at, lang] = n
     sent = grams.sparkSession.sparkContext.broadcast((chars, values))
     part = F.shiftright("code", BITS).bitwiseAND(F.lit(ONE)).alias("part")
-    rows = grams.select(part, "lang", "code", "n")
-    if asked is not None:
+    rows, every = grams.select(part, "lang", "code", "n"), asked is None
+    if not every:
         rows = rows.unionByName(asked.select("code").distinct().select(part, F.lit(0).alias("lang"), "code", F.lit(0).cast("long").alias("n")))
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t in each_group(batches, "part"):
             lang, code, n = columns(t)
-            wanted = np.unique(code) if asked is None else code[n == 0]
+            wanted = np.unique(code) if every else code[n == 0]
             models = Models(languages, lang[n > 0], code[n > 0], n[n > 0], sent.value)
             for lo in range(0, len(wanted), 1 << 12):
                 some = wanted[lo : lo + (1 << 12)]

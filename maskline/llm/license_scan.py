@@ -160,6 +160,7 @@ def scan(docs: DataFrame, phrases: dict[str, str] = PHRASES, templates: dict[str
 
 
 def op5_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The phrases and licenses of every document: a row each, also for null texts (no words) and for equal rows."""
     return scan(spark.read.parquet(f"{sf_dir}/documents.parquet").select(F.col("doc_id").cast("long").alias("doc_id"), "text"))
 
 

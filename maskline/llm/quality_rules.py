@@ -28,13 +28,17 @@ SALTS = 32
 
 
 def measures(docs: DataFrame) -> DataFrame:
-    """docs (text and columns to keep) with n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_lines.
+    """docs (text and columns to keep, whatever their names) with n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
+    n_lines, which replace columns of these names.
 
-    Null or empty text: all 0. Texts of under five words have no window, so no repeated words.
+    Null or empty text: all 0. Texts of under five words have no window, so no repeated words. Rows are measured one by one.
     """
-    kept = [c for c in docs.columns if c != "text"]
+    added = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines"]
+    names = [c for c in docs.columns if c != "text" and c not in added]
+    own = F.struct(F.lit(0).alias("_"), *(F.col(f"`{c}`") for c in names)).alias("own")
+    kept = ["own"]
     text = F.coalesce("text", F.lit(""))
-    df = docs.select(*kept, text.alias("text"), F.array_remove(F.split(text, SPACE), "").alias("words"))
+    df = docs.select(own, text.alias("text"), F.array_remove(F.split(text, SPACE), "").alias("words"))
     df = df.withColumn("n_words", F.size("words").cast("long")).withColumn("word_chars", F.length(F.array_join("words", "")).cast("long"))
     df = df.withColumn("n_symbols", F.regexp_count("text", F.lit(SYMBOL)).cast("long"))
     df = df.withColumn("lines", F.filter(F.split("text", "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]")))
@@ -50,7 +54,7 @@ def measures(docs: DataFrame) -> DataFrame:
     df = df.withColumn("places", F.sort_array(F.transform(same, lambda p: p["i"])))
     start = F.struct(F.lit(0).alias("n"), F.lit(-WINDOW).alias("last"))
     covered = F.aggregate("places", start, lambda a, x: F.struct((a["n"] + F.least(F.lit(WINDOW), x - a["last"])).alias("n"), x.alias("last")), lambda a: a["n"])
-    return df.select(*kept, "n_words", "word_chars", "n_symbols", "n_dup_lines", F.coalesce(covered, F.lit(0)).cast("long").alias("n_repeat_words"), "n_lines")
+    return df.select(*(F.col("own")[c].alias(c) for c in names), "n_words", "word_chars", "n_symbols", "n_dup_lines", F.coalesce(covered, F.lit(0)).cast("long").alias("n_repeat_words"), "n_lines")
 
 
 def ratios() -> dict[str, Column]:
@@ -97,6 +101,7 @@ def judge(docs: DataFrame) -> DataFrame:
 
 
 def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's measures and whether it is kept: null texts have no words and fail, equal rows fare alike."""
     return judge(spark.read.parquet(f"{sf_dir}/documents.parquet").select(F.col("doc_id").cast("long").alias("doc_id"), "text", "lang", "source"))
 
 

@@ -7,6 +7,7 @@ from collections import Counter
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from maskline.llm import byte_model, language_id, license_scan, quality_rules
 
@@ -180,6 +181,59 @@ def test_kneser_ney_sums_to_one():
         assert p.sum(0) == pytest.approx([1, 1])
 
 
+def brute_kn(counts, chars, a, b, c, d=0.75):
+    """Interpolated Kneser-Ney by its definition; counts: {(a, b, c): n}."""
+    pairs = {(y, z) for _, y, z in counts}
+    kinds = Counter(z for _, z in pairs)
+    p0 = (d * len(kinds) / len(pairs) if pairs else 1) / (len(chars) + 1)
+    p1 = max(kinds[c] - d, 0) / max(1, len(pairs)) + p0
+    before = Counter((y, z) for _, y, z in counts)
+    of_b = {z: n for (y, z), n in before.items() if y == b}
+    p2 = max(of_b.get(c, 0) - d, 0) / sum(of_b.values()) + d * len(of_b) / sum(of_b.values()) * p1 if of_b else p1
+    of_ab = {z: n for (x, y, z), n in counts.items() if (x, y) == (a, b)}
+    return max(of_ab.get(c, 0) - d, 0) / sum(of_ab.values()) + d * len(of_ab) / sum(of_ab.values()) * p2 if of_ab else p2
+
+
+@pytest.mark.parametrize("max_grams", [1 << 20, 12, 0])
+def test_language_bits_against_brute_force_whatever_tasks_hold(spark, max_grams):
+    texts = {"a": ["banana band", "nab a band", "a ban"], "b": ["xyz zyx banana", "yxz", "zz xy"]}
+    rows = [(i, t, lang, False) for i, (lang, t) in enumerate((k, t) for k, ts in texts.items() for t in ts * 8)]
+    rows += [(900, "band nab", None, True), (901, "zyx q banx", "b", True), (901, "zyx q banx", "b", True)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, held_out boolean")
+    apart = {r["doc_id"] for r in docs.filter(F.pmod(F.xxhash64("doc_id", F.lit("apart")), F.lit(language_id.APART)) == 0).collect()}
+    counts = {k: Counter() for k in texts}
+    for i, t, lang, held in rows:
+        if not held and i not in apart:
+            counts[lang].update((int(c) >> 42, int(c) >> 21 & (1 << 21) - 1, int(c) & (1 << 21) - 1) for c in language_id.trigrams(t)[0])
+    chars = {z for c in counts.values() for *_, z in c}
+    got = language_id.identify(docs, max_grams=max_grams).filter("held_out").collect()
+    assert len(got) == 3
+    for r in got:
+        text = next(t for i, t, *_ in rows if i == r["doc_id"])
+        codes = [int(c) for c in language_id.trigrams(text)[0]]
+        bits = {k: -sum(math.log2(brute_kn(counts[k], chars, c >> 42, c >> 21 & (1 << 21) - 1, c & (1 << 21) - 1)) for c in codes) / len(codes) for k in texts}
+        assert r["lang_pred"] == min(bits, key=bits.get) and r["bits"] == pytest.approx(bits[r["lang_pred"]])
+
+
+def test_columns_of_any_name_are_kept(spark):
+    docs = table(spark).select("doc_id", "text", *(F.lit("x").alias(c) for c in ("rare", "row", "more", "tail", "own", "words", "runs", "pairs", "lines")))
+    got = byte_model.score(docs, docs)
+    assert got.columns[:1] == ["doc_id"] and {"rare", "row", "own"} <= set(got.columns) and got.filter("rare = 'x' and row = 'x'").count() == docs.count()
+    got = quality_rules.measures(docs)
+    assert got.filter("words = 'x' and runs = 'x' and pairs = 'x' and lines = 'x'").count() == docs.count()
+
+
+def test_repeated_and_long_rows(spark):
+    long = "the same words again and " * 20000
+    docs = spark.createDataFrame([(1, long, "en", "s"), (1, long, "en", "s"), (2, "x" * 200000, "en", "s")], "doc_id long, text string, lang string, source string")
+    scanned = license_scan.scan(docs).orderBy("doc_id").collect()
+    assert [r["n_words"] for r in scanned] == [100000, 100000, 1]
+    judged = quality_rules.judge(docs).orderBy("doc_id").collect()
+    assert judged[0] == judged[1] and judged[0]["n_repeat_words"] == 100000 and judged[0]["base_failed"]
+    scores = byte_model.score(docs.select("doc_id", "text"), docs.limit(1)).orderBy("doc_id").collect()
+    assert scores[0]["score"] == scores[1]["score"] < 0
+
+
 def test_language_id(spark):
     en, de = "the quick brown fox jumps over the lazy dog and the cat", "der schnelle braune fuchs springt über den faulen hund und die katze"
     rows = [(i, (en if i % 2 else de) + f" {i}", "en" if i % 2 else "de", i % 5 == 0) for i in range(40)] + [(90, None, "en", True), (91, "123 !!", "de", False), (92, "ΩΨΞ" * 30, None, True), (93, "", "en", False)]
