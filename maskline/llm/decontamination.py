@@ -80,23 +80,25 @@ def tiles(item: np.ndarray, doc: np.ndarray, least: int) -> list[tuple[int, int,
 
 
 def item_seeds(items: DataFrame, least: int) -> DataFrame:
-    """item_id, length (of the seed: the whole item's if it has fewer words), seed."""
+    """item_id, words, length (of the seed: the whole item's if it has fewer words), seed, times (that it comes in the item)."""
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for item, text in zip(b["item_id"].to_pylist(), b["text"].to_pylist()):
                 h = words_of(text)
                 k = min(least, len(h))
-                seeds = seed_hashes(h, [k] if k else []).view(np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array([item] * len(seeds), pa.int64()), pa.array([k] * len(seeds), pa.int32()), pa.array(seeds)], ["item_id", "length", "seed"])
+                seeds, times = np.unique(windows(h, k) + np.uint64(k), return_counts=True) if k else (np.empty(0, np.uint64), np.empty(0, np.int64))
+                same = lambda x, kind: pa.array([x] * len(seeds), kind)  # noqa: E731, B023
+                yield pa.RecordBatch.from_arrays([same(item, pa.int64()), same(len(h), pa.int64()), same(k, pa.int32()), pa.array(seeds.view(np.int64)), pa.array(times, pa.int64())], ["item_id", "words", "length", "seed", "times"])
 
-    return items.mapInArrow(each, "item_id long, length int, seed long")
+    return items.mapInArrow(each, "item_id long, words long, length int, seed long, times long")
 
 
-def leaks(docs: DataFrame, items: DataFrame, least: int = LEAST, coverage: float = COVERAGE) -> DataFrame:
+def leaks(docs: DataFrame, items: DataFrame, least: int = LEAST, coverage: float = COVERAGE, below_too: bool = False) -> DataFrame:
     """docs (doc_id, text), items (item_id, text) -> doc_id, text_hash, item_id, covered, item_words, coverage, n_tiles, leak.
 
-    A row for each pair that shares a run. An item of fewer than `least` words has to stand whole; one without words,
+    A row for each pair that may be a leak; with below_too for each pair that shares a run. Tiles cover at most `length` words
+    for each place of a shared seed in the item, so pairs with too few of them are left out before texts are fetched. An item of fewer than `least` words has to stand whole; one without words,
     or without an id, is in no pair. Null or empty documents are in no pair. Of equal documents each has its own rows.
     """
     spark = docs.sparkSession
@@ -127,8 +129,12 @@ def leaks(docs: DataFrame, items: DataFrame, least: int = LEAST, coverage: float
 
     hits = docs.select("doc_id", "text").mapInArrow(scan, "doc_id long, text string, found array<long>")
     hits = stored(hits.withColumn("row", F.monotonically_increasing_id()), "hits")
-    salted = seeds.select("item_id", "seed", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
-    pairs = hits.select("row", F.pmod("row", F.lit(SALTS)).cast("int").alias("salt"), F.explode("found").alias("seed")).join(salted, ["seed", "salt"]).select("row", "item_id").distinct()
+    salted = seeds.select("item_id", "words", "length", "seed", "times", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
+    pairs = hits.select("row", F.pmod("row", F.lit(SALTS)).cast("int").alias("salt"), F.explode("found").alias("seed")).join(salted, ["seed", "salt"])
+    pairs = pairs.groupBy("row", "item_id").agg(F.sum(F.col("times") * F.col("length")).alias("most"), F.first("words").alias("words"))
+    if not below_too:
+        pairs = pairs.filter(F.col("most") >= coverage * F.col("words"))
+    pairs = pairs.select("row", "item_id")
     pairs = pairs.join(items.withColumnRenamed("text", "item"), "item_id").join(hits.select("row", "doc_id", "text"), "row")
 
     def tile(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -126,8 +126,9 @@ def test_leaks(spark):
     w = item.split()
     docs = [(1, "before " + item.upper() + ", after"), (2, " ".join(w[6:] + ["x"] + w[:6])), (3, " ".join(w[:5])), (4, "nothing here"), (5, None), (6, ""), (7, "tiny, thing"), (8, "x " * 20000 + item), (1, "before " + item.upper() + ", after")]
     items = [(10, item), (11, "Tiny thing"), (12, None), (13, "...")]
-    got = decontamination.leaks(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string"))
-    rows = got.collect()
+    docs, items = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    rows = decontamination.leaks(docs, items, below_too=True).collect()
+    assert sorted(map(str, decontamination.leaks(docs, items).filter("leak").collect())) == sorted(str(r) for r in rows if r["leak"])
     assert sorted((r["doc_id"], r["item_id"]) for r in rows if r["leak"]) == [(1, 10), (1, 10), (2, 10), (7, 11), (8, 10)]
     assert {r["doc_id"]: r["covered"] for r in rows if not r["leak"]} == {3: 5}
     assert {r["n_tiles"] for r in rows if r["doc_id"] == 2} == {2}
