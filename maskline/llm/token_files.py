@@ -62,7 +62,7 @@ class PieceCache(Recent):
     order. New pieces are encoded some at a time, as one text; each id's offset tells the piece that it is of.
     """
 
-    size = 300_000
+    size = 1_000_000
 
     def __init__(self, path: str, kind: str):
         from tokenizers import Tokenizer
@@ -142,7 +142,7 @@ def write(docs: DataFrame, path: str, tokenizer: str, end_id: int = END_ID, part
 
         for batch in batches:
             docs, texts = batch["doc_id"].to_pylist(), batch["text"].to_pylist()
-            for lo, hi in chunks(texts, 2 << 20):
+            for lo, hi in chunks(texts, 4 << 20):
                 values = [ids + end for ids in cache.encode(texts[lo:hi])]
                 index += [(doc or 0, int(doc is not None), len(ids) // wide) for doc, ids in zip(docs[lo:hi], values)]
                 yield out("tokens", values, row)
