@@ -364,6 +364,8 @@ def linked(docs: DataFrame, percent: int = PERCENT, size: int = SHINGLE) -> Data
     Two documents link if their sets' Jaccard is percent / 100 or more. A text of fewer words than `size` is one shingle;
     a null or wordless text has none and links with nothing. Equal sets always link. Null doc_ids count as the largest.
     """
+    if not 50 <= percent <= 100:  # signatures of sets that differ more in size are not compared
+        raise ValueError("percent has to be 50 to 100")
     sets = set_rows(docs, size, percent)
     groups = candidate_groups(sets, percent)
     trees = tree_pairs(groups, sets, percent)
