@@ -143,14 +143,15 @@ ACCOUNT = r"\b(?:a/c|acc(?:oun)?t(?:\s*(?:no|number|#))?|bank\s*a/?c)\s*[:.#-]?\
 GSTIN = r"\b\d{2}[A-Z]{5}[0-9]{4}[A-Z]{1}[1-9A-Z]{1}Z[0-9A-Z]{1}\b"
 EMPLOYEE = r"\b(?:ISRO|NASA|ESA|DRDO|BARC|EMP|STAFF|ID)[-\s]?\d{4,8}\b"
 ROLE_NAME = r"\b(?:HR|Admin|Lead|Director|Officer|Manager|Employee|Staff)\s*[—–-]\s*([A-Z][a-z]+(?:\s+[A-Z][a-z]+)+)\b"
-VALUE_LABELS = (
-    "billed to|bill to|invoice to|sold to|customer|client|account holder|card ?holder|patient|employee|member|full name|owner name|owner|name|username|user|"
-    "son/wife/daughter of|s/o|w/o|d/o|operator on duty|operator|duty|mission id|mission|officer|supervisor|pilot|commander|technician|personnel|satellite name|"
-    "satellite|orbit type|orbit|launch date|launch|orbital inclination|inclination|apogee|perigee|tle line 1|tle line 2|tle1|tle2|tle|ground station freq|"
-    "ground station|freq|frequency|encryption key ref|encryption key|enc key ref|enc key|encryption|org|organisation|organization|company|address|street|zip|"
-    "pin|pincode|postal code|recipient|addressed to|deliver to|ship to|chassis number|engine/motor number|engine number|regn\\.?\\s*number|date of regn|"
-    "regn\\.?\\s*validity"
-)
+VALUE_LABELS = [
+    "billed to", "bill to", "invoice to", "sold to", "customer", "client", "account holder", "card ?holder", "patient", "employee", "member", "full name",
+    "owner name", "owner", "name", "username", "user", "son/wife/daughter of", "s/o", "w/o", "d/o", "operator on duty", "operator", "duty", "mission id",
+    "mission", "officer", "supervisor", "pilot", "commander", "technician", "personnel", "satellite name", "satellite", "orbit type", "orbit", "launch date",
+    "launch", "orbital inclination", "inclination", "apogee", "perigee", "tle line 1", "tle line 2", "tle1", "tle2", "tle", "ground station freq",
+    "ground station", "freq", "frequency", "encryption key ref", "encryption key", "enc key ref", "enc key", "encryption", "org", "organisation",
+    "organization", "company", "address", "street", "zip", "pin", "pincode", "postal code", "recipient", "addressed to", "deliver to", "ship to",
+    "chassis number", "engine/motor number", "engine number", "regn\\.?\\s*number", "date of regn", "regn\\.?\\s*validity",
+]
 DATE = r"(?:0?[1-9]|[12]\d|3[01])[\s/.-](?:0?[1-9]|1[0-2])[\s/.-](?:19|20)\d{2}|(?:19|20)\d{2}[\s/.-](?:0?[1-9]|1[0-2])[\s/.-](?:0?[1-9]|[12]\d|3[01])"
 SCREEN = [
     Pattern("openai_key", "OPENAI_KEY", "secret", r"sk-[a-zA-Z0-9]{20,}"),
@@ -176,7 +177,7 @@ SCREEN = [
     Pattern("phone", "PHONE", "pii", PHONE),
     Pattern("employee_id", "EMPLOYEE_ID", "pii", EMPLOYEE, 0, True),
     Pattern("name", "NAME", "pii", ROLE_NAME, 1, True),
-    Pattern("labelled_value", "LABELLED_VALUE", "pii", rf"\b({VALUE_LABELS})\s*[:\-]?\s*([^\r\n]{{2,80}})", 2, True),
+    Pattern("labelled_value", "LABELLED_VALUE", "pii", rf"\b({"|".join(VALUE_LABELS)})\s*[:\-]?\s*([^\r\n]{{2,80}})", 2, True),
 ]
 # --- fixed values: places in a page's text ---
 NAME_WITH_ID = r"\b([A-Z][a-z]+(?:\s+[A-Z][a-z]+)+)\s*[—–-]\s*(?:ISRO|EMP|ID)?[-\s]?\d+"
@@ -222,22 +223,29 @@ INJECTIONS = [
 ]
 
 # --- fixed values: words in the names of columns and fields that mark personal data ---
-KEYWORDS = (
-    "name|surname|first name|last name|full name|username|user id|user|aadhaar|ssn|social security|national id|voter|passport|license|licence|pan|tax id|nino|"
-    "date of birth|dob|birth|age|gender|operator|operator on duty|duty|mission|mission id|officer|supervisor|commander|technician|pilot|personnel|author|creator|"
-    "admin|agent|employee|staff|applicant|candidate|member|password|passwd|passcode|pin|otp|secret|api key|token|key|encryption key|encryption key ref|enc key ref|"
-    "enc key|encryption|auth token|private key|clearance|restricted|confidential|classified|internal|data classification|satellite|satellite name|launch|"
-    "launch date|apogee|perigee|inclination|orbital inclination|orbit type|orbit|tle|tle1|tle2|tle line 1|tle line 2|frequency|freq|ground station|"
-    "ground station freq|telemetry|payload|email|e-mail|phone|mobile|telephone|contact|address|street|postcode|post code|zip|postal|postal code|pincode|city|"
-    "country|state|org|organization|organisation|company|card|credit card|debit card|cvv|cvc|expiry|account number|account no|routing|ifsc|iban|swift|upi|salary|"
-    "income|annual income|bank|insurance|policy number|medical|diagnosis|blood group|marital status|father name|orbital|gstin|gst|tin|vat|tax number|"
-    "registration number|cin|llpin"
-).split("|")
-CHROME = (
-    "whatsapp|search|search or start a new chat|all|unread|favourites|groups|communities|status|channels|chats|calls|settings|profile|ask meta ai|send document|"
-    "add contact|new chat|menu|attach|type a message|online|voice and video calling is now available|go to calls|not a contact|yesterday|today"
-).split("|")
-VISUAL = "look at the image|icon|blue button|red logo|color|chart|graph|canvas|picture|screenshot|visual|photo|drawing|captcha".split("|")
+KEYWORDS = [
+    "name", "surname", "first name", "last name", "full name", "username", "user id", "user", "aadhaar", "ssn", "social security", "national id", "voter",
+    "passport", "license", "licence", "pan", "tax id", "nino", "date of birth", "dob", "birth", "age", "gender", "operator", "operator on duty", "duty",
+    "mission", "mission id", "officer", "supervisor", "commander", "technician", "pilot", "personnel", "author", "creator", "admin", "agent", "employee",
+    "staff", "applicant", "candidate", "member", "password", "passwd", "passcode", "pin", "otp", "secret", "api key", "token", "key", "encryption key",
+    "encryption key ref", "enc key ref", "enc key", "encryption", "auth token", "private key", "clearance", "restricted", "confidential", "classified",
+    "internal", "data classification", "satellite", "satellite name", "launch", "launch date", "apogee", "perigee", "inclination", "orbital inclination",
+    "orbit type", "orbit", "tle", "tle1", "tle2", "tle line 1", "tle line 2", "frequency", "freq", "ground station", "ground station freq", "telemetry",
+    "payload", "email", "e-mail", "phone", "mobile", "telephone", "contact", "address", "street", "postcode", "post code", "zip", "postal", "postal code",
+    "pincode", "city", "country", "state", "org", "organization", "organisation", "company", "card", "credit card", "debit card", "cvv", "cvc", "expiry",
+    "account number", "account no", "routing", "ifsc", "iban", "swift", "upi", "salary", "income", "annual income", "bank", "insurance", "policy number",
+    "medical", "diagnosis", "blood group", "marital status", "father name", "orbital", "gstin", "gst", "tin", "vat", "tax number", "registration number",
+    "cin", "llpin",
+]
+CHROME = [
+    "whatsapp", "search", "search or start a new chat", "all", "unread", "favourites", "groups", "communities", "status", "channels", "chats", "calls",
+    "settings", "profile", "ask meta ai", "send document", "add contact", "new chat", "menu", "attach", "type a message", "online",
+    "voice and video calling is now available", "go to calls", "not a contact", "yesterday", "today",
+]
+VISUAL = [
+    "look at the image", "icon", "blue button", "red logo", "color", "chart", "graph", "canvas", "picture", "screenshot", "visual", "photo", "drawing",
+    "captcha",
+]
 
 # --- fixed values: severity of a label, first rule wins: words, severity, confidence ---
 SEVERITIES = [
@@ -252,7 +260,28 @@ SEVERITIES = [
 
 #: First digits of the ten blocks (Devanagari to Arabic-Indic) whose digits count as ASCII ones.
 DIGIT_BLOCKS = "०০૦୦௦౦೦൦੦٠"
-OCR_DIGITS = ("Il|!][OoQSsBbZz", "11111100055" + "8822")
+#: Letters and marks that scanners read in place of digits, and the digits (fixed values).
+OCR_DIGITS = {"I": "1", "l": "1", "|": "1", "!": "1", "]": "1", "[": "1", "O": "0", "o": "0", "Q": "0", "S": "5", "s": "5", "B": "8", "b": "8", "Z": "2", "z": "2"}
 # --- fixed values: the Verhoeff checksum ---
-VERHOEFF_D = ["0123456789", "1234067895", "2340178956", "3401289567", "4012395678", "5987604321", "6598710432", "7659821043", "8765932104", "9876543210"]
-VERHOEFF_P = ["0123456789", "1576283094", "5803796142", "8916043527", "9453126870", "4286573901", "2793806415", "7046913258"]
+VERHOEFF_D = [
+    [0, 1, 2, 3, 4, 5, 6, 7, 8, 9],
+    [1, 2, 3, 4, 0, 6, 7, 8, 9, 5],
+    [2, 3, 4, 0, 1, 7, 8, 9, 5, 6],
+    [3, 4, 0, 1, 2, 8, 9, 5, 6, 7],
+    [4, 0, 1, 2, 3, 9, 5, 6, 7, 8],
+    [5, 9, 8, 7, 6, 0, 4, 3, 2, 1],
+    [6, 5, 9, 8, 7, 1, 0, 4, 3, 2],
+    [7, 6, 5, 9, 8, 2, 1, 0, 4, 3],
+    [8, 7, 6, 5, 9, 3, 2, 1, 0, 4],
+    [9, 8, 7, 6, 5, 4, 3, 2, 1, 0],
+]
+VERHOEFF_P = [
+    [0, 1, 2, 3, 4, 5, 6, 7, 8, 9],
+    [1, 5, 7, 6, 2, 8, 3, 0, 9, 4],
+    [5, 8, 0, 3, 7, 9, 6, 1, 4, 2],
+    [8, 9, 1, 6, 0, 4, 3, 5, 2, 7],
+    [9, 4, 5, 3, 1, 2, 6, 8, 7, 0],
+    [4, 2, 8, 6, 5, 7, 3, 9, 0, 1],
+    [2, 7, 9, 3, 8, 0, 6, 4, 1, 5],
+    [7, 0, 4, 6, 9, 1, 3, 2, 5, 8],
+]

@@ -18,6 +18,11 @@ def digits(c: ColumnLike) -> Column:
     return F.regexp_replace(col(c), "[^0-9]", "")
 
 
+def flat(table: list[list[int]]) -> str:
+    """The digits of a table, row after row."""
+    return "".join(str(x) for row in table for x in row)
+
+
 def luhn_valid(c: ColumnLike) -> Column:
     """Whether the 13 to 19 digits of a text meet the Luhn checksum. Null: null."""
     d = F.reverse(digits(c))
@@ -36,7 +41,7 @@ def verhoeff_valid(c: ColumnLike) -> Column:
     """Whether the digits of a text (two at least) meet the Verhoeff checksum."""
     d = F.reverse(digits(c))
     n = F.length(d)
-    table, perm = F.lit("".join(P.VERHOEFF_D)), F.lit("".join(P.VERHOEFF_P))
+    table, perm = F.lit(flat(P.VERHOEFF_D)), F.lit(flat(P.VERHOEFF_P))
 
     def step(a: Column, i: Column) -> Column:
         x = F.substr(d, i + 1, F.lit(1)).cast("int")
@@ -54,7 +59,7 @@ def normalize_digits(c: ColumnLike) -> Column:
 
 def fold_ocr_digits(c: ColumnLike) -> Column:
     """Letters that scanners read for digits, as digits."""
-    return F.translate(col(c), *P.OCR_DIGITS)
+    return F.translate(col(c), "".join(P.OCR_DIGITS), "".join(P.OCR_DIGITS.values()))
 
 
 def keyword_form(c: ColumnLike) -> Column:
@@ -125,9 +130,9 @@ def _digit_source() -> str:
 #: name -> result type and body over s, for SQL.
 SQL = {
     "luhn_valid": ("BOOLEAN", "length(regexp_replace(s, '[^0-9]', '')) BETWEEN 13 AND 19 AND aggregate(transform(split(reverse(regexp_replace(s, '[^0-9]', '')), ''), (c, i) -> CASE WHEN i % 2 = 0 THEN int(c) WHEN 2 * int(c) > 9 THEN 2 * int(c) - 9 ELSE 2 * int(c) END), 0, (a, x) -> a + x) % 10 = 0"),
-    "verhoeff_valid": ("BOOLEAN", f"length(regexp_replace(s, '[^0-9]', '')) >= 2 AND aggregate(transform(split(reverse(regexp_replace(s, '[^0-9]', '')), ''), (c, i) -> struct(int(c) AS x, i AS i)), 0, (a, p) -> int(substr('{''.join(P.VERHOEFF_D)}', a * 10 + int(substr('{''.join(P.VERHOEFF_P)}', (p.i % 8) * 10 + p.x + 1, 1)) + 1, 1))) = 0"),
+    "verhoeff_valid": ("BOOLEAN", f"length(regexp_replace(s, '[^0-9]', '')) >= 2 AND aggregate(transform(split(reverse(regexp_replace(s, '[^0-9]', '')), ''), (c, i) -> struct(int(c) AS x, i AS i)), 0, (a, p) -> int(substr('{flat(P.VERHOEFF_D)}', a * 10 + int(substr('{flat(P.VERHOEFF_P)}', (p.i % 8) * 10 + p.x + 1, 1)) + 1, 1))) = 0"),
     "normalize_digits": ("STRING", f"translate(s, '{_digit_source()}', '{'0123456789' * len(P.DIGIT_BLOCKS)}')"),
-    "fold_ocr_digits": ("STRING", f"translate(s, '{P.OCR_DIGITS[0]}', '{P.OCR_DIGITS[1]}')"),
+    "fold_ocr_digits": ("STRING", f"translate(s, '{''.join(P.OCR_DIGITS)}', '{''.join(P.OCR_DIGITS.values())}')"),
     "keyword_form": ("STRING", "lower(trim(regexp_replace(regexp_replace(regexp_replace(s, '([a-z0-9])([A-Z])', '$1 $2'), '[_.-]+', ' '), ' +', ' ')))"),
     "parse_price": ("DOUBLE", "try_cast(replace(regexp_extract(s, '([0-9][0-9,]*([.][0-9]+)?)', 1), ',', '') AS DOUBLE)"),
 }

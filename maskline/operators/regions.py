@@ -225,7 +225,7 @@ def dilate(df: DataFrame, width: int, height: int) -> DataFrame:
     return clip(df, width, height, 1)
 
 
-#: Ordered rules: name, confidence, condition over x, y, w, h, ar, area, energy, dispersion and the flags.
+#: Ordered rules (fixed values): name, confidence, condition over x, y, w, h, ar, area, energy, dispersion and the flags.
 CLASSES = [
     ("signature", 0.91, "dispersion > 0.6 and ar between 1.5 and 4.5 and area < 40000"),
     ("qr_code", 0.95, "ar between 0.9 and 1.1 and w between 60 and 260 and energy > 45"),

@@ -113,11 +113,28 @@ def outage_intervals(errors: DataFrame) -> DataFrame:
     return df.select("provider", "ts", (F.col("ts") + F.make_dt_interval(secs=F.col("_o.seconds").cast("decimal(18,6)"))).alias("until"), F.col("_o.kind").alias("kind"))
 
 
-def unavailable_calls(calls: DataFrame, outages: DataFrame) -> DataFrame:
-    """calls (provider, ts) with unavailable: whether the latest earlier error's rest was still on (as-of, by one window)."""
-    both = calls.select("provider", "ts", F.lit(None).cast(outages.schema["until"].dataType).alias("until"), F.lit(1).alias("_call"), "call_id").unionByName(outages.select("provider", "ts", "until", F.lit(0).alias("_call"), F.lit(None).cast("long").alias("call_id")))
-    w = Window.partitionBy("provider").orderBy("ts", "_call").rowsBetween(Window.unboundedPreceding, 0)
-    return both.withColumn("last", F.last("until", True).over(w)).filter("_call = 1").select("call_id", "provider", "ts", F.coalesce(F.col("ts") < F.col("last"), F.lit(False)).alias("unavailable"))
+def unavailable_calls(calls: DataFrame, outages: DataFrame, slot: int = 86_400) -> DataFrame:
+    """calls (call_id, provider, ts) with unavailable: whether the latest earlier error's rest was still on.
+
+    As-of by slots of so many seconds: each slot of a provider is one window, which starts from the last error of the slots
+    before; so a provider with most rows is split by time. Errors at the same time: the longest rest counts. Null provider
+    or time: available.
+    """
+
+    def place(df: DataFrame) -> Column:
+        local = df.schema["ts"].dataType.typeName() == "timestamp_ntz"  # has no instant, but a day and a time
+        seconds = F.unix_date(F.to_date("ts")) * 86_400 + F.hour("ts") * 3600 + F.minute("ts") * 60 + F.second("ts") if local else F.unix_seconds("ts")
+        return F.floor(seconds / slot).alias("_slot")
+
+    errors = outages.filter("provider is not null and ts is not null").select("provider", place(outages), "ts", "until", F.lit(0).alias("_call"), F.lit(None).cast(calls.schema["call_id"].dataType).alias("call_id"))
+    asked = calls.select("provider", place(calls), "ts", F.lit(None).cast(outages.schema["until"].dataType).alias("until"), F.lit(1).alias("_call"), "call_id")
+    both = asked.unionByName(errors)
+    latest = both.groupBy("provider", "_slot").agg(F.max(F.when(F.col("_call") == 0, F.struct("ts", "until"))).alias("_l"))
+    earlier = Window.partitionBy("provider").orderBy("_slot").rowsBetween(Window.unboundedPreceding, -1)
+    latest = latest.select("provider", "_slot", F.last("_l", True).over(earlier)["until"].alias("_before"))
+    within = Window.partitionBy("provider", "_slot").orderBy("ts", "_call", "until").rowsBetween(Window.unboundedPreceding, 0)
+    rows = both.join(latest, ["provider", "_slot"], "left").withColumn("_last", F.coalesce(F.last("until", True).over(within), "_before"))
+    return rows.filter("_call = 1").select("call_id", "provider", "ts", F.coalesce(F.col("ts") < F.col("_last"), F.lit(False)).alias("unavailable"))
 
 
 #: Labels of clicks that do something that can't be taken back (fixed values).
@@ -136,6 +153,7 @@ def click_risk(actions: DataFrame, policy: str = "risky") -> DataFrame:
     return actions.withColumn("gate_reason", F.when(F.lit(policy == "all"), "policy").when(label.rlike(P.java(RISKY, True)), "risky label").when((label == "") & (F.coalesce("role", F.lit("")) != "link"), "no label"))
 
 
+#: Addresses, widgets and texts of pages that ask for proof of a human (fixed values).
 WALL_URL = r"/(?:nocaptcha|captcha|challenge|bot-?check|are-?you-?human|access-?denied|blocked)\b"
 WALL_WIDGET = r"(?:<iframe[^>]+src=[\"'][^\"']*(?:recaptcha|hcaptcha|turnstile)|class=[\"'][^\"']*(?:g-recaptcha|h-captcha|cf-turnstile)|id=[\"'](?:challenge-running|[^\"']*cf-challenge))"
 WALL_TEXT = r"\b(?:please verify (?:that )?you are (?:a )?human|complete the security check|enable javascript and cookies to continue|automated (?:queries|access)|suspicious activity detected|security verification)\b"

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from maskline.functions import patterns as P
+from maskline.functions.scalars import flat
 from maskline.operators import discover, egress, facets, images, quality, redact, regions, runs
 from maskline.sources import io
 
@@ -73,7 +74,7 @@ def secrets_found(spark, d):
 
 
 LUHN_SQL = "(length(v) BETWEEN 13 AND 19 AND list_sum(list_transform(range(length(v)), lambda i: CASE WHEN i % 2 = 0 THEN v[length(v) - i]::INT WHEN v[length(v) - i]::INT > 4 THEN v[length(v) - i]::INT * 2 - 9 ELSE v[length(v) - i]::INT * 2 END)) % 10 = 0)"
-VERHOEFF_SQL = f"(length(v) >= 2 AND list_reduce(list_prepend(0, list_transform(range(length(v)), lambda i: (i % 8 * 10 + v[length(v) - i]::INT)::BIGINT)), lambda a, x: (('{''.join(P.VERHOEFF_D)}')[(a * 10 + ('{''.join(P.VERHOEFF_P)}')[(x + 1)::BIGINT]::BIGINT + 1)::BIGINT])::BIGINT) = 0)"
+VERHOEFF_SQL = f"(length(v) >= 2 AND list_reduce(list_prepend(0, list_transform(range(length(v)), lambda i: (i % 8 * 10 + v[length(v) - i]::INT)::BIGINT)), lambda a, x: (('{flat(P.VERHOEFF_D)}')[(a * 10 + ('{flat(P.VERHOEFF_P)}')[(x + 1)::BIGINT]::BIGINT + 1)::BIGINT])::BIGINT) = 0)"
 
 
 @query(f"WITH f AS ({findings_sql(P.CHECKED, PLANTED, 1)}), g AS (SELECT *, regexp_replace(value, '[^0-9]', '', 'g') AS v FROM f), h AS (SELECT doc_id, kind, value, CASE WHEN kind = 'AADHAAR' THEN {VERHOEFF_SQL} WHEN kind = 'CREDIT_CARD' THEN {LUHN_SQL} END AS checksum_valid FROM g) SELECT * FROM h WHERE kind <> 'CREDIT_CARD' OR checksum_valid")
@@ -499,7 +500,7 @@ MESSAGES_SQL = "(SELECT event_id, event_type AS provider, ts, CASE event_id % 5
 def provider_errors(spark: SparkSession, d: str) -> DataFrame:
     m = F.col("event_id") % 5
     message = F.when(m == 0, "429 rate limit, try again in 1m2.5s").when(m == 1, "HTTP 401").when(m == 2, "Quota exceeded").when(m == 3, "Permission denied").otherwise("connection reset")
-    return table(spark, d, "events").select("event_id", F.col("event_type").alias("provider"), "ts", message.alias("message"))
+    return table(spark, d, "events").select("event_id", "event_type", "user_id", F.col("event_type").alias("provider"), "ts", message.alias("message"))
 
 
 OUTAGES_SQL = f"(SELECT event_id, provider, ts, ts + to_microseconds((CASE event_id % 5 WHEN 0 THEN 67.5 WHEN 2 THEN 90 WHEN 4 THEN 30 ELSE 1800 END * 1000000)::BIGINT) AS until, CASE event_id % 5 WHEN 0 THEN 'rate limited' WHEN 2 THEN 'rate limited' WHEN 4 THEN 'erroring' ELSE 'rejected our credentials' END AS kind FROM {MESSAGES_SQL})"
@@ -510,11 +511,12 @@ def outages(spark, d):
     return runs.outage_intervals(provider_errors(spark, d))
 
 
-@query(f"WITH o AS (SELECT * FROM {OUTAGES_SQL} WHERE event_id % 10 IN (1, 4)), c AS (SELECT event_id, event_type AS provider, ts FROM events WHERE event_id % 2 = 0) SELECT c.event_id AS call_id, c.provider, c.ts, coalesce(c.ts < o.until, false) AS unavailable FROM c ASOF LEFT JOIN o ON c.provider = o.provider AND c.ts >= o.ts")
+@query(f"WITH o AS (SELECT o.until, o.ts, 'p' || user_id AS provider FROM {OUTAGES_SQL} o JOIN events USING (event_id) WHERE event_type = 'error'), c AS (SELECT event_id, 'p' || user_id AS provider, ts FROM events WHERE event_type <> 'error') SELECT c.event_id AS call_id, c.provider, c.ts, coalesce(c.ts < o.until, false) AS unavailable FROM c ASOF LEFT JOIN o ON c.provider = o.provider AND c.ts >= o.ts")
 def calls_in_outages(spark, d):
-    e = provider_errors(spark, d)
-    calls = e.filter("event_id % 2 = 0").select(F.col("event_id").alias("call_id"), "provider", "ts")
-    return runs.unavailable_calls(calls, runs.outage_intervals(e.filter("event_id % 10 in (1, 4)")))
+    """Every event is an error or a call, by its type; a user's events are those of one provider."""
+    e = provider_errors(spark, d).withColumn("provider", F.concat(F.lit("p"), "user_id"))
+    calls = e.filter("event_type <> 'error'").select(F.col("event_id").alias("call_id"), "provider", "ts")
+    return runs.unavailable_calls(calls, runs.outage_intervals(e.filter("event_type = 'error'")))
 
 
 def audit(spark: SparkSession, d: str) -> DataFrame:

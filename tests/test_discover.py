@@ -58,7 +58,7 @@ def verhoeff(s):
 
     d, c = [int(x) for x in s if x.isdigit()][::-1], 0
     for i, x in enumerate(d):
-        c = int(VERHOEFF_D[c][int(VERHOEFF_P[i % 8][x])])
+        c = VERHOEFF_D[c][VERHOEFF_P[i % 8][x]]
     return len(d) >= 2 and c == 0
 
 

@@ -91,9 +91,30 @@ def test_walls_and_clicks(spark):
     assert [r["gate_reason"] for r in runs.click_risk(a).collect()] == ["risky label", None, "no label", None]
 
 
+def test_calls_in_outages_by_slots(spark):
+    import random
+
+    rnd, times = random.Random(3), lambda n: [(f"p{rnd.randrange(2)}" if rnd.random() < 0.9 else None, rnd.randrange(300) if rnd.random() < 0.95 else None) for _ in range(n)]
+    errors, asked = [(p, t, t + rnd.randrange(60)) for p, t in times(60) if t is not None], times(200)
+    c = spark.createDataFrame([(i, p, t) for i, (p, t) in enumerate(asked)], "call_id long, provider string, s long").select("call_id", "provider", F.timestamp_seconds("s").alias("ts"))
+    o = spark.createDataFrame(errors, "provider string, s long, u long").select("provider", F.timestamp_seconds("s").alias("ts"), F.timestamp_seconds("u").alias("until"))
+
+    def off(p, t):
+        before = [(s, u) for q, s, u in errors if p is not None and t is not None and q == p and s <= t]
+        return bool(before) and t < max(before)[1]
+
+    want = {i: off(p, t) for i, (p, t) in enumerate(asked)}
+    for slot in (7, 50, 100_000):
+        assert {r["call_id"]: r["unavailable"] for r in runs.unavailable_calls(c, o, slot).collect()} == want
+    assert runs.unavailable_calls(c.limit(0), o).isEmpty() and not runs.unavailable_calls(c, o.limit(0)).filter("unavailable").count()
+
+
 def test_request_facets(spark):
     rows = [(1, "search for red shoes under 2k and show me the results please"), (2, "book a flight from New Delhi to Goa on Friday"), (3, "hello"), (4, None)]
+    sought = {"Look up 'blue kettle' thanks!": "blue kettle", "search for salt and pepper mill and open the first": "salt and pepper mill", "please search lamps, then tell me": "lamps", "search for it": None, "search tents please, show me the prices.": "tents", "search for maps then also check one and buy it": "maps", "go and search for cots ,  book it; -": "cots", "search for fans -": "fans"}
+    rows += [(10 + i, t) for i, t in enumerate(sought)]
     got = {r["id"]: r for r in facets.request_facets(spark.createDataFrame(rows, "id int, text string")).collect()}
+    assert [got[10 + i]["query"] for i in range(len(sought))] == list(sought.values())
     assert (got[1]["query"], got[1]["max_price"]) == ("red shoes under 2k", 2000.0)
     assert (got[2]["category"], got[2]["from_city"], got[2]["to_city"]) == ("flights", "New Delhi", "Goa") and got[3]["query"] is None is got[4]["query"]
 
