@@ -602,3 +602,8 @@ def plans_checked(spark, d):
 @query("SELECT conv_id, count(*)::INT AS turns, string_agg('## ' || coalesce(role, 'unknown') || chr(10) || coalesce(text, ''), chr(10) || chr(10) ORDER BY turn, text) AS text FROM conversations GROUP BY ALL")
 def conversation_texts(spark, d):
     return io.conversation_texts(table(spark, d, "conversations"))
+
+
+@query("SELECT conv_id, count(*)::INT AS turns, string_agg('## ' || coalesce(role, 'unknown') || chr(10) || coalesce(text, '') || ' mail [EMAIL_1]', chr(10) || chr(10) ORDER BY turn, text) AS text FROM conversations GROUP BY ALL")
+def exported_conversations(spark, d):
+    return io.export_conversations(planted_turns(spark, d))

@@ -47,6 +47,13 @@ def conversation_texts(df: DataFrame, text: str = "text") -> DataFrame:
     return rows.select("conv_id", F.size("_t").alias("turns"), F.array_join(F.transform("_t", lambda x: x["t"]), "\n\n").alias("text"))
 
 
+def export_conversations(df: DataFrame) -> DataFrame:
+    """conv_id, turns, text as conversation_texts() gives them, with what is sensitive replaced by the conversation's tokens."""
+    from maskline.operators.redact import scrub_in_scope
+
+    return conversation_texts(scrub_in_scope(df, "conv_id", "turn")[0], "clean_text")
+
+
 def quality_report(tables: dict[str, DataFrame], path: str) -> None:
     for name, df in tables.items():
         df.write.mode("overwrite").parquet(f"{path}/{name}")

@@ -130,6 +130,15 @@ def test_fields_and_replies(spark):
     assert all(r["how"] == r["want"] and r["reply"]["action"] == ("done" if r["want"] == "none" else "a") for r in got)
 
 
+def test_field_keys(spark):
+    want = {"Satellite Name": "satellite_name", "Operator on duty": "operator", "TLE line 2": "tle_line_2", "Annual salary": "annual_income", "Date of birth": "dob", "User ID": "username", "PIN": "password", "PIN code": "zip", "Postcode": "address",
+            "Full name": "name", "Surname": "last_name", "Town": "city", "PAN": "unknown", "Card number": "unknown", "Shoe  size!": "shoe_size", "": None}
+    f = spark.createDataFrame([(k, "input:text") for k in want], "label string, role string")
+    assert {r["label"]: r["key"] for r in facets.map_fields(f).collect()} == want
+    f = spark.createDataFrame([("Name", "input:email"), ("Aadhaar", "input:tel"), (None, "input:tel"), (None, None)], "label string, role string")
+    assert [r["key"] for r in facets.map_fields(f).collect()] == ["email", "unknown", "phone", None]
+
+
 def test_marks(spark):
     marks = spark.createDataFrame([(1, 1, "input:search", "Search products", 0, 10, 50, 10), (1, 2, "link", "About", 0, 30, 50, 10)], "scan_id int, mark_id int, role string, label string, x int, y int, w int, h int").withColumn("viewport_height", F.lit(800))
     tasks = spark.createDataFrame([(1, 1, "search products", "search")], "scan_id int, task_id int, text string, kind string")
