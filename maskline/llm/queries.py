@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import byte_model, decontamination, html_text, importance, language_id, license_scan, manifest, mixing, ngram_join, quality_rules, token_files
+from . import byte_model, decontamination, html_text, importance, language_id, license_scan, manifest, mixing, ngram_join, quality_rules, spelling, token_files
 
 QUERIES = {
     "op1_ngram_join": ngram_join.op1_ngram_join,
@@ -16,6 +16,7 @@ QUERIES = {
     "op9_quality_rules": quality_rules.op9_quality_rules,
     "op10_language_id": language_id.op10_language_id,
     "op11_manifest": manifest.op11_manifest,
+    "op12_spelling": spelling.op12_spelling,
 }
 
-ORACLES: dict[str, str] = {"op1_ngram_join": ngram_join.OP1_SQL, "op5_license_scan": license_scan.OP5_SQL, "op9_quality_rules": quality_rules.OP9_SQL, "op11_manifest": manifest.OP11_SQL}
+ORACLES: dict[str, str] = {"op1_ngram_join": ngram_join.OP1_SQL, "op5_license_scan": license_scan.OP5_SQL, "op9_quality_rules": quality_rules.OP9_SQL, "op11_manifest": manifest.OP11_SQL, "op12_spelling": spelling.OP12_SQL}
