@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import byte_model, decontamination, html_text, importance, language_id, license_scan, manifest, mixing, ngram_join, quality_rules, spelling, token_files
+from . import byte_model, decontamination, html_text, importance, language_id, license_scan, manifest, mixing, ngram_join, quality_rules, spelling, token_files, warc
 
 QUERIES = {
     "op1_ngram_join": ngram_join.op1_ngram_join,
@@ -17,6 +17,7 @@ QUERIES = {
     "op10_language_id": language_id.op10_language_id,
     "op11_manifest": manifest.op11_manifest,
     "op12_spelling": spelling.op12_spelling,
+    "op13_warc": warc.op13_warc,
 }
 
-ORACLES: dict[str, str] = {"op1_ngram_join": ngram_join.OP1_SQL, "op5_license_scan": license_scan.OP5_SQL, "op9_quality_rules": quality_rules.OP9_SQL, "op11_manifest": manifest.OP11_SQL, "op12_spelling": spelling.OP12_SQL}
+ORACLES: dict[str, str] = {"op1_ngram_join": ngram_join.OP1_SQL, "op5_license_scan": license_scan.OP5_SQL, "op9_quality_rules": quality_rules.OP9_SQL, "op11_manifest": manifest.OP11_SQL, "op12_spelling": spelling.OP12_SQL, "op13_warc": warc.OP13_SQL}
