@@ -170,10 +170,16 @@ def dedupe_near(df: DataFrame, px: int, scan: str = "scan_id") -> DataFrame:
     """Regions less those whose corner lies within px of an earlier kept one (by ord). df: scan, ord, x, y, w, h. Null corners are near none."""
 
     def choose(b: dict[str, np.ndarray]) -> list[int]:
-        kept: list[int] = []
-        for i in range(len(b["x"])):
-            if not ((np.abs(b["x"][kept] - b["x"][i]) <= px) & (np.abs(b["y"][kept] - b["y"][i]) <= px)).any():
+        kept, grid, cell = [], {}, px + 1
+        for i, (x, y) in enumerate(zip(b["x"].tolist(), b["y"].tolist())):
+            if x != x or y != y:
+                kept.append(i)
+                continue
+            cx, cy = x // cell, y // cell
+            around = (p for dx in (-1, 0, 1) for dy in (-1, 0, 1) for p in grid.get((cx + dx, cy + dy), ()))
+            if not any(abs(px_ - x) <= px and abs(py_ - y) <= px for px_, py_ in around):
                 kept.append(i)
+                grid.setdefault((cx, cy), []).append((x, y))
         return kept
 
     rows = df.select(scan, "ord", "x", "y", "w", "h")

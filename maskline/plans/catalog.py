@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -11,24 +9,10 @@ from pyspark.sql.window import Window
 from maskline.functions import patterns as P
 from maskline.functions.scalars import flat
 from maskline.operators import discover, egress, facets, images, quality, redact, regions, runs
+from maskline.plans.registry import ORACLES, QUERIES, query, sql_text, table
 from maskline.sources import io
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLES: dict[str, str] = {}
-
-
-def query(sql: str | None = None):
-    def add(f):
-        QUERIES[f.__name__] = f
-        if sql:
-            ORACLES[f.__name__] = sql
-        return f
-
-    return add
-
-
-def table(spark: SparkSession, d: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{d}/{name}.parquet")
+__all__ = ["ORACLES", "QUERIES", "flagship"]
 
 
 # --- text: documents with planted values, so that kinds which the tables lack meet an oracle too ---
@@ -45,10 +29,6 @@ def planted(spark: SparkSession, d: str) -> DataFrame:
 PLANTED = "(SELECT doc_id, source, lang, coalesce(text, '') || chr(10) || 'mail user' || n || '@example.org pan ABCDE' || n || 'F ifsc HDFC000' || n || ' id 2345 6789 ' || n || CASE WHEN doc_id % 10 = 0 THEN ' AKIA' || lpad(doc_id::VARCHAR, 16, '0') ELSE '' END AS text FROM (SELECT *, lpad((doc_id % 10000)::VARCHAR, 4, '0') AS n FROM documents))"
 
 
-def sql_text(s: str) -> str:
-    return "'" + s.replace("'", "''") + "'"
-
-
 def findings_sql(patterns: list[P.Pattern], source: str, least: int) -> str:
     """All values of the patterns, as SQL; for patterns without look-around."""
     parts = [f"SELECT doc_id, source, {sql_text(p.kind)} AS kind, {sql_text(p.category)} AS category, unnest(regexp_extract_all(text, {sql_text(p.regex)}, {p.group}, '{'i' if p.ignore_case else 'c'}')) AS value FROM {source}" for p in patterns]
@@ -607,3 +587,6 @@ def conversation_texts(spark, d):
 @query("SELECT conv_id, count(*)::INT AS turns, string_agg('## ' || coalesce(role, 'unknown') || chr(10) || coalesce(text, '') || ' mail [EMAIL_1]', chr(10) || chr(10) ORDER BY turn, text) AS text FROM conversations GROUP BY ALL")
 def exported_conversations(spark, d):
     return io.export_conversations(planted_turns(spark, d))
+
+
+from maskline.plans import screens  # noqa: E402, F401  registers its queries
