@@ -20,7 +20,9 @@ ENDS_WORD = re.compile(r"(?:\\d|[A-Za-z0-9_]|\[[A-Za-z0-9-]+\])(?:\{[\d,]+\}|\+)
 
 
 def java(pattern: str, ignore_case: bool = False) -> str:
-    """The pattern for Java's engine, with ASCII word edges and wide white space."""
+    """The pattern for Java's engine, with ASCII word edges and wide white space. It may begin with (?i)."""
+    if pattern.startswith("(?i)"):
+        return java(pattern[4:], True)
     out, inside, i = [], False, 0
     while i < len(pattern):
         two = pattern[i : i + 2]
@@ -143,15 +145,15 @@ ACCOUNT = r"\b(?:a/c|acc(?:oun)?t(?:\s*(?:no|number|#))?|bank\s*a/?c)\s*[:.#-]?\
 GSTIN = r"\b\d{2}[A-Z]{5}[0-9]{4}[A-Z]{1}[1-9A-Z]{1}Z[0-9A-Z]{1}\b"
 EMPLOYEE = r"\b(?:ISRO|NASA|ESA|DRDO|BARC|EMP|STAFF|ID)[-\s]?\d{4,8}\b"
 ROLE_NAME = r"\b(?:HR|Admin|Lead|Director|Officer|Manager|Employee|Staff)\s*[—–-]\s*([A-Z][a-z]+(?:\s+[A-Z][a-z]+)+)\b"
-VALUE_LABELS = [
-    "billed to", "bill to", "invoice to", "sold to", "customer", "client", "account holder", "card ?holder", "patient", "employee", "member", "full name",
-    "owner name", "owner", "name", "username", "user", "son/wife/daughter of", "s/o", "w/o", "d/o", "operator on duty", "operator", "duty", "mission id",
-    "mission", "officer", "supervisor", "pilot", "commander", "technician", "personnel", "satellite name", "satellite", "orbit type", "orbit", "launch date",
-    "launch", "orbital inclination", "inclination", "apogee", "perigee", "tle line 1", "tle line 2", "tle1", "tle2", "tle", "ground station freq",
-    "ground station", "freq", "frequency", "encryption key ref", "encryption key", "enc key ref", "enc key", "encryption", "org", "organisation",
-    "organization", "company", "address", "street", "zip", "pin", "pincode", "postal code", "recipient", "addressed to", "deliver to", "ship to",
-    "chassis number", "engine/motor number", "engine number", "regn\\.?\\s*number", "date of regn", "regn\\.?\\s*validity",
-]
+VALUE_LABEL = (
+    r"billed to|bill to|invoice to|sold to|customer|client|account holder|card ?holder|patient|employee|member|full name|"
+    r"owner name|owner|name|username|user|son/wife/daughter of|s/o|w/o|d/o|operator on duty|operator|duty|"
+    r"mission id|mission|officer|supervisor|pilot|commander|technician|personnel|satellite name|satellite|orbit type|orbit|"
+    r"launch date|launch|orbital inclination|inclination|apogee|perigee|tle line 1|tle line 2|tle1|tle2|tle|ground station freq|"
+    r"ground station|freq|frequency|encryption key ref|encryption key|enc key ref|enc key|encryption|org|organisation|organization|company|"
+    r"address|street|zip|pin|pincode|postal code|recipient|addressed to|deliver to|ship to|chassis number|engine/motor number|"
+    r"engine number|regn\.?\s*number|date of regn|regn\.?\s*validity"
+)
 DATE = r"(?:0?[1-9]|[12]\d|3[01])[\s/.-](?:0?[1-9]|1[0-2])[\s/.-](?:19|20)\d{2}|(?:19|20)\d{2}[\s/.-](?:0?[1-9]|1[0-2])[\s/.-](?:0?[1-9]|[12]\d|3[01])"
 SCREEN = [
     Pattern("openai_key", "OPENAI_KEY", "secret", r"sk-[a-zA-Z0-9]{20,}"),
@@ -177,7 +179,7 @@ SCREEN = [
     Pattern("phone", "PHONE", "pii", PHONE),
     Pattern("employee_id", "EMPLOYEE_ID", "pii", EMPLOYEE, 0, True),
     Pattern("name", "NAME", "pii", ROLE_NAME, 1, True),
-    Pattern("labelled_value", "LABELLED_VALUE", "pii", rf"\b({"|".join(VALUE_LABELS)})\s*[:\-]?\s*([^\r\n]{{2,80}})", 2, True),
+    Pattern("labelled_value", "LABELLED_VALUE", "pii", rf"\b({VALUE_LABEL})\s*[:\-]?\s*([^\r\n]{{2,80}})", 2, True),
 ]
 # --- fixed values: places in a page's text ---
 NAME_WITH_ID = r"\b([A-Z][a-z]+(?:\s+[A-Z][a-z]+)+)\s*[—–-]\s*(?:ISRO|EMP|ID)?[-\s]?\d+"

@@ -140,8 +140,7 @@ def line_and_word_hits(words: DataFrame, patterns: list[P.Pattern] = P.SCREEN, s
 
 def may_hit(text: Column, patterns: list[P.Pattern]) -> Column:
     """False only where no pattern can hit: marks of credentials, an "@", enough digits, the words that values follow."""
-    labels = "|".join(P.VALUE_LABELS)
-    wanted = {"labelled_value": rf"(?i)\b(?:{labels})", "phone": r"\d(?:\D*\d){8}", "vid": r"\d{4}", "ssn": r"\d{4}"}
+    wanted = {"labelled_value": rf"(?i)\b(?:{P.VALUE_LABEL})", "phone": r"\d(?:\D*\d){8}", "vid": r"\d{4}", "ssn": r"\d{4}"}
     hints = dict.fromkeys(P.java(wanted[p.kind]) if p.kind in wanted else p.hint for p in patterns)
     out = F.lit(False)
     for h in hints:

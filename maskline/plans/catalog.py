@@ -544,9 +544,31 @@ def facet_cube(spark, d):
     return facets.facet_counts(requests(spark, d), ["pick", "sort_key"])
 
 
-@query("SELECT p_partkey, i AS step, CASE i WHEN 0 THEN 'open ' || p_name WHEN 1 THEN 'read it' ELSE 'close' END AS task FROM part, (SELECT unnest(range(3))::INT AS i)")
+REQUESTS = ["I need a new part today: run the NAME search; sort the results by price, then check it.", "open NAME and press the NAME button and then fill the form, please; close it", "search for NAME and open the detail page of NAME and show me the prices!", "note: NAME", "  ", "hit NAME next narrow the list to NAME. add it; save and submit, review, find NAME, set it, book it"]
+STEP_VERBS_SQL = "search|find|look|filter|narrow|sort|rank|open|click|select|choose|pick|show|compare|add|put|fill|enter|type|scroll|save|submit|apply|set|book|review|check"
+REPHRASED_SQL = "CASE " + " ".join(f"WHEN regexp_matches(t, {sql_text(p)}) THEN trim(regexp_replace(t, {sql_text(p)}, {sql_text(w.replace('$', chr(92)))}))" for p, w in facets.REPHRASED) + " ELSE t END"
+
+
+def worded_requests(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "part").withColumn("text", F.replace(F.element_at(F.array(*map(F.lit, REQUESTS)), (F.col("p_partkey") % len(REQUESTS) + 1).cast("int")), F.lit("NAME"), F.col("p_name")))
+
+
+@query(rf"""WITH q AS (SELECT p_partkey, trim(replace({REQUESTS}[p_partkey % {len(REQUESTS)} + 1], 'NAME', p_name)) AS t FROM part),
+c AS (SELECT p_partkey, t, list_filter(list_transform(string_split(regexp_replace(t, '(?:\s*[,;.]\s*|\s+(?:and(?:\s+then)?|then|after that|finally|next)\s+)((?:{STEP_VERBS_SQL})\b)', chr(1) || '\1', 'gi'), chr(1)), lambda x: trim(x, ' ,;.')), lambda x: x <> '') AS p FROM q),
+s AS (SELECT p_partkey, unnest(range(least(greatest(len(p), 1), 7)))::INT AS step, unnest(CASE WHEN len(p) > 0 THEN p[1:7] ELSE [t] END) AS t FROM c),
+l AS (SELECT p_partkey, step, CASE WHEN step = 0 AND contains(t, ':') AND len(string_split(split_part(t, ':', 1), ' ')) > 3 THEN trim(substr(t, strpos(t, ':') + 1)) ELSE t END AS t FROM s)
+SELECT p_partkey, step, left({REPHRASED_SQL}, 160) AS task FROM l""")
 def request_steps(spark, d):
-    return facets.split_steps(table(spark, d, "part").withColumn("text", F.concat(F.lit("Please do: open "), F.col("p_name"), F.lit(" and then read it; close."))), "p_partkey")
+    return facets.split_steps(worded_requests(spark, d), "p_partkey")
+
+
+@query(r"""WITH q AS (SELECT p_partkey, p_name AS n, p_partkey % 3 AS k FROM part)
+SELECT p_partkey, CASE k WHEN 0 THEN [lower(n), 'first ' || lower(n)] WHEN 1 THEN ['cart ' || lower(n)] ELSE []::VARCHAR[] END AS targets FROM q""")
+def open_targets(spark, d):
+    """Three kinds of requests: two things to open, one to click, none."""
+    k, n = F.col("p_partkey") % 3, F.col("p_name")
+    text = F.when(k == 0, F.concat(F.lit("search for it and open the "), n, F.lit(" then also select first "), n, F.lit(" and show me the prices"))).when(k == 1, F.concat(F.lit("Buy it and click on the CART "), n)).otherwise(F.concat(F.lit("open "), n))
+    return table(spark, d, "part").select("p_partkey", facets.open_targets(text).alias("targets"))
 
 
 @query("WITH b AS (SELECT DISTINCT p_brand FROM part), w AS (SELECT p_partkey, p_retailprice, p_size % 6 AS r, string_split(p_name, ' ')[1] AS a, string_split(p_name, ' ')[2] AS z FROM part), q AS (SELECT s_suppkey AS task_id, n.a || ' ' || n.z AS query, n.a, n.z FROM supplier JOIN w n ON n.p_partkey = s_suppkey), s AS (SELECT task_id, p_partkey, 100 + 50 * ((w.a = q.a)::INT + (w.z = q.z)::INT) + CASE WHEN p_retailprice > 1000 THEN -500 ELSE 150 END + CASE WHEN r < 3 THEN -500.0 ELSE 40.0 * r END - CASE WHEN p_partkey % 10 = 0 THEN 30 ELSE 0 END AS score FROM q JOIN w ON w.a = q.a OR w.z = q.z), o AS (SELECT *, row_number() OVER (PARTITION BY task_id ORDER BY score DESC, p_partkey) AS n FROM s) SELECT task_id, p_partkey AS listing_id, score::DOUBLE AS score FROM o WHERE n = 1 AND score > 0")
