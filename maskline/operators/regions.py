@@ -314,12 +314,46 @@ def classify_screens(marks: DataFrame, scans: DataFrame) -> DataFrame:
     return df.withColumn("r", out).select("scan_id", "r.*", F.when(density > 4, "high").when(density > 1.5, "medium").otherwise("low").alias("complexity"), "n_marks", "inputs", "passwords", "buttons")
 
 
-def stable_ids(elements: DataFrame, page: str = "page_id") -> DataFrame:
-    """elements with stable_id from identity and place (in steps of 4 pixels); equal seeds are told apart by their order."""
-    seed = F.concat_ws("|", *(F.coalesce(F.col(c).cast("string"), F.lit("")) for c in ("tag", "role", "name", "label")), *((F.col(c) / 4).cast("int").cast("string") for c in ("x", "y", "w", "h")))
-    own = F.pmod(F.xxhash64(seed), F.lit(1 << 31)) + 1000
-    place = F.row_number().over(Window.partitionBy(page, "_seed").orderBy("ord")) - 1
-    return elements.withColumn("_seed", own).withColumn("stable_id", F.col("_seed") + place).drop("_seed")
+#: Ids of elements: how many there are, and the first (fixed values).
+ID_SLOTS, FIRST_ID = 8_999_999, 1000
+SEED = ["frame", "tag", "role", "input_type", "name", "dom_id", "placeholder", "label", "href", "path"]
+
+
+def string_hash(c: Column) -> Column:
+    """The absolute value of the signed 32-bit polynomial hash (base 31) over a text's UTF-16 units."""
+    mask = (1 << 32) - 1
+
+    def step(h: Column, ch: Column) -> Column:
+        code = F.ascii(ch).cast("long")
+        high, low = F.shiftright(code - 0x10000, 10) + 0xD800, (code - 0x10000).bitwiseAND(F.lit(0x3FF)) + 0xDC00
+        add = lambda x, unit: (x * 31 + unit).bitwiseAND(F.lit(mask))
+        return F.when(code < 0x10000, add(h, code)).otherwise(add(add(h, high), low))
+
+    h = F.aggregate(F.filter(F.split(c, ""), lambda x: x != ""), F.lit(0).cast("long"), step)
+    return F.abs(F.when(h >= 1 << 31, h - (1 << 32)).otherwise(h))
+
+
+def probed(df: DataFrame, page: str, own: str, slots: int, order: list[str]) -> DataFrame:
+    """df with _slot: each row's own slot or the next free one, around the end; on a page no two have the same.
+
+    Rows take their slots by own slot, then in order: the i-th gets i + the maximum of own - place over those up to it.
+    What passes the end comes round once more, before all others; with no more rows than slots that settles it. A page of more
+    rows than slots can't have different ids: its last rows go on past the end."""
+    rows, last = Window.partitionBy(page), Window.unboundedPreceding
+    for k in range(2):
+        df = df.withColumn("_own", F.col(own) if k == 0 else F.when(F.col("_slot") >= slots, F.col("_slot") - slots).otherwise(F.col(own)))
+        first = rows.orderBy(*(["_own"] if k == 0 else [(F.col("_slot") < slots).cast("int"), "_own"]), *order)
+        df = df.withColumn("_i", F.row_number().over(first) - 1).withColumn("_slot", F.col("_i") + F.max(F.col("_own") - F.col("_i")).over(first.rowsBetween(last, 0)))
+    return df.drop("_own", "_i")
+
+
+def stable_ids(elements: DataFrame, page: str = "page_id", slots: int = ID_SLOTS, seed: list[str] = SEED) -> DataFrame:
+    """elements with stable_id: from what identifies them and their place in steps of 4 pixels; the same at every scan, no two on a page
+    the same. Columns of the seed that aren't there are left out, nulls are empty; ties go by ord."""
+    place = [F.floor(F.coalesce(F.col(c), F.lit(0)) / 4 + 0.5).cast("string") for c in ("x", "y", "w", "h")]
+    text = F.concat_ws("|", *(F.coalesce(F.col(c).cast("string"), F.lit("")) for c in seed if c in elements.columns), *place)
+    df = elements.withColumn("_hash", string_hash(text) % slots)
+    return probed(df, page, "_hash", slots, ["ord"]).withColumn("stable_id", F.col("_slot") + FIRST_ID).drop("_hash", "_slot")
 
 
 def union_coverage(truth: DataFrame, boxes: DataFrame, scan: str = "scan_id", truth_id: str = "truth_id") -> DataFrame:

@@ -291,10 +291,24 @@ def screen_classes(spark, d):
 
 @query()
 def element_ids(spark, d):
-    e = io.page_elements(table(spark, d, "pages")).withColumn("label", F.left("text", F.lit(40))).withColumns({c: F.lit(0) for c in "xywh"})
+    e = io.page_elements(table(spark, d, "pages")).withColumn("label", F.left("text", F.lit(40))).withColumns({"path": F.col("ord").cast("string"), **{c: F.lit(0) for c in "xywh"}})
     return regions.stable_ids(e).select("page_id", "ord", "stable_id")
 
 
+HASH_SQL = "abs(list_reduce(list_prepend(0::BIGINT, list_transform(string_split(seed, ''), lambda c: ascii(c)::BIGINT)), lambda h, c: (h * 31 + c + 2147483648) % 4294967296 - 2147483648 + CASE WHEN (h * 31 + c + 2147483648) % 4294967296 < 0 THEN 4294967296 ELSE 0 END))"
+
+
+@query(f"""WITH RECURSIVE b AS (SELECT scan_id, ord, coalesce(source, '') || '|' || concat_ws('|', (floor(x / 4 + 0.5))::BIGINT, (floor(y / 4 + 0.5))::BIGINT, 5, 5) AS seed FROM (SELECT scan_id, ord, source, x // 100 * 100 AS x, y // 200 * 4 AS y FROM {BOXES_SQL})),
+h AS (SELECT scan_id, ord, {HASH_SQL} % 8999999 AS own FROM b),
+o AS (SELECT *, row_number() OVER (PARTITION BY scan_id ORDER BY own, ord) AS i FROM h),
+t AS (SELECT scan_id, ord, i, own AS slot FROM o WHERE i = 1 UNION ALL SELECT o.scan_id, o.ord, o.i, greatest(o.own, t.slot + 1) FROM t JOIN o ON o.scan_id = t.scan_id AND o.i = t.i + 1)
+SELECT scan_id, ord, slot + 1000 AS stable_id FROM t""")
+def box_ids(spark, d):
+    """Boxes told apart coarsely, so that most ids are probed for; the SQL puts in one box after the other."""
+    b = boxes(spark, d).select("scan_id", "ord", F.col("source").alias("label"), (F.floor(F.col("x") / 100) * 100).alias("x"), (F.floor(F.col("y") / 200) * 4).alias("y"), F.lit(20).alias("w"), F.lit(20).alias("h"))
+    return regions.stable_ids(b, "scan_id").select("scan_id", "ord", "stable_id")
+
+
 @query("SELECT page_id, len(regexp_extract_all(html, '<li>')) AS links FROM pages WHERE regexp_matches(html, '<li>')")
 def page_links(spark, d):
     return io.page_elements(table(spark, d, "pages")).filter("role = 'link'").groupBy("page_id").agg(F.count("*").alias("links"))

@@ -128,3 +128,42 @@ def test_ink_survival(spark):
     assert {r["box_id"]: (r["n_ink"], r["leaked"]) for r in images.ink_survival(ref, ref, boxes).collect()} == {0: (34, True), 1: (0, False)}
     assert not images.ink_survival(ref, black, boxes).filter("leaked").count()
     assert {r["box_id"]: r["dark_share"] for r in images.region_stats(ref, boxes).collect()}[1] == 1.0
+
+
+def test_probed_ids(spark):
+    """Few slots, so that rows come round past the end: the ids of linear probing, one row after the other."""
+    draw = random.Random(4)
+    rows = [(p, i, draw.choice([0, 1, 2, 9, 9, 10, 10, 10])) for p in range(60) for i in range(draw.randint(0, 11))]
+    df = spark.createDataFrame(rows, "page int, ord int, own int")
+    got = {}
+    for r in regions.probed(df, "page", "own", 11, ["ord"]).collect():
+        got.setdefault(r["page"], set()).add(r["_slot"])
+    for page, slots in got.items():
+        mine, taken = [r for r in rows if r[0] == page], set()
+        for _, _, own in mine:
+            while own in taken:
+                own = (own + 1) % 11
+            taken.add(own)
+        assert slots == taken and len(slots) == len(mine)
+
+
+def test_string_hash(spark):
+    texts = ["", "a", "input|text|Näme|1|2", "x" * 100, "\U0001f600y", None]
+
+    def by_hand(t):
+        h = 0
+        for unit in (t.encode("utf-16-le")[i : i + 2] for i in range(0, 2 * (len(t.encode("utf-16-le")) // 2), 2)):
+            h = (h * 31 + int.from_bytes(unit, "little")) & 0xFFFFFFFF
+        return abs(h - (1 << 32) if h >= 1 << 31 else h)
+
+    got = spark.createDataFrame([(t,) for t in texts], "t string").select(regions.string_hash(F.col("t")).alias("h")).collect()
+    assert [r["h"] for r in got] == [None if t is None else by_hand(t) for t in texts]
+
+
+def test_ids_stay_and_differ(spark):
+    rows = [(1, i, "a", "button", "Go" if i < 3 else f"G{i}", 10, 20, 30, 40) for i in range(6)] + [(2, 0, "a", "button", "Go", 11, 20, 30, 40)]
+    df = spark.createDataFrame(rows, "page_id int, ord int, tag string, role string, label string, x int, y int, w int, h int")
+    got = regions.stable_ids(df).collect()
+    ids = {(r["page_id"], r["ord"]): r["stable_id"] for r in got}
+    assert len({v for k, v in ids.items() if k[0] == 1}) == 6 and ids[1, 0] == ids[2, 0] and ids[1, 1] == ids[1, 0] + 1
+    assert all(1000 <= v < 1000 + regions.ID_SLOTS for v in ids.values())
