@@ -1,15 +1,17 @@
 """The log operators on streams: the same columns as the batch forms, with watermarks and keyed state.
 
-Late rows, by more than LATE, are dropped; Spark counts them in each query's progress.
+Late rows, by more than LATE, are dropped; metrics.StreamCounts writes how many, by query and operator, to a table.
 """
 
 from __future__ import annotations
 
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from maskline.operators import egress, runs
@@ -41,6 +43,11 @@ def write_gated(payloads: DataFrame, allowed: str, quarantine: str, checkpoint:
     return payloads.writeStream.foreachBatch(sink).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
+def gate_totals(payloads: DataFrame) -> DataFrame:
+    """gated() that also observes, as "gate", how many payloads and bytes passed by and how many were blocked."""
+    return gated(payloads).observe("gate", F.count("*").alias("payloads"), F.count_if(F.col("block_reason").isNotNull()).alias("blocked"), F.sum("bytes").alias("bytes"))
+
+
 def gate_metrics(payloads: DataFrame, every: str = "1 hour") -> DataFrame:
     return egress.gate_metrics(egress.egress_gate(payloads).withWatermark("ts", LATE), every)
 
@@ -113,3 +120,70 @@ def detect_streaks(actions: DataFrame) -> DataFrame:
 def outage_intervals(errors: DataFrame) -> DataFrame:
     """provider, ts, until, kind of each error; stateless."""
     return runs.outage_intervals(errors)
+
+
+RESTS = "call_id long, provider string, ts timestamp, unavailable boolean"
+
+
+class Rests(StatefulProcessor):
+    """A provider's errors and its calls that wait until the watermark has passed them: then no error before them can still come."""
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.errors = handle.getListState("errors", "ts long, until long")
+        self.calls = handle.getListState("calls", "call_id long, ts long")
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        errors, calls, timers = [], [], set()
+        for df in rows:
+            for call, ts, until in df[["call_id", "us", "until_us"]].itertuples(index=False):
+                if pd.isna(until):
+                    calls.append((int(call), int(ts)))
+                    timers.add(int(ts) // 1000 + 1)
+                else:
+                    errors.append((int(ts), int(until)))
+                    timers.add(max(int(ts), int(until)) // 1000 + 1)
+        if errors:
+            self.errors.appendList(errors)
+        if calls:
+            self.calls.appendList(calls)
+        for t in timers:
+            self.handle.registerTimer(t)
+        yield from ()
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        """Answers the calls before the watermark, and forgets what can't matter any more: at the rest's end, everything."""
+        now, out = timerValues.getCurrentWatermarkInMs() * 1000, []
+        errors, calls = sorted(self.errors.get()), sorted(self.calls.get(), key=lambda c: c[1])
+        starts = [e[0] for e in errors]
+        for call, ts in calls:
+            if ts >= now:
+                break
+            k = bisect_right(starts, ts)
+            out.append((call, key[0], pd.Timestamp(ts, unit="us"), k > 0 and ts < errors[k - 1][1]))
+        wait = [(c, ts) for c, ts in calls if ts >= now]
+        last = bisect_left(starts, now) - 1  # the latest error before the watermark: its rest still counts, if it isn't over
+        keep = [e for i, e in enumerate(errors) if i > last or i == last and e[1] > now]
+        for state, before, after in ((self.calls, calls, wait), (self.errors, errors, keep)):
+            if len(after) < len(before):
+                state.put(after) if after else state.clear()
+        if out:
+            yield pd.DataFrame(out, columns=["call_id", "provider", "ts", "unavailable"])
+
+    def close(self) -> None:
+        pass
+
+
+def unavailable_calls(errors: DataFrame, calls: DataFrame, parts: int = 8) -> DataFrame:
+    """call_id, provider, ts, unavailable, as runs.unavailable_calls, of streams of errors (provider, ts, message) and calls (call_id, provider, ts).
+
+    A call is answered once the watermark has passed it, so that rows may come in any order within LATE. A provider's calls are dealt
+    out to `parts` keys and its errors, which are few, sent to each; state is kept until the last rest is over. Calls without a
+    provider or time have no state and no answer. The session must keep state in RocksDB
+    (spark.sql.streaming.stateStore.providerClass)."""
+    ship(errors.sparkSession)
+    us = lambda c: F.unix_micros(F.col(c).cast("timestamp"))
+    rest = runs.outage_intervals(errors.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", LATE)).select("provider", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))).alias("part"), "ts", us("ts").alias("us"), us("until").alias("until_us"), F.lit(None).cast("long").alias("call_id"))
+    asked = calls.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", LATE).select("provider", F.pmod(F.xxhash64("call_id"), F.lit(parts)).cast("int").alias("part"), "ts", us("ts").alias("us"), F.lit(None).cast("long").alias("until_us"), F.col("call_id").cast("long").alias("call_id"))
+    both = rest.unionByName(asked).filter("provider is not null and us is not null")
+    return both.groupBy("provider", "part").transformWithStateInPandas(Rests(), RESTS, "Append", "EventTime")

@@ -64,6 +64,76 @@ def test_gate_in_a_stream(spark, tmp_path):
     assert spark.read.parquet(str(tmp_path / "held")).count() == held and spark.read.parquet(str(tmp_path / "ok")).count() == df.count() - held
 
 
+@pytest.fixture
+def rocksdb(spark):
+    key = "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(key)
+    spark.conf.set(key, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    yield
+    spark.conf.set(key, before)
+
+
+def test_calls_in_outages_in_a_stream(spark, tmp_path, rocksdb):
+    """Rows out of order within a file and over files; a last one, far on, moves the watermark past all others."""
+    import random
+    from datetime import datetime, timedelta
+
+    draw, begin = random.Random(9), datetime(2024, 1, 1)
+    moment = lambda: begin + timedelta(milliseconds=draw.randrange(7_200_000))
+    errors = [(draw.choice("abc"), moment(), draw.choice(["429 try again in 1m2.5s", "401", "boom", "Quota exceeded"])) for _ in range(60)]
+    calls = [(i, draw.choice(["a", "b", "c", "d", None]), moment() if i % 40 else None) for i in range(400)]
+    e, c = spark.createDataFrame(errors, "provider string, ts timestamp, message string"), spark.createDataFrame(calls, "call_id long, provider string, ts timestamp")
+    want = {r["call_id"]: r["unavailable"] for r in runs.unavailable_calls(c, runs.outage_intervals(e)).filter("provider is not null and ts is not null").collect()}
+    end = begin + timedelta(days=3)
+    for i, (lo, hi) in enumerate(((0, 1200), (1200, 7200))):
+        span = F.unix_seconds("ts") - int(begin.timestamp())
+        within = (span >= lo) & (span < hi) | F.lit(i == 1) & F.col("ts").isNull()
+        e.filter(within).coalesce(1).write.mode("append").parquet(str(tmp_path / "e"))
+        c.filter(within).coalesce(1).write.mode("append").parquet(str(tmp_path / "c"))
+        stream = lambda name, df: spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / name))
+        if i == 1:
+            spark.createDataFrame([("z", end, "boom")], e.schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "e"))
+            spark.createDataFrame([(-1, "z", end)], c.schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "c"))
+        q = streams.unavailable_calls(stream("e", e), stream("c", c), 3).writeStream.format("parquet").option("path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
+        q.awaitTermination(300)
+    got = spark.read.parquet(str(tmp_path / "out")).collect()
+    assert {r["call_id"]: r["unavailable"] for r in got} == want and len(got) == len(want)
+    state = q.lastProgress.stateOperators[0]
+    assert state.numRowsTotal <= 20  # of 450 rows: the last error, its timers, and the last call
+
+
+def test_late_rows_are_counted(spark, tmp_path):
+    from datetime import datetime, timedelta
+
+    from maskline.streaming.metrics import StreamCounts, totals
+
+    begin = datetime(2024, 1, 1)
+    counts = StreamCounts(spark, str(tmp_path / "counts"))
+    spark.streams.addListener(counts)
+    try:
+        for k, minutes in enumerate(([0, 1, 60], [61, 2, 3, 62, 30])):  # the watermark of the second file's batch: minute 50
+            spark.createDataFrame([(begin + timedelta(minutes=m), "u", 5, None) for m in minutes], "at timestamp, url string, bytes long, error string").coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+            df = spark.readStream.schema("at timestamp, url string, bytes long, error string").parquet(str(tmp_path / "in"))
+            q = streams.audit_spans(df, "1 minute").writeStream.queryName("spans").format("parquet").option("path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
+            q.awaitTermination(120)
+        pay = catalog.payloads(spark, SF)
+        pay.coalesce(1).write.parquet(str(tmp_path / "pay"))
+        q = streams.gate_totals(spark.readStream.schema(pay.schema).parquet(str(tmp_path / "pay"))).writeStream.queryName("gate").format("noop").option("checkpointLocation", str(tmp_path / "cp2")).trigger(availableNow=True).start()
+        q.awaitTermination(120)
+        spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty()
+        import time
+
+        for _ in range(100):
+            got = {(r["query"], r["kind"], r["metric"]): r["value"] for r in totals(spark.read.parquet(str(tmp_path / "counts"))).collect()} if (tmp_path / "counts").exists() else {}
+            if len(got) == 4:
+                break
+            time.sleep(0.2)
+    finally:
+        spark.streams.removeListener(counts)
+    blocked = catalog.gated_payloads(spark, SF).agg(F.count("*").alias("n"), F.count_if(F.col("block_reason").isNotNull()).alias("b"), F.sum("bytes").alias("s")).first()
+    assert got == {("spans", "late", "dropped"): 3.0, ("gate", "observed", "payloads"): blocked["n"], ("gate", "observed", "blocked"): blocked["b"], ("gate", "observed", "bytes"): blocked["s"]}
+
+
 def test_stalls_and_budgets(spark):
     rows = [(1, i, "u", 10, 5, 0, "click") for i in range(6)] + [(2, i, "u", 1000 * i, 5, 0, "scroll") for i in range(6)]
     df = spark.createDataFrame(rows, "run_id int, step int, url string, scroll_y int, marks int, completed int, action string")
