@@ -6,6 +6,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from maskline.operators.ranks import nearest_ranks
 from maskline.functions.groups import kept_rows
 
 from .regions import overlap_pairs
@@ -94,10 +95,38 @@ def overall_metrics(pages: DataFrame) -> DataFrame:
 
 
 def latency_profile(timings: DataFrame, stages: list[str]) -> DataFrame:
-    """fixture (null: all), cached, stage, n, p50, p95: nearest ranks by stage; cold and warm apart."""
-    long = timings.unpivot(["fixture", "cached"], stages, "stage", "ms").filter("ms is not null")
-    by = lambda keys: long.groupBy(*keys, "cached", "stage").agg(F.count("*").alias("n"), nearest_rank("ms", 0.5).alias("p50"), nearest_rank("ms", 0.95).alias("p95"))
-    return by(["fixture"]).unionByName(by([]).withColumn("fixture", F.lit(None).cast("string")))
+    """fixture (null: all), cached, stage, n, p50, p95: nearest ranks by stage; cold and warm apart. All stages, each fixture and
+    all fixtures together are ranked in one go, and no task holds a group's values."""
+    long = timings.unpivot(["fixture", "cached"], stages, "stage", "ms")
+    both = F.explode(F.array(F.struct(F.lit(False).alias("all"), F.col("fixture")), F.struct(F.lit(True).alias("all"), F.lit(None).cast(timings.schema["fixture"].dataType).alias("fixture"))))
+    long = long.select(both.alias("_f"), "cached", "stage", "ms").select("_f.all", "_f.fixture", "cached", "stage", "ms")
+    return nearest_ranks(long, ["all", "fixture", "cached", "stage"], "ms", {"p50": 0.5, "p95": 0.95}).drop("all")
+
+
+def report(runs: DataFrame, sources: DataFrame) -> dict[str, DataFrame]:
+    """The tables of a quality report: overall (metric, value), pages (a row each), detectors (a row for each page, and one for all).
+
+    runs: page, regions, recall, precision, mean_iou, leaks, ink, masked, mark_recall, role_accuracy, mark_iou, total_ms, ids_stable;
+    one row for each scan. sources: page, source, n, only_n (regions that this source alone reached). A page's value is the mean
+    of its scans (leaks: their sum, regions: the most); overall values are means over pages, leaks and regions sums. One pass of
+    grouping sets makes both levels, over measures that were unpivoted; nulls count nowhere."""
+    measures = ["regions", "recall", "precision", "mean_iou", "leaks", "ink", "masked", "mark_recall", "role_accuracy", "mark_iou", "total_ms"]
+    long = runs.select("page", *(F.col(m).cast("double").alias(m) for m in measures)).unpivot(["page"], measures, "metric", "value").filter("value is not null")
+    each = long.groupBy("page", "metric").agg(F.avg("value").alias("mean"), F.sum("value").alias("total"), F.max("value").alias("most"))
+    value = F.when(F.col("metric") == "leaks", F.col("total")).when(F.col("metric") == "regions", F.col("most")).otherwise(F.col("mean"))
+    sets = each.select("page", "metric", value.alias("value")).groupingSets([["page", "metric"], ["metric"]], "page", "metric")
+    sets = sets.agg(F.avg("value").alias("mean"), F.sum("value").alias("total"), F.grouping("page").alias("all"))
+    levels = sets.withColumn("value", F.when(F.col("metric").isin("leaks", "regions"), F.col("total")).otherwise(F.col("mean")))
+    pages = levels.filter("all = 0").groupBy("page").pivot("metric", measures).agg(F.first("value"))
+    ranked = nearest_ranks(runs, ["page"], "total_ms", {"p95_ms": 0.95}).select("page", "p95_ms")
+    p95 = nearest_ranks(ranked, [], "p95_ms", {"value": 0.95}).select(F.lit("p95_ms").alias("metric"), "value")
+    stable = runs.agg(F.bool_and("ids_stable").cast("double").alias("value")).select(F.lit("ids_stable").alias("metric"), "value")
+    overall = levels.filter("all = 1").select("metric", "value").unionByName(p95).unionByName(stable)
+    by = sources.groupingSets([["page"], []], "page").agg(
+        *(F.coalesce(F.sum(F.when(F.col("source") == s, F.col("n"))), F.lit(0)).alias(name) for s, name in (("dom", "dom"), ("vision_face", "face"), ("vision_ocr", "ocr"))),
+        F.coalesce(F.sum(F.when(F.col("source") == "vision_ocr", F.col("only_n"))), F.lit(0)).alias("only_ocr"), F.grouping("page").cast("int").alias("all"),
+    )
+    return {"overall": overall, "pages": pages, "detectors": by}
 
 
 def profile_compare(runs: DataFrame, profiles: list[str]) -> DataFrame:

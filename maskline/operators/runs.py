@@ -15,8 +15,8 @@ from maskline.functions import scalars as S
 
 
 def audit_summary(audit: DataFrame, by: list[str] | None = None) -> DataFrame:
-    """Entries, bytes, last time, different destinations and errors. The same for tables and streams."""
-    return audit.groupBy(*(by or [])).agg(F.count("*").alias("n"), F.sum("bytes").alias("bytes"), F.max("at").alias("last_at"), F.count_if(F.col("error").isNotNull()).alias("errors"), F.approx_count_distinct("url", 0.01).alias("destinations"))
+    """Entries, bytes, last time, errors and different destinations, counted exactly; streams have an approximate form of it."""
+    return audit.groupBy(*(by or [])).agg(F.count("*").alias("n"), F.sum("bytes").alias("bytes"), F.max("at").alias("last_at"), F.count_if(F.col("error").isNotNull()).alias("errors"), F.count_distinct("url").alias("destinations"))
 
 
 def audit_retention(audit: DataFrame, owner: str, keep: int = 120, images: int = 6) -> DataFrame:
@@ -198,17 +198,46 @@ def open_target_met(runs: DataFrame) -> DataFrame:
     return runs.withColumn("met", F.forall(F.transform("targets", lambda t: F.lower(F.trim(t))), met))
 
 
-FORMS = ("leave", "travel", "asset", "access", "feedback")
+#: The forms that a portal takes (fixed values).
+FORMS = ("hr", "payroll", "it", "housing", "medical")
 
 
-def messages_view(messages: DataFrame, person: str) -> DataFrame:
-    """Messages for one person: theirs, and those that nobody is named for."""
-    return messages.filter((F.col("emp_id") == person) | F.col("emp_id").isNull() | (F.col("emp_id") == ""))
+def messages_view(messages: DataFrame, initials: str | None = None, key: Column | None = None) -> DataFrame:
+    """Messages that a person may see: theirs, and those that nobody is named for; without initials all of them.
 
+    With a key, text is the plain form of ciphertext (a mark where that fails). messages: emp_initials, ciphertext."""
+    rows = messages
+    if initials:
+        rows = rows.filter((F.col("emp_initials") == initials) | F.coalesce(F.col("emp_initials"), F.lit("")).isin(""))
+    if key is None:
+        return rows
+    from maskline.operators.redact import decrypt_columns
 
-def forms_latest(forms: DataFrame, allowed: tuple[str, ...] = FORMS) -> DataFrame:
-    """emp, form_id, submitted_at: the last time of each."""
-    return forms.filter(F.col("form_id").isin(*allowed)).groupBy("emp", "form_id").agg(F.max("submitted_at").alias("submitted_at"))
+    return decrypt_columns(rows.withColumn("text", F.col("ciphertext")), ["text"], key)
+
+
+CHANGES = ["kind", "emp", "form_id", "at", "seq"]
+
+
+def compact_changes(changes: DataFrame, allowed: tuple[str, ...] = FORMS) -> DataFrame:
+    """Of each person and form the last submission, of each person the last deletion, and the last deletion of all.
+
+    changes: kind (submit, delete), emp (null for a delete: everyone), form_id, at, seq (order of equal times). Unknown forms and
+    submissions without a person or time go. The compact form of two parts together is that of their compact forms."""
+    sound = (F.col("kind") == "submit") & F.col("form_id").isin(*allowed) & F.col("emp").isNotNull() | (F.col("kind") == "delete")
+    rows = changes.filter(sound & F.col("at").isNotNull()).withColumn("form_id", F.when(F.col("kind") == "submit", F.col("form_id")))
+    return rows.groupBy("kind", "emp", "form_id").agg(F.max(F.struct("at", "seq")).alias("_t")).select("kind", "emp", "form_id", "_t.at", "_t.seq")
+
+
+def forms_latest(changes: DataFrame, allowed: tuple[str, ...] = FORMS) -> DataFrame:
+    """emp, form_id, submitted_at: the last submission of each, unless a later deletion of the person's or of all forms follows it."""
+    rows = compact_changes(changes, allowed)
+    when = F.struct("at", "seq")
+    gone = rows.filter("kind = 'delete'")
+    one = gone.filter("emp is not null").select("emp", when.alias("_one"))
+    every = F.broadcast(gone.filter("emp is null").agg(F.max(when).alias("_all")))  # one row
+    kept = rows.filter("kind = 'submit'").select("emp", "form_id", when.alias("_t")).join(one, "emp", "left").crossJoin(every)
+    return kept.filter("(_one is null or _t > _one) and (_all is null or _t > _all)").select("emp", "form_id", F.col("_t.at").alias("submitted_at"))
 
 
 def person_overview(missions: DataFrame, messages: DataFrame) -> DataFrame:

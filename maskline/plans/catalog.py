@@ -314,9 +314,19 @@ def page_links(spark, d):
     return io.page_elements(table(spark, d, "pages")).filter("role = 'link'").groupBy("page_id").agg(F.count("*").alias("links"))
 
 
-@query("SELECT regexp_extract(url, '^[a-z]+://([^/:?#]+)', 1) AS host, count(*) AS n, 0::BIGINT AS walls FROM pages GROUP BY ALL")
+def walled(spark: SparkSession, d: str) -> DataFrame:
+    """pages, of which some are made to ask for proof of a human: by their address, a widget, or a text."""
+    k = F.col("page_id") % 11
+    html = F.coalesce("html", F.lit(""))
+    text = F.when(k == 2, F.concat(F.lit("<iframe src='https://w.example/recaptcha/api'></iframe>"), html)).when(k == 3, F.concat(F.lit("<p>Please verify you are human</p><script>1</script>"), html)).when(k == 4, F.concat(F.lit("<script>please verify you are human</script>"), html)).otherwise(html)
+    return table(spark, d, "pages").select("page_id", F.when(k == 1, F.concat("url", F.lit("/captcha"))).otherwise(F.col("url")).alias("url"), text.alias("html"))
+
+
+@query(rf"""WITH p AS (SELECT page_id, CASE WHEN page_id % 11 = 1 THEN url || '/captcha' ELSE url END AS url, CASE page_id % 11 WHEN 2 THEN '<iframe src=''https://w.example/recaptcha/api''></iframe>' WHEN 3 THEN '<p>Please verify you are human</p><script>1</script>' WHEN 4 THEN '<script>please verify you are human</script>' ELSE '' END || coalesce(html, '') AS html FROM pages),
+t AS (SELECT *, left(regexp_replace(regexp_replace(html, '(?is)<script\b.*?</script>|<style\b.*?</style>', ' ', 'g'), '<[^>]*>', ' ', 'g'), 3000) AS text FROM p)
+SELECT regexp_extract(url, '^[a-z]+://([^/:?#]+)', 1) AS host, count(*) AS n, count(*) FILTER (WHERE regexp_matches(url_decode(url), {sql_text(runs.WALL_URL)}, 'i')) AS by_address, count(*) FILTER (WHERE regexp_matches(url_decode(url), {sql_text(runs.WALL_URL)}, 'i') OR regexp_matches(html, {sql_text(runs.WALL_WIDGET)}, 'i') OR regexp_matches(text, {sql_text(runs.WALL_TEXT)}, 'i')) AS walls FROM t GROUP BY ALL""")
 def walls_by_host(spark, d):
-    return runs.bot_walls(table(spark, d, "pages")).groupBy("host").agg(F.count("*").alias("n"), F.count_if(F.col("wall").isNotNull()).alias("walls"))
+    return runs.bot_walls(walled(spark, d)).groupBy("host").agg(F.count("*").alias("n"), F.count_if(F.col("wall") == "address").alias("by_address"), F.count_if(F.col("wall").isNotNull()).alias("walls"))
 
 
 # --- pixels: every embedding as an image of 8 by 8 grey values ---
@@ -518,9 +528,9 @@ def audit(spark: SparkSession, d: str) -> DataFrame:
     return e.select(F.col("event_id").alias("entry_id"), F.col("ts").alias("at"), "user_id", F.concat(F.lit("/u/"), (F.col("user_id") % 7).cast("string")).alias("url"), F.length("props").cast("long").alias("bytes"), F.when(F.col("event_type") == "error", "failed").alias("error"), F.col("props").alias("body"), F.col("event_type").alias("task"), F.when(F.col("event_id") % 2 == 0, "img").alias("image"))
 
 
-@query("SELECT user_id, count(*) AS n, sum(length(props))::BIGINT AS bytes, max(ts) AS last_at, count(*) FILTER (WHERE event_type = 'error') AS errors FROM events GROUP BY ALL")
+@query("SELECT user_id, count(*) AS n, sum(length(props))::BIGINT AS bytes, max(ts) AS last_at, count(*) FILTER (WHERE event_type = 'error') AS errors, count(DISTINCT event_id % 5) AS destinations FROM events GROUP BY ALL")
 def audit_by_user(spark, d):
-    return runs.audit_summary(audit(spark, d), ["user_id"]).drop("destinations")
+    return runs.audit_summary(audit(spark, d).withColumn("url", F.concat(F.lit("/u/"), F.col("entry_id") % 5)), ["user_id"])
 
 
 @query("WITH t AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS n FROM events) SELECT user_id, event_id AS entry_id, n > 6 AND event_id % 2 = 0 AS image_dropped FROM t WHERE n <= 120")
@@ -625,4 +635,4 @@ def exported_conversations(spark, d):
     return io.export_conversations(planted_turns(spark, d))
 
 
-from maskline.plans import screens  # noqa: E402, F401  registers its queries
+from maskline.plans import records, screens  # noqa: E402, F401  they register their queries

@@ -11,28 +11,52 @@ from pyspark.sql import functions as F
 
 from maskline.plans.session import ship
 
-SESSION_LOG = "timestamp string, event string, data string"
-
-
 def read_documents(spark: SparkSession, path: str) -> DataFrame:
     """file, text: one row for each text-like file."""
     return spark.read.text(path, wholetext=True).select(F.regexp_extract(F.input_file_name(), "([^/]*)$", 1).alias("file"), F.col("value").alias("text"))
 
 
 def read_session_log(spark: SparkSession, path: str, stream: bool = False) -> DataFrame:
-    """timestamp, event, data of a log of JSON lines; data stays JSON text."""
-    reader = spark.readStream if stream else spark.read
-    return reader.schema(SESSION_LOG).json(path).withColumn("timestamp", F.try_to_timestamp("timestamp"))
+    """timestamp, event, data (VARIANT) of a log of JSON lines, and malformed: the line where it isn't an entry, else null."""
+    return session_log((spark.readStream if stream else spark.read).text(path))
+
+
+def session_log(lines: DataFrame, line: str = "value") -> DataFrame:
+    """lines with their line parsed: timestamp, event and data of an object that names its event; malformed holds any other line.
+    Null and blank lines are no entries and not malformed: they go."""
+    parsed = lines.filter(F.trim(F.col(line)) != "").withColumn("_v", F.try_parse_json(line))
+    rows = parsed.withColumn("event", F.try_variant_get("_v", "$.event", "string"))
+    at = F.try_to_timestamp(F.try_variant_get("_v", "$.timestamp", "string"))
+    return rows.withColumns({"timestamp": at, "data": F.try_variant_get("_v", "$.data", "variant"), "malformed": F.when(F.col("event").isNull(), F.col(line))}).drop("_v", line)
+
+
+def data_fields(log: DataFrame, fields: dict[str, tuple[str, str]]) -> DataFrame:
+    """log with columns of its data: name -> (path, type). A path that isn't there, or a value of another type, is null."""
+    return log.withColumns({name: F.try_variant_get("data", path, kind) for name, (path, kind) in fields.items()})
+
+
+def divided_log(log: DataFrame, path: str) -> DataFrame:
+    """The entries of a log; its malformed lines are appended to a quarantine of text files."""
+    log.filter("malformed is not null").select("malformed").write.mode("append").text(path)
+    return log.filter("malformed is null").drop("malformed")
+
+
+#: Fields of a portal's state; any others of a mission or message are left aside.
+MISSION = "satellite_name mission_id operator launch_date orbit_type orbital_inclination apogee perigee ground_station_freq encryption_key_ref tle_line_1 tle_line_2 name username email phone company zip address about status vehicle dept desc empId".split()
+MESSAGE = "id empId empInitials from time ciphertext".split()
+OWN_NAMES = {"empId": "emp_id", "empInitials": "emp_initials", "from": "sender"}
 
 
 def read_portal_state(spark: SparkSession, path: str) -> dict[str, DataFrame]:
-    """missions, messages and forms of a nested state file."""
-    raw = spark.read.option("multiLine", True).json(path)
-    have = set(raw.columns)
-    out = {k: raw.select(F.inline(k)) for k in ("missions", "messages") if k in have}
-    if "forms" in have:
-        text = raw.select(F.from_json(F.to_json("forms"), "map<string,string>").alias("f")).select(F.explode("f").alias("key", "submitted_at"))
-        out["forms"] = text.select(F.split_part("key", F.lit(":"), F.lit(1)).alias("emp"), F.split_part("key", F.lit(":"), F.lit(2)).alias("form_id"), F.try_to_timestamp("submitted_at").alias("submitted_at"))
+    """missions, messages and forms (emp, form_id, submitted_at) of nested state files, under a given schema: parts that are missing,
+    empty or not JSON give empty tables. A form's key is the person and the form, parted at its last underscore."""
+    rows = lambda names: "array<struct<" + ",".join(f"`{n}`: string" for n in names) + ">>"
+    schema = f"missions {rows(MISSION)}, messages {rows(MESSAGE)}, forms map<string, string>"
+    state = spark.read.text(path, wholetext=True).select(F.from_json("value", schema, {"mode": "PERMISSIVE"}).alias("s"))
+    out = {k: state.select(F.inline(f"s.{k}")) for k in ("missions", "messages")}
+    out = {k: df.withColumnsRenamed(OWN_NAMES) for k, df in out.items()}
+    keys = state.select(F.explode("s.forms").alias("key", "at"))
+    out["forms"] = keys.select(F.regexp_extract("key", "(?s)^(.*)_", 1).alias("emp"), F.substring_index("key", "_", -1).alias("form_id"), F.try_to_timestamp("at").alias("submitted_at"))
     return out
 
 
@@ -54,9 +78,12 @@ def export_conversations(df: DataFrame) -> DataFrame:
     return conversation_texts(scrub_in_scope(df, "conv_id", "turn")[0], "clean_text")
 
 
-def quality_report(tables: dict[str, DataFrame], path: str) -> None:
-    for name, df in tables.items():
-        df.write.mode("overwrite").parquet(f"{path}/{name}")
+def quality_report(runs: DataFrame, sources: DataFrame, path: str) -> None:
+    """Writes the tables of quality.report() under path."""
+    from maskline.operators.quality import report
+
+    for name, df in report(runs, sources).items():
+        df.coalesce(1).write.mode("overwrite").parquet(f"{path}/{name}")
 
 
 ELEMENT = "page_id long, ord int, tag string, role string, text string, href string, name string, input_type string, autocomplete string, placeholder string, container string"

@@ -9,7 +9,7 @@ from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
@@ -52,6 +52,28 @@ def gate_metrics(payloads: DataFrame, every: str = "1 hour") -> DataFrame:
     return egress.gate_metrics(egress.egress_gate(payloads).withWatermark("ts", LATE), every)
 
 
+def keep_forms(changes: DataFrame, path: str, checkpoint: str):
+    """Starts a query that folds changes (see runs.compact_changes) into a table: each batch writes the compact state anew, under the
+    batch's number, so that a batch that is run again gives the same. Read it by runs.forms_latest(latest_forms(...))."""
+
+    def fold(batch: DataFrame, number: int) -> None:
+        before = latest_forms(batch.sparkSession, path, number)
+        rows = batch.select(*runs.CHANGES)
+        runs.compact_changes(rows if before is None else before.unionByName(rows)).write.mode("overwrite").parquet(f"{path}/batch={number}")
+
+    return changes.writeStream.foreachBatch(fold).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def latest_forms(spark: SparkSession, path: str, before: int | None = None) -> DataFrame | None:
+    """The compact state that the last batch (before the given one) wrote; None if there is none."""
+    top = spark._jvm.org.apache.hadoop.fs.Path(path)
+    files = top.getFileSystem(spark._jsc.hadoopConfiguration())
+    names = [f.getPath().getName() for f in files.listStatus(top)] if files.exists(top) else []
+    numbers = [int(n[6:]) for n in names if n.startswith("batch=") and files.exists(spark._jvm.org.apache.hadoop.fs.Path(f"{path}/{n}/_SUCCESS"))]
+    numbers = [n for n in numbers if before is None or n < before]
+    return spark.read.parquet(f"{path}/batch={max(numbers)}") if numbers else None
+
+
 def debounce(events: DataFrame, key: str, gap: str = "900 milliseconds") -> DataFrame:
     return runs.debounce(events.withWatermark("ts", LATE), key, gap)
 

@@ -221,11 +221,19 @@ def test_marks(spark):
 def test_sources(spark, tmp_path):
     (tmp_path / "a.txt").write_text("one\ntwo")
     assert [(r["file"], r["text"]) for r in io.read_documents(spark, str(tmp_path / "a.txt")).collect()] == [("a.txt", "one\ntwo")]
-    (tmp_path / "s.jsonl").write_text('{"timestamp": "2024-01-01T00:00:00Z", "event": "e", "data": {"k": 1}}\n')
-    assert io.read_session_log(spark, str(tmp_path / "s.jsonl")).first()["data"] == '{"k": 1}'
-    (tmp_path / "p.json").write_text(json.dumps({"missions": [{"id": 1, "empId": "a"}], "messages": [{"id": 2, "empId": "a"}], "forms": {"a:leave": "2024-01-01T00:00:00Z"}}))
-    out = io.read_portal_state(spark, str(tmp_path / "p.json"))
-    assert out["missions"].count() == out["messages"].count() == 1 and out["forms"].first()["form_id"] == "leave"
+    (tmp_path / "s.jsonl").write_text('{"timestamp": "2024-01-01T00:00:00Z", "event": "e", "data": {"k": 1, "w": [5, {"z": "y"}]}}\n\n{"timestamp": 3, "event": "f"}\n{"event": \n[1]\n')
+    log = io.read_session_log(spark, str(tmp_path / "s.jsonl"))
+    got = io.data_fields(log, {"k": ("$.k", "int"), "z": ("$.w[1].z", "string"), "bad": ("$.w", "int")}).select("event", "k", "z", "bad", "malformed", F.col("timestamp").isNull().alias("t")).collect()
+    assert sorted(map(tuple, got), key=repr) == sorted([("e", 1, "y", None, None, False), ("f", None, None, None, None, True), (None, None, None, None, '{"event": ', True), (None, None, None, None, "[1]", True)], key=repr)
+    assert io.divided_log(log, str(tmp_path / "held")).count() == 2 and spark.read.text(str(tmp_path / "held")).count() == 2
+    state = {"missions": [{"mission_id": 1, "empId": "a", "other": 2}], "messages": [{"id": "2", "empInitials": "AB", "from": "x"}], "forms": {"AB_hr": "2024-01-01T00:00:00Z", "C_D_it": "bad"}}
+    for text, sizes in ((json.dumps(state), (1, 1, 2)), ('{"missions": [], "messages": [], "forms": {}}', (0, 0, 0)), ("{}", (0, 0, 0)), ("not json", (0, 0, 0)), ("", (0, 0, 0))):
+        (tmp_path / "p.json").write_text(text)
+        out = io.read_portal_state(spark, str(tmp_path / "p.json"))
+        assert tuple(out[k].count() for k in ("missions", "messages", "forms")) == sizes, text
+        if sizes[0]:
+            assert {(r["emp"], r["form_id"], r["submitted_at"] is None) for r in out["forms"].collect()} == {("AB", "hr", False), ("C_D", "it", True)}
+            assert out["missions"].first()["emp_id"] == "a" and out["messages"].first()["sender"] == "x"
     pages = spark.createDataFrame([(1, "<div class='classified'><p>x</p></div><form><input type=email name=mail><input type=search></form><a href='/q'>Go</a>")], "page_id long, html string")
     e = io.page_elements(pages).cache()
     assert [r["role"] for r in e.filter("role <> 'text'").orderBy("ord").collect()] == ["input:email", "input:search", "link"]
@@ -233,3 +241,54 @@ def test_sources(spark, tmp_path):
 
     assert [r["name"] for r in sensitive_inputs(e).collect()] == ["mail"] and io.classified_containers(e).count() == 1
     assert {r["safe_label"] for r in io.safe_labels(e).filter("tag = 'a'").collect()} == {"go"}
+
+
+def test_messages_and_forms(spark, tmp_path):
+    m = spark.createDataFrame([("a", "NK", "x"), ("b", None, "y"), ("c", "", "z"), ("d", "RV", "w")], "id string, emp_initials string, ciphertext string")
+    assert sorted(r["id"] for r in runs.messages_view(m, "NK").collect()) == ["a", "b", "c"] and runs.messages_view(m).count() == 4
+    assert {r["text"] for r in runs.messages_view(m, "NK", F.lit("0" * 32).cast("binary")).collect()} == {"[decryption failed]"}
+    import random
+    from datetime import datetime, timedelta
+
+    draw, begin = random.Random(8), datetime(2024, 1, 1)
+    rows = [(draw.choice(["submit"] * 9 + ["delete"]), draw.choice(["a", "b", "c", "d"]), draw.choice([*runs.FORMS, "leave", None]), begin + timedelta(hours=draw.randrange(200)), i) for i in range(300)]
+    rows += [("delete", None, None, begin + timedelta(hours=120), 900), ("submit", None, "hr", begin, 901), ("submit", "a", "hr", None, 902)]
+    kept: dict = {}
+    for kind, emp, form, at, _ in sorted((r for r in rows if r[3]), key=lambda r: (r[3], r[4])):
+        if kind == "delete":
+            kept = {k: v for k, v in kept.items() if emp is not None and k[0] != emp}
+        elif emp and form in runs.FORMS:
+            kept[emp, form] = at
+    df = spark.createDataFrame(rows, "kind string, emp string, form_id string, at timestamp, seq long")
+    read = lambda state: {(r["emp"], r["form_id"]): r["submitted_at"] for r in runs.forms_latest(state).collect()}
+    assert read(df) == kept and read(df.limit(0)) == {}
+    assert streams.latest_forms(spark, str(tmp_path / "state")) is None
+    for part in df.randomSplit([1.0, 1.0, 1.0], 3):
+        part.coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+        streams.keep_forms(spark.readStream.schema(df.schema).parquet(str(tmp_path / "in")), str(tmp_path / "state"), str(tmp_path / "cp")).awaitTermination(120)
+    state = streams.latest_forms(spark, str(tmp_path / "state"))
+    assert read(state) == kept and state.count() < 40
+
+
+def test_nearest_ranks(spark):
+    """Ties, one value, huge spreads, nulls, NaN and null keys, against sorting; few buckets, so that ranges narrow often."""
+    import math
+    import random
+
+    from maskline.operators.ranks import nearest_ranks
+
+    draw, rows = random.Random(2), []
+    for g, values in {"ties": [1.0, 2.0, 2.0, 2.0, 3.0] * 9, "one": [5.0], "wide": [draw.choice([-1, 1]) * 10.0 ** draw.randint(-300, 300) for _ in range(90)], None: [draw.random() for _ in range(70)], "odd": [math.nan, math.inf, None, 4.0], "none": [None], "ends": [-1.7e308, 1.7e308, 0.0]}.items():
+        rows += [(g, v) for v in values]
+    df = spark.createDataFrame(rows, "g string, v double")
+    want = {}
+    for g in {r[0] for r in rows}:
+        v = sorted(x for k, x in rows if k == g and x is not None and math.isfinite(x))
+        if v:
+            want[g] = (len(v), *(v[max(math.ceil(p * len(v)), 1) - 1] for p in (0.0, 0.5, 0.95, 1.0)))
+    shares = {"a": 0.0, "b": 0.5, "c": 0.95, "d": 1.0}
+    for buckets in (3, 1024):
+        assert {r["g"]: tuple(r)[1:] for r in nearest_ranks(df, ["g"], "v", shares, buckets).collect()} == want
+    everything = sorted(v for _, v in rows if v is not None and math.isfinite(v))
+    assert tuple(nearest_ranks(df, [], "v", {"m": 0.5}).first()) == (len(everything), everything[math.ceil(len(everything) / 2) - 1])
+    assert nearest_ranks(df.limit(0), ["g"], "v", shares).collect() == []
