@@ -33,8 +33,8 @@ REVISIT_PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-dig
 LEAST_REVISIT = 100
 #: Compressed bytes of a row handed to the writer, and rows of an archive: it so has about 16 MB. At many TB take 1024 rows.
 ROW_BYTES, ROWS_AN_ARCHIVE = 512 << 10, 32
-#: The dictionary's bytes, and the pages it is fitted on: so many of the lowest hashes, of at most so many bytes each. It changes the
-#: size of archives alone.
+#: The dictionary's bytes, and the pages it is fitted on: so many about, of at most so many bytes each. It changes the size of
+#: archives alone.
 DICTIONARY_BYTES, SAMPLE_ROWS, SAMPLE_BYTES = 64 << 10, 256, 128 << 10
 #: Groups of copies whose responses may be sent to all tasks (about 80 bytes each); more are joined by a shuffle.
 BROADCAST_GROUPS = 200_000
@@ -44,9 +44,13 @@ BROADCAST_GROUPS = 200_000
 
 
 def fitted_dictionary(pages: DataFrame, size: int = DICTIONARY_BYTES) -> bytes:
-    """A dictionary fitted on a bounded sample of html; empty if there is too little to fit on."""
-    sample = pages.select("html").filter(F.octet_length("html").between(1, SAMPLE_BYTES)).orderBy(F.xxhash64("html")).limit(SAMPLE_ROWS)
-    texts = [r[0].encode() for r in sample.collect()]
+    """A dictionary fitted on a bounded sample of html; empty if there is too little to fit on.
+
+    Rows are sampled by a threshold on their hashes, so that about SAMPLE_ROWS of them reach the driver from all tasks together."""
+    sound = pages.select("page_id", "html").filter(F.octet_length("html").between(1, SAMPLE_BYTES))
+    many = sound.count()
+    least = -(1 << 63) + int((1 << 64) * min(1.0, SAMPLE_ROWS / max(many, 1))) - 1
+    texts = [r[0].encode() for r in sound.filter(F.xxhash64("page_id", "html") <= least).select("html").limit(SAMPLE_ROWS).collect()]
     if sum(map(len, texts)) < 4 * size:
         return b""
     try:
@@ -285,8 +289,15 @@ def read(spark: SparkSession, path: str, payloads: bool = True) -> DataFrame:
 
 def resolved(found: DataFrame) -> DataFrame:
     """Records with refers_to, the page of the response that a revisit refers to; a revisit without one, or of another digest or
-    length, has a problem. Only what is narrow is joined."""
-    to = found.filter("record_type = 'response'").groupBy(F.col("record_id").alias("refers_to_id")).agg(F.min("page_id").alias("refers_to"), F.min("payload_digest").alias("its_digest"), F.min("payload_bytes").alias("its_bytes"))
+    length, has a problem.
+
+    Responses are joined with the different ids that revisits name, one row each, however many revisits a response has; what came of
+    that goes to all tasks if it was counted as few. found is read more than once: give a stored table."""
+    named = found.filter("record_type = 'revisit'").select("refers_to_id").distinct()
+    responses = found.filter("record_type = 'response'").select(F.col("record_id").alias("refers_to_id"), "page_id", "payload_digest", "payload_bytes")
+    to = named.join(responses, "refers_to_id").groupBy("refers_to_id").agg(F.min("page_id").alias("refers_to"), F.min("payload_digest").alias("its_digest"), F.min("payload_bytes").alias("its_bytes"))
+    to = stored(to, "referred")
+    to = F.broadcast(to) if to.count() <= BROADCAST_GROUPS else to
     agrees = F.col("its_digest").eqNullSafe(F.col("payload_digest")) & F.col("its_bytes").eqNullSafe(F.col("payload_bytes"))
     problem = F.coalesce("problem", F.when((F.col("record_type") == "revisit") & ~agrees, "no such response"))
     return found.join(to, "refers_to_id", "left").withColumn("problem", problem).drop("its_digest", "its_bytes")
@@ -297,7 +308,7 @@ def op13_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     and problem (null for a sound record). See write() on nulls and repeated rows. No pages: no rows."""
     path = work_path(spark, "warc")
     write(spark.read.parquet(f"{sf_dir}/pages.parquet"), path)
-    found = resolved(read(spark, path, payloads=False).filter("record_type <> 'warcinfo' or problem is not null"))
+    found = resolved(stored(read(spark, path, payloads=False).filter("record_type <> 'warcinfo' or problem is not null"), "records"))
     return found.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "problem")
 
 
