@@ -10,6 +10,8 @@ hit of its own: no two sets of a scan's boxes are ever paired as a whole.
 
 from __future__ import annotations
 
+import re
+
 import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -81,11 +83,23 @@ def scaled(b: Column, scale: tuple[float, float], least: tuple[int, int]) -> lis
 
 
 def claims(df: DataFrame, patterns: list[P.Pattern]) -> DataFrame:
-    """df (text) with findings: all hits, earlier patterns first, that hold what they seem to."""
-    df = with_findings(df, "text", patterns, 4, normalize=True)
+    """df (text) with findings: all hits, earlier patterns first, that hold what they seem to. Only texts that may hold one are searched.
+
+    What is searched comes out of an explode, so that it is computed once and not for each pattern."""
+    names = [c for c in df.columns if c != "text"]
+    shown = F.explode(F.array(F.struct("text", S.normalize_digits(F.col("text")).alias("hay")))).alias("_t")
+    df = df.select(*names, shown).select(*names, "_t.text", "_t.hay").filter(F.col("hay").rlike(may_hit(patterns)))
+    df = with_findings(df, "hay", patterns, 4).drop("hay")
     return df.withColumn("findings", F.filter("findings", screen_guard)).withColumn("findings", first_claims(F.col("findings")))
 
 
+def may_hit(patterns: list[P.Pattern]) -> str:
+    """A pattern that every text with a hit fits: marks of credentials, an "@", enough digits, the words that values follow."""
+    wanted = {"labelled_value": rf"(?i)\b(?:{P.VALUE_LABEL})", "phone": r"\d(?:\D*\d){8}", "vid": r"\d{4}", "ssn": r"\d{4}"}
+    hints = [P.java(wanted[p.kind]) if p.kind in wanted else p.hint for p in patterns]
+    return "|".join(dict.fromkeys(f"(?i:{h[4:]})" if h.startswith("(?i)") else h for h in hints))
+
+
 def numbered(df: DataFrame, order: list[str]) -> DataFrame:
     """df with ord, the given columns as one sortable value."""
     return df.withColumn("ord", F.array(*(F.col(c).cast("long") for c in order))).drop(*order)
@@ -115,7 +129,7 @@ def kept_apart(hits: DataFrame, px: int) -> DataFrame:
 
 def _with_rows(hits: DataFrame, choose) -> DataFrame:
     """The rows whose boxes a chooser keeps. It sees boxes alone; equal boxes of a scan stand or fall with the first of them."""
-    first = hits.groupBy("scan_id", "x", "y", "w", "h").agg(F.min(F.struct("ord", *HIT)).alias("_hit"))
+    first = stored(hits.groupBy("scan_id", "x", "y", "w", "h").agg(F.min(F.struct("ord", *HIT)).alias("_hit")), "first")
     kept = choose(first.select("scan_id", F.col("_hit.ord").alias("ord"), "x", "y", "w", "h"))
     return kept.select("scan_id", "x", "y", "w", "h").join(first, ["scan_id", "x", "y", "w", "h"]).select("scan_id", "_hit.*")
 
@@ -138,29 +152,29 @@ def line_and_word_hits(words: DataFrame, patterns: list[P.Pattern] = P.SCREEN, s
     return lines.withColumn("stage", F.lit("line")).unionByName(single.withColumn("stage", F.lit("word")))
 
 
-def may_hit(text: Column, patterns: list[P.Pattern]) -> Column:
-    """False only where no pattern can hit: marks of credentials, an "@", enough digits, the words that values follow."""
-    wanted = {"labelled_value": rf"(?i)\b(?:{P.VALUE_LABEL})", "phone": r"\d(?:\D*\d){8}", "vid": r"\d{4}", "ssn": r"\d{4}"}
-    hints = dict.fromkeys(P.java(wanted[p.kind]) if p.kind in wanted else p.hint for p in patterns)
-    out = F.lit(False)
-    for h in hints:
-        out |= text.rlike(h)
-    return out
+#: A word of every run with a hit of the screen's patterns fits this, as it is; or the second, with its letters read as digits: then a
+#: number has three digits in one word, or words of digits alone.
+LABEL_STARTS = "|".join(dict.fromkeys(re.match("[a-z0-9/]+", x)[0] for x in P.VALUE_LABEL.split("|")))
+TELLING = rf"[0-9@—–-]|ghp_|eyJ|AKIA|[A-HJ-NPR-Z0-9]{{17}}|(?i:male|transgender|पुरुष|महिला)|(?i:\b(?:{LABEL_STARTS}))"
+TELLING_FOLDED = rf"[0-9]{{3}}|^[0-9+().-]+$|[@—–-]|[A-HJ-NPR-Z0-9]{{17}}|(?i:\b(?:{LABEL_STARTS}))"
 
 
-def windows(words: DataFrame, longest: int = LONGEST, block: int = BLOCK) -> DataFrame:
-    """scan_id, size, first (ord), words: every run of 2 to `longest` consecutive words that stand on one line.
+def windows(words: DataFrame, longest: int = LONGEST, block: int = BLOCK, telling: bool = False) -> DataFrame:
+    """scan_id, size, first (ord), words: every run of 2 to `longest` consecutive words that stand on one line; telling: only runs
+    that hold a word which may be of a hit.
 
     A scan is dealt out in blocks of words; the first words of a block also go to the one before, so runs across blocks are
     whole and a scan with most words isn't one task's."""
     at = F.floor(F.col("ord") / block)
     to = F.when((F.col("ord") % block < longest - 1) & (at > 0), F.array(at, at - 1)).otherwise(F.array(at))
-    rows = words.select("scan_id", F.explode(to).alias("_block"), F.struct(F.col("ord"), F.coalesce("text", F.lit("")).alias("text"), "x", "y", "w", "h").alias("_w"))
+    plain = S.normalize_digits(F.coalesce("text", F.lit("")))
+    tells = plain.rlike(P.java(TELLING)) | S.fold_ocr_digits(plain).rlike(P.java(TELLING_FOLDED)) if telling else F.lit(True)
+    rows = words.select("scan_id", F.explode(to).alias("_block"), F.struct(F.col("ord"), F.coalesce("text", F.lit("")).alias("text"), "x", "y", "w", "h", tells.alias("tells")).alias("_w"))
     rows = rows.groupBy("scan_id", "_block").agg(F.array_sort(F.collect_list("_w")).alias("_ws")).withColumn("_n", F.size("_ws")).filter("_n > 1")
     own = F.filter(F.sequence(F.lit(1), F.col("_n") - 1), lambda i: F.floor(F.col("_ws")[i - 1]["ord"] / block) == F.col("_block"))
-    rows = rows.select("scan_id", F.explode(F.transform(own, lambda i: F.slice("_ws", i, F.lit(longest)))).alias("_run"))
+    rows = rows.select("scan_id", F.explode(F.filter(F.transform(own, lambda i: F.slice("_ws", i, F.lit(longest))), lambda run: F.exists(run, lambda w: w["tells"]))).alias("_run"))
     rows = rows.select("scan_id", "_run", F.explode(F.sequence(F.lit(2), F.size("_run"))).alias("size"))
-    rows = rows.select("scan_id", "size", F.slice("_run", F.lit(1), F.col("size")).alias("words"))
+    rows = rows.select("scan_id", "size", F.slice("_run", F.lit(1), F.col("size")).alias("words")).filter(F.exists("words", lambda w: w["tells"]))
     total = F.aggregate("words", F.lit(0).cast("long"), lambda a, w: a + w["h"])
     one_line = union_box(F.col("words"))["h"] <= total / F.col("size") * SPREAD
     return rows.filter(one_line).select("scan_id", "size", F.col("words")[0]["ord"].alias("first"), "words")
@@ -171,9 +185,9 @@ def scan_word_windows(words: DataFrame, existing: DataFrame | None = None, patte
 
     All sizes are made in one pass, shorter runs first. Hits within px of an existing hit, or of one before, go."""
     words = sound(words)
-    rows = windows(words, block=block).withColumn("_raw", F.array_join(F.transform("words", lambda w: w["text"]), " "))
+    rows = windows(words, block=block, telling=set(patterns) <= set(P.SCREEN)).withColumn("_raw", F.array_join(F.transform("words", lambda w: w["text"]), " "))
     rows = rows.select("scan_id", "size", "first", union_box(F.col("words")).alias("_b"), F.posexplode(F.array(F.col("_raw"), S.fold_ocr_digits(F.col("_raw")))).alias("form", "text"))
-    rows = claims(rows.filter(may_hit(S.normalize_digits(F.col("text")), patterns)), patterns).select("scan_id", "size", "first", "form", "text", "_b", F.posexplode("findings").alias("n", "f"))
+    rows = claims(rows, patterns).select("scan_id", "size", "first", "form", "text", "_b", F.posexplode("findings").alias("n", "f"))
     value = F.trim(F.substr("text", F.col("f.start") + 1, F.col("f.length")))
     rows = rows.select("scan_id", "size", "first", "form", "n", F.col("f.kind").alias("kind"), value.alias("value"), F.lit("ocr_multiword_pii").alias("reason"), *scaled(F.col("_b"), scale, (12, 12)), F.lit(0.92).alias("confidence"))
     rows = numbered(rows, ["size", "first", "form", "n"]).select("scan_id", "ord", *HIT)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from maskline.operators import quality, redact, runs
+from maskline.operators import marks, quality, redact, runs
 from maskline.plans.registry import query, table
 from maskline.sources import io
 
@@ -90,3 +90,49 @@ def report_overall(spark, d):
 coalesce(sum(l_linenumber % 2) FILTER (WHERE l_returnflag = 'N'), 0)::BIGINT AS only_ocr, grouping(l_suppkey % 40)::INT AS "all" FROM lineitem GROUP BY GROUPING SETS ((l_suppkey % 40), ())""")
 def report_detectors(spark, d):
     return quality.report(*report_rows(spark, d))["detectors"]
+
+
+# --- marks: parts as the elements of twenty pages, each with one request ---
+
+#: Kind of request, its text; and what marks its pages show: kind, role, label, and the score that the rules have to give.
+WISHES = {"msg": "send hello to Asha on whatsapp", "shop": "search for red shoes", "cart": "search for red shoes and add to cart", "flight": "book a flight from New Delhi to Goa on Friday", "other": "open it"}
+SHOWN = [
+    ("msg", "button", "Send", 800), ("msg", "button", "Send document", -1000), ("msg", "editable", "x", 600), ("msg", "input:text", "Search", 400), ("msg", "button", "Back", 300), ("msg", "link", "Hotels", 0),
+    ("shop", "input:search", "", 500), ("shop", "button", "Go", 200), ("shop", "link", "Sign in", -1000), ("shop", "link", "Your cart", -1000), ("shop", "listitem", "shoes", 70), ("shop", "link", "Hotels", 0),
+    ("cart", "button", "Add to Cart", 800), ("cart", "link", "Your cart", 0), ("cart", "link", "Best sellers", -1000), ("cart", "input:text", "Keyword", 500),
+    ("flight", "link", "Hotels", -1000), ("flight", "link", "Flights", 100), ("flight", "input:text", "From", 90), ("flight", "input:text", "Departure date", 110), ("flight", "listitem", "Goa, to New Delhi", 140),
+    ("other", "link", "Tokyo", 90), ("other", "text", "Tokyo", 0), ("other", "option", "A", 70),
+]
+SHOWN_SQL = "(VALUES " + ", ".join(f"('{kind}', {[x for x in SHOWN if x[0] == kind].index((kind, role, label, score))}, {sum(x[0] == kind for x in SHOWN)}, '{role}', '{label}', {score})" for kind, role, label, score in SHOWN) + ") v(kind, i, many, role, label, score)"
+
+
+@query(f"""WITH m AS (SELECT p_partkey % 20 AS scan_id, p_partkey AS mark_id, {list(WISHES)}[p_partkey % 20 % 5 + 1] AS kind, p_partkey // 20 AS j FROM part WHERE p_partkey % 17 <> 0),
+s AS (SELECT scan_id, mark_id, role, label, score FROM m JOIN {SHOWN_SQL} ON v.kind = m.kind AND j % many = i),
+p AS (SELECT *, row_number() OVER (PARTITION BY scan_id ORDER BY score DESC, mark_id) AS place FROM s)
+SELECT scan_id, mark_id, role, label, score, place::INT AS place FROM p WHERE place <= 45""")
+def ranked_marks(spark, d):
+    """The SQL has each score written down; every seventeenth mark is filled already."""
+    pages = F.element_at(F.array(*map(F.lit, WISHES)), (F.col("p_partkey") % 20 % 5 + 1).cast("int"))
+    shown = F.create_map(*(x for kind in WISHES for x in (F.lit(kind), F.array(*(F.struct(F.lit(r).alias("role"), F.lit(t).alias("label")) for k, r, t, _ in SHOWN if k == kind)))))
+    m = table(spark, d, "part").select((F.col("p_partkey") % 20).alias("scan_id"), F.col("p_partkey").alias("mark_id"), F.col("p_partkey").alias("ord"), pages.alias("kind")).withColumn("_l", shown[F.col("kind")])
+    m = m.withColumn("_m", F.element_at("_l", (F.floor(F.col("mark_id") / 20) % F.size("_l") + 1).cast("int"))).select("scan_id", "mark_id", "ord", "kind", "_m.*")
+    text = F.create_map(*(F.lit(x) for pair in WISHES.items() for x in pair))
+    requests = m.select("scan_id", text[F.col("kind")].alias("text")).distinct()
+    return marks.rank_marks(requests, m.drop("kind"), m.filter("mark_id % 17 = 0"))
+
+
+@query(r"""WITH m AS (SELECT p_partkey % 50 AS scan_id, p_partkey AS mark_id, CASE WHEN p_partkey % 4 = 0 THEN 'clickable' ELSE 'link' END AS role,
+  lower(CASE p_partkey % 6 WHEN 0 THEN 'Sign in to see ' || p_name WHEN 1 THEN p_name ELSE p_name || ', Rs. ' || p_size * 100 || CASE WHEN p_partkey % 5 = 0 THEN ' sponsored' ELSE '' END || ' ' || (1 + p_size % 4) || '.5 stars' END) AS l, p_partkey % 6 AS k, p_size * 100.0 AS price, 1.5 + p_size % 4 AS rating FROM part),
+r AS (SELECT DISTINCT p_partkey % 50 AS scan_id, CASE WHEN p_partkey % 50 % 7 <> 0 THEN 'small widget' END AS q, CASE WHEN p_partkey % 50 % 2 = 0 THEN 2500.0 END AS most, CASE WHEN p_partkey % 50 % 3 = 0 THEN 700.0 END AS least, CASE WHEN p_partkey % 50 % 5 = 0 THEN 3.0 END AS stars, p_partkey % 50 % 4 = 0 AS cheap FROM part),
+j AS (SELECT *, (q IS NOT NULL AND contains(l, 'small'))::INT + (q IS NOT NULL AND contains(l, 'widget'))::INT AS held FROM m JOIN r USING (scan_id) WHERE length(l) >= 10 AND k <> 0),
+s AS (SELECT *, 100 + 50 * held + CASE WHEN k = 1 THEN 0 ELSE CASE WHEN price > most THEN -500 WHEN most IS NOT NULL THEN 150 + CASE WHEN cheap THEN (most - price) / 10 ELSE 0 END ELSE 0 END + CASE WHEN price < least THEN -300 ELSE 0 END + CASE WHEN rating < stars THEN -500 ELSE rating * 40 END - CASE WHEN p5 THEN 30 ELSE 0 END END AS score
+  FROM (SELECT *, mark_id % 5 = 0 AS p5 FROM j) WHERE q IS NULL OR k <> 1 OR held > 0 OR (role = 'link' AND length(l) >= 20)),
+o AS (SELECT *, row_number() OVER (PARTITION BY scan_id ORDER BY score DESC, mark_id) AS n FROM s)
+SELECT scan_id, mark_id, score::DOUBLE AS score FROM o WHERE n = 1 AND score > 0""")
+def page_products(spark, d):
+    k, n = F.col("p_partkey") % 6, F.col("p_name")
+    priced = F.concat(n, F.lit(", Rs. "), F.col("p_size") * 100, F.when(F.col("p_partkey") % 5 == 0, " sponsored").otherwise(""), F.lit(" "), 1 + F.col("p_size") % 4, F.lit(".5 stars"))
+    m = table(spark, d, "part").select((F.col("p_partkey") % 50).alias("scan_id"), F.col("p_partkey").alias("mark_id"), F.col("p_partkey").alias("ord"), F.when(F.col("p_partkey") % 4 == 0, "clickable").otherwise("link").alias("role"), F.when(k == 0, F.concat(F.lit("Sign in to see "), n)).when(k == 1, n).otherwise(priced).alias("label"))
+    s = F.col("scan_id")
+    r = m.select("scan_id").distinct().select("scan_id", F.when(s % 7 != 0, "small widget").alias("query"), F.when(s % 2 == 0, 2500.0).alias("max_price"), F.when(s % 3 == 0, 700.0).alias("min_price"), F.when(s % 5 == 0, 3.0).alias("min_rating"), (s % 4 == 0).alias("cheapest"))
+    return marks.choose_products(r, m)

@@ -81,7 +81,7 @@ def line_and_word_hits(spark, d):
     return W.line_and_word_hits(scanned(spark, d), PLAIN).select("scan_id", "stage", "kind", "value", "x", "y", "w", "h")
 
 
-MAY_SQL = " OR ".join(f"regexp_matches(text, {sql_text(h)})" for h in dict.fromkeys({"labelled_value": rf"(?i)\b(?:{P.VALUE_LABEL})", "vid": r"\d{4}", "ssn": r"\d{4}"}.get(p.kind, p.hint) for p in PLAIN))
+MAY_SQL = f"regexp_matches(text, {sql_text(W.may_hit([p for p in PLAIN if p.kind != 'labelled_value']))}) OR regexp_matches(text, {sql_text(r'(?i)' + chr(92) + 'b(?:' + P.VALUE_LABEL + ')')})"
 WINDOWS_SQL = f"""WITH {WORDS_SQL},
 r AS (SELECT scan_id, ord, unnest(range(2, 6)) AS size, list(text) OVER n AS t, list(x) OVER n AS xs, list(x + w) OVER n AS rs, list(y) OVER n AS ys FROM w WINDOW n AS (PARTITION BY scan_id ORDER BY ord ROWS BETWEEN CURRENT ROW AND 4 FOLLOWING)),
 run AS (SELECT scan_id, ord, size, array_to_string(t[:size], ' ') AS raw, list_min(xs[:size]) AS x, list_max(rs[:size]) AS r, list_min(ys[:size]) AS y FROM r WHERE len(t) >= size AND list_max(ys[:size]) + 14 - list_min(ys[:size]) <= 14 * 2.2),

@@ -214,8 +214,6 @@ def test_marks(spark):
     tasks = spark.createDataFrame([(1, 1, "search products", "search")], "scan_id int, task_id int, text string, kind string")
     ocr = spark.createDataFrame([(1, 0, 10, 50, 10, "Search products")], "scan_id int, x int, y int, w int, h int, text string")
     assert [(r["mark_id"], r["score"], r["place"]) for r in facets.ground_candidates(tasks, marks, ocr).collect()] == [(1, 1.0, 1)]
-    got = facets.rank_marks(tasks.select("scan_id", "text", "kind"), marks, marks.filter("mark_id = 2")).collect()
-    assert [r["mark_id"] for r in got] == [1]
 
 
 def test_sources(spark, tmp_path):
