@@ -231,42 +231,52 @@ def dilate(df: DataFrame, width: int, height: int) -> DataFrame:
     return clip(df, width, height, 1)
 
 
-#: Ordered rules (fixed values): name, confidence, condition over x, y, w, h, ar, area, energy, dispersion and the flags.
+#: Ordered rules (fixed values): name, confidence, condition over x, y, w, h, ar, area, energy, dispersion and the flags, reason.
+#: Whoever knows a region's class says so by a flag of its own, is_<class>, which stands before the rule's condition.
 CLASSES = [
-    ("signature", 0.91, "dispersion > 0.6 and ar between 1.5 and 4.5 and area < 40000"),
-    ("qr_code", 0.95, "ar between 0.9 and 1.1 and w between 60 and 260 and energy > 45"),
-    ("canvas_chart", 0.89, "is_canvas and area > 25000 or w >= 280 and h >= 140 and energy > 20"),
-    ("modal", 0.93, "w >= 360 and h >= 220 and ar between 1.1 and 2.2 and area > 100000"),
-    ("avatar", 0.92, "ar between 0.8 and 1.25 and w between 36 and 200 and energy > 16"),
-    ("radio", 0.93, "circular and w between 10 and 32"),
-    ("checkbox", 0.94, "not circular and ar between 0.85 and 1.15 and w between 12 and 28 and h between 12 and 28"),
-    ("dropdown", 0.88, "arrow and ar between 2.2 and 8.0 and h between 22 and 55"),
-    ("button", 0.90, "ar between 1.4 and 5.5 and h between 24 and 60 and w <= 260"),
-    ("input", 0.87, "ar between 2.8 and 12.0 and h between 24 and 55"),
-    ("link", 0.81, "ar >= 1.2 and h between 12 and 24"),
+    ("signature", 0.91, "dispersion > 0.6 and ar between 1.5 and 4.5 and area < 40000", "high_dispersion_stroke_contour"),
+    ("qr_code", 0.95, "ar between 0.9 and 1.1 and w between 60 and 260 and energy > 45", "bicolor_matrix_density"),
+    ("canvas_chart", 0.89, "is_canvas and area > 25000 or w >= 280 and h >= 140 and energy > 20", "multivariate_graph_canvas"),
+    ("modal", 0.93, "w >= 360 and h >= 220 and ar between 1.1 and 2.2 and area > 100000", "elevated_container_hierarchy"),
+    ("avatar", 0.92, "ar between 0.8 and 1.25 and w between 36 and 200 and energy > 16", "biometric_portrait_geometry"),
+    ("radio", 0.93, "circular and w between 10 and 32", "concentric_circular_glyph"),
+    ("checkbox", 0.94, "not circular and not is_radio and ar between 0.85 and 1.15 and w between 12 and 28 and h between 12 and 28", "orthogonal_glyph_box"),
+    ("dropdown", 0.88, "arrow and ar between 2.2 and 8.0 and h between 22 and 55", "chevron_delimited_field"),
+    ("button", 0.90, "ar between 1.4 and 5.5 and h between 24 and 60 and w <= 260", "rounded_action_rectangle"),
+    ("input", 0.87, "ar between 2.8 and 12.0 and h between 24 and 55", "horizontal_entry_strip"),
+    ("link", 0.81, "ar >= 1.2 and h between 12 and 24", "inline_textual_anchor"),
 ]
 INTERACTIVE = ("radio", "checkbox", "dropdown", "button", "input", "link")
 
 
-def classify_regions(df: DataFrame, least: float = 0.65) -> DataFrame:
-    """df (x, y, w, h, energy, dispersion, circular, arrow, is_canvas) with class, confidence, interactive; unclassified rows go."""
-    df = df.withColumn("ar", F.col("w") / F.col("h")).withColumn("area", F.col("w") * F.col("h"))
-    rule, confidence = F, F
-    for name, c, condition in CLASSES:
-        rule, confidence = rule.when(F.expr(condition), name), confidence.when(F.expr(condition), c)
-    out = df.withColumn("class", rule).withColumn("confidence", confidence).drop("ar", "area")
-    return out.filter(F.col("confidence") >= least).withColumn("interactive", F.col("class").isin(*INTERACTIVE))
-
-
-def cluster_patches(patches: DataFrame, image: str = "image_id") -> DataFrame:
-    """Connected components of busy patches (8 neighbours): image, component, n, x0, y0, x1, y1, kind; 4 to 150 patches.
-
-    patches: image, px, py, energy, luminance. Labels spread to the least neighbour until none changes; each round is
-    written out. A patch meets its neighbours by an equi-join on shifted cells.
-    """
+def classify_regions(df: DataFrame, least: float = 0.65, viewport: tuple[int, int] | None = None) -> DataFrame:
+    """df (x, y, w, h, energy, dispersion, circular, arrow, is_canvas, and is_<class> where it is known) with class, confidence, reason,
+    interactive and, for a viewport, box: the sides as shares of it, to four places. Null or absent flags are false, sides of 0 or null count as 1; unclassified rows go."""
+    flags = ["circular", "arrow", "is_canvas", *(f"is_{name}" for name, *_ in CLASSES)]
+    plain = df.withColumns({f: F.coalesce(F.col(f), F.lit(False)) if f in df.columns else F.lit(False) for f in flags})
+    side = lambda c: F.coalesce(F.nullif(F.col(c), F.lit(0)), F.lit(1))
+    df = plain.withColumns({"_w0": F.col("w"), "_h0": F.col("h")}).withColumns({"w": side("w"), "h": side("h")}).withColumns({"ar": F.col("w") / F.col("h"), "area": F.col("w") * F.col("h")})
+    rule = F
+    for name, confidence, condition, reason in CLASSES:
+        rule = rule.when(F.expr(f"is_{name} or ({condition})"), F.named_struct(F.lit("class"), F.lit(name), F.lit("confidence"), F.lit(confidence), F.lit("reason"), F.lit(reason)))
+    kept = [c for c in df.columns if c not in ("ar", "area", "w", "h", "_w0", "_h0", "class", "confidence", "reason", *(f for f in flags if f not in ("circular", "arrow", "is_canvas")))]
+    out = df.withColumn("_r", rule).filter(F.col("_r.confidence") >= least).select(*kept, F.col("_w0").alias("w"), F.col("_h0").alias("h"), "_r.class", "_r.confidence", "_r.reason")
+    if viewport:
+        share = lambda c, size: F.round(F.col(c) / size, 4)
+        out = out.withColumn("box", F.struct(*(share(c, viewport[i % 2]).alias(c) for i, c in enumerate(("x", "y", "w", "h")))))
+    return out.withColumn("interactive", F.col("class").isin(*INTERACTIVE))
+
+
+def cluster_patches(patches: DataFrame, image: str = "image_id", size: int = 16) -> DataFrame:
+    """Connected components of busy patches (8 neighbours) of 4 to 150: image, first_y, first_x, n, x0, y0, x1, y1 (in patches), kind.
+
+    patches: image, px, py, energy (above 18), luminance (between 20 and 235, those not included), each `size` pixels wide and tall.
+    avatar: about square, 32 to 220 pixels wide; strip: over 2.5 times as wide as tall, at most 60 pixels tall; else media. Labels
+    spread to the least neighbour until none changes; each round is written out. A patch meets its neighbours by an equi-join on shifted
+    cells."""
     from maskline.sources.tables import stored
 
-    busy = patches.filter("energy > 18 and luminance between 20 and 235")
+    busy = patches.filter("energy > 18 and luminance > 20 and luminance < 235")
     label = stored(busy.select(image, "px", "py", F.struct("py", "px").alias("label")), "patches")
     shifts = F.explode(F.array(*(F.struct(F.lit(dx).alias("dx"), F.lit(dy).alias("dy")) for dx in (-1, 0, 1) for dy in (-1, 0, 1))))
     while True:
@@ -278,8 +288,8 @@ def cluster_patches(patches: DataFrame, image: str = "image_id") -> DataFrame:
         if done:
             break
     out = label.groupBy(image, "label").agg(F.count("*").alias("n"), F.min("px").alias("x0"), F.min("py").alias("y0"), F.max("px").alias("x1"), F.max("py").alias("y1"))
-    w, h = F.col("x1") - F.col("x0") + 1, F.col("y1") - F.col("y0") + 1
-    kind = F.when((w / h).between(0.75, 1.35), "avatar").when(w / h > 2.5, "strip").otherwise("media")
+    w, h = (F.col("x1") - F.col("x0") + 1) * size, (F.col("y1") - F.col("y0") + 1) * size
+    kind = F.when((w / h).between(0.75, 1.35) & w.between(32, 220), "avatar").when((w / h > 2.5) & (h <= 60), "strip").otherwise("media")
     return out.filter("n between 4 and 150").select(image, F.col("label.py").alias("first_y"), F.col("label.px").alias("first_x"), "n", "x0", "y0", "x1", "y1", kind.alias("kind"))
 
 

@@ -11,6 +11,7 @@ from maskline.functions.scalars import flat
 from maskline.operators import discover, egress, facets, images, quality, redact, regions, runs
 from maskline.plans.registry import ORACLES, QUERIES, query, sql_text, table
 from maskline.sources import io
+from maskline.sources.tables import spread
 
 __all__ = ["ORACLES", "QUERIES", "flagship"]
 
@@ -23,7 +24,7 @@ def planted(spark: SparkSession, d: str) -> DataFrame:
     n = F.lpad((F.col("doc_id") % 10000).cast("string"), 4, "0")
     key = F.when(F.col("doc_id") % 10 == 0, F.concat(F.lit(" AKIA"), F.lpad(F.col("doc_id").cast("string"), 16, "0"))).otherwise("")
     text = F.concat(F.coalesce("text", F.lit("")), F.lit("\nmail user"), n, F.lit("@example.org pan ABCDE"), n, F.lit("F ifsc HDFC000"), n, F.lit(" id 2345 6789 "), n, key)
-    return table(spark, d, "documents").withColumn("text", text)
+    return spread(table(spark, d, "documents")).withColumn("text", text)
 
 
 PLANTED = "(SELECT doc_id, source, lang, coalesce(text, '') || chr(10) || 'mail user' || n || '@example.org pan ABCDE' || n || 'F ifsc HDFC000' || n || ' id 2345 6789 ' || n || CASE WHEN doc_id % 10 = 0 THEN ' AKIA' || lpad(doc_id::VARCHAR, 16, '0') ELSE '' END AS text FROM (SELECT *, lpad((doc_id % 10000)::VARCHAR, 4, '0') AS n FROM documents))"
@@ -230,13 +231,14 @@ def truth_and_predictions(spark: SparkSession, d: str) -> tuple[DataFrame, DataF
     return b.filter("line = 1"), b.filter("line > 1")
 
 
-PAIRS_SQL = f"""WITH b AS (FROM {BOXES_SQL}), j AS (SELECT a.scan_id, a.ord AS a_id, b.ord AS b_id, greatest(least(a.x + a.w, b.x + b.w) - greatest(a.x, b.x), 0)::BIGINT * greatest(least(a.y + a.h, b.y + b.h) - greatest(a.y, b.y), 0) AS shared, a.w * a.h AS aa, b.w * b.h AS ba, b.source FROM b a JOIN b ON a.scan_id = b.scan_id AND a.line = 1 AND b.line > 1)"""
+PAIRS_SQL = f"""WITH b AS MATERIALIZED (SELECT scan_id, ord, x, y, w, h, source, line FROM {BOXES_SQL}), j AS (SELECT a.scan_id, a.ord AS a_id, b.ord AS b_id, greatest(least(a.x + a.w, b.x + b.w) - greatest(a.x, b.x), 0)::BIGINT * greatest(least(a.y + a.h, b.y + b.h) - greatest(a.y, b.y), 0) AS shared, a.w * a.h AS aa, b.w * b.h AS ba, b.source FROM b a JOIN b ON a.scan_id = b.scan_id AND a.line = 1 AND b.line > 1)"""
 
 
-@query(f"{PAIRS_SQL} SELECT scan_id, a_id, b_id, shared, shared / (aa + ba - shared) AS iou, shared / aa AS covered FROM j WHERE shared > 0")
+@query(f"{PAIRS_SQL} SELECT scan_id, a_id, b_id, shared, round(shared / (aa + ba - shared), 9) AS iou, round(shared / aa, 9) AS covered FROM j WHERE shared > 0")
 def overlapping_boxes(spark, d):
     t, p = truth_and_predictions(spark, d)
-    return regions.overlap_pairs(t, p, "scan_id", "ord", "ord")
+    pairs = regions.overlap_pairs(t, p, "scan_id", "ord", "ord")
+    return pairs.select("scan_id", "a_id", "b_id", "shared", F.round("iou", 9).alias("iou"), F.round("covered", 9).alias("covered"))
 
 
 @query()
@@ -266,7 +268,19 @@ def widened_candidates(spark, d):
     return regions.filter_candidates(b).groupBy("scan_id").agg(F.count("*").alias("n"), F.sum(F.col("w").cast("long") * F.col("h")).alias("area"))
 
 
-CLASS_SQL = "CASE " + " ".join(f"WHEN {c} THEN '{n}'" for n, _, c in regions.CLASSES) + " END"
+@query(f"""WITH b AS (SELECT scan_id, ord, x, y, w, h, w / h AS ar, w * h AS area, disc * 500 > 45 AS e45, disc * 500 > 20 AS e20, disc * 500 > 16 AS e16, disc * 10 > 0.6 AS thin, line = 7 AS circular, line = 6 AS arrow, ord % 13 = 0 AS known FROM {BOXES_SQL}),
+c AS (SELECT *, CASE WHEN thin AND ar >= 1.5 AND ar <= 4.5 AND area < 40000 THEN 1 WHEN ar >= 0.9 AND ar <= 1.1 AND w >= 60 AND w <= 260 AND e45 THEN 2 WHEN w >= 280 AND h >= 140 AND e20 THEN 3 WHEN known THEN 4 WHEN w >= 360 AND h >= 220 AND ar BETWEEN 1.1 AND 2.2 THEN 4
+WHEN ar >= 0.8 AND ar <= 1.25 AND w >= 36 AND w <= 200 AND e16 THEN 5 WHEN circular AND w BETWEEN 10 AND 32 THEN 6 WHEN NOT circular AND ar >= 0.85 AND ar <= 1.15 AND w BETWEEN 12 AND 28 AND h BETWEEN 12 AND 28 THEN 7
+WHEN arrow AND ar >= 2.2 AND ar <= 8 AND h BETWEEN 22 AND 55 THEN 8 WHEN ar >= 1.4 AND ar <= 5.5 AND h BETWEEN 24 AND 60 AND w <= 260 THEN 9 WHEN ar >= 2.8 AND ar <= 12 AND h BETWEEN 24 AND 55 THEN 10 WHEN ar >= 1.2 AND h BETWEEN 12 AND 24 THEN 11 END AS k FROM b)
+SELECT scan_id, ord, ['signature', 'qr_code', 'canvas_chart', 'modal', 'avatar', 'radio', 'checkbox', 'dropdown', 'button', 'input', 'link'][k] AS class, [0.91, 0.95, 0.89, 0.93, 0.92, 0.93, 0.94, 0.88, 0.9, 0.87, 0.81][k]::DOUBLE AS confidence,
+['high_dispersion_stroke_contour', 'bicolor_matrix_density', 'multivariate_graph_canvas', 'elevated_container_hierarchy', 'biometric_portrait_geometry', 'concentric_circular_glyph', 'orthogonal_glyph_box', 'chevron_delimited_field', 'rounded_action_rectangle', 'horizontal_entry_strip', 'inline_textual_anchor'][k] AS reason,
+round(x / 400, 4) AS share_x, round(h / 300, 4) AS share_h, k >= 6 AS interactive FROM c WHERE k IS NOT NULL""")
+def classed_regions(spark, d):
+    b = boxes(spark, d).withColumns({"energy": F.col("disc") * 500, "dispersion": F.col("disc") * 10, "circular": F.col("line") == 7, "arrow": F.col("line") == 6, "is_modal": F.col("ord") % 13 == 0})
+    return regions.classify_regions(b, viewport=(400, 300)).select("scan_id", "ord", "class", "confidence", "reason", F.col("box.x").alias("share_x"), F.col("box.h").alias("share_h"), "interactive")
+
+
+CLASS_SQL = "CASE " + " ".join(f"WHEN {c.replace('not is_radio', 'true')} THEN '{n}'" for n, _, c, _ in regions.CLASSES) + " END"
 
 
 @query(f"WITH b AS (SELECT w, h, w::DOUBLE / h AS ar, w * h AS area, disc * 500 AS energy, disc * 10 AS dispersion, line = 7 AS circular, line = 6 AS arrow, line = 5 AS is_canvas FROM {BOXES_SQL}), c AS (SELECT {CLASS_SQL} AS class FROM b) SELECT class, count(*) AS n FROM c WHERE class IS NOT NULL GROUP BY ALL")

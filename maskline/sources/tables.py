@@ -29,6 +29,13 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return out
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """df, dealt out to at least as many tasks as there are cores: for work by which a row costs much more than its move. A table of as
+    many parts or more, as any large one, stays where it is."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.isStreaming or df.rdd.getNumPartitions() >= cores else df.repartition(cores)
+
+
 def discard(*tables: DataFrame) -> None:
     """Deletes what stored() wrote, once nothing reads it any more."""
     for t in tables:
