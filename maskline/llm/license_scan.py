@@ -2,8 +2,9 @@
 
 Only DataFrame functions. A block is a line, a sentence, or, so that notices may wrap and hold several sentences, a window
 over the words of the whole text: twice as wide as the template, a new one every template's width, so that each stretch of
-a template's width lies in one. A block meets a template if it holds at least THRESHOLD of the template's different words,
-its version number (words of digits) among them. Windows are made for the templates that the text as a whole meets.
+a template's width lies in one. A block meets a template if it holds at least THRESHOLD of the template's different words. Where the
+template's version number (words of digits) isn't among them, the label is that of the family, without a version; a row that has a label
+with a version doesn't also have its family's. Windows are made for the templates that the text as a whole meets.
 
 Lines and sentences are joined by filters. Words are ordered by how many blocks of the corpus hold them, rarest first; a block that
 meets a template of n words holds one of the template's first n - ceil(THRESHOLD * n) + 1 words (prefix filter), has at
@@ -55,6 +56,19 @@ def versions(words: list[str]) -> list[str]:
     return sorted({w for w in words if w.isdigit()})
 
 
+def family(label: str) -> str:
+    """The label less a version at its end."""
+    return re.sub(r"-\d+$", "", label)
+
+
+def without_families(labels: Column, templates: dict[str, list[str]]) -> Column:
+    """labels less those of families of which a version is there too."""
+    for name in sorted({family(x) for x in templates} - set(templates)):
+        told = F.array(*(F.lit(x) for x in templates if family(x) == name))
+        labels = F.when(F.arrays_overlap(labels, told), F.array_remove(labels, name)).otherwise(labels)
+    return labels
+
+
 def may_hold(phrases: dict[str, str]) -> Column:
     """Whether a phrase may stand in column lines: by its longest word, or all of it if its words are short."""
     longest = [(max(p.split(), key=len), p) for p in phrases]
@@ -106,6 +120,11 @@ def phrase_columns(df: DataFrame, phrases: dict[str, str]) -> DataFrame:
     return df.withColumns({"n_base": count, "first_word": F.least(*first) if len(first) > 1 else first[0], "last_word": F.greatest(*last) if len(last) > 1 else last[0], "base": F.array_sort(F.array_distinct(F.array_compact(F.array(*labels))))})
 
 
+def told_label() -> Column:
+    """The template's label, or its family's where the words lack the version."""
+    return F.when(F.size(F.array_except("version", "words")) == 0, F.col("label")).otherwise(F.regexp_replace("label", r"-\d+$", "")).alias("label")
+
+
 def template_hits(df: DataFrame, key: str, templates: dict[str, list[str]], threshold: float) -> DataFrame:
     """key, label, share: the best containment for each label that a line or sentence of the row meets."""
     spark = df.sparkSession
@@ -127,7 +146,7 @@ def template_hits(df: DataFrame, key: str, templates: dict[str, list[str]], thre
     rest = F.least(F.size("template") - F.col("at"), F.size("words") - F.col("own"))
     pairs = pairs.filter((F.size("words") >= F.col("least")) & (rest + F.least("at", "own") >= F.col("least")))
     shared = F.size(F.array_intersect("words", "template"))
-    pairs = pairs.filter((shared >= F.col("least")) & (F.size(F.array_except("version", "words")) == 0)).select(key, "label", (shared / F.size("template")).alias("share"))
+    pairs = pairs.filter(shared >= F.col("least")).select(key, told_label(), (shared / F.size("template")).alias("share"))
     return pairs.groupBy(key, "label").agg(F.max("share").alias("share"))
 
 
@@ -139,8 +158,8 @@ def window_hits(df: DataFrame, key: str, templates: dict[str, list[str]], thresh
     own = F.floor(F.col("at") / F.col("width"))
     at = at.select(key, "word", "number", "label", "size", "least", "version", F.explode(F.array(own - 1, own)).alias("window"))
     met = at.groupBy(key, "number", "window").agg(F.first("label").alias("label"), F.first("size").alias("size"), F.first("least").alias("least"), F.first("version").alias("version"), F.collect_set("word").alias("words"))
-    met = met.filter((F.size("words") >= F.col("least")) & (F.size(F.array_except("version", "words")) == 0))
-    return met.groupBy(key, "label").agg(F.max(F.size("words") / F.col("size")).alias("share"))
+    met = met.filter(F.size("words") >= F.col("least")).select(key, told_label(), (F.size("words") / F.col("size")).alias("share"))
+    return met.groupBy(key, "label").agg(F.max("share").alias("share"))
 
 
 def scan(docs: DataFrame, phrases: dict[str, str] = PHRASES, templates: dict[str, list[str]] = TEMPLATES, threshold: float = THRESHOLD) -> DataFrame:
@@ -154,7 +173,7 @@ def scan(docs: DataFrame, phrases: dict[str, str] = PHRASES, templates: dict[str
     hits = template_hits(df, "row", templates, threshold).unionByName(window_hits(df, "row", templates, threshold))
     hits = hits.groupBy("row").agg(F.collect_set("label").alias("more"), F.max("share").alias("share"))
     df = df.drop("blocks", "met", "places").join(hits, "row", "left")
-    labels = F.array_sort(F.array_union("base", F.coalesce("more", F.array().cast("array<string>"))))
+    labels = F.array_sort(without_families(F.array_union("base", F.coalesce("more", F.array().cast("array<string>"))), templates))
     score = F.when(F.col("n_base") > 0, 1.0).otherwise(F.coalesce("share", F.lit(0.0)))
     return df.select("doc_id", "n_words", "n_base", "first_word", "last_word", F.array_join("base", ",").alias("base_labels"), F.array_join(labels, ",").alias("labels"), score.alias("score"))
 
@@ -166,7 +185,10 @@ def op5_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _sql() -> str:
     phrases = ", ".join(f"({p.split()}, '{label}')" for p, label in PHRASES.items())
-    templates = ", ".join(f"('{label}', {sorted(set(t.split()))}, {needed(len(set(t.split())))})" for label, texts in TEMPLATES.items() for t in texts)
+    templates = ", ".join(f"('{label}', '{family(label)}', {sorted(set(t.split()))}, {needed(len(set(t.split())))}, {len(t.split())}, {versions(t.split())}::VARCHAR[])" for label, texts in TEMPLATES.items() for t in texts)
+    families = {name: [x for x in TEMPLATES if family(x) == name] for name in sorted({family(x) for x in TEMPLATES} - set(TEMPLATES))}
+    labels = "list_distinct(list_concat(coalesce(b.labels, []), coalesce(f.labels, [])))"
+    kept = " AND ".join(f"NOT (x = '{name}' AND list_has_any({labels}, {known}))" for name, known in families.items())
     return rf"""
 WITH t AS (SELECT row_number() OVER () AS r, doc_id, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS low FROM documents),
 w AS (SELECT r, doc_id, low, list_filter(regexp_split_to_array(low, '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '') AS words FROM t),
@@ -174,11 +196,14 @@ p(phrase, label) AS (VALUES {phrases}),
 h AS (SELECT * FROM (SELECT r, label, len(phrase) AS k, phrase, words, unnest(range(len(words) - len(phrase) + 1)) AS i FROM w, p WHERE low LIKE '%' || phrase[1] || '%' AND len(words) >= len(phrase)) WHERE words[i + 1 : i + k] = phrase),
 b AS (SELECT r, count(*) AS n, min(i) AS first_word, max(i) AS last_word, list_distinct(list(label)) AS labels FROM h GROUP BY r),
 k AS (SELECT r, list_distinct(regexp_split_to_array(unnest(regexp_split_to_array(regexp_replace(low, '([.!?;])[\x20\x09-\x0D]+', '\1' || chr(10), 'g'), chr(10))), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+')) AS words FROM w),
-m(label, template, least) AS (VALUES {templates}),
-c AS (SELECT r, label, len(list_intersect(words, template)) AS n, len(template) AS size, least FROM k, m WHERE len(words) >= least),
-f AS (SELECT r, list_distinct(list(label)) AS labels, max(n / size) AS share FROM c WHERE n >= least GROUP BY r)
+m(label, family, template, least, width, version) AS (VALUES {templates}),
+v AS (SELECT r, m.*, words, unnest(range(len(words) // width + 1)) AS v FROM w, m WHERE len(list_intersect(list_distinct(words), template)) >= least),
+c AS (SELECT r, label, family, template, least, version, words FROM k, m WHERE len(words) >= least
+  UNION ALL SELECT r, label, family, template, least, version, list_distinct(words[v * width + 1 : (v + 2) * width]) FROM v),
+n AS (SELECT r, CASE WHEN len(list_filter(version, lambda x: NOT list_contains(words, x))) = 0 THEN label ELSE family END AS label, len(list_intersect(words, template)) AS n, len(template) AS size, least FROM c),
+f AS (SELECT r, list_distinct(list(label)) AS labels, max(n / size) AS share FROM n WHERE n >= least GROUP BY r)
 SELECT doc_id, len(words) AS n_words, coalesce(b.n, 0)::BIGINT AS n_base, b.first_word, b.last_word, coalesce(array_to_string(list_sort(b.labels), ','), '') AS base_labels,
-       coalesce(array_to_string(list_sort(list_distinct(list_concat(coalesce(b.labels, []), coalesce(f.labels, [])))), ','), '') AS labels,
+       coalesce(array_to_string(list_sort(list_filter({labels}, lambda x: {kept})), ','), '') AS labels,
        CASE WHEN b.n > 0 THEN 1.0 ELSE coalesce(share, 0) END::DOUBLE AS score
 FROM w LEFT JOIN b USING (r) LEFT JOIN f USING (r)
 """

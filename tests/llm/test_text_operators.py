@@ -248,3 +248,34 @@ def test_empty_tables(spark):
     assert license_scan.scan(empty).count() == quality_rules.judge(empty).count() == 0
     assert byte_model.score(empty.select("doc_id", "text"), empty).count() == 0
     assert language_id.identify(empty.selectExpr("doc_id", "text", "lang", "true as held_out")).count() == 0
+
+
+def test_license_scan_like_its_sql(spark):
+    """Notices that wrap, versions that are there, others, and none; blocks just at the threshold; each template in long prose."""
+    import random
+
+    import duckdb
+    import pandas as pd
+
+    draw = random.Random(6)
+    filler = "the of and license general software public version file any for a copy 2 3 zebra".split()
+    texts = ["GNU General Public License as published by the Free Software Foundation either version 2 of the license", "gnu general public license as published by the\nfree software foundation, either\nversion of the license", "released under the gnu general public license", None, "", "...", "under the Apache License. Version 3"]
+    for label, known in license_scan.TEMPLATES.items():
+        for t in known:
+            w = t.split()
+            for _ in range(6):
+                some = [x for x in w if draw.random() < 0.96]
+                head, tail = ([draw.choice(filler) for _ in range(draw.randint(0, 60))] for _ in range(2))
+                gaps = [draw.choice([" ", " ", " ", "\n", ", ", ". "]) for _ in range(len(head) + len(some) + len(tail))]
+                texts.append("".join(a + b for a, b in zip([*head, *some, *tail], gaps)))
+    docs = pd.DataFrame({"doc_id": range(len(texts)), "text": texts})
+    con = duckdb.connect()
+    con.register("documents", docs)
+    want = con.execute(license_scan.OP5_SQL)
+    names = [c[0] for c in want.description]
+    mine = [tuple(r) for r in license_scan.scan(spark.createDataFrame(list(docs.itertuples(index=False, name=None)), "doc_id long, text string")).select(*names).collect()]
+    plain = lambda rows: sorted((tuple(round(v, 9) if isinstance(v, float) else v for v in r) for r in rows), key=repr)
+    assert plain(mine) == plain(want.fetchall())
+    found = {r[names.index("doc_id")]: r[names.index("labels")] for r in mine}
+    assert (found[0], found[1], found[2]) == ("gpl-2", "gpl", "")
+    assert {"gpl", "gpl-2", "gpl-3"} <= {x for v in found.values() for x in v.split(",")}
