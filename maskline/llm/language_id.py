@@ -2,10 +2,11 @@
 
 A text's letters are lower-cased, other runs become one blank. Each different trigram of a text is looked up once. The
 language of the lowest cross-entropy per letter wins. A text is rejected where even that is above what other texts of that
-language reach (the REJECT quantile of labelled texts that the counts leave out for this); rejection halves the score, the
-prediction stays.
+language reach; rejection halves the score, the prediction stays. Thresholds are cross-fitted: the labelled texts are dealt into
+two folds by their hashes, so that equal texts share one; each is scored by its language's model of the other fold, and the
+REJECT quantile over all of them is the threshold. The two fold models stand beside the whole one as columns of the same tables.
 
-Every task holds the models while they have at most MAX_GRAMS different trigrams. Beyond that it holds the final logarithms
+Every task holds the models while they have at most MAX_CELLS values (trigrams times models). Beyond that it holds the final logarithms
 of the frequent trigrams alone; the texts' other trigrams go to the part of the models that they need, that of their
 middle letter (letters are few and go to all parts), and their logarithms are joined to the texts. All counts are used
 either way.
@@ -17,7 +18,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from maskline.plans.session import ship
@@ -27,10 +28,10 @@ from .counts import HELD, MOST, Counter, bounded
 
 #: Absolute discount.
 DISCOUNT = 0.75
-#: Different trigrams that every task holds; beyond, the rarer ones are looked up by a shuffle.
-MAX_GRAMS = 1_000_000
-#: Share of the left-out texts of a language that its threshold lets pass; one labelled text in APART is left out.
-REJECT, APART = 0.995, 10
+#: Values (trigrams times models) that every task holds; beyond, the rarer trigrams are looked up by a shuffle.
+MAX_CELLS = 6_000_000
+#: Share of a language's labelled texts, each scored without its own fold, that its threshold lets pass; and the folds.
+REJECT, FOLDS = 0.995, 2
 UNKNOWN = "und"
 BITS = 21
 ONE = (1 << BITS) - 1
@@ -142,9 +143,20 @@ class Models:
         return np.log2(p)
 
 
+def fold(text: str = "text") -> Column:
+    return F.pmod(F.xxhash64(F.col(text), F.lit("fold")), F.lit(FOLDS)).cast("int")
+
+
 def taught(docs: DataFrame, languages: list[str]) -> DataFrame:
-    """lang, code, n: the trigram counts of the rows that teach."""
-    return stored(count_languages(docs, languages), "trigrams")
+    """lang, code, n: the trigram counts of the rows that teach. lang: i for all of the i-th language's texts, i + (1 + f) * languages for
+    those that aren't in fold f."""
+    k = len(languages)
+    parts = [f"{x}\0{f}" for f in range(FOLDS) for x in languages]
+    rows = stored(count_languages(docs.select(F.concat("lang", F.lit("\0"), fold()).alias("lang"), "text"), parts), "trigrams")
+    own, f = F.col("lang") % k, F.floor(F.col("lang") / k).cast("int")
+    others = F.filter(F.sequence(F.lit(0), F.lit(FOLDS - 1)), lambda x: x != f)
+    into = F.explode(F.concat(F.array(own), F.transform(others, lambda x: own + (1 + x) * k)))
+    return stored(rows.select(into.alias("lang"), "code", "n").groupBy(F.col("lang").cast("int").alias("lang"), "code").agg(F.sum("n").alias("n")), "trigrams")
 
 
 def columns(rows: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -183,7 +195,7 @@ def frequent(grams: DataFrame, languages: list[str], max_grams: int) -> tuple[np
     head = bounded(grams.groupBy("code").agg(F.sum("n").alias("n")), max_grams).select("code")
     rows = part_models(grams, languages).join(head, "code").toArrow()
     codes = rows["code"].to_numpy()
-    logs = np.array(rows["logs"].to_pylist()).reshape(len(codes), len(languages))
+    logs = rows["logs"].combine_chunks().flatten().to_numpy().reshape(len(codes), len(languages))
     order = np.argsort(codes)
     return codes[order], logs[order]
 
@@ -225,7 +237,7 @@ def entropies(docs: DataFrame, grams: DataFrame, languages: list[str], max_grams
     return found.join(tail, "row", "left").select("own", "n", sums.alias("sums"))
 
 
-def identify(docs: DataFrame, reject: float = REJECT, max_grams: int = MAX_GRAMS) -> DataFrame:
+def identify(docs: DataFrame, reject: float = REJECT, max_cells: int = MAX_CELLS) -> DataFrame:
     """docs (doc_id, text, lang, held_out): learns from the rows not held out, predicts all from their text alone.
 
     Returns doc_id, held_out, lang_pred, bits (a letter, in that language), score, rejected. Null text or none of letters:
@@ -235,23 +247,26 @@ def identify(docs: DataFrame, reject: float = REJECT, max_grams: int = MAX_GRAMS
     ship(docs.sparkSession)
     known = docs.filter("not held_out and lang is not null and text is not null")
     languages = sorted(r["lang"] for r in known.select("lang").distinct().collect())
-    apart = F.pmod(F.xxhash64(F.col("doc_id"), F.lit("apart")), F.lit(APART)) == 0
-    own = F.struct("doc_id", "held_out", F.when(~F.col("held_out") & apart, F.col("lang")).alias("told"))
-    grams = taught(known.filter(~apart), languages) if languages else None
+    own = F.struct("doc_id", "held_out", F.when(~F.col("held_out"), F.col("lang")).alias("told"), fold().alias("fold"))
+    grams = taught(known, languages) if languages else None
     if grams is None or grams.isEmpty():
         none = F.lit(None).cast("double")
         return docs.select("doc_id", "held_out", F.lit(UNKNOWN).alias("lang_pred"), none.alias("bits"), F.lit(0.0).alias("score"), F.lit(True).alias("rejected"))
-    found = entropies(docs.select(own.alias("own"), "text"), grams, languages, max_grams)
+    k, models = len(languages), [*languages, *(f"{x}\0{f}" for f in range(FOLDS) for x in languages)]
+    found = entropies(docs.select(own.alias("own"), "text"), grams, models, max_cells // len(models))
+    found = found.withColumns({"all": F.col("sums"), "sums": F.slice("sums", 1, k)})
     best = F.array_max("sums")
     names = F.array(*(F.lit(x) for x in languages))
     odds = F.aggregate("sums", F.lit(0.0), lambda a, x: a + F.pow(F.lit(2.0), (x - best) / F.sqrt("n")))
-    some = F.col("n") > 0
-    found = found.select("own.*", F.when(some, F.get(names, (F.array_position("sums", best) - 1).cast("int"))).otherwise(UNKNOWN).alias("lang_pred"), F.when(some, -best / F.col("n")).alias("bits"), F.when(some, 1 / odds).otherwise(0.0).alias("score"))
-    limits = found.filter("told = lang_pred").groupBy("lang_pred").agg(F.percentile_approx("bits", reject, 10_000).alias("most")).collect()  # a row a language
+    some, place = F.col("n") > 0, (F.array_position("sums", best) - 1).cast("int")
+    apart = F.get("all", place + (1 + F.col("own.fold")) * k)  # by the model without the text's fold
+    found = found.select("own.*", F.when(some, F.get(names, place)).otherwise(UNKNOWN).alias("lang_pred"), F.when(some, -best / F.col("n")).alias("bits"), F.when(some, -apart / F.col("n")).alias("bits_apart"), F.when(some, 1 / odds).otherwise(0.0).alias("score"))
+    limits = found.filter("told = lang_pred").groupBy("lang_pred").agg(F.percentile_approx("bits_apart", reject, 10_000).alias("most")).collect()  # a row a language
     most = F.lit(None).cast("double")
     for r in limits:
         most = F.when(F.col("lang_pred") == r["lang_pred"], r["most"]).otherwise(most)
-    rejected = F.coalesce(F.col("bits") > most, F.col("lang_pred") == UNKNOWN)
+    # a text that taught is judged by the model without it, like one that didn't
+    rejected = F.coalesce(F.when(F.col("told") == F.col("lang_pred"), F.col("bits_apart")).otherwise(F.col("bits")) > most, F.col("lang_pred") == UNKNOWN)
     return found.select("doc_id", "held_out", "lang_pred", "bits", F.when(rejected, F.col("score") / 2).otherwise(F.col("score")).alias("score"), rejected.alias("rejected"))
 
 
