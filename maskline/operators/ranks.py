@@ -10,7 +10,7 @@ from pyspark.sql.window import Window
 
 from maskline.sources.tables import discard, stored
 
-BUCKETS = 1024
+BUCKETS = 8192
 #: Ranges (one for each group and rank) that may be sent to all tasks; more are joined by a shuffle, whose skewed parts Spark splits.
 BROADCAST_RANGES = 200_000
 
@@ -29,11 +29,10 @@ def nearest_ranks(df: DataFrame, by: list[str], value: str, shares: dict[str, fl
     sizes = stored(rows.groupBy(*keys).agg(F.count("*").alias("n"), F.min("_v").alias("_lo"), F.max("_v").alias("_hi")), "sizes")
     ranks = F.explode(F.array(*(F.struct(F.lit(name).alias("share"), F.greatest(F.ceil(F.lit(p) * F.col("n")), F.lit(1)).cast("long").alias("rank")) for name, p in shares.items())))
     found = sizes.select(*keys, ranks.alias("_r"), "_lo", "_hi").select(*keys, "_r.share", "_r.rank", "_lo", "_hi")
-    found = stored(found, "ranges")
     done = []
     while True:
         done.append(found.filter("_lo = _hi").select(*keys, "share", F.col("_lo").alias("_value")))
-        wide = stored(found.filter("_lo < _hi"), "ranges")
+        wide = found.filter("_lo < _hi")
         n = wide.count()
         if not n:
             break
