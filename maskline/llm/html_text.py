@@ -1,8 +1,10 @@
 """HTML extraction by minimum cut.
 
-A page becomes text blocks. A classifier's costs for calling a block content or boilerplate are its capacities to the two
-terminals; blocks that follow each other, and blocks under the same parent, are tied by smoothness edges. The minimum cut
-(maximum flow) labels all blocks of a page at once; the content side, in page order, is the main text.
+A page becomes text blocks. A classifier's costs for calling a block content or boilerplate, by its text and tag alone, are its
+capacities to the two terminals; its weights are fitted to pages whose elements tell what is what. Elements whose name, role, class
+or id speaks for or against them are nodes too, with costs of their own. Smoothness edges tie blocks that follow each other, blocks
+under the same parent, and blocks to the nearest such element around them. The minimum cut (maximum flow) labels all blocks of a
+page at once, so that blocks may overrule a mark, and a mark its blocks; the content side, in page order, is the main text.
 """
 
 from __future__ import annotations
@@ -14,26 +16,27 @@ from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from maskline.plans.session import ship
 
-TAG = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)", re.S)
+TAG = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>=]+|=\s*(?:\"[^\"]*\"|'[^']*')|=)*)(?:>|\Z)", re.S)
 ATTRIBUTE = re.compile(r"([^\s=\"'/>]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
 #: Elements whose content is raw text that is never shown.
-RAW = {"script", "style", "noscript", "template", "iframe", "svg", "math", "object", "head", "canvas", "title"}
+RAW = {"script", "style", "noscript", "template", "iframe", "svg", "annotation", "annotation-xml", "object", "head", "canvas", "title"}
 RAW_END = {x: re.compile(rf"</{x}\s*>", re.I) for x in RAW}
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"}
 #: Elements that stay inside a block; all others begin and end one.
-INLINE = set("a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label mark q rb rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
+INLINE = set("a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label mark q rb rp rt ruby s samp small span strike strong sub sup time tt u var wbr math semantics mrow mi mn mo ms mtext mspace mfrac msqrt mroot mstyle msub msup msubsup munder mover munderover mmultiscripts mpadded mphantom menclose".split())
 #: Elements that a start tag of the same kind closes.
 CLOSES = {"p": {"p"}, "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 #: An open paragraph ends where one of these starts.
 ENDS_P = set("address article aside blockquote center details div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr main menu nav ol p pre section table ul".split())
 #: Elements and roles that mark boilerplate for certain, whatever the text; words of class and id that speak for it.
-BAD_ELEMENTS = {"nav", "footer", "aside", "form", "button", "select", "textarea", "menu", "dialog", "input", "label", "fieldset"}
+BAD_ELEMENTS = {"nav", "footer", "aside", "button", "select", "textarea", "menu", "dialog", "input", "label", "fieldset"}
 BAD_ROLES = {"navigation", "banner", "contentinfo", "complementary", "search", "dialog", "alert", "alertdialog", "menu", "menubar", "form", "note"}
 BAD_WORDS = set("ad ads advert advertisement adverts advertising adsense banner breadcrumb breadcrumbs comment comments commentlist consent cookie cookies copyright disqus footer gdpr login masthead menu menus modal nav navbar navigation newsletter notice notices notification overlay pager pagination popup promo promoted related reply respond share sharing sidebar signup skip social sponsor sponsored subscribe subscription tags toolbar topbar widget widgets discussion feedback responses legal disclaimer".split())
 #: What follows one of these in a class or id says what an element has or lacks, not what it is.
@@ -43,10 +46,19 @@ GOOD_WORDS = set("article body content entry main post story text".split())
 WORDS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|\d+")
 #: Elements that say nothing by themselves.
 PLAIN = {"p", "b", "i", "em", "strong", "span", "ul", "ol", "li", "div", "table", "tr", "td", "th"}
-#: The classifier's weights (log odds): what a block's length (per power of ten), links, punctuation and marks speak for. All
-#: are finite, so that the other features, and by the cut the neighbours, can outweigh any of them.
-BIAS, LENGTH, LINKS, STOPS, COPYRIGHT = -1.2, 1.1, -4.0, 0.8, -3.0
-HEADING, PARAGRAPH, GOOD, IN_ARTICLE, BAD_WORD, BAD_ELEMENT = 1.0, 0.8, 2.0, 6.0, -5.0, -8.0
+#: The classifier's weights before fitting (log odds), by feature: one, length (powers of ten), share of links, punctuation, heading,
+#: paragraph, copyright sign.
+WEIGHTS = np.array([-1.2, 1.1, -4.0, 0.8, 1.0, 0.8, -3.0])
+#: How firmly they hold: the fitted ones are those of greatest posterior, with this precision, and each side counting as so many blocks.
+PRECISION, FIT_BLOCKS = 4.0, 100.0
+#: Pages (about) and blocks of a page and side that the weights are fitted to.
+FIT_PAGES, FIT_SIDE = 400, 32
+#: What ties a block to a marked element, and the element, for each of its blocks, to its side. All are finite.
+IN_ARTICLE, GOOD, BAD_WORD, BAD_ELEMENT = 8.0, 2.0, 5.0, 8.0
+#: An element that is called good by a name of its own, and bad by a part of another, ties by this much, and its side costs it BAD_WORD in all.
+DOUBTFUL = 2.0
+#: A form around so many blocks of so many characters, or around one in an element with a good name, wraps the page's text.
+PROSE_BLOCKS, PROSE_CHARS = 3, 80
 #: Articles of these alone are answers to the main text.
 ANSWERS = {"comment", "comments", "commentlist", "reply", "respond", "responses", "discussion", "feedback"}
 #: Smoothness: between neighbours in the page, less the farther apart in the tree; between a parent's blocks in a row.
@@ -66,6 +78,26 @@ class Node:
     suspect: bool = False
     aside: bool = False
     holds: bool = False
+    #: Good and bad names together.
+    doubtful: bool = False
+    #: What makes it bad for certain, the article or main, the form and the element that isn't inline around it (or itself).
+    bad_at: Node | None = None
+    article: Node | None = None
+    form: Node | None = None
+    home: Node | None = None
+    #: The nearest element whose words speak against it, once known.
+    against: Node | None = None
+    settled: bool = False
+    chars: int = 0
+    prose: int = 0
+    prose_chars: int = 0
+    good_prose: int = 0
+
+    def __post_init__(self) -> None:
+        up = self.parent
+        self.home = self if up is None or self.name not in INLINE else up.home
+        if up is not None:
+            self.bad_at, self.article, self.form = up.bad_at, up.article, up.form
 
 
 @dataclass
@@ -76,7 +108,7 @@ class Block:
     linked: int = 0
     aside_linked: int = 0
     bad: bool = False
-    suspect: bool = False
+    against: Node | None = None
     good: bool = False
     heading: bool = False
     text: str = ""
@@ -97,46 +129,77 @@ def node(name: str, attributes: dict[str, str], parent: Node) -> Node:
     bad = parent.bad or (not body and (name in BAD_ELEMENTS or head)) or attributes.get("role", "").lower() in BAD_ROLES or hidden(attributes)
     suspect = not body and (bool(words & BAD_WORDS) or "header" in words and not (parent.good or words & GOOD_WORDS)) or answers(name, words)
     out = Node(name, parent, parent.depth + 1, bad, good or bool(words & GOOD_WORDS), parent.link or name == "a", parent.heading or bool(re.fullmatch("h[1-6]", name)))
-    out.suspect, out.aside = suspect, name in INLINE and (suspect or parent.aside)
+    out.suspect, out.aside, out.doubtful = suspect, name in INLINE and (suspect or parent.aside), suspect and torn(attributes)
+    if bad and not parent.bad:
+        out.bad_at = out
+    if name in GOOD_ELEMENTS:
+        out.article = out
+    if name == "form":
+        out.form = out
     return out
 
 
+def names_of(attributes: dict[str, str]) -> Iterator[list[str]]:
+    """The words of each name in class and id, up to one that says what the element has or lacks."""
+    for name in " ".join(attributes.get(k, "") for k in ("class", "id")).split():
+        words = [w.lower() for w in WORDS.findall(name)]
+        yield words[: next((i for i, w in enumerate(words) if w in ABOUT), len(words))]
+
+
+def torn(attributes: dict[str, str]) -> bool:
+    """Whether one name is good throughout, and bad words stand only in names with words that say neither."""
+    names = [x for x in names_of(attributes) if x]
+    return any(set(x) <= GOOD_WORDS for x in names) and not any(set(x) & BAD_WORDS and set(x) <= BAD_WORDS | GOOD_WORDS for x in names)
+
+
 def own_words(attributes: dict[str, str]) -> set[str]:
     """The words of class and id, less those that say what the element has or lacks."""
-    out = set()
-    for name in " ".join(attributes.get(k, "") for k in ("class", "id")).split():
-        for w in WORDS.findall(name):
-            if w.lower() in ABOUT:
-                break
-            out.add(w.lower())
-    return out
+    return {w for name in names_of(attributes) for w in name}
 
 
 def answers(name: str, words: set[str]) -> bool:
     return name == "article" and bool(words & ANSWERS) and not words & GOOD_WORDS
 
 
-def judged(b: Block) -> None:
-    """Gives a block its text, and whether words of class or id speak against it.
-
-    Inline elements with such words lose their text if the block has as much besides. An element around an article or main
-    isn't judged by its words; good marks count only where no such words stand nearer to the text.
-    """
+def worded(b: Block) -> None:
+    """Gives a block its text. Inline elements with bad words lose theirs if the block has as much besides; else they speak against it."""
     rest = b.parts
     if b.asides:
         rest = [x for i, x in enumerate(b.parts) if i not in b.asides]
         if 2 * len("".join(rest).strip()) < len("".join(b.parts).strip()):
-            b.suspect, rest = True, b.parts
+            b.against, rest = b.parent, b.parts
         else:
             b.linked -= b.aside_linked
     b.text = " ".join("".join(rest).split())
-    n = b.parent
-    while n is not None:
-        if n.suspect and not n.holds:
-            b.suspect = True
-            b.good = b.good and not n.parent.good
-            break
+    form = b.parent.form
+    if form is not None and not b.bad:
+        form.chars += len(b.text)
+        if len(b.text) >= PROSE_CHARS and 2 * b.linked < len(b.text):
+            form.prose, form.prose_chars = form.prose + 1, form.prose_chars + len(b.text)
+            form.good_prose += b.good and not form.good
+
+
+def speaks(n: Node) -> bool:
+    """Whether an element's words, or its being a form, speak against it. One around an article or main isn't judged by its words,
+    and a form without such words isn't one if it wraps the page's text."""
+    if n.holds:
+        return False
+    wraps = 2 * n.prose_chars > n.chars and (n.prose >= PROSE_BLOCKS or n.good_prose > 0)
+    return n.suspect or (n.name == "form" and not wraps)
+
+
+def judged(b: Block) -> None:
+    """Finds the nearest element that speaks against a block; good marks count only where none stands nearer to the text."""
+    path, n = [], b.parent
+    while n is not None and not n.settled:
+        path.append(n)
         n = n.parent
+    for x in reversed(path):
+        x.against, x.settled = x if speaks(x) else x.parent and x.parent.against, True
+    against = b.parent.against
+    if against is not None:
+        b.against = b.against or against
+        b.good = b.good and not (against.parent.good if not against.doubtful else False)
 
 
 def blocks_of(page: str) -> list[Block]:
@@ -156,8 +219,7 @@ def blocks_of(page: str) -> list[Block]:
         if block is None:
             if raw.isspace():
                 return
-            holder = next(n for n in reversed(stack) if n.name not in INLINE)
-            block = Block(holder)
+            block = Block(top.home)
             out.append(block)
         if top.bad and not block.parent.bad:
             return  # an inline element that is boilerplate for certain
@@ -201,14 +263,14 @@ def blocks_of(page: str) -> list[Block]:
             continue
         if name in VOID:
             continue
-        if name in ENDS_P:
+        if name in ENDS_P and opened["p"]:
             for i in range(len(stack) - 1, 0, -1):
                 if stack[i].name == "p":
                     close(i)
                     break
                 if stack[i].name not in INLINE:
                     break
-        if name in CLOSES:
+        if name in CLOSES and any(opened[x] for x in CLOSES[name]):
             for i in range(len(stack) - 1, 0, -1):
                 if stack[i].name in CLOSES[name]:
                     close(i)
@@ -219,31 +281,38 @@ def blocks_of(page: str) -> list[Block]:
         stack.append(node(name, attributes, stack[-1]))
         opened[name] += 1
         if name in GOOD_ELEMENTS and not stack[-1].suspect:
-            for n in stack[:-1]:
+            for n in reversed(stack[:-1] if not stack[-2].holds else []):
+                if n.holds:
+                    break
                 n.holds = True
+    for b in out:
+        worded(b)
     for b in out:
         judged(b)
     return [b for b in out if b.text]
 
 
-def content_odds(b: Block) -> float:
-    """The classifier: log odds that a block is content, by where it stands, its length, links and punctuation."""
-    text = b.text
-    n, links = len(text), min(1.0, b.linked / max(1, len(text)))
-    score = BIAS + LENGTH * math.log10(max(n, 1)) + LINKS * links + STOPS * min(3, len(re.findall(r"[.!?,;:…]", text))) / 3
-    score += HEADING * b.heading + GOOD * b.good + PARAGRAPH * (b.parent.name in ("p", "blockquote", "pre")) + COPYRIGHT * ("©" in text)
-    score += BAD_WORD * b.suspect + BAD_ELEMENT * b.bad
-    if b.good and b.parent.good and not (b.suspect or b.bad) and any_article(b.parent):
-        score += IN_ARTICLE
-    return score
+def features(b: Block) -> list[float]:
+    """What the classifier sees of a block: its text and tag, no marks."""
+    n = len(b.text)
+    stops = min(3, len(re.findall(r"[.!?,;:…]", b.text))) / 3
+    return [1.0, math.log10(max(n, 1)), min(1.0, b.linked / max(1, n)), stops, float(b.heading), float(b.parent.name in ("p", "blockquote", "pre")), float("©" in b.text)]
 
 
-def any_article(n: Node | None) -> bool:
-    while n is not None:
-        if n.name in GOOD_ELEMENTS:
-            return True
-        n = n.parent
-    return False
+def content_odds(b: Block, weights: np.ndarray = WEIGHTS) -> float:
+    """The classifier: log odds that a block is content."""
+    return float(weights @ features(b))
+
+
+def mark(b: Block) -> tuple[Node, float] | None:
+    """The marked element that a block is tied to, and how much for (positive) or against content."""
+    if b.bad:
+        return b.parent.bad_at or b.parent, -BAD_ELEMENT
+    if b.against is not None:
+        return b.against, -(DOUBTFUL if b.against.doubtful else BAD_WORD - GOOD * b.good)
+    if b.good and b.parent.good and b.parent.article is not None:
+        return b.parent.article, IN_ARTICLE
+    return (b.parent, GOOD) if b.good else None
 
 
 def distance(a: Node, b: Node) -> int:
@@ -330,25 +399,83 @@ def smoothness(found: list[Block]) -> list[tuple[int, int, float]]:
     return edges
 
 
-def main_text(page: str | None) -> str:
+def labelled(found: list[Block], odds: list[float]) -> list[bool]:
+    """Which blocks the minimum cut of a page leaves on the content side."""
+    odds, edges, place = list(odds), smoothness(found), {}
+    for i, b in enumerate(found):
+        if tie := mark(b):
+            element, by = tie
+            if (key := (id(element), by > 0)) not in place:
+                place[key] = len(odds)
+                odds.append(-BAD_WORD if element.doubtful and by < 0 else 0.0)
+            at = place[key]
+            odds[at] += 0.0 if element.doubtful and by < 0 else by
+            edges.append((at, i, abs(by)))
+    return cut(odds, edges)[: len(found)]
+
+
+def main_text(page: str | None, weights: np.ndarray = WEIGHTS) -> str:
     """The main text of a page: '' if there is none."""
     found = blocks_of(page or "")
-    labels = cut([content_odds(b) for b in found], smoothness(found))
+    labels = labelled(found, [content_odds(b, weights) for b in found])
     return "\n\n".join(b.text for b, yes in zip(found, labels) if yes)
 
 
+def lessons(page: str) -> list[tuple[list[float], bool]]:
+    """Features and side of blocks whose elements settle it: in an article or main without a mark against them, or in a nav, footer
+    or the like, or under words against them outside of any article. At most FIT_SIDE of each, evenly taken."""
+    sides = ([], [])
+    for b in blocks_of(page):
+        if b.bad or b.against is not None or b.parent.article is not None:
+            sides[not (b.bad or b.against is not None)].append(b)
+    return [(features(b), bool(side)) for side in (0, 1) for b in sides[side][:: max(1, -(-len(sides[side]) // FIT_SIDE))]]
+
+
+def fitted(rows: list[tuple[list[float], bool]]) -> np.ndarray:
+    """Weights of greatest posterior (Newton's method), both sides counting alike; without one of the sides: WEIGHTS."""
+    x, y = np.array([r[0] for r in rows]).reshape(-1, len(WEIGHTS)), np.array([r[1] for r in rows], float)
+    if not 0 < y.sum() < len(y):
+        return WEIGHTS
+    count = np.where(y > 0, FIT_BLOCKS / y.sum(), FIT_BLOCKS / (len(y) - y.sum()))
+    w = WEIGHTS.copy()
+    for _ in range(50):
+        p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
+        step = np.linalg.solve((x * (count * p * (1 - p))[:, None]).T @ x + PRECISION * np.eye(len(w)), x.T @ (count * (p - y)) + PRECISION * (w - WEIGHTS))
+        w = w - step
+        if np.abs(step).max() < 1e-9:
+            break
+    return w
+
+
+def fit(pages: DataFrame) -> np.ndarray:
+    """The classifier's weights for a table: of about FIT_PAGES pages, told by a hash of their id and address, the lessons."""
+    n = pages.count()
+
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            rows = [r for page in b["html"].to_pylist() for r in lessons(page or "")]
+            yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.list_(pa.float64())), pa.array([r[1] for r in rows], pa.bool_())], ["x", "y"])
+
+    chosen = pages.filter(F.expr(f"pmod(xxhash64(page_id, url), {max(1, n // FIT_PAGES)}) = 0"))
+    rows = chosen.mapInArrow(each, "x array<double>, y boolean").limit(4 * FIT_PAGES * FIT_SIDE).collect()
+    return fitted(sorted((r["x"], r["y"]) for r in rows))
+
+
 def extract(pages: DataFrame) -> DataFrame:
     """pages (page_id, url, html) -> page_id, url, text, n_chars. Null or empty html, or none of content: text ''.
 
-    Rows are taken one by one, so repeated rows and page_ids each give a row; other columns are left aside."""
+    Rows are taken one by one, so repeated rows and page_ids each give a row; other columns are left aside. An empty table, or one
+    without pages whose elements tell, keeps the weights that stand here."""
+    ship(pages.sparkSession)
+    pages = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html"))
+    weights = fit(pages)
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            texts = [main_text(x) for x in b["html"].to_pylist()]
+            texts = [main_text(x, weights) for x in b["html"].to_pylist()]
             yield pa.RecordBatch.from_arrays([b["page_id"], b["url"], pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], ["page_id", "url", "text", "n_chars"])
 
-    ship(pages.sparkSession)
-    return pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html")).mapInArrow(each, "page_id long, url string, text string, n_chars long")
+    return pages.mapInArrow(each, "page_id long, url string, text string, n_chars long")
 
 
 def op3_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -100,3 +100,53 @@ def test_deep_pages_take_linear_time():
     began = time.time()
     assert html_text.main_text("<div>" * 20000 + "x" + "</p>" * 20000) == html_text.main_text("<div>x</div>")
     assert time.time() - began < 10
+
+
+def test_forms_around_articles_and_mixed_names():
+    body, want = f"<p>{LONG}</p>" * 4, "\n\n".join([LONG] * 4)
+    for page in (
+        f'<body><form id="aspnetForm"><nav><a href=x>Home</a></nav><div class="content">{body}</div></form></body>',
+        f"<body><form><article>{body}</article></form></body>",
+        f"<body><form method=post><div>{body}</div><input name=q><button>Go</button></form></body>",
+        f'<body><div class="post social-science">{body}</div></body>',
+    ):
+        assert main_text(page) == want, page
+    for form in ("<form><p>Get our letter every week.</p><label>Mail</label><button>Go</button></form>", f'<form class="signup">{body}</form>', f'<div class="post-comments">{body}</div>', f'<div class="post sidebar">{body}</div>'):
+        assert main_text(f'<body><article class="post">{body}{form}</article></body>') == want, form
+
+
+def test_formulas_stay_and_open_quotes_are_no_text():
+    assert main_text(f"<article><p>{LONG} <math><mi>x</mi><mo>=</mo><mn>2</mn></math> holds.</p></article>") == f"{LONG} x=2 holds."
+    assert main_text(f'<article><p>{LONG} <a href="x>world</a> on.</p></article>') == f"{LONG} world on."
+    assert main_text(f'<article><p title="a > b">{LONG} <b class="q"">So</b> on.</p></article>') == f"{LONG} So on."
+
+
+def test_fitted_weights_and_the_cut_on_pages_not_fitted_to():
+    """The truth is the page's own source: what stands between <article> and </article>; the pages judged bear no marks."""
+    pages = pq.read_table("/root/testdata/sf0.1/pages.parquet")["html"].to_pylist()
+    weights = html_text.fitted([r for p in pages[:300] for r in html_text.lessons(p)])
+    alone = with_cut = turned = turned_as_given = n = 0
+    for page in pages[300:600]:
+        lo, hi = (len(html_text.blocks_of(bare(page[: page.index(x)]))) for x in ("<article>", "</article>"))
+        for shown in (page, bare(page)):
+            found = html_text.blocks_of(shown)
+            odds = [html_text.content_odds(b, weights) for b in found]
+            labels = html_text.labelled(found, odds)
+            if shown is page:
+                assert labels == [lo <= i < hi for i in range(len(found))]
+                turned_as_given += sum((x > 0) != y for x, y in zip(odds, labels))
+            else:
+                for i, (x, y) in enumerate(zip(odds, labels)):
+                    n, alone, with_cut, turned = n + 1, alone + ((x > 0) == (lo <= i < hi)), with_cut + (y == (lo <= i < hi)), turned + ((x > 0) != y)
+    assert turned > 0 and turned_as_given > 0 and with_cut > alone and with_cut > 0.99 * n
+
+
+def test_weights_without_lessons_stay():
+    assert (html_text.fitted([]) == html_text.WEIGHTS).all() and (html_text.fitted([([1.0] * 7, True)]) == html_text.WEIGHTS).all()
+
+
+def test_many_nested_blocks_take_linear_time():
+    began = time.time()
+    for page in ("<div>x y z <p>" * 20000, "<article>a b c<p>d" * 20000, "<article>" + "<p>one, two.</p>" * 20000, "<div class=sidebar><b>x<p>" * 20000):
+        html_text.main_text(page)
+    assert time.time() - began < 30
