@@ -9,7 +9,7 @@ from pyspark.sql.window import Window
 from maskline.functions import patterns as P
 from maskline.functions.scalars import flat
 from maskline.operators import discover, egress, facets, images, quality, redact, regions, runs
-from maskline.plans.registry import ORACLES, QUERIES, query, sql_text, table
+from maskline.plans.registry import ORACLES, QUERIES, RE2_WHITE, greedy_sql, query, re2, sql_text, table, walk_sql
 from maskline.sources import io
 from maskline.sources.tables import spread
 
@@ -73,12 +73,36 @@ def text_ranges(spark, d):
     return discover.scan_text_ranges(planted(spark, d), ["doc_id"])
 
 
-@query()
+def has(text: str, pattern: str, ignore_case: bool = False) -> str:
+    return f"regexp_matches({text}, {sql_text(re2(pattern))}{", 'i'" if ignore_case else ''})"
+
+
+def keyword_sql(label: str) -> str:
+    words = f"lower(trim(regexp_replace(regexp_replace(regexp_replace({label}, '([a-z0-9])([A-Z])', '\\1 \\2', 'g'), '[_\\-.]+', ' ', 'g'), '[{RE2_WHITE}]+', ' ', 'g')))"
+    return has(words, r"\b(?:" + "|".join(k.replace("-", r"\-") for k in P.KEYWORDS) + r")\b")
+
+
+#: Whether a text holds a phone number: what may not stand around one is consumed, as RE2 has no look-around.
+PHONE_SOMEWHERE = r"(?:^|[^\d.₹$€£¥,])\+?\d[\d\s\-().]{7,}\d(?:[^\d%]|$)"
+DIGITS_SQL = "translate(t, '" + "".join(chr(ord(b) + i) for b in P.DIGIT_BLOCKS for i in range(10)) + "', '" + "0123456789" * len(P.DIGIT_BLOCKS) + "')"
+CHROME_SQL = f"lower(trim(regexp_replace(regexp_replace(regexp_replace(text, '[\\x{{200B}}-\\x{{200D}}\\x{{FEFF}}\\x{{200E}}\\x{{200F}}\\x{{00A0}}\\x{{202A}}-\\x{{202E}}]', ' ', 'g'), '[•·|—–-]+', ' ', 'g'), '[{RE2_WHITE}]+', ' ', 'g')))"
+FLAGS_SQL = " OR ".join([*(has("d", PHONE_SOMEWHERE if p == P.PHONE else p) for p in discover.FLAGS), *(has("d", p, True) for p in discover.NO_CASE_FLAGS), has("t", P.ROLE_NAME), has("t", P.NAME_WITH_ID)])
+LABELS_SQL = f"regexp_extract_all(t, {sql_text(re2(P.KEY_VALUE))}, 1)"
+CAPTIONS_SQL = ", ".join(sql_text(x) for x in P.CHROME)
+
+
+@query(f"""WITH p AS (SELECT source, coalesce(text, '') AS t, {CHROME_SQL} AS c FROM documents), q AS (SELECT *, {DIGITS_SQL} AS d FROM p),
+f AS (SELECT source, NOT coalesce(c IN ({CAPTIONS_SQL}) OR regexp_matches(c, '^\\d+ unread(?: messages?)?$') OR starts_with(c, 'not a contact'), false) AND ({FLAGS_SQL} OR len(list_filter({LABELS_SQL}, lambda x: {keyword_sql('x')})) > 0) AS has_pii FROM q)
+SELECT source, has_pii, count(*) AS n FROM f GROUP BY ALL""")
 def flagged_documents(spark, d):
     return discover.has_pii(table(spark, d, "documents")).groupBy("source", "has_pii").agg(F.count("*").alias("n"))
 
 
-@query()
+TRIM_SQL = f"'^[{RE2_WHITE}]+|[{RE2_WHITE}]+$', '', 'g'"
+
+
+@query(f"""WITH p AS (SELECT doc_id, coalesce(text, '') AS t FROM documents), f AS (SELECT doc_id, unnest({LABELS_SQL}) AS l, unnest(regexp_extract_all(t, {sql_text(re2(P.KEY_VALUE))}, 2)) AS v FROM p),
+g AS (SELECT doc_id, regexp_replace(l, {TRIM_SQL}) AS label, regexp_replace(v, {TRIM_SQL}) AS value FROM f) SELECT * FROM g WHERE length(label) > 0 AND length(value) >= 2 AND {keyword_sql('label')}""")
 def key_values(spark, d):
     return discover.scan_key_values(table(spark, d, "documents"), ["doc_id"])
 
@@ -241,17 +265,37 @@ def overlapping_boxes(spark, d):
     return pairs.select("scan_id", "a_id", "b_id", "shared", F.round("iou", 9).alias("iou"), F.round("covered", 9).alias("covered"))
 
 
-@query()
+WALKED_SQL = f"(SELECT scan_id, ord, x::BIGINT AS x, y::BIGINT AS y, w::BIGINT AS w, h::BIGINT AS h, source, disc AS score, (disc * 10)::DOUBLE AS confidence, line = 7 AS circular FROM {BOXES_SQL})"
+SIDES = dict.fromkeys("xywh", "BIGINT")
+#: Shared area and IoU of a row's box with that of a kept one.
+SHARED_SQL = "(greatest(least({k}.x + {k}.w, x + w) - greatest({k}.x, x), 0) * greatest(least({k}.y + {k}.h, y + h) - greatest({k}.y, y), 0))"
+KEPT_SHARED = SHARED_SQL.format(k="k")
+KEPT_IOU = f"({KEPT_SHARED} / ({{k}}.w * {{k}}.h + w * h - {KEPT_SHARED}))".format(k="k")
+MATCH_SQL = f"""(abs(k.x - x) <= 6 AND abs(k.y - y) <= 6 AND abs(k.w - w) <= 8 AND abs(k.h - h) <= 8) OR {KEPT_IOU} >= 0.5 OR {KEPT_SHARED} > 0.55::DOUBLE * (k.w * k.h) OR {KEPT_SHARED} > 0.55::DOUBLE * (w * h)
+OR (k.circular AND ({KEPT_IOU} > 0.10::DOUBLE OR (x + w / 2 BETWEEN k.x - 4 AND k.x + k.w + 4 AND y + h / 2 BETWEEN k.y - 4 AND k.y + k.h + 4)))"""
+MERGED_SQL = """{'x': CASE WHEN k.circular THEN k.x ELSE least(k.x, x) END, 'y': CASE WHEN k.circular THEN k.y ELSE least(k.y, y) END, 'w': CASE WHEN k.circular THEN k.w ELSE greatest(k.x + k.w, x + w) - least(k.x, x) END,
+'h': CASE WHEN k.circular THEN k.h ELSE greatest(k.y + k.h, y + h) - least(k.y, y) END, 'confidence': greatest(k.confidence, confidence), 'circular': k.circular OR circular, 'sources': CASE WHEN list_contains(k.sources, source) THEN k.sources ELSE list_append(k.sources, source) END, 'ord': k.ord}"""
+OWN_SQL = "{'x': x, 'y': y, 'w': w, 'h': h, 'confidence': confidence, 'circular': circular, 'sources': [source], 'ord': ord}"
+FIRST_SQL = f"list_position(list_transform(kept, lambda k: {MATCH_SQL}), true)"
+RANK_SQL = "CASE source " + " ".join(f"WHEN '{k}' THEN {v}" for k, v in regions.SOURCE_ORDER.items()) + " ELSE 9 END"
+MERGE_WALK = walk_sql(
+    WALKED_SQL, "scan_id", f"{RANK_SQL}, ord", "STRUCT(x BIGINT, y BIGINT, w BIGINT, h BIGINT, confidence DOUBLE, circular BOOLEAN, sources VARCHAR[], ord INT)",
+    f"CASE WHEN coalesce({FIRST_SQL}, 0) = 0 THEN list_append(kept, {OWN_SQL}) ELSE list_transform(kept, lambda k, j: CASE WHEN j = {FIRST_SQL} THEN {MERGED_SQL} ELSE k END) END, true",
+)
+
+
+@query(f"WITH RECURSIVE {MERGE_WALK}, e AS (SELECT scan_id, unnest(arg_max(kept, i)) AS r FROM s GROUP BY scan_id) SELECT scan_id, r.x::INT AS x, r.y::INT AS y, r.w::INT AS w, r.h::INT AS h, r.confidence AS confidence, array_to_string(r.sources, ',') AS sources, r.circular AS circular, r.ord AS ord FROM e")
 def merged_regions(spark, d):
-    return regions.merge_regions(boxes(spark, d).withColumn("confidence", F.col("disc") * 10).withColumn("circular", F.col("line") == 7))
+    out = regions.merge_regions(boxes(spark, d).withColumn("confidence", F.col("disc") * 10).withColumn("circular", F.col("line") == 7))
+    return out.withColumn("sources", F.array_join("sources", ","))
 
 
-@query()
+@query(f"WITH RECURSIVE {greedy_sql(WALKED_SQL, 'scan_id', 'score DESC NULLS LAST, ord', SIDES, f'{KEPT_IOU} > 0.3::DOUBLE')} SELECT scan_id, ord, x::INT AS x, y::INT AS y, w::INT AS w, h::INT AS h, score FROM b JOIN s USING (scan_id, i) WHERE taken")
 def suppressed_boxes(spark, d):
     return regions.nms(boxes(spark, d).withColumn("score", F.col("disc")))
 
 
-@query()
+@query(f"WITH RECURSIVE {greedy_sql(WALKED_SQL, 'scan_id', 'ord', SIDES, 'abs(k.x - x) <= 10 AND abs(k.y - y) <= 10')} SELECT scan_id, ord, x::INT AS x, y::INT AS y, w::INT AS w, h::INT AS h FROM b JOIN s USING (scan_id, i) WHERE taken")
 def near_duplicates_dropped(spark, d):
     return regions.dedupe_near(boxes(spark, d), 10)
 
@@ -289,7 +333,11 @@ def region_classes(spark, d):
     return regions.classify_regions(b).groupBy("class").agg(F.count("*").alias("n"))
 
 
-@query()
+@query(f"""WITH b AS MATERIALIZED (FROM {BOXES_SQL}), c AS (SELECT t.scan_id, t.ord, greatest(t.x, p.x) AS x0, least(t.x + t.w, p.x + p.w) AS x1, greatest(t.y, p.y) AS y0, least(t.y + t.h, p.y + p.h) AS y1 FROM b t JOIN b p ON t.scan_id = p.scan_id AND t.line = 1 AND p.line > 1),
+l AS (SELECT scan_id, ord, x0, x1, unnest(range(y0, y1)) AS y FROM c WHERE x1 > x0 AND y1 > y0),
+m AS (SELECT *, max(x1) OVER (PARTITION BY scan_id, ord, y ORDER BY x0, x1 ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS reach FROM l),
+a AS (SELECT scan_id, ord, sum(greatest(x1 - greatest(x0, coalesce(reach, x0)), 0)) AS n FROM m GROUP BY ALL)
+SELECT b.scan_id, ord AS truth_id, coalesce(n / (w * h), 0)::DOUBLE AS covered FROM b LEFT JOIN a USING (scan_id, ord) WHERE line = 1""")
 def union_coverage(spark, d):
     t, p = truth_and_predictions(spark, d)
     return regions.union_coverage(t.withColumn("truth_id", F.col("ord")), p)
@@ -370,9 +418,14 @@ def image_edges(spark, d):
     return images.edge_residual(pixels(spark, d)).select("image_id", F.round("edges", 6).alias("edges"))
 
 
-@query()
+ENTROPY_SQL = ORACLES["image_entropy"].replace("round(-sum(n / 64 * log2(n / 64)), 6)", "-sum(n / 64 * log2(n / 64))")
+EDGES_SQL = ORACLES["image_edges"].replace("round(avg(abs(4 * v - l - r - u - d)), 6)", "avg(abs(4 * v - l - r - u - d))")
+
+
+@query(f"""WITH e AS (SELECT image_id, entropy, edges FROM ({ENTROPY_SQL}) JOIN ({EDGES_SQL}) USING (image_id)), r AS (SELECT *, greatest(round(100 - (17.5::DOUBLE * entropy + 0.4::DOUBLE * edges), 1), 0) AS resistance, entropy < 0.0001 AND edges < 0.0001 AS zero_information FROM e)
+SELECT image_id, round(entropy, 6) AS entropy, round(edges, 6) AS edges, resistance, zero_information, CASE WHEN zero_information THEN 'irrecoverable' WHEN resistance >= 60 THEN 'strong' ELSE 'weak' END AS verdict FROM r""")
 def image_resistance(spark, d):
-    return images.irrecoverability(pixels(spark, d))
+    return images.irrecoverability(pixels(spark, d)).withColumns({c: F.round(c, 6) for c in ("entropy", "edges")})
 
 
 def image_boxes(spark: SparkSession, d: str) -> DataFrame:
@@ -386,14 +439,21 @@ def box_statistics(spark, d):
     return s.select("image_id", "box_id", "n", F.round("dark_share", 6).alias("dark_share"), F.round("mean", 6).alias("mean"), F.round("variance", 4).alias("variance"))
 
 
-@query()
+@query(f"""WITH p AS (SELECT *, {LUMA_SQL} AS v FROM {PIXELS_SQL}), b AS (SELECT vec_id AS image_id, k AS box_id, k * 3 AS bx FROM embeddings, range(2) t(k)),
+i AS (SELECT image_id, box_id, x, r, v, row_number() OVER (PARTITION BY image_id, box_id ORDER BY v, x, y) - 1 AS place, count(*) OVER (PARTITION BY image_id, box_id) AS n FROM p JOIN b USING (image_id) WHERE x >= bx AND x < bx + 4 AND y BETWEEN 1 AND 5),
+g AS (SELECT image_id, box_id, v AS back FROM i WHERE place = n // 2), k AS (SELECT image_id, box_id, count(*) AS n_ink, count(*) FILTER (WHERE x >= 4 OR r <= 8) AS n_same FROM i JOIN g USING (image_id, box_id) WHERE abs(v - back) > 35 GROUP BY ALL)
+SELECT image_id, box_id::INT AS box_id, coalesce(n_ink, 0) AS n_ink, coalesce(n_same, 0) AS n_same, coalesce(n_ink >= 20 AND n_same > 0.02 * n_ink, false) AS leaked FROM b LEFT JOIN k USING (image_id, box_id)""")
 def surviving_ink(spark, d):
     p = pixels(spark, d)
     dark = p.withColumns({c: F.when(F.col("x") < 4, 0).otherwise(F.col(c)) for c in "rgb"})
     return images.ink_survival(p, dark, image_boxes(spark, d))
 
 
-@query()
+@query(f"""WITH RECURSIVE p AS MATERIALIZED (SELECT image_id, x, y, y * 8 + x AS own FROM {PIXELS_SQL} WHERE {LUMA_SQL} - 100 > 18 AND {LUMA_SQL} < 235),
+r AS (SELECT image_id, x, y, own AS label FROM p UNION SELECT p.image_id, p.x, p.y, r.label FROM r JOIN p ON p.image_id = r.image_id AND abs(p.x - r.x) <= 1 AND abs(p.y - r.y) <= 1 AND r.label < p.own),
+m AS (SELECT image_id, x, y, min(label) AS label FROM r GROUP BY ALL), c AS (SELECT image_id, label, count(*) AS n, min(x) AS x0, min(y) AS y0, max(x) AS x1, max(y) AS y1 FROM m GROUP BY ALL),
+k AS (SELECT *, (x1 - x0 + 1) * 16 AS w, (y1 - y0 + 1) * 16 AS h FROM c WHERE n BETWEEN 4 AND 150)
+SELECT image_id, label // 8 AS first_y, label % 8 AS first_x, n, x0, y0, x1, y1, CASE WHEN w / h BETWEEN 0.75 AND 1.35 AND w BETWEEN 32 AND 220 THEN 'avatar' WHEN w / h > 2.5 AND h <= 60 THEN 'strip' ELSE 'media' END AS kind FROM k""")
 def patch_clusters(spark, d):
     stats = images.patch_stats(pixels(spark, d), 1).select("image_id", "px", "py", (F.col("luminance") - 100).alias("energy"), "luminance")
     return regions.cluster_patches(stats)
@@ -402,16 +462,27 @@ def patch_clusters(spark, d):
 # --- quality ---
 
 
-@query()
+def matches_sql(lines: int) -> str:
+    """CTEs o (boxes), b and s (a walk over the pairs of truth with predictions of lines above that) and m: the matches."""
+    pairs = """(SELECT *, shared / aa AS covered, shared / (aa + ba - shared) AS iou FROM (SELECT a.scan_id, a.ord AS a_id, b.ord AS b_id, greatest(least(a.x + a.w, b.x + b.w) - greatest(a.x, b.x), 0)::BIGINT * greatest(least(a.y + a.h, b.y + b.h) - greatest(a.y, b.y), 0) AS shared, a.w * a.h AS aa, b.w * b.h AS ba
+FROM o a JOIN o b ON a.scan_id = b.scan_id AND a.line = 1 AND b.line > """ + f"{lines}))"
+    walk = greedy_sql(pairs, "scan_id", "covered DESC, iou DESC, a_id, b_id", {"a_id": "INT", "b_id": "INT"}, "k.a_id = a_id OR k.b_id = b_id", "WHERE covered >= 0.5")
+    return f"WITH RECURSIVE o AS MATERIALIZED (FROM {BOXES_SQL}), {walk}, m AS MATERIALIZED (SELECT scan_id, a_id, b_id, covered, iou FROM b JOIN s USING (scan_id, i) WHERE taken)"
+
+
+@query(f"{matches_sql(1)} SELECT scan_id, a_id, b_id, round(covered, 9) AS covered, round(iou, 9) AS iou FROM m")
 def matched_detections(spark, d):
-    t, p = truth_and_predictions(spark, d)
-    return quality.match_detections(t, p)
+    return quality.match_detections(*truth_and_predictions(spark, d)).withColumns({c: F.round(c, 9) for c in ("covered", "iou")})
 
 
-@query()
+@query(f"""{matches_sql(2)}, n AS (SELECT scan_id, count(*) FILTER (WHERE line = 1) AS n_truth, count(*) FILTER (WHERE line > 2) AS n_pred FROM o GROUP BY ALL HAVING count(*) FILTER (WHERE line <> 2) > 0),
+t AS (SELECT scan_id, count(*) AS tp, round(avg(iou), 9) AS mean_iou FROM m GROUP BY ALL),
+f AS (SELECT scan_id, ord, x, y, w, h FROM o WHERE line > 2 AND NOT EXISTS (SELECT 1 FROM m WHERE m.scan_id = o.scan_id AND b_id = ord)),
+g AS (SELECT f.scan_id, count(DISTINCT f.ord) AS harmful FROM o a JOIN f ON a.scan_id = f.scan_id AND a.line = 2 WHERE greatest(least(a.x + a.w, f.x + f.w) - greatest(a.x, f.x), 0)::BIGINT * greatest(least(a.y + a.h, f.y + f.h) - greatest(a.y, f.y), 0) >= 0.5 * (a.w * a.h) GROUP BY ALL)
+SELECT scan_id, n_truth, n_pred, coalesce(tp, 0) AS tp, mean_iou, coalesce(harmful, 0) AS harmful, coalesce(tp, 0) / nullif(n_truth, 0) AS recall, coalesce(tp, 0) / nullif(coalesce(tp, 0) + coalesce(harmful, 0), 0) AS precision FROM n LEFT JOIN t USING (scan_id) LEFT JOIN g USING (scan_id)""")
 def detection_rates(spark, d):
     t, p = truth_and_predictions(spark, d)
-    return quality.detection_quality(t, p.filter("line > 2"), p.filter("line = 2"))
+    return quality.detection_quality(t, p.filter("line > 2"), p.filter("line = 2")).withColumn("mean_iou", F.round("mean_iou", 9))
 
 
 @query(f"{PAIRS_SQL}, s AS (SELECT scan_id, a_id, list_sort(list_distinct(list(source))) AS s FROM j WHERE shared / aa >= 0.5 GROUP BY ALL), t AS (SELECT coalesce(s, []) AS s FROM b LEFT JOIN s ON s.scan_id = b.scan_id AND s.a_id = b.ord WHERE line = 1) SELECT count(*) FILTER (WHERE list_contains(s, 'dom')) AS dom, count(*) FILTER (WHERE list_contains(s, 'vision_ocr')) AS ocr, count(*) FILTER (WHERE list_contains(s, 'vision_face')) AS face, count(*) FILTER (WHERE s = ['vision_ocr']) AS only_ocr, count(*) FILTER (WHERE s = ['vision_face']) AS only_face, count(*) FILTER (WHERE len(s) = 0) AS uncovered FROM t")
