@@ -63,16 +63,6 @@ def checksummed(spark, d):
     return discover.scan_checksummed(planted(spark, d), ["doc_id"]).select("doc_id", "kind", "value", "checksum_valid")
 
 
-@query()
-def screen_findings(spark, d):
-    return discover.scan_pii(planted(spark, d), ["doc_id"]).select("doc_id", "kind", "value", "start", "length")
-
-
-@query()
-def text_ranges(spark, d):
-    return discover.scan_text_ranges(planted(spark, d), ["doc_id"])
-
-
 def has(text: str, pattern: str, ignore_case: bool = False) -> str:
     return f"regexp_matches({text}, {sql_text(re2(pattern))}{", 'i'" if ignore_case else ''})"
 
@@ -89,6 +79,50 @@ CHROME_SQL = f"lower(trim(regexp_replace(regexp_replace(regexp_replace(text, '[\
 FLAGS_SQL = " OR ".join([*(has("d", PHONE_SOMEWHERE if p == P.PHONE else p) for p in discover.FLAGS), *(has("d", p, True) for p in discover.NO_CASE_FLAGS), has("t", P.ROLE_NAME), has("t", P.NAME_WITH_ID)])
 LABELS_SQL = f"regexp_extract_all(t, {sql_text(re2(P.KEY_VALUE))}, 1)"
 CAPTIONS_SQL = ", ".join(sql_text(x) for x in P.CHROME)
+TRIM_SQL = f"'^[{RE2_WHITE}]+|[{RE2_WHITE}]+$', '', 'g'"
+
+#: A phone number with what may not stand around it consumed; room_sql() parts numbers that follow each other by a mark.
+PHONE_PARTS = r"(^|[^\d.₹$€£¥,])(\+?\d[\d\s\-().]{7,}\d)([^\d%]|$)"
+
+
+def room_sql(text: str) -> str:
+    other = re2(r"[^\d\s\-().+%₹$€£¥,]")
+    return f"regexp_replace(regexp_replace({text}, '{re2(r'([\s()-])')}\\+', '\\1' || chr(3) || '+', 'g'), '{other}', '\\0' || chr(3), 'g')"
+
+
+def places_sql(patterns: list[P.Pattern], rows: str, least: int) -> str:
+    """doc_id, rank, kind, value, start, length of all hits in t: the pieces between marks are text and hit in turn."""
+    parts = []
+    for rank, p in enumerate(patterns):
+        phone = p.regex == P.PHONE
+        regex, text = (PHONE_PARTS, room_sql("t")) if phone else (p.regex, "t")
+        marked = "'\\1' || chr(1) || '\\2' || chr(2) || '\\2' || chr(1) || '\\3'" if phone else f"chr(1) || '\\0' || chr(2) || '\\{p.group}' || chr(1)"
+        flags = "'gi'" if p.ignore_case else "'g'"
+        parts.append(f"SELECT doc_id, {rank} AS rank, {sql_text(p.kind)} AS kind, {p.group if not phone else 0} AS part, string_split(regexp_replace({text}, {sql_text(re2(regex))}, {marked}, {flags}), chr(1)) AS pieces FROM {rows} WHERE {has(text, regex, p.ignore_case)}")
+    return f"""(SELECT doc_id, rank, kind, value, before + CASE WHEN part > 0 THEN greatest(strpos(hit, value) - 1, 0) ELSE 0 END AS start, length(value) AS length FROM (
+SELECT *, split_part(piece, chr(2), 1) AS hit, CASE WHEN contains(piece, chr(2)) THEN split_part(piece, chr(2), 2) ELSE piece END AS value, coalesce(sum(length(split_part(piece, chr(2), 1))) OVER (PARTITION BY doc_id, rank ORDER BY j ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS before
+FROM (SELECT doc_id, rank, kind, part, unnest(list_transform(pieces, lambda x: replace(x, chr(3), ''))) AS piece, generate_subscripts(pieces, 1) AS j FROM ({" UNION ALL ".join(parts)}))) WHERE j % 2 = 0 AND length(value) >= {least})"""
+
+
+LOOSE_SQL = "(contains(value, '.') OR regexp_matches(value, '[a-zA-Z]'))"
+GUARD_SQL = f"""NOT CASE kind WHEN 'phone' THEN {LOOSE_SQL} OR length(regexp_replace(value, '[^0-9]', '', 'g')) < 9 WHEN 'card' THEN {LOOSE_SQL} OR length(regexp_replace(value, '[^0-9]', '', 'g')) < 13
+WHEN 'labelled_value' THEN len(regexp_split_to_array(trim(value), '[{RE2_WHITE}]+')) > 4 OR regexp_matches(trim(value), '[.?!]$') OR {has("trim(value)", P.NOT_A_VALUE, True)} ELSE false END"""
+CLAIMS_SQL = greedy_sql(f"(SELECT * FROM {places_sql(P.SCREEN, 'texts', 4)} WHERE {GUARD_SQL})", "doc_id", "rank, start", {"start": "BIGINT", "length": "BIGINT"}, "greatest(k.start, start) < least(k.start + k.length, start + length)")
+
+
+@query(f"WITH RECURSIVE whole AS MATERIALIZED (SELECT doc_id, text AS t FROM {PLANTED}), texts AS MATERIALIZED (SELECT doc_id, {DIGITS_SQL} AS t FROM whole), {CLAIMS_SQL} SELECT doc_id, kind, substr(t, start + 1, length) AS value, start, length FROM b JOIN s USING (doc_id, i) JOIN whole USING (doc_id) WHERE taken")
+def screen_findings(spark, d):
+    return discover.scan_pii(planted(spark, d), ["doc_id"]).select("doc_id", "kind", "value", "start", "length")
+
+
+PAIRS_IN_TEXT = places_sql([P.Pattern("labelled_value", "LABELLED_VALUE", "pii", P.KEY_VALUE, 2)], "texts", 1)
+
+
+@query(f"""WITH texts AS MATERIALIZED (SELECT doc_id, text AS t FROM {PLANTED}), l AS (SELECT doc_id, unnest(x) AS l, generate_subscripts(x, 1) AS i FROM (SELECT doc_id, {LABELS_SQL} AS x FROM texts)),
+v AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY start) AS i FROM {PAIRS_IN_TEXT}), n AS (SELECT doc_id, regexp_replace(l, {TRIM_SQL}) AS label, regexp_replace(value, {TRIM_SQL}) AS value, start FROM l JOIN v USING (doc_id, i))
+SELECT doc_id, kind, value, start, length FROM {places_sql(P.TEXT_RANGES, 'texts', 3)} WHERE {GUARD_SQL} UNION ALL SELECT doc_id, left(lower(label), 30), value, start, length(value) FROM n WHERE length(label) > 0 AND length(value) >= 2 AND {keyword_sql('label')}""")
+def text_ranges(spark, d):
+    return discover.scan_text_ranges(planted(spark, d), ["doc_id"])
 
 
 @query(f"""WITH p AS (SELECT source, coalesce(text, '') AS t, {CHROME_SQL} AS c FROM documents), q AS (SELECT *, {DIGITS_SQL} AS d FROM p),
@@ -98,9 +132,6 @@ def flagged_documents(spark, d):
     return discover.has_pii(table(spark, d, "documents")).groupBy("source", "has_pii").agg(F.count("*").alias("n"))
 
 
-TRIM_SQL = f"'^[{RE2_WHITE}]+|[{RE2_WHITE}]+$', '', 'g'"
-
-
 @query(f"""WITH p AS (SELECT doc_id, coalesce(text, '') AS t FROM documents), f AS (SELECT doc_id, unnest({LABELS_SQL}) AS l, unnest(regexp_extract_all(t, {sql_text(re2(P.KEY_VALUE))}, 2)) AS v FROM p),
 g AS (SELECT doc_id, regexp_replace(l, {TRIM_SQL}) AS label, regexp_replace(v, {TRIM_SQL}) AS value FROM f) SELECT * FROM g WHERE length(label) > 0 AND length(value) >= 2 AND {keyword_sql('label')}""")
 def key_values(spark, d):
