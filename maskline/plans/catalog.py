@@ -169,12 +169,23 @@ def masked_previews(spark, d):
     return rows.groupBy("doc_id", "kind", redact.masked(F.col("value"), F.col("category")).alias("preview")).agg(F.count("*").alias("n"))
 
 
-@query()
+SCRUBBED = PLAIN_SECRETS + P.PERSONAL
+NAMES_SQL = "[" + ", ".join(sql_text(p.token) for p in SCRUBBED) + "]"
+#: texts, the findings that claim their places (f), and a token for each different value (u).
+TOKENS_SQL = f"""WITH RECURSIVE texts AS MATERIALIZED (SELECT doc_id, text AS t FROM {PLANTED}),
+{greedy_sql(f"(SELECT * FROM {places_sql(SCRUBBED, 'texts', 3)} WHERE rank >= {len(PLAIN_SECRETS)} OR length >= 8)", "doc_id", "rank, start", {"start": "BIGINT", "length": "BIGINT"}, "greatest(k.start, start) < least(k.start + k.length, start + length)")},
+f AS MATERIALIZED (SELECT doc_id, i, value, rank < {len(PLAIN_SECRETS)} AS secret, {NAMES_SQL}[rank + 1] AS name FROM b JOIN s USING (doc_id, i) WHERE taken),
+u AS MATERIALIZED (SELECT doc_id, value, '[' || name || '_' || row_number() OVER (PARTITION BY doc_id, name ORDER BY first) || ']' AS token FROM (SELECT doc_id, name, value, min(i) AS first FROM f GROUP BY ALL))"""
+
+
+@query(f"""{TOKENS_SQL}, o AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY length(value) DESC, token, value) AS n FROM u),
+w AS (SELECT doc_id, 0::BIGINT AS n, t FROM texts UNION ALL SELECT w.doc_id, o.n, replace(w.t, o.value, o.token) FROM w JOIN o ON o.doc_id = w.doc_id AND o.n = w.n + 1)
+SELECT doc_id, arg_max(t, n) AS clean_text, coalesce(any_value(n_secrets), 0) AS n_secrets, coalesce(any_value(n_pii), 0) AS n_pii FROM w LEFT JOIN (SELECT doc_id, count(*) FILTER (WHERE secret) AS n_secrets, count(*) FILTER (WHERE NOT secret) AS n_pii FROM f GROUP BY ALL) USING (doc_id) GROUP BY doc_id""")
 def scrubbed_documents(spark, d):
     return redact.scrub(planted(spark, d), "doc_id").drop("tokens")
 
 
-@query()
+@query(f"{TOKENS_SQL} SELECT doc_id, token, value FROM u")
 def token_table(spark, d):
     return redact.redact_documents(planted(spark, d))[1]
 
