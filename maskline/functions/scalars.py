@@ -110,16 +110,20 @@ def parse_price(c: ColumnLike) -> Column:
     return F.regexp_replace(F.regexp_extract(col(c), r"(\d[\d,]*(?:\.\d+)?)", 1), ",", "").try_cast("double")
 
 
+# --- fixed values: a rating, and the wait that a provider states ---
+RATING = r"(?i)\b([0-4](?:\.\d)?|5(?:\.0)?)(?=\s*(?:/\s*5|★|stars?|out of 5|$|\s))"
+RETRY = r"(?i)try again in\s+(?:(\d+)m)?\s*([\d.]+)s"
+
+
 def parse_rating(c: ColumnLike) -> Column:
     """A number of 0 to 5 that stands alone or before stars; null if there is none."""
-    x = F.regexp_extract(col(c), r"(?i)\b([0-4](?:\.\d)?|5(?:\.0)?)(?=\s*(?:/\s*5|★|stars?|out of 5|$|\s))", 1)
+    x = F.regexp_extract(col(c), RATING, 1)
     return x.try_cast("double")
 
 
 def retry_after_seconds(c: ColumnLike) -> Column:
     """The wait that a provider's message states, plus 5 s, at most 1800; null if it states none."""
-    m = F.regexp_extract(col(c), r"(?i)try again in\s+(?:(\d+)m)?\s*([\d.]+)s", 1)
-    s = F.regexp_extract(col(c), r"(?i)try again in\s+(?:(\d+)m)?\s*([\d.]+)s", 2)
+    m, s = (F.regexp_extract(col(c), RETRY, i) for i in (1, 2))
     return F.when(s != "", F.least(F.lit(1800.0), F.coalesce(m.try_cast("double"), F.lit(0.0)) * 60 + s.try_cast("double") + 5))
 
 
@@ -127,18 +131,33 @@ def _digit_source() -> str:
     return "".join(chr(ord(b) + i) for b in P.DIGIT_BLOCKS for i in range(10))
 
 
+_CAPTION = f"lower(trim(regexp_replace(regexp_replace(regexp_replace(s, r'[\\u200B-\\u200D\\uFEFF\\u200E\\u200F\\u00A0\\u202A-\\u202E]', ' '), r'[•·|—–-]+', ' '), r'[{P.WHITE}]+', ' ')))"
+_WORDS = r"filter(split(lower(trim(s)), r'\s+'), w -> length(w) > 2)"
+_SHARED = "(greatest(least(ax + aw, bx + bw) - greatest(ax, bx), 0) * greatest(least(ay + ah, by + bh) - greatest(ay, by), 0))"
+
 #: name -> result type and body over s, for SQL.
 SQL = {
     "luhn_valid": ("BOOLEAN", "length(regexp_replace(s, '[^0-9]', '')) BETWEEN 13 AND 19 AND aggregate(transform(split(reverse(regexp_replace(s, '[^0-9]', '')), ''), (c, i) -> CASE WHEN i % 2 = 0 THEN int(c) WHEN 2 * int(c) > 9 THEN 2 * int(c) - 9 ELSE 2 * int(c) END), 0, (a, x) -> a + x) % 10 = 0"),
     "verhoeff_valid": ("BOOLEAN", f"length(regexp_replace(s, '[^0-9]', '')) >= 2 AND aggregate(transform(split(reverse(regexp_replace(s, '[^0-9]', '')), ''), (c, i) -> struct(int(c) AS x, i AS i)), 0, (a, p) -> int(substr('{flat(P.VERHOEFF_D)}', a * 10 + int(substr('{flat(P.VERHOEFF_P)}', (p.i % 8) * 10 + p.x + 1, 1)) + 1, 1))) = 0"),
     "normalize_digits": ("STRING", f"translate(s, '{_digit_source()}', '{'0123456789' * len(P.DIGIT_BLOCKS)}')"),
     "fold_ocr_digits": ("STRING", f"translate(s, '{''.join(P.OCR_DIGITS)}', '{''.join(P.OCR_DIGITS.values())}')"),
-    "keyword_form": ("STRING", "lower(trim(regexp_replace(regexp_replace(regexp_replace(s, '([a-z0-9])([A-Z])', '$1 $2'), '[_.-]+', ' '), ' +', ' ')))"),
+    "keyword_form": ("STRING", f"lower(trim(regexp_replace(regexp_replace(regexp_replace(s, '([a-z0-9])([A-Z])', '$1 $2'), '[_.-]+', ' '), r'[{P.WHITE}]+', ' ')))"),
+    "is_app_chrome": ("BOOLEAN", f"coalesce({_CAPTION} IN ({', '.join(repr(x) for x in P.CHROME)}) OR {_CAPTION} RLIKE r'^\\d+ unread(?: messages?)?$' OR startswith({_CAPTION}, 'not a contact'), false)"),
+    "parse_rating": ("DOUBLE", rf"try_cast(regexp_extract(s, r'{RATING}', 1) AS DOUBLE)"),
+    "retry_after_seconds": ("DOUBLE", f"CASE WHEN regexp_extract(s, r'{RETRY}', 2) <> '' THEN least(1800D, coalesce(try_cast(regexp_extract(s, r'{RETRY}', 1) AS DOUBLE), 0D) * 60 + try_cast(regexp_extract(s, r'{RETRY}', 2) AS DOUBLE) + 5) END"),
     "parse_price": ("DOUBLE", "try_cast(replace(regexp_extract(s, '([0-9][0-9,]*([.][0-9]+)?)', 1), ',', '') AS DOUBLE)"),
 }
 
+TWO_BOXES = ", ".join(f"{b}{c} DOUBLE" for b in "ab" for c in "xywh")
+#: Those of more than one text: name -> parameters, result type and body.
+SQL_OF_MORE = {
+    "text_similarity": ("s STRING, element STRING", "DOUBLE", f"CASE WHEN coalesce(length(s), 0) = 0 OR coalesce(length(element), 0) = 0 THEN 0D WHEN contains(lower(trim(element)), lower(trim(s))) THEN 1D WHEN contains(lower(trim(s)), lower(trim(element))) AND length(trim(element)) > 3 THEN 0.8D ELSE coalesce(size(filter({_WORDS}, w -> contains(lower(trim(element)), w))) / nullif(size({_WORDS}), 0), 0D) END"),
+    "box_iou": (TWO_BOXES, "DOUBLE", f"CASE WHEN aw * ah + bw * bh - {_SHARED} > 0 THEN {_SHARED} / (aw * ah + bw * bh - {_SHARED}) ELSE 0D END"),
+    "box_coverage": (TWO_BOXES, "DOUBLE", f"CASE WHEN aw * ah > 0 THEN {_SHARED} / (aw * ah) ELSE 0D END"),
+}
+
 
 def register(spark: SparkSession) -> None:
     """Makes the functions temporary SQL functions; the optimizer puts their bodies in place."""
-    for name, (kind, body) in SQL.items():
-        spark.sql(f"CREATE OR REPLACE TEMPORARY FUNCTION {name}(s STRING) RETURNS {kind} RETURN {body}")
+    for name, (parameters, kind, body) in ({k: ("s STRING", *v) for k, v in SQL.items()} | SQL_OF_MORE).items():
+        spark.sql(f"CREATE OR REPLACE TEMPORARY FUNCTION {name}({parameters}) RETURNS {kind} RETURN {body}")

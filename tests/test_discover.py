@@ -160,3 +160,24 @@ def test_text_ranges_key_values_and_flags(spark):
     assert not {r["id"] for r in ranges} & {2, 4, 5, 10, 11, 12}
     flags = {r["id"]: r["has_pii"] for r in discover.has_pii(df).collect()}
     assert flags[1] and flags[3] and flags[6] and flags[0] and not flags[2] and not flags[10] and not flags[11] and not flags[12]
+
+
+def test_sql_functions_equal_the_column_forms(spark):
+    """Every SQL function against its column form, over odd texts, nulls and boxes without area."""
+    S.register(spark)
+    texts = ["", " ", None, "WhatsApp", "12 unread messages", "• Settings —", "not a contact of yours", "plain text", "userId_name.first\u00a0x", "firstName\u2003LastName", "4.5 out of 5", "5/5", "6 stars", "₹1,299.50 off", "no price",
+             "Please try again in 3m 12.5s", "try again in 40s", "Try again in 99m 1s", "4111 1111 1111 1111", "2345 6789 0123", "१२३ Il0O", "x0B in a text", "blue running shoes"]
+    one_text = {"luhn_valid": S.luhn_valid, "verhoeff_valid": S.verhoeff_valid, "normalize_digits": S.normalize_digits, "fold_ocr_digits": S.fold_ocr_digits, "keyword_form": S.keyword_form, "is_app_chrome": S.is_app_chrome, "parse_price": S.parse_price, "parse_rating": S.parse_rating, "retry_after_seconds": S.retry_after_seconds}
+    assert set(one_text) == set(S.SQL)
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    for r in df.select("t", *(F.struct(F.expr(f"{n}(t)").alias("sql"), f("t").alias("col")).alias(n) for n, f in one_text.items())).collect():
+        assert all(r[n]["sql"] == r[n]["col"] for n in one_text), r
+    pairs = df.crossJoin(df.withColumnRenamed("t", "e")).select("t", "e", F.expr("text_similarity(t, e)").alias("sql"), S.text_similarity("t", "e").alias("col"))
+    assert all(r["sql"] == r["col"] for r in pairs.collect())
+    rng = random.Random(3)
+    boxes = [tuple(float(rng.randint(0, 9)) for _ in range(8)) for _ in range(200)]
+    names = [f"{b}{c}" for b in "ab" for c in "xywh"]
+    box = lambda b: F.struct(*(F.col(f"{b}{c}").alias(c) for c in "xywh"))
+    df = spark.createDataFrame(boxes, ", ".join(f"{n} double" for n in names))
+    for r in df.select(F.expr(f"box_iou({', '.join(names)})").alias("i"), S.iou(box("a"), box("b")).alias("j"), F.expr(f"box_coverage({', '.join(names)})").alias("c"), S.coverage(box("a"), box("b")).alias("d")).collect():
+        assert r["i"] == pytest.approx(r["j"]) and r["c"] == pytest.approx(r["d"])
