@@ -7,6 +7,7 @@ reordered passages count. A pair is a leak if the tiles cover at least COVERAGE
 
 from __future__ import annotations
 
+import heapq
 import re
 from collections import defaultdict
 from collections.abc import Iterator
@@ -38,7 +39,8 @@ def seed_hashes(h: np.ndarray, lengths: list[int]) -> np.ndarray:
 
 
 def tiles(item: np.ndarray, doc: np.ndarray, least: int) -> list[tuple[int, int, int]]:
-    """(start in item, start in doc, length) of the tiles, in the order they are marked."""
+    """(start in item, start in doc, length) of the tiles, in the order they are marked: the longest match that is free goes first; of
+    equally long ones the first in doc, then in item. What a tile cuts of a match stays in the running with its free parts."""
     out, mine, its = [], np.zeros(len(item), bool), np.zeros(len(doc), bool)
 
     def free(marked: np.ndarray, s: int) -> np.ndarray:
@@ -67,13 +69,18 @@ def tiles(item: np.ndarray, doc: np.ndarray, least: int) -> list[tuple[int, int,
         if longest > 2 * size:
             size = longest
             continue
-        for n in sorted(found, reverse=True):
-            for i, j in found[n]:
-                if not (mine[i : i + n].any() or its[j : j + n].any()):
-                    mine[i : i + n] = its[j : j + n] = True
-                    out.append((i, j, n))
-        if found:
-            continue  # what was cut short may still hold matches of this size
+        heap = [(-n, j, i) for n, places in found.items() for i, j in places]
+        heapq.heapify(heap)
+        while heap:
+            n, j, i = heapq.heappop(heap)
+            taken = np.r_[-1, np.flatnonzero(mine[i : i - n] | its[j : j - n]), -n]
+            if len(taken) == 2:
+                mine[i : i - n] = its[j : j - n] = True
+                out.append((i, j, -n))
+                continue
+            for lo, hi in zip((taken[:-1] + 1).tolist(), taken[1:].tolist()):
+                if hi - lo >= size:
+                    heapq.heappush(heap, (lo - hi, j + lo, i + lo))
         if size == least:
             return out
         size = size // 2 if size > 2 * least else least
