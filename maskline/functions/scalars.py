@@ -68,11 +68,16 @@ def keyword_form(c: ColumnLike) -> Column:
     return F.lower(F.trim(F.regexp_replace(F.regexp_replace(x, "[_\\-.]+", " "), f"[{P.WHITE}]+", " ")))
 
 
+#: What a caption begins with: others need no normalizing.
+_BLANK = f"[\\u200B-\\u200D\\uFEFF\\u200E\\u200F\\u00A0\\u202A-\\u202E•·|—–{P.WHITE}-]"
+CAPTION_START = rf"(?iu)\A{_BLANK}*(?:{'|'.join(dict.fromkeys(x.split()[0] for x in P.CHROME))}|\d+{_BLANK}+unread)"
+
+
 def is_app_chrome(c: ColumnLike) -> Column:
     """Whether a text is a caption of the application itself. Null: false."""
     x = F.regexp_replace(col(c), "[\\u200B-\\u200D\\uFEFF\\u200E\\u200F\\u00A0\\u202A-\\u202E]", " ")
     x = F.lower(F.trim(F.regexp_replace(F.regexp_replace(x, "[•·|—–-]+", " "), f"[{P.WHITE}]+", " ")))
-    return F.coalesce(x.isin(P.CHROME) | x.rlike(r"^\d+ unread(?: messages?)?$") | x.startswith("not a contact"), F.lit(False))
+    return F.coalesce(F.when(col(c).rlike(CAPTION_START), x.isin(P.CHROME) | x.rlike(r"^\d+ unread(?: messages?)?$") | x.startswith("not a contact")), F.lit(False))
 
 
 def overlap_area(a: Column, b: Column) -> Column:

@@ -2,55 +2,26 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from maskline.functions import patterns as P
 from maskline.functions import scalars as S
+from maskline.functions import scan as X
+from maskline.plans.session import ship
 
-FINDING = "struct<rank:int,kind:string,token:string,category:string,value:string,start:int,length:int>"
-
-#: What marks a hit's ends, and parts it from its value; in a text they count as another control character.
-HIT, VALUE = "\u0001", "\u0002"
-
-
-def places(text: Column, p: P.Pattern, rank: int, least: int) -> Column:
-    """All hits of a pattern in a text, as FINDING structs: start counts code points from 0.
-
-    One pass of the pattern puts marks around each hit, and before its value; pieces between marks are text and hit in turn.
-    """
-    plain = F.translate(text, HIT + VALUE, "\u0003\u0003")
-    pieces = F.split(F.regexp_replace(plain, p.java, f"{HIT}$0{VALUE}${p.group}{HIT}"), HIT)
-    start = F.struct(F.lit(0).alias("end"), F.lit(False).alias("inside"), F.array().cast(f"array<{FINDING}>").alias("out"))
-
-    def step(acc: Column, piece: Column) -> Column:
-        hit, value = F.substring_index(piece, VALUE, 1), F.substring_index(piece, VALUE, -1)
-        inner = F.greatest(F.instr(hit, value) - 1, F.lit(0)) if p.group else F.lit(0)
-        found = F.struct(F.lit(rank).alias("rank"), F.lit(p.kind).alias("kind"), F.lit(p.token).alias("token"), F.lit(p.category).alias("category"), value.alias("value"), (acc["end"] + inner).cast("int").alias("start"), F.length(value).alias("length"))
-        out = F.when(acc["inside"] & (F.length(value) >= least), F.array_append(acc["out"], found)).otherwise(acc["out"])
-        return F.struct((acc["end"] + F.length(hit)).alias("end"), (~acc["inside"]).alias("inside"), out.alias("out"))
-
-    return F.when(text.rlike(p.hint), F.aggregate(pieces, start, step, lambda acc: acc["out"])).otherwise(F.array().cast(f"array<{FINDING}>"))
+FINDING = X.FINDING
 
 
-def first_claims(found: Column) -> Column:
-    """Findings, in order, less those that overlap an earlier one."""
-    empty = F.array().cast(f"array<{FINDING}>")
+def with_findings(df: DataFrame, text: str, patterns: list[P.Pattern], least: int, out: str = "findings", normalize: bool = False, keep: Callable | None = None, claims: bool = False) -> DataFrame:
+    """df with an array of all findings of the patterns, in their order; start counts code points from 0. Null text: none.
 
-    def step(acc: Column, f: Column) -> Column:
-        taken = F.exists(acc, lambda a: F.greatest(a["start"], f["start"]) < F.least(a["start"] + a["length"], f["start"] + f["length"]))
-        return F.when(taken, acc).otherwise(F.array_append(acc, f))
-
-    return F.aggregate(found, empty, step)
-
-
-def with_findings(df: DataFrame, text: str, patterns: list[P.Pattern], least: int, out: str = "findings", normalize: bool = False) -> DataFrame:
-    """df with an array of all findings of the patterns, in their order. Null text: none."""
-    haystack = F.coalesce(F.col(text), F.lit(""))
-    df = df.withColumn("_hay", S.normalize_digits(haystack) if normalize else haystack)
-    found = F.flatten(F.array(*(places(F.col("_hay"), p, i, least) for i, p in enumerate(patterns))))
-    return df.withColumn(out, found).drop("_hay")
+    keep: which of them count; claims: less those that overlap an earlier one. A task looks through each text once (functions.scan)."""
+    ship(df.sparkSession)
+    return df.withColumn(out, X.found(F.col(text), patterns, least, normalize, keep, claims))
 
 
 def exploded(df: DataFrame, keys: list[str], col: str = "findings") -> DataFrame:
@@ -58,24 +29,12 @@ def exploded(df: DataFrame, keys: list[str], col: str = "findings") -> DataFrame
     return df.select(*keys, F.inline_outer(col)).filter("kind is not null")
 
 
-def screen_guard(f: Column) -> Column:
-    """Shapes that look like a phone, card or labelled value but aren't one are left out."""
-    n = F.length(S.digits(f["value"]))
-    trimmed = F.trim(f["value"])
-    loose = f["value"].contains(".") | f["value"].rlike("[a-zA-Z]")
-    words = F.size(F.split(trimmed, f"[{P.WHITE}]+"))
-    bad = F.when(f["kind"] == "phone", loose | (n < 9)).when(f["kind"] == "card", loose | (n < 13))
-    bad = bad.when(f["kind"] == "labelled_value", (words > 4) | trimmed.rlike("[.?!]$") | trimmed.rlike(P.java(P.NOT_A_VALUE, True))).otherwise(False)
-    return ~bad
-
-
 def scan_pii(df: DataFrame, keys: list[str], text: str = "text") -> DataFrame:
     """One row for each hit of the screen patterns: keys, kind, value (as written), start, length; earlier patterns claim first.
 
-    Digits of other scripts match like ASCII ones. Values shorter than 4, and what screen_guard leaves out, claim nothing.
+    Digits of other scripts match like ASCII ones. Values shorter than 4, and what only looks like a phone, card or labelled value, claim nothing.
     """
-    df = with_findings(df, text, P.SCREEN, 4, normalize=True)
-    df = df.withColumn("findings", F.filter("findings", screen_guard)).withColumn("findings", first_claims(F.col("findings")))
+    df = with_findings(df, text, P.SCREEN, 4, normalize=True, keep=X.looks_right, claims=True)
     return df.select(*keys, F.col(text).alias("_text"), F.inline_outer("findings")).filter("kind is not null").select(*keys, "rank", "kind", F.substr("_text", F.col("start") + 1, F.col("length")).alias("value"), "start", "length")
 
 
@@ -89,6 +48,11 @@ def scan_personal(df: DataFrame, keys: list[str], text: str = "text") -> DataFra
     return exploded(with_findings(df, text, P.PERSONAL, 3), keys)
 
 
+def scan_values(df: DataFrame, keys: list[str], text: str = "text") -> DataFrame:
+    """Credentials and personal data, as scan_secrets() and scan_personal() have them, in one pass over the texts."""
+    return exploded(with_findings(df, text, P.SECRETS + P.PERSONAL, 3, keep=X.long_secrets), keys)
+
+
 def scan_checksummed(df: DataFrame, keys: list[str], text: str = "text") -> DataFrame:
     """Hits with checksum_valid: cards only if Luhn holds, 12-digit numbers with the outcome of Verhoeff, others null."""
     rows = exploded(with_findings(df, text, P.CHECKED, 1), keys)
@@ -107,23 +71,19 @@ def keyword_regex() -> str:
 def has_pii(df: DataFrame, text: str = "text", out: str = "has_pii") -> DataFrame:
     """df with a flag: not a caption of the application, and a pattern, a sensitive label with a value, or a named person."""
     t = F.coalesce(F.col(text), F.lit(""))
-    probe = S.normalize_digits(t)
-    hit = F.lit(False)
-    for p in FLAGS:
-        hit |= probe.rlike(P.java(p))
-    for p in NO_CASE_FLAGS:
-        hit |= probe.rlike(P.java(p, True))
-    labels = F.regexp_extract_all(t, F.lit(P.java(P.KEY_VALUE)), F.lit(1))
-    hit |= F.exists(labels, lambda x: S.keyword_form(x).rlike(keyword_regex()))
-    hit |= t.rlike(P.java(P.ROLE_NAME)) | t.rlike(P.java(P.NAME_WITH_ID))
-    return df.withColumn(out, ~S.is_app_chrome(t) & hit)
+    ship(df.sparkSession)
+    flags = [P.Pattern("flag", "FLAG", "pii", p) for p in FLAGS] + [P.Pattern("flag", "FLAG", "pii", p, ignore_case=True) for p in NO_CASE_FLAGS]
+    names = [P.Pattern("name", "NAME", "pii", P.ROLE_NAME), P.Pattern("name", "NAME", "pii", P.NAME_WITH_ID)]
+    df = df.withColumn("_hit", X.any_hit(F.col(text), flags, names))
+    hit = F.col("_hit") | F.exists(X.pairs(F.col(text)), lambda x: S.keyword_form(x["label"]).rlike(keyword_regex()))
+    return df.withColumn(out, hit & ~S.is_app_chrome(t)).drop("_hit")
 
 
 def scan_text_ranges(df: DataFrame, keys: list[str], text: str = "text") -> DataFrame:
     """keys, kind, value, start, length of every occurrence, overlapping or not: the patterns of a page's text, names after
     roles and before numbers (3 characters at least), and values of sensitive labels (kind: the label, 30 characters at most)."""
     df = df.select(*keys, F.col(text).alias("_text"))
-    hits = exploded(with_findings(df, "_text", P.TEXT_RANGES, 3).withColumn("findings", F.filter("findings", screen_guard)), keys).select(*keys, "kind", "value", "start", "length")
+    hits = exploded(with_findings(df, "_text", P.TEXT_RANGES, 3, keep=X.looks_right), keys).select(*keys, "kind", "value", "start", "length")
     named = _key_values(df, keys, "_text").select(*keys, F.left(F.lower("label"), F.lit(30)).alias("kind"), "value", "start", F.length("value").alias("length"))
     return hits.unionByName(named)
 
@@ -134,12 +94,9 @@ def _trim(c: Column) -> Column:
 
 def _key_values(df: DataFrame, keys: list[str], text: str) -> DataFrame:
     """keys, label, value, start of `label: value` pairs, at a line's or part's start, whose label is sensitive."""
-    pair = P.Pattern("labelled_value", "LABELLED_VALUE", "pii", P.KEY_VALUE, 2)
-    t = F.coalesce(F.col(text), F.lit(""))
-    rows = df.filter(t.rlike("[:=–—]")).withColumn("_t", t)
-    pairs = F.arrays_zip(F.regexp_extract_all("_t", F.lit(pair.java), F.lit(1)).alias("label"), places(F.col("_t"), pair, 0, 1).alias("found"))
-    rows = rows.select(*keys, F.explode(pairs).alias("p"))
-    rows = rows.select(*keys, _trim(F.col("p")["label"]).alias("label"), _trim(F.col("p")["found"]["value"]).alias("value"), F.col("p")["found"]["start"].alias("start"))
+    ship(df.sparkSession)
+    rows = df.select(*keys, F.explode(X.pairs(F.col(text))).alias("p"))
+    rows = rows.select(*keys, _trim(F.col("p")["label"]).alias("label"), _trim(F.col("p")["value"]).alias("value"), F.col("p")["start"].alias("start"))
     return rows.filter((F.length("label") > 0) & (F.length("value") >= 2) & S.keyword_form("label").rlike(keyword_regex()))
 
 

@@ -7,8 +7,10 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from maskline.functions import patterns as P
+from maskline.functions import scan as X
+from maskline.plans.session import ship
 
-from .discover import first_claims, with_findings
+from .discover import with_findings
 
 
 def masked(value: Column, category: Column) -> Column:
@@ -20,9 +22,7 @@ def masked(value: Column, category: Column) -> Column:
 
 def detected(df: DataFrame, text: str) -> DataFrame:
     """df with findings: credentials before personal data, earlier patterns first, no overlaps."""
-    df = with_findings(df, text, P.SECRETS + P.PERSONAL, 3)
-    secret = F.filter("findings", lambda f: (f["category"] != "secret") | (f["length"] >= 8))
-    return df.withColumn("findings", first_claims(secret))
+    return with_findings(df, text, P.SECRETS + P.PERSONAL, 3, keep=X.long_secrets, claims=True)
 
 
 def numbered(found: DataFrame, scope: list[str], known: DataFrame | None = None) -> DataFrame:
@@ -52,16 +52,8 @@ def scrub(df: DataFrame, key: str, text: str = "text") -> DataFrame:
     A value's number is its place among the row's different values of that name. All literal occurrences are replaced,
     longer values first, so that no value is cut by a shorter one inside it. No shuffle. Null text stays null.
     """
-    df = detected(df.select(key, text), text)
-    found = F.col("findings")
-    unique = F.aggregate(found, F.array().cast("array<struct<name:string,value:string>>"), lambda acc, f: F.when(F.exists(acc, lambda a: (a["name"] == f["token"]) & (a["value"] == f["value"])), acc).otherwise(F.array_append(acc, F.struct(f["token"].alias("name"), f["value"].alias("value")))))
-    df = df.withColumn("unique", unique)
-    every = F.col("unique")
-    tokens = F.transform(every, lambda u, i: F.struct(F.concat(F.lit("["), u["name"], F.lit("_"), F.size(F.filter(F.slice(every, F.lit(1), i + 1), lambda x: x["name"] == u["name"])), F.lit("]")).alias("token"), u["value"].alias("value")))
-    df = df.withColumn("tokens", tokens)
-    longest = F.array_sort(F.transform("tokens", lambda t: F.struct((-F.length(t["value"])).alias("n"), t["token"].alias("token"), t["value"].alias("value"))))
-    count = lambda secret: F.size(F.filter(found, lambda f: (f["category"] == "secret") == F.lit(secret)))
-    return df.select(key, replace_all(F.col(text), longest, "value", "token").alias("clean_text"), count(True).alias("n_secrets"), count(False).alias("n_pii"), "tokens")
+    ship(df.sparkSession)
+    return df.select(key, X.scrub(F.col(text), P.SECRETS + P.PERSONAL).alias("_s")).select(key, "_s.*")
 
 
 def scrub_in_scope(df: DataFrame, scope: str, order: str, text: str = "text", known: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:

@@ -20,7 +20,8 @@ from pyspark.sql.window import Window
 from maskline.functions import patterns as P
 from maskline.functions import scalars as S
 from maskline.functions.groups import kept_rows
-from maskline.operators.discover import first_claims, screen_guard, with_findings
+from maskline.functions.scan import looks_right
+from maskline.operators.discover import with_findings
 from maskline.operators.regions import dedupe_near
 from maskline.sources.tables import stored
 
@@ -89,8 +90,7 @@ def claims(df: DataFrame, patterns: list[P.Pattern]) -> DataFrame:
     names = [c for c in df.columns if c != "text"]
     shown = F.explode(F.array(F.struct("text", S.normalize_digits(F.col("text")).alias("hay")))).alias("_t")
     df = df.select(*names, shown).select(*names, "_t.text", "_t.hay").filter(F.col("hay").rlike(may_hit(patterns)))
-    df = with_findings(df, "hay", patterns, 4).drop("hay")
-    return df.withColumn("findings", F.filter("findings", screen_guard)).withColumn("findings", first_claims(F.col("findings")))
+    return with_findings(df, "hay", patterns, 4, keep=looks_right, claims=True).drop("hay")
 
 
 def may_hit(patterns: list[P.Pattern]) -> str:

@@ -11,7 +11,7 @@ from maskline.functions.scalars import flat
 from maskline.operators import discover, egress, facets, images, quality, redact, regions, runs
 from maskline.plans.registry import ORACLES, QUERIES, RE2_WHITE, greedy_sql, query, re2, sql_text, table, walk_sql
 from maskline.sources import io
-from maskline.sources.tables import spread
+from maskline.sources.tables import spread, stored
 
 __all__ = ["ORACLES", "QUERIES", "flagship"]
 
@@ -129,7 +129,7 @@ def text_ranges(spark, d):
 f AS (SELECT source, NOT coalesce(c IN ({CAPTIONS_SQL}) OR regexp_matches(c, '^\\d+ unread(?: messages?)?$') OR starts_with(c, 'not a contact'), false) AND ({FLAGS_SQL} OR len(list_filter({LABELS_SQL}, lambda x: {keyword_sql('x')})) > 0) AS has_pii FROM q)
 SELECT source, has_pii, count(*) AS n FROM f GROUP BY ALL""")
 def flagged_documents(spark, d):
-    return discover.has_pii(table(spark, d, "documents")).groupBy("source", "has_pii").agg(F.count("*").alias("n"))
+    return discover.has_pii(spread(table(spark, d, "documents"))).groupBy("source", "has_pii").agg(F.count("*").alias("n"))
 
 
 @query(f"""WITH p AS (SELECT doc_id, coalesce(text, '') AS t FROM documents), f AS (SELECT doc_id, unnest({LABELS_SQL}) AS l, unnest(regexp_extract_all(t, {sql_text(re2(P.KEY_VALUE))}, 2)) AS v FROM p),
@@ -158,14 +158,13 @@ def prompt_injections(spark, d):
 
 @query(f"WITH f AS ({findings_sql(P.PERSONAL, PLANTED, 3)} UNION ALL {findings_sql(PLAIN_SECRETS, PLANTED, 8)}) SELECT source, kind, count(*) AS n, count(DISTINCT value) AS n_values, count(*) FILTER (WHERE category = 'secret') AS n_secrets FROM f GROUP BY ROLLUP (source, kind)")
 def discovery_summary(spark, d):
-    rows = discover.exploded(discover.with_findings(planted(spark, d), "text", P.PERSONAL, 3), ["source"]).unionByName(discover.exploded(discover.with_findings(planted(spark, d), "text", P.SECRETS, 8), ["source"]))
+    rows = discover.scan_values(planted(spark, d), ["source"])
     return discover.discovery_summary(rows, ["source", "kind"])
 
 
 @query(f"WITH f AS ({findings_sql(P.PERSONAL, PLANTED, 3)} UNION ALL {findings_sql(PLAIN_SECRETS, PLANTED, 8)}) SELECT doc_id, kind, CASE WHEN category = 'secret' THEN value[1:4] || '...' || right(value, 3) WHEN length(value) <= 4 THEN '***' ELSE value[1:3] || '***' || right(value, 2) END AS preview, count(*) AS n FROM f GROUP BY ALL")
 def masked_previews(spark, d):
-    p = planted(spark, d)
-    rows = discover.scan_personal(p, ["doc_id"]).unionByName(discover.scan_secrets(p, ["doc_id"]))
+    rows = discover.scan_values(planted(spark, d), ["doc_id"])
     return rows.groupBy("doc_id", "kind", redact.masked(F.col("value"), F.col("category")).alias("preview")).agg(F.count("*").alias("n"))
 
 
@@ -193,7 +192,7 @@ def token_table(spark, d):
 @query("SELECT doc_id, text FROM " + PLANTED)
 def scrub_round_trip(spark, d):
     """Scrubbed and restored: the text as it was."""
-    out = redact.scrub(planted(spark, d), "doc_id")
+    out = stored(redact.scrub(planted(spark, d), "doc_id"), "scrubbed")  # read three times
     return redact.unmask(out.select("doc_id", F.col("clean_text").alias("text")), "doc_id", "text", out.select("doc_id", F.inline_outer("tokens")).filter("token is not null"))
 
 
