@@ -17,6 +17,12 @@ def runs(df: DataFrame, keys: list[str], text: str, k: int) -> DataFrame:
     return chars.select(*keys, F.explode(F.array_distinct(run)).alias("_run"))
 
 
+def met(a: DataFrame, b: DataFrame, on: str | list[str], how: str = "inner") -> DataFrame:
+    """The join of two tables by a shuffle of both, none being sent to the driver: what runs() makes of a small file is many times as
+    large as the planner takes it for."""
+    return a.hint("merge").join(b.hint("merge"), on, how)
+
+
 def longest_run(value: Column, text: Column, least: int) -> Column:
     """Length of the longest run of value that stands in text, if it is `least` or more; else 0."""
     n = F.length(value)
@@ -46,14 +52,14 @@ def find_leaks(payloads: DataFrame, secrets: DataFrame, key: str, text: str = "t
     known = secrets.select("secret_id", v.alias("_v")).distinct().withColumn("_vd", S.digits("_v"))
     own = runs(known, ["secret_id", "_v"], "_v", least_text)
     shared = own.groupBy("_run").agg(F.count("*").alias("_n"))
-    seeds = own.join(shared, "_run").groupBy("secret_id", "_v").agg(F.min(F.struct("_n", "_run"))["_run"].alias("_run"))
-    meet = runs(pay, [key], "_t", least_text).join(seeds.select("secret_id", "_run"), "_run").select(key, "secret_id").distinct()
-    verbatim = meet.join(pay.select(key, "_t"), key).join(known.select("secret_id", "_v"), "secret_id")
+    seeds = met(own, shared, "_run").groupBy("secret_id", "_v").agg(F.min(F.struct("_n", "_run"))["_run"].alias("_run"))
+    meet = met(runs(pay, [key], "_t", least_text), seeds.select("secret_id", "_run"), "_run").select(key, "secret_id").distinct()
+    verbatim = met(met(meet, pay.select(key, "_t"), key), known.select("secret_id", "_v"), "secret_id")
     verbatim = verbatim.filter((F.length("_v") >= least_text) & F.contains("_t", "_v")).select(key, "secret_id").distinct()
-    meet = runs(pay, [key], "_d", least_digits).join(runs(known, ["secret_id"], "_vd", least_digits), "_run").select(key, "secret_id").distinct()
-    digit = meet.join(pay.select(key, "_d"), key).join(known.select("secret_id", "_vd"), "secret_id")
+    meet = met(runs(pay, [key], "_d", least_digits), runs(known, ["secret_id"], "_vd", least_digits), "_run").select(key, "secret_id").distinct()
+    digit = met(met(meet, pay.select(key, "_d"), key), known.select("secret_id", "_vd"), "secret_id")
     digit = digit.select(key, "secret_id", longest_run(F.col("_vd"), F.col("_d"), least_digits).alias("digit_run")).groupBy(key, "secret_id").agg(F.max("digit_run").alias("digit_run")).filter("digit_run > 0")
-    out = verbatim.withColumn("verbatim", F.lit(True)).join(digit, [key, "secret_id"], "full")
+    out = met(verbatim.withColumn("verbatim", F.lit(True)), digit, [key, "secret_id"], "full")
     return out.select(key, "secret_id", F.coalesce("verbatim", F.lit(False)).alias("verbatim"), F.coalesce("digit_run", F.lit(0)).alias("digit_run"))
 
 

@@ -181,3 +181,12 @@ def test_sql_functions_equal_the_column_forms(spark):
     df = spark.createDataFrame(boxes, ", ".join(f"{n} double" for n in names))
     for r in df.select(F.expr(f"box_iou({', '.join(names)})").alias("i"), S.iou(box("a"), box("b")).alias("j"), F.expr(f"box_coverage({', '.join(names)})").alias("c"), S.coverage(box("a"), box("b")).alias("d")).collect():
         assert r["i"] == pytest.approx(r["j"]) and r["c"] == pytest.approx(r["d"])
+
+
+def test_leaks_send_no_table_to_the_driver(spark):
+    """Tables of few bytes a row, which the planner takes for small, become many runs: they are joined by shuffles."""
+    pay = spark.range(100).selectExpr("id", "concat('see acct-', lpad(id * 7919, 12, '0')) AS text")
+    secrets = spark.range(100).selectExpr("id AS secret_id", "concat('acct-', lpad(id * 7919, 12, '0')) AS value")
+    out = egress.find_leaks(pay, secrets, "id")
+    assert "BroadcastExchange" not in out._jdf.queryExecution().executedPlan().toString()
+    assert out.filter("verbatim and id = secret_id").count() == 100
