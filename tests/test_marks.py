@@ -2,7 +2,7 @@
 
 import pytest
 
-from maskline.operators import marks
+from maskline.operators import facets, marks
 
 ASKED = {
     "msg": {"text": "send hello to Asha on whatsapp"},
@@ -70,3 +70,26 @@ def test_products(spark):
         if score is not None and score > 0 and score > want.get(s, (0, 0.0))[1]:
             want[s] = (i, float(score))
     assert {r["scan_id"]: (r["mark_id"], r["score"]) for r in marks.choose_products(requests, df).collect()} == want
+
+
+def test_products_of_many_alike(spark):
+    """Tasks and listings that are alike meet once, and every task still gets the best of all listings."""
+    listings = spark.range(6000).selectExpr("id AS listing_id", "concat(element_at(array('red', 'blue', 'old'), int(id % 3) + 1), ' ', element_at(array('ring', 'bolt'), int(id % 2) + 1)) AS title", "IF(id % 11 = 0, NULL, double(900 + id % 400)) AS price", "IF(id % 13 = 0, NULL, double(id % 6)) AS rating", "id % 10 = 0 AS sponsored")
+    tasks = spark.range(500).selectExpr("id AS task_id", "element_at(array('red ring', 'old bolt', 'blue x ring', 'green'), int(id % 4) + 1) AS query", "IF(id % 5 = 0, NULL, double(900 + id % 5 * 50)) AS max_price", "IF(id % 7 = 0, NULL, double(id % 7)) AS min_rating", "IF(id % 2 = 0, 'cheapest', NULL) AS pick")
+    out = facets.select_products(tasks, listings)
+    offers = [r.asDict() for r in listings.collect()]
+
+    def score(t, p):
+        n = sum(w in p["title"].split() for w in t["query"].split() if len(w) > 2)
+        s = 100 + 50 * n + (0 if t["max_price"] is None else -500 if p["price"] is not None and p["price"] > t["max_price"] else 150)
+        s += -500 if None not in (p["rating"], t["min_rating"]) and p["rating"] < t["min_rating"] else 40 * (p["rating"] or 0)
+        return n, s - 30 * p["sponsored"] - (min((300 if p["price"] is None else p["price"]) / 10, 300) if t["pick"] == "cheapest" else 0)
+
+    wanted = {}
+    for t in tasks.collect():
+        s, i = max(((x, -p["listing_id"]) for p in offers for n, x in [score(t, p)] if n), default=(0, 0))
+        if s > 0:
+            wanted[t["task_id"]] = (-i, s)
+    assert {r["task_id"]: (r["listing_id"], r["score"]) for r in out.collect()} == wanted
+    met = facets.never_behind(facets.never_behind(listings.selectExpr("*", "split(title, ' ') AS _ws", "price IS NULL AS _unpriced"), 64), None)
+    assert met.count() < 1000
