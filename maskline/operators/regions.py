@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from maskline.functions import scalars as S
-from maskline.functions.groups import each_group, kept_rows
+from maskline.functions.groups import kept_rows, lots, numbers, side_by_side
 from maskline.plans.session import ship
 
 #: Order in which the sources of a scan are merged, and the reason that a region has by default.
@@ -129,13 +129,64 @@ def _merged(b: dict[str, np.ndarray], least_iou: float, containment: bool) -> tu
     return {k: v[:n] for k, v in a.items()}, members
 
 
+def _overlaps_of_many(a: dict[str, np.ndarray], b: dict[str, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Shared area and IoU of each row of boxes of a with the row's box of b."""
+    w = np.minimum(a["x"] + a["w"], b["x"] + b["w"]) - np.maximum(a["x"], b["x"])
+    h = np.minimum(a["y"] + a["h"], b["y"] + b["h"]) - np.maximum(a["y"], b["y"])
+    shared = np.maximum(w, 0) * np.maximum(h, 0)
+    union = a["w"] * a["h"] + b["w"] * b["h"] - shared
+    return shared, np.where(union > 0, shared / np.where(union > 0, union, 1), 0.0)
+
+
+def _merged_of_many(b: dict[str, np.ndarray], first: np.ndarray, sizes: np.ndarray, least_iou: float, containment: bool) -> tuple[dict[str, np.ndarray], np.ndarray, np.ndarray]:
+    """_merged() of many scans at once: the i-th boxes of all scans are looked at together. (regions as scans by places, how many each scan has,
+    each box's place among its scan's regions). Scans stand by their sizes, so that those with an i-th box are the last ones."""
+    longest = int(sizes.max(initial=0))
+    a, n = {k: np.zeros((len(first), longest)) for k in b}, np.zeros(len(first), np.int64)
+    place = np.full(len(b["x"]), -1)
+    for i in range(longest):
+        low = int(np.searchsorted(sizes, i, "right"))
+        rows, most = first[low:] + i, int(n[low:].max(initial=0))
+        o, c = {k: v[low:, :most] for k, v in a.items()}, {k: v[rows][:, None] for k, v in b.items()}
+        shared, iou = _overlaps_of_many(o, c)
+        match = (np.abs(o["x"] - c["x"]) <= 6) & (np.abs(o["y"] - c["y"]) <= 6) & (np.abs(o["w"] - c["w"]) <= 8) & (np.abs(o["h"] - c["h"]) <= 8) | (iou >= least_iou)
+        cx, cy = c["x"] + c["w"] / 2, c["y"] + c["h"] / 2
+        inside = (cx >= o["x"] - 4) & (cx <= o["x"] + o["w"] + 4) & (cy >= o["y"] - 4) & (cy <= o["y"] + o["h"] + 4)
+        match |= (o["circular"] > 0) & ((iou > 0.10) | inside)
+        if containment:
+            area, own = o["w"] * o["h"], c["w"] * c["h"]
+            match |= (area > 0) & (shared > 0.55 * area) | (own > 0) & (shared > 0.55 * own)
+        match &= np.arange(most) < n[low:, None]
+        joins = match.any(axis=1) if most else np.zeros(len(rows), bool)
+        fresh = np.flatnonzero(~joins)
+        for k, v in a.items():
+            v[low + fresh, n[low + fresh]] = b[k][rows[fresh]]
+        place[rows[fresh]] = n[low + fresh]
+        n[low + fresh] += 1
+        old = np.flatnonzero(joins)
+        if not len(old):
+            continue
+        at, r = match[old].argmax(axis=1), rows[old]
+        place[r] = at
+        mine = {k: v[low + old, at] for k, v in a.items()}
+        grows = ~(mine["circular"] > 0)
+        x, y = np.minimum(mine["x"], b["x"][r]), np.minimum(mine["y"], b["y"][r])
+        wide = {"x": x, "y": y, "w": np.maximum(mine["x"] + mine["w"], b["x"][r] + b["w"][r]) - x, "h": np.maximum(mine["y"] + mine["h"], b["y"][r] + b["h"][r]) - y}
+        for k, v in wide.items():
+            a[k][low + old, at] = np.where(grows, v, mine[k])
+        a["confidence"][low + old, at] = np.fmax(mine["confidence"], b["confidence"][r])
+        a["circular"][low + old, at] = np.maximum(mine["circular"], b["circular"][r])
+    return a, n, place
+
+
 def merge_regions(df: DataFrame, scan: str = "scan_id", least_iou: float = 0.5, containment: bool = True) -> DataFrame:
     """Greedy union of a scan's regions, in the order of source and ord: each joins the first region that it matches.
 
     A match: nearly the same box, IoU from least_iou, over 0.55 of either box inside the other (option), or a circular
     region that overlaps. A circular region keeps its own box. df: scan, ord, x, y, w, h, source, confidence, circular.
     Returns scan, x, y, w, h, confidence (the highest), sources, circular, ord (the first). Boxes with a null side are left
-    out; null circular: false. A scan is one screen: its boxes are folded by one task, each against all regions at once.
+    out; null circular: false. A scan is one screen: its boxes are folded by one task, each against
+    all regions at once; small scans side by side.
     """
     rank = F.lit(9)
     for k, v in SOURCE_ORDER.items():
@@ -146,21 +197,33 @@ def merge_regions(df: DataFrame, scan: str = "scan_id", least_iou: float = 0.5,
     names = [scan, "x", "y", "w", "h", "confidence", "sources", "circular", "ord"]
     ship(df.sparkSession)
 
+    def table(t: pa.Table, a: dict[str, np.ndarray], of: np.ndarray, rows: np.ndarray) -> pa.Table:
+        """Regions a, of which the boxes at `rows` are parts: `of` tells which."""
+        first, sources = np.full(len(a["x"]), -1), [{} for _ in a["x"]]
+        first[of[::-1]] = rows[::-1]
+        for k, x in zip(of.tolist(), t["source"].take(pa.array(rows)).to_pylist()):
+            sources[k].setdefault(x)
+        at = pa.array(first, pa.int64())
+        values = [t[scan].combine_chunks().take(at), *(pa.array(a[c].astype(int), pa.int32()) for c in ("x", "y", "w", "h")), pa.array(a["confidence"], pa.float64(), mask=np.isnan(a["confidence"]))]
+        values += [pa.array([list(x) for x in sources], pa.list_(pa.string())), pa.array(a["circular"] > 0), t["ord"].combine_chunks().take(at)]
+        return pa.Table.from_arrays(values, names)
+
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        out, held = [], 0
-        for t in each_group(batches, scan):
-            boxes = {c: np.array(t[c].to_pylist(), float) for c in ("x", "y", "w", "h", "confidence", "circular")}
-            a, members = _merged(boxes, least_iou, containment)
-            first, sources = pa.array([m[0] for m in members], pa.int64()), t["source"].to_pylist()
-            values = [t[scan].combine_chunks().take(first), *(pa.array(a[c].astype(int), pa.int32()) for c in ("x", "y", "w", "h")), pa.array(a["confidence"], pa.float64(), mask=np.isnan(a["confidence"]))]
-            values += [pa.array([list(dict.fromkeys(sources[i] for i in m)) for m in members], pa.list_(pa.string())), pa.array(a["circular"] > 0), t["ord"].combine_chunks().take(first)]
-            out.append(pa.Table.from_arrays(values, names))
-            held += len(members)
-            if held >= 4096:
-                yield from pa.concat_tables(out).combine_chunks().to_batches()
-                out, held = [], 0
-        if out:
-            yield from pa.concat_tables(out).combine_chunks().to_batches()
+        for t, at in lots(batches, scan):
+            boxes = {c: numbers(t, c) for c in ("x", "y", "w", "h", "confidence", "circular")}
+            small, large = side_by_side(at)
+            for first, sizes in small:
+                a, n, place = _merged_of_many(boxes, first, sizes, least_iou, containment)
+                taken = np.arange(a["x"].shape[1]) < n[:, None]
+                rows = np.repeat(first, sizes) + np.arange(sizes.sum()) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+                of = np.repeat(np.cumsum(n) - n, sizes) + place[rows]  # after the regions of the scans before
+                yield from table(t, {k: v[taken] for k, v in a.items()}, of, rows).combine_chunks().to_batches(4096)
+            for g in large:
+                a, members = _merged({c: v[at[g] : at[g + 1]] for c, v in boxes.items()}, least_iou, containment)
+                of = np.empty(at[g + 1] - at[g], np.int64)
+                for k, m in enumerate(members):
+                    of[m] = k
+                yield from table(t, a, of, np.arange(at[g], at[g + 1])).combine_chunks().to_batches(4096)
 
     dealt = rows.repartition(scan).sortWithinPartitions(scan, "_rank", "ord", "x", "y", "w", "h")
     return dealt.mapInArrow(each, f"`{scan}` {kind}, x int, y int, w int, h int, confidence double, sources array<string>, circular boolean, ord int")
@@ -198,8 +261,22 @@ def nms(df: DataFrame, most_iou: float = 0.3, scan: str = "scan_id") -> DataFram
                 kept.append(i)
         return kept
 
+    def together(b: dict[str, np.ndarray], first: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+        longest = int(sizes.max(initial=0))
+        a, n, out = {k: np.zeros((len(first), longest)) for k in b}, np.zeros(len(first), np.int64), [np.zeros(0, np.int64)]
+        for i in range(longest):
+            low = int(np.searchsorted(sizes, i, "right"))
+            rows, most = first[low:] + i, int(n[low:].max(initial=0))
+            iou = _overlaps_of_many({k: v[low:, :most] for k, v in a.items()}, {k: v[rows][:, None] for k, v in b.items()})[1]
+            free = np.flatnonzero(~((iou > most_iou) & (np.arange(most) < n[low:, None])).any(axis=1))
+            for k, v in a.items():
+                v[low + free, n[low + free]] = b[k][rows[free]]
+            n[low + free] += 1
+            out.append(rows[free])
+        return np.concatenate(out)
+
     rows = df.select(scan, "ord", "x", "y", "w", "h", "score")
-    return kept_rows(rows, scan, [F.col("score").desc_nulls_last(), *(F.col(c) for c in ("ord", "x", "y", "w", "h"))], choose, ["x", "y", "w", "h"])
+    return kept_rows(rows, scan, [F.col("score").desc_nulls_last(), *(F.col(c) for c in ("ord", "x", "y", "w", "h"))], choose, ["x", "y", "w", "h"], together)
 
 
 def filter_candidates(df: DataFrame, high_recall: bool = False) -> DataFrame:

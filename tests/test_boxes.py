@@ -2,9 +2,12 @@
 
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+
+from maskline.functions import groups
 from maskline.operators import images, quality, regions
 
 BOX = "scan_id int, ord int, x int, y int, w int, h int, source string, confidence double, circular boolean, score double"
@@ -167,3 +170,22 @@ def test_ids_stay_and_differ(spark):
     ids = {(r["page_id"], r["ord"]): r["stable_id"] for r in got}
     assert len({v for k, v in ids.items() if k[0] == 1}) == 6 and ids[1, 0] == ids[2, 0] and ids[1, 1] == ids[1, 0] + 1
     assert all(1000 <= v < 1000 + regions.ID_SLOTS for v in ids.values())
+
+
+def test_scans_side_by_side():
+    """Scans of one box to 300: side by side they give what each gives alone, and only like sizes are padded to each other."""
+    r = np.random.default_rng(5)
+    sizes = np.concatenate([r.integers(1, 40, 200), [1] * 500, [256, 300, 3]])
+    at = np.concatenate([[0], np.cumsum(sizes)])
+    b = {c: r.integers(0, 150, at[-1]).astype(float) for c in "xywh"} | {"confidence": np.where(r.random(at[-1]) < 0.2, np.nan, r.random(at[-1])), "circular": (r.random(at[-1]) < 0.1).astype(float)}
+    small, large = groups.side_by_side(at)
+    assert [at[g + 1] - at[g] for g in large] == [300] and sum(len(f) for f, _ in small) == len(sizes) - 1
+    assert sum(len(f) * s.max() for f, s in small) <= 4 * at[-1]
+    for first, size in small:
+        a, n, place = regions._merged_of_many(b, first, size, 0.5, True)
+        for k, (f, s) in enumerate(zip(first.tolist(), size.tolist())):
+            one, members = regions._merged({c: v[f : f + s] for c, v in b.items()}, 0.5, True)
+            assert n[k] == len(members)
+            for c in one:
+                np.testing.assert_array_equal(a[c][k, : n[k]], one[c])
+            assert all(place[f + i] == j for j, m in enumerate(members) for i in m)
