@@ -37,3 +37,11 @@ def test_claims_of_a_text_with_many_hits():
     began = time.perf_counter()
     assert X.unclaimed(many) == many[:50_000]
     assert time.perf_counter() - began < 20
+
+
+@pytest.mark.parametrize("name", ["PERSONAL", "SCREEN", "SECRETS"])
+def test_short_texts_together(name):
+    """What many short texts hold together is what each holds alone; texts end where they end."""
+    ts = [None, "", "\x01a@b.co\x02", *texts(3000), *(x for x in PIECES)]
+    patterns = getattr(P, name)
+    assert X.chosen_of_many(ts, patterns, 4, True, X.looks_right, True) == [X.chosen(t, patterns, 4, True, X.looks_right, True) for t in ts]
