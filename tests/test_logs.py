@@ -290,3 +290,10 @@ def test_nearest_ranks(spark):
     everything = sorted(v for _, v in rows if v is not None and math.isfinite(v))
     assert tuple(nearest_ranks(df, [], "v", {"m": 0.5}).first()) == (len(everything), everything[math.ceil(len(everything) / 2) - 1])
     assert nearest_ranks(df.limit(0), ["g"], "v", shares).collect() == []
+
+
+def test_replies_are_read_once_a_form(spark):
+    df = spark.createDataFrame([("{'action': 'a'}",), (None,)], "text string")
+    out = facets.repair_json(df)
+    assert out._jdf.queryExecution().optimizedPlan().toString().count("get_json_object(") == 4
+    assert [(r["how"], r["reply"]["action"]) for r in out.collect()] == [("quotes", "a"), ("none", "done")]
