@@ -12,13 +12,12 @@ def luma() -> Column:
 
 
 def patch_stats(pixels: DataFrame, size: int = 16) -> DataFrame:
-    """image_id, px, py, mean r, g, b, luminance, energy (mean absolute deviation, summed over the channels)."""
+    """image_id, px, py, mean r, g, b, luminance, energy (mean absolute deviation, summed over the channels). One shuffle of the pixels."""
     df = pixels.withColumn("px", F.floor(F.col("x") / size)).withColumn("py", F.floor(F.col("y") / size))
     keys = ["image_id", "px", "py"]
-    means = df.groupBy(*keys).agg(*(F.avg(c).alias(f"mean_{c}") for c in "rgb"), F.avg(luma()).alias("luminance"))
+    df = df.dropna(subset=keys).withColumns({f"mean_{c}": F.avg(c).over(Window.partitionBy(*keys)) for c in "rgb"})
     off = sum((F.abs(F.col(c) - F.col(f"mean_{c}")) for c in "gb"), F.abs(F.col("r") - F.col("mean_r")))
-    energy = df.join(means, keys).groupBy(*keys).agg(F.avg(off).alias("energy"))
-    return means.join(energy, keys)
+    return df.groupBy(*keys).agg(*(F.first(f"mean_{c}").alias(f"mean_{c}") for c in "rgb"), F.avg(luma()).alias("luminance"), F.avg(off).alias("energy"))
 
 
 def entropy(pixels: DataFrame) -> DataFrame:

@@ -74,7 +74,8 @@ def clip(df: DataFrame, width: int, height: int, least: int = 4) -> DataFrame:
 def overlap_pairs(a: DataFrame, b: DataFrame, scan: str, a_id: str, b_id: str, cell: int = 64) -> DataFrame:
     """scan, a_id, b_id, shared, iou, covered (share of a) of boxes that overlap.
 
-    Boxes meet only in the grid cells that both touch, so a scan of many boxes isn't expanded into all pairs.
+    Boxes meet only in the grid cells that both touch, so a scan of many boxes isn't expanded into all pairs. cell, in pixels, changes
+    the work alone: a box is sent once for each cell that it touches, so cells should be larger than most boxes.
     """
 
     def cells(df: DataFrame, key: str, name: str) -> DataFrame:
@@ -344,30 +345,58 @@ def classify_regions(df: DataFrame, least: float = 0.65, viewport: tuple[int, in
     return out.withColumn("interactive", F.col("class").isin(*INTERACTIVE))
 
 
+def components(group: np.ndarray, x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """For each cell the first one (in the given order: by group, y, x) of those that it hangs together with over its 8 neighbours."""
+    wide = int(x.max(initial=0) - x.min(initial=0)) + 3
+    tall = int(y.max(initial=0) - y.min(initial=0)) + 3
+    key = (group * tall + y - y.min(initial=0)) * wide + x - x.min(initial=0)
+    same = np.flatnonzero(key[1:] == key[:-1])  # a cell that comes twice
+    a, b = [same], [same + 1]
+    for shift in (1, wide - 1, wide, wide + 1):
+        at = np.searchsorted(key, key + shift)
+        there = np.flatnonzero(key[np.minimum(at, len(key) - 1)] == key + shift)
+        a.append(there), b.append(at[there])
+    a, b, label = np.concatenate(a), np.concatenate(b), np.arange(len(key))
+    while len(a):
+        la, lb = label[a], label[b]
+        open_ = la != lb
+        if not open_.any():
+            break
+        a, b, la, lb = a[open_], b[open_], la[open_], lb[open_]
+        np.minimum.at(label, np.maximum(la, lb), np.minimum(la, lb))
+        while (label != (up := label[label])).any():
+            label = up
+    return label
+
+
 def cluster_patches(patches: DataFrame, image: str = "image_id", size: int = 16) -> DataFrame:
     """Connected components of busy patches (8 neighbours) of 4 to 150: image, first_y, first_x, n, x0, y0, x1, y1 (in patches), kind.
 
     patches: image, px, py, energy (above 18), luminance (between 20 and 235, those not included), each `size` pixels wide and tall.
-    avatar: about square, 32 to 220 pixels wide; strip: over 2.5 times as wide as tall, at most 60 pixels tall; else media. Labels
-    spread to the least neighbour until none changes; each round is written out. A patch meets its neighbours by an equi-join on shifted
-    cells."""
-    from maskline.sources.tables import stored
-
-    busy = patches.filter("energy > 18 and luminance > 20 and luminance < 235")
-    label = stored(busy.select(image, "px", "py", F.struct("py", "px").alias("label")), "patches")
-    shifts = F.explode(F.array(*(F.struct(F.lit(dx).alias("dx"), F.lit(dy).alias("dy")) for dx in (-1, 0, 1) for dy in (-1, 0, 1))))
-    while True:
-        spread = label.select(image, "px", "py", "label", shifts.alias("s")).select(image, (F.col("px") + F.col("s.dx")).alias("px"), (F.col("py") + F.col("s.dy")).alias("py"), F.col("label").alias("other"))
-        least = spread.groupBy(image, "px", "py").agg(F.min("other").alias("other"))
-        after = stored(label.join(least, [image, "px", "py"]).select(image, "px", "py", F.least("label", "other").alias("label")), "patches")
-        moved = after.join(label.withColumnRenamed("label", "before"), [image, "px", "py"]).filter("label <> before")
-        label, done = after, moved.isEmpty()
-        if done:
-            break
-    out = label.groupBy(image, "label").agg(F.count("*").alias("n"), F.min("px").alias("x0"), F.min("py").alias("y0"), F.max("px").alias("x1"), F.max("py").alias("y1"))
+    avatar: about square, 32 to 220 pixels wide; strip: over 2.5 times as wide as tall, at most 60 pixels tall; else media. One shuffle of
+    the busy patches: an image is one screen, its patches are labelled by one task, those of many images at once."""
+    ship(patches.sparkSession)
+    busy = patches.filter("energy > 18 and luminance > 20 and luminance < 235").select(image, "px", "py").dropna()
+    names = [image, "first_y", "first_x", "n", "x0", "y0", "x1", "y1"]
+    kinds = {f.name: f.dataType.simpleString() for f in busy.schema}
+
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for t, at in lots(batches, image):
+            x, y = (t[c].cast(pa.int64()).to_numpy() for c in ("px", "py"))
+            label, of = np.unique(components(np.repeat(np.arange(len(at) - 1), np.diff(at)), x, y), return_inverse=True)
+            order = np.argsort(of, kind="stable")
+            begins = np.searchsorted(of[order], np.arange(len(label)))
+            ends = [op.reduceat(v[order], begins) for op, v in ((np.minimum, x), (np.minimum, y), (np.maximum, x), (np.maximum, y))]
+            values = [y[label], x[label], np.diff(np.append(begins, len(of))), *ends]
+            types = [t["py"].type, t["px"].type, pa.int64(), *(t[c].type for c in ("px", "py", "px", "py"))]
+            columns = [t[image].combine_chunks().take(pa.array(label)), *(pa.array(v, pa.int64()).cast(kind) for v, kind in zip(values, types))]
+            yield from pa.Table.from_arrays(columns, names).to_batches(4096)
+
+    rows = busy.repartition(image).sortWithinPartitions(image, "py", "px")
+    out = rows.mapInArrow(each, f"`{image}` {kinds[image]}, first_y {kinds['py']}, first_x {kinds['px']}, n long, x0 {kinds['px']}, y0 {kinds['py']}, x1 {kinds['px']}, y1 {kinds['py']}")
     w, h = (F.col("x1") - F.col("x0") + 1) * size, (F.col("y1") - F.col("y0") + 1) * size
     kind = F.when((w / h).between(0.75, 1.35) & w.between(32, 220), "avatar").when((w / h > 2.5) & (h <= 60), "strip").otherwise("media")
-    return out.filter("n between 4 and 150").select(image, F.col("label.py").alias("first_y"), F.col("label.px").alias("first_x"), "n", "x0", "y0", "x1", "y1", kind.alias("kind"))
+    return out.filter("n between 4 and 150").select(*names, kind.alias("kind"))
 
 
 def classify_screens(marks: DataFrame, scans: DataFrame) -> DataFrame:
