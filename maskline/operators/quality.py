@@ -8,17 +8,18 @@ from pyspark.sql import functions as F
 
 from maskline.operators.ranks import nearest_ranks
 from maskline.functions.groups import kept_rows
+from maskline.sources.tables import stored
 
 from .regions import overlap_pairs
 
 
-def match_detections(truth: DataFrame, pred: DataFrame, scan: str = "scan_id", least: float = 0.5) -> DataFrame:
+def match_detections(truth: DataFrame, pred: DataFrame, scan: str = "scan_id", least: float = 0.5, cell: int = 64) -> DataFrame:
     """scan, a_id, b_id, covered, iou: greedy one-to-one matches of truth boxes (a) and predictions (b).
 
     Pairs that cover `least` of the truth box are taken by falling coverage, then IoU, then ids. A scan is one screen: its
-    candidate pairs are gone through by one task.
+    candidate pairs are gone through by one task. cell: see overlap_pairs().
     """
-    pairs = overlap_pairs(truth, pred, scan, "ord", "ord").filter(F.col("covered") >= least)
+    pairs = overlap_pairs(truth, pred, scan, "ord", "ord", cell).filter(F.col("covered") >= least)
 
     def choose(p: dict[str, np.ndarray]) -> list[int]:
         mine, its, kept = set(), set(), []
@@ -31,20 +32,20 @@ def match_detections(truth: DataFrame, pred: DataFrame, scan: str = "scan_id", l
     return kept_rows(rows, scan, [F.desc("covered"), F.desc("iou"), F.col("a_id"), F.col("b_id")], choose, ["a_id", "b_id"])
 
 
-def detection_quality(truth: DataFrame, pred: DataFrame, safe: DataFrame, scan: str = "scan_id") -> DataFrame:
-    """scan, n_truth, n_pred, tp, harmful (unmatched predictions over half a safe box), recall, precision, mean_iou."""
-    matches = match_detections(truth, pred, scan)
+def detection_quality(truth: DataFrame, pred: DataFrame, safe: DataFrame, scan: str = "scan_id", cell: int = 64) -> DataFrame:
+    """scan, n_truth, n_pred, tp, harmful (unmatched predictions over half a safe box), recall, precision, mean_iou. cell: see overlap_pairs()."""
+    matches = stored(match_detections(truth, pred, scan, cell=cell), "matches")  # read twice
     tp = matches.groupBy(scan).agg(F.count("*").alias("tp"), F.avg("iou").alias("mean_iou"))
     free = pred.join(matches.select(scan, F.col("b_id").alias("ord")), [scan, "ord"], "left_anti")
-    harmful = overlap_pairs(safe, free, scan, "ord", "ord").filter("covered >= 0.5").select(scan, "b_id").distinct().groupBy(scan).agg(F.count("*").alias("harmful"))
+    harmful = overlap_pairs(safe, free, scan, "ord", "ord", cell).filter("covered >= 0.5").select(scan, "b_id").distinct().groupBy(scan).agg(F.count("*").alias("harmful"))
     n = truth.groupBy(scan).agg(F.count("*").alias("n_truth")).join(pred.groupBy(scan).agg(F.count("*").alias("n_pred")), scan, "full")
     out = n.join(tp, scan, "left").join(harmful, scan, "left").fillna(0, ["n_truth", "n_pred", "tp", "harmful"])
     return out.withColumn("recall", F.try_divide("tp", "n_truth")).withColumn("precision", F.try_divide(F.col("tp"), F.col("tp") + F.col("harmful")))
 
 
-def covered_by(truth: DataFrame, pred: DataFrame, scan: str = "scan_id", least: float = 0.5) -> DataFrame:
+def covered_by(truth: DataFrame, pred: DataFrame, scan: str = "scan_id", least: float = 0.5, cell: int = 64) -> DataFrame:
     """scan, ord, sources: which sources reach each truth box."""
-    hits = overlap_pairs(truth, pred, scan, "ord", "ord").filter(F.col("covered") >= least)
+    hits = overlap_pairs(truth, pred, scan, "ord", "ord", cell).filter(F.col("covered") >= least)
     hits = hits.join(pred.select(scan, F.col("ord").alias("b_id"), "source"), [scan, "b_id"]).groupBy(scan, F.col("a_id").alias("ord")).agg(F.array_sort(F.collect_set("source")).alias("sources"))
     return truth.select(scan, "ord").join(hits, [scan, "ord"], "left").withColumn("sources", F.coalesce("sources", F.array().cast("array<string>")))
 

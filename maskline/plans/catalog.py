@@ -291,6 +291,10 @@ def boxes(spark: SparkSession, d: str) -> DataFrame:
     return li.select("scan_id", F.row_number().over(order).alias("ord"), (F.col("l_partkey") % 300).cast("int").alias("x"), (F.col("l_suppkey") * 7 % 200).cast("int").alias("y"), (20 + F.col("l_quantity").cast("int") * 3).alias("w"), (12 + F.col("l_linenumber") * 4).alias("h"), source.alias("source"), F.col("l_linenumber").alias("line"), F.col("l_discount").alias("disc"))
 
 
+#: Boxes are up to 170 pixels wide and lie within 470 x 240: in cells of this size most of them stand once.
+BOX_CELL = 256
+
+
 def truth_and_predictions(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     b = boxes(spark, d)
     return b.filter("line = 1"), b.filter("line > 1")
@@ -302,7 +306,7 @@ PAIRS_SQL = f"""WITH b AS MATERIALIZED (SELECT scan_id, ord, x, y, w, h, source,
 @query(f"{PAIRS_SQL} SELECT scan_id, a_id, b_id, shared, round(shared / (aa + ba - shared), 9) AS iou, round(shared / aa, 9) AS covered FROM j WHERE shared > 0")
 def overlapping_boxes(spark, d):
     t, p = truth_and_predictions(spark, d)
-    pairs = regions.overlap_pairs(t, p, "scan_id", "ord", "ord")
+    pairs = regions.overlap_pairs(t, p, "scan_id", "ord", "ord", BOX_CELL)
     return pairs.select("scan_id", "a_id", "b_id", "shared", F.round("iou", 9).alias("iou"), F.round("covered", 9).alias("covered"))
 
 
@@ -513,7 +517,7 @@ FROM o a JOIN o b ON a.scan_id = b.scan_id AND a.line = 1 AND b.line > """ + f"{
 
 @query(f"{matches_sql(1)} SELECT scan_id, a_id, b_id, round(covered, 9) AS covered, round(iou, 9) AS iou FROM m")
 def matched_detections(spark, d):
-    return quality.match_detections(*truth_and_predictions(spark, d)).withColumns({c: F.round(c, 9) for c in ("covered", "iou")})
+    return quality.match_detections(*truth_and_predictions(spark, d), cell=BOX_CELL).withColumns({c: F.round(c, 9) for c in ("covered", "iou")})
 
 
 @query(f"""{matches_sql(2)}, n AS (SELECT scan_id, count(*) FILTER (WHERE line = 1) AS n_truth, count(*) FILTER (WHERE line > 2) AS n_pred FROM o GROUP BY ALL HAVING count(*) FILTER (WHERE line <> 2) > 0),
@@ -522,13 +526,13 @@ f AS (SELECT scan_id, ord, x, y, w, h FROM o WHERE line > 2 AND NOT EXISTS (SELE
 g AS (SELECT f.scan_id, count(DISTINCT f.ord) AS harmful FROM o a JOIN f ON a.scan_id = f.scan_id AND a.line = 2 WHERE greatest(least(a.x + a.w, f.x + f.w) - greatest(a.x, f.x), 0)::BIGINT * greatest(least(a.y + a.h, f.y + f.h) - greatest(a.y, f.y), 0) >= 0.5 * (a.w * a.h) GROUP BY ALL)
 SELECT scan_id, n_truth, n_pred, coalesce(tp, 0) AS tp, mean_iou, coalesce(harmful, 0) AS harmful, coalesce(tp, 0) / nullif(n_truth, 0) AS recall, coalesce(tp, 0) / nullif(coalesce(tp, 0) + coalesce(harmful, 0), 0) AS precision FROM n LEFT JOIN t USING (scan_id) LEFT JOIN g USING (scan_id)""")
 def detection_rates(spark, d):
-    t, p = truth_and_predictions(spark, d)
-    return quality.detection_quality(t, p.filter("line > 2"), p.filter("line = 2")).withColumn("mean_iou", F.round("mean_iou", 9))
+    b = stored(boxes(spark, d).select("scan_id", "ord", "x", "y", "w", "h", "line"), "boxes")  # read six times
+    return quality.detection_quality(b.filter("line = 1"), b.filter("line > 2"), b.filter("line = 2"), cell=BOX_CELL).withColumn("mean_iou", F.round("mean_iou", 9))
 
 
 @query(f"{PAIRS_SQL}, s AS (SELECT scan_id, a_id, list_sort(list_distinct(list(source))) AS s FROM j WHERE shared / aa >= 0.5 GROUP BY ALL), t AS (SELECT coalesce(s, []) AS s FROM b LEFT JOIN s ON s.scan_id = b.scan_id AND s.a_id = b.ord WHERE line = 1) SELECT count(*) FILTER (WHERE list_contains(s, 'dom')) AS dom, count(*) FILTER (WHERE list_contains(s, 'vision_ocr')) AS ocr, count(*) FILTER (WHERE list_contains(s, 'vision_face')) AS face, count(*) FILTER (WHERE s = ['vision_ocr']) AS only_ocr, count(*) FILTER (WHERE s = ['vision_face']) AS only_face, count(*) FILTER (WHERE len(s) = 0) AS uncovered FROM t")
 def reached_by_source(spark, d):
-    return quality.source_counts(quality.covered_by(*truth_and_predictions(spark, d)))
+    return quality.source_counts(quality.covered_by(*truth_and_predictions(spark, d), cell=BOX_CELL))
 
 
 @query(f"WITH b AS (FROM {BOXES_SQL}), a AS (SELECT scan_id, coalesce(sum(w * h) FILTER (WHERE line = 1), 0)::BIGINT AS truth_area, coalesce(sum(w * h) FILTER (WHERE line > 1), 0)::BIGINT AS masked_area FROM b GROUP BY ALL) SELECT *, masked_area / 60000 AS share, masked_area / nullif(truth_area, 0) AS inflation FROM a")

@@ -189,3 +189,37 @@ def test_scans_side_by_side():
             for c in one:
                 np.testing.assert_array_equal(a[c][k, : n[k]], one[c])
             assert all(place[f + i] == j for j, m in enumerate(members) for i in m)
+
+
+def test_patches_of_many_images_are_labelled_as_by_a_flood(spark):
+    rng, rows, want = random.Random(8), [], set()
+    for image in range(40):
+        cells = {(rng.randint(0, 11), rng.randint(-3, 8)) for _ in range(rng.randint(0, 70))}
+        rows += [(image, x, y, 30.0, 100.0) for x, y in cells]
+        while cells:
+            part, todo = set(), [min(cells, key=lambda c: (c[1], c[0]))]
+            first = todo[0]
+            while todo:
+                x, y = todo.pop()
+                if (x, y) in cells:
+                    cells.discard((x, y)), part.add((x, y))
+                    todo += [(x + i, y + j) for i in (-1, 0, 1) for j in (-1, 0, 1)]
+            if 4 <= len(part) <= 150:
+                want.add((image, first[1], first[0], len(part), min(x for x, _ in part), min(y for _, y in part), max(x for x, _ in part), max(y for _, y in part)))
+    got = regions.cluster_patches(spark.createDataFrame(rows, "image_id int, px int, py int, energy double, luminance double"))
+    assert {tuple(r)[:8] for r in got.collect()} == want
+    assert regions.cluster_patches(spark.createDataFrame(rows, "image_id int, px int, py int, energy double, luminance double").limit(0)).collect() == []
+
+
+def test_pixels_are_shuffled_once(spark):
+    px = spark.createDataFrame([(1, x, y, x, y, 9) for x in range(4) for y in range(4)], "image_id int, x int, y int, r int, g int, b int")
+    stats = images.patch_stats(px, 2)
+    assert stats._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") == 1
+    assert {(r["px"], r["py"], r["mean_r"], r["energy"]) for r in stats.collect()} == {(i, j, 2 * i + 0.5, 1.0) for i in (0, 1) for j in (0, 1)}
+
+
+def test_cells_change_no_match(spark):
+    df = spark.createDataFrame(random_boxes(5), BOX)
+    t, p = df.filter("ord % 3 = 0"), df.filter("ord % 3 <> 0")
+    got = [sorted(map(tuple, quality.detection_quality(t, p.filter("ord % 3 = 1"), p.filter("ord % 3 = 2"), cell=c).collect()), key=repr) for c in (16, 64, 256)]
+    assert got[0] and got[0] == got[1] == got[2]
