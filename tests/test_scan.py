@@ -45,3 +45,29 @@ def test_short_texts_together(name):
     ts = [None, "", "\x01a@b.co\x02", *texts(3000), *(x for x in PIECES)]
     patterns = getattr(P, name)
     assert X.chosen_of_many(ts, patterns, 4, True, X.looks_right, True) == [X.chosen(t, patterns, 4, True, X.looks_right, True) for t in ts]
+
+
+def far_apart(n: int) -> list[str]:
+    """Texts whose pieces stand alone between long stretches without digits."""
+    r = random.Random(11)
+    blank = lambda: r.choice(["x", " ", "Zé", "—", "😀a", "\n"]) * r.choice([0, 1, 7, 8, 9, 31, 32, 33, 40, 41, 42, 43, 90])
+    return ["".join(blank() + r.choice(PIECES) * r.randint(1, 3) for _ in range(r.randint(1, 12))) + blank() for _ in range(n)]
+
+
+@pytest.mark.parametrize("name", ["PERSONAL", "SCREEN", "TEXT_RANGES", "CHECKED"])
+def test_finds_hits_that_stand_alone(name):
+    for p in getattr(P, name):
+        whole, quick = re.compile(P.java(p.regex, p.ignore_case), re.ASCII), X.searcher(p.regex, p.ignore_case, p.hint)
+        for t in far_apart(1500):
+            assert [m.span() for m in quick(t)] == [m.span() for m in whole.finditer(t)], (p.kind, t)
+
+
+def test_only_what_is_near_a_digit_is_searched():
+    """In a long text with two numbers the patterns of numbers look at a few places; the parts lie apart and hold all digits."""
+    text = "plain words " * 50_000 + "card 4111 1111 1111 1111" + " and more" * 50_000 + " ABCDE1234F"
+    assert sum(high - low for low, high in X.near_digits(text)) < 200
+    assert {x[1].kind for x in X.findings(text, P.PERSONAL, 3)} == {"card", "pan", "aadhaar"}
+    for t in far_apart(1500):
+        parts = X.near_digits(t)
+        assert all(a[1] < b[0] for a, b in zip(parts, parts[1:]))
+        assert all(any(low <= max(0, i - X.BEFORE) and i < high for low, high in parts) for i, c in enumerate(t) if c in "0123456789")
