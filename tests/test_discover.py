@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from maskline.functions import scalars as S
 from maskline.operators import discover, egress, redact
 from maskline.plans import catalog
+from maskline.sources.tables import spread
 
 
 def one(spark, text):
@@ -190,3 +191,23 @@ def test_leaks_send_no_table_to_the_driver(spark):
     out = egress.find_leaks(pay, secrets, "id")
     assert "BroadcastExchange" not in out._jdf.queryExecution().executedPlan().toString()
     assert out.filter("verbatim and id = secret_id").count() == 100
+
+
+def test_rows_of_few_files_are_dealt_out(spark, tmp_path):
+    """A file is read in many parts, but all its rows may lie in one row group, which one task reads."""
+    size = "spark.sql.files.maxPartitionBytes"
+    before = spark.conf.get(size)
+    try:
+        spark.conf.set(size, "16384")
+        cores = spark.sparkContext.defaultParallelism
+        for files, name in ((1, "one"), (cores, "many")):
+            rows = spark.range(4000).select("id", F.sha2(F.col("id").cast("string"), 256).alias("text")).repartition(files)
+            rows.write.parquet(f"{tmp_path}/{name}")
+            table = spark.read.parquet(f"{tmp_path}/{name}")
+            out = spread(table)
+            assert table.rdd.getNumPartitions() >= cores
+            assert out.groupBy(F.spark_partition_id()).count().count() >= cores
+            assert out.count() == out.distinct().count() == 4000
+            assert (out is table) == (name == "many")
+    finally:
+        spark.conf.set(size, before)
