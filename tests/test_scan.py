@@ -103,3 +103,18 @@ def test_texts_without_what_names_need_are_passed_over():
     for tail in ("HR - Asha Rao", "Staff—Asha Rao", "Asha Rao – EMP 12", "Asha Rao-7", "A/C 123456789", "Bank a/c: 123456789012", "ACCT 123456789"):
         assert X.hits_any(talk + tail, [account], names), tail
     assert not X.hits_any(talk + "12 - x", [account], names)
+
+
+def test_long_runs_around_at_signs():
+    """Addresses and CVVs are found as a whole search finds them; a run of their characters without one takes time in proportion to its length."""
+    r, pieces = random.Random(3), ["a", "b.c", "@", "@", ".co", ".", "-", "_", "%", "+", "1", "x" * 39, "é", " ", "@ybl", "@UPI", "a@b.co", ".c1", "cvv", "CVC", "security_code", "  ", ":", "=", " ", "123", "4567", "\n"]
+    texts = ["".join(r.choice(pieces) for _ in range(r.randint(1, 12))) for _ in range(20_000)]
+    for p in [*P.PERSONAL, *P.SCREEN, *P.CHECKED]:
+        if p.regex in X.AT_REGEXES or p.kind == "cvv":
+            whole, quick = re.compile(P.java(p.regex, p.ignore_case), re.ASCII), X.searcher(p.regex, p.ignore_case, p.hint)
+            assert [[m.span() for m in quick(t)] for t in texts] == [[m.span() for m in whole.finditer(t)] for t in texts], p.kind
+            assert any(map(quick, texts))
+    run, white, began = "a." * 30_000, " " * 60_000, time.process_time()
+    for text, kinds in ((f"{run}@", []), (f"x@{run}", []), (f"{run}a@x", []), (f"cvv{white}x", []), (f"cvv{white}12345", []), (f"{run}a@b.co", [len(run) + 6]), (f"x@{run}co", [len(run) + 4]), (f"cvv{white}123", [3])):
+        assert [len(x[2]) for x in X.findings(text, P.PERSONAL, 3)] == kinds, text[:9]
+    assert time.process_time() - began < 3
