@@ -37,10 +37,11 @@ SPREAD = 2.2
 BROADCAST_SCANS = 1_000_000
 HIT = ["kind", "value", "reason", "x", "y", "w", "h", "confidence"]
 
-#: What marks a document, whose hits mark it, which of its lines and words aren't covered, and how (fixed values).
+#: What marks a document (of mark_words one stands in each mark), whose hits mark it, which of its lines and words aren't covered, and how (fixed values).
 GUARDS = {
     "identity_card": {
         "marks": r"aadhaar|uidai|government of india|mera aadhaar|unique identification|help@uidai|my aadhaar",
+        "mark_words": ("aadhaar", "uidai", "government", "unique"),
         "kinds": ["aadhaar", "vid"],
         "line_headers": r"^(government of india|bharat sarkar|mera aadhaar|meri pehchan|my aadhaar|unique identification authority)[\s,.:/-]*$",
         "word_headers": r"^(government|govt|of|india|bharat|sarkar|mera|aadhaar|meri|pehchan|unique|identification|authority|uidai|help|www|gov|in|enrollment|download)$",
@@ -50,6 +51,7 @@ GUARDS = {
     },
     "vehicle_certificate": {
         "marks": r"vehicle registration|registration certificate|government of \w+|chassis number|engine\/motor|regn\.?\s*number|motor vehicles department",
+        "mark_words": ("vehicle", "registration", "government", "chassis", "motor", "regn"),
         "kinds": ["vehicle_reg", "chassis_number"],
         "word_headers": r"^(indian|union|vehicle|registration|certificate|issued|by|government|of|tamil|nadu|fuel|petrol|diesel|c|te|norms|emission|bharat|stage|vi)$",
         "kind": "vehicle_rc_pii",
@@ -130,6 +132,19 @@ def crowded(x: np.ndarray, y: np.ndarray, px: int) -> np.ndarray:
     return total > 1
 
 
+def apart(x: np.ndarray, y: np.ndarray, own: np.ndarray, px: int) -> list[int]:
+    """In order, the own corners that aren't within less than px, both ways, of one of the others, which come first, or of a kept one."""
+    close, grid = crowded(x, y, px), {}
+    kept, walked = np.flatnonzero(own & ~close).tolist(), np.flatnonzero(close)
+    for i, left, top, mine in zip(walked.tolist(), x[walked].tolist(), y[walked].tolist(), own[walked].tolist()):
+        cx, cy = left // px, top // px
+        around = (p for dx in (-1, 0, 1) for dy in (-1, 0, 1) for p in grid.get((cx + dx, cy + dy), ()))
+        if not mine or not any(abs(px_ - left) < px and abs(py_ - top) < px for px_, py_ in around):
+            grid.setdefault((cx, cy), []).append((left, top))
+            kept += [i] if mine else []
+    return kept
+
+
 def kept_apart(hits: DataFrame, px: int, others: DataFrame | None = None) -> DataFrame:
     """In order, the hits whose corner isn't within less than px, both ways, of the corner of one of the others in their scan, or of
     a kept one. One shuffle by scan."""
@@ -140,16 +155,7 @@ def kept_apart(hits: DataFrame, px: int, others: DataFrame | None = None) -> Dat
         rows = rows.unionByName(known)
 
     def choose(b: dict[str, np.ndarray]) -> list[int]:
-        x, y, own = b["_x"], b["_y"], b["_own"] > 0
-        close, grid = crowded(x, y, px), {}
-        kept, walked = np.flatnonzero(own & ~close).tolist(), np.flatnonzero(close)
-        for i, left, top, mine in zip(walked.tolist(), x[walked].tolist(), y[walked].tolist(), own[walked].tolist()):
-            cx, cy = left // px, top // px
-            around = (p for dx in (-1, 0, 1) for dy in (-1, 0, 1) for p in grid.get((cx + dx, cy + dy), ()))
-            if not mine or not any(abs(px_ - left) < px and abs(py_ - top) < px for px_, py_ in around):
-                grid.setdefault((cx, cy), []).append((left, top))
-                kept += [i] if mine else []
-        return kept
+        return apart(b["_x"], b["_y"], b["_own"] > 0, px)
 
     return kept_rows(rows, "scan_id", [F.col("_own"), F.col("ord"), *(F.col(c) for c in HIT)], choose, ["_x", "_y", "_own"]).select("scan_id", "ord", *HIT)
 
@@ -373,25 +379,28 @@ def uncovered(hits: DataFrame, others: DataFrame) -> DataFrame:
     return a.join(b, near, "left_anti").drop("_cx", "_cy", "_b")
 
 
+def uncovered_of(b: dict[str, np.ndarray], own: np.ndarray | None = None) -> list[int]:
+    """In order, the own boxes whose IoU with none of the others, which come first, nor with a kept one is above a half."""
+    kept, grid = [], {}
+    x, y, w, h = (b[c].tolist() for c in "xywh")
+    mine = [True] * len(x) if own is None else own.tolist()
+    for i in range(len(x)):
+        for j in grid.get(((x[i] + w[i] / 2) // CELL, (y[i] + h[i] / 2) // CELL), ()) if mine[i] else ():
+            shared = max(min(x[i] + w[i], x[j] + w[j]) - max(x[i], x[j]), 0) * max(min(y[i] + h[i], y[j] + h[j]) - max(y[i], y[j]), 0)
+            if 2 * shared > w[i] * h[i] + w[j] * h[j] - shared:
+                break
+        else:
+            kept += [i] if mine[i] else []
+            for cx in range(int(x[i] // CELL), int((x[i] + w[i]) // CELL) + 1):
+                for cy in range(int(y[i] // CELL), int((y[i] + h[i]) // CELL) + 1):
+                    grid.setdefault((cx, cy), []).append(i)
+    return kept
+
+
 def uncovering(boxes: DataFrame) -> DataFrame:
     """In order (ord), the boxes whose IoU with no kept one of their scan is above a half."""
 
-    def choose(b: dict[str, np.ndarray]) -> list[int]:
-        kept, grid = [], {}
-        x, y, w, h = (b[c].tolist() for c in "xywh")
-        for i in range(len(x)):
-            for j in grid.get(((x[i] + w[i] / 2) // CELL, (y[i] + h[i] / 2) // CELL), ()):
-                shared = max(min(x[i] + w[i], x[j] + w[j]) - max(x[i], x[j]), 0) * max(min(y[i] + h[i], y[j] + h[j]) - max(y[i], y[j]), 0)
-                if 2 * shared > w[i] * h[i] + w[j] * h[j] - shared:
-                    break
-            else:
-                kept.append(i)
-                for cx in range(int(x[i] // CELL), int((x[i] + w[i]) // CELL) + 1):
-                    for cy in range(int(y[i] // CELL), int((y[i] + h[i]) // CELL) + 1):
-                        grid.setdefault((cx, cy), []).append(i)
-        return kept
-
-    return kept_rows(boxes, "scan_id", [F.col("ord"), *(F.col(c) for c in HIT)], choose, ["x", "y", "w", "h"])
+    return kept_rows(boxes, "scan_id", [F.col("ord"), *(F.col(c) for c in HIT)], uncovered_of, ["x", "y", "w", "h"])
 
 
 def scan_words(words: DataFrame, patterns: list[P.Pattern] = P.SCREEN, scale: tuple[float, float] = (1.0, 1.0), guards: tuple[str, ...] = tuple(GUARDS)) -> DataFrame:
